@@ -108,3 +108,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def raw(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of a string column, null as empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def sliding(h: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best (minimum or maximum) of h[i : i + width] for every start of a whole window."""
+    out, span = h, 1
+    while span < width:
+        step = min(span, width - span)
+        out = best(out[: len(out) - step], out[step:])
+        span += step
+    return out
+
+
+def winnow(h: np.ndarray, width: int) -> np.ndarray:
+    """Positions whose hash is least in some window of width hashes (all of them if there are fewer)."""
+    if len(h) <= width:
+        return np.flatnonzero(h == h.min()) if len(h) else np.empty(0, np.int64)
+    low = sliding(h, width, np.minimum)
+    pad = np.concatenate([np.zeros(width - 1, h.dtype), low, np.zeros(width - 1, h.dtype)])
+    return np.flatnonzero(sliding(pad, width, np.maximum) == h)
