@@ -75,11 +75,15 @@ def thresholds(df: DataFrame) -> DataFrame:
 
 
 def _judged(held: DataFrame) -> DataFrame:
-    """Join each row's group limits to it and add ``__q_kept``; the limits are a row per group."""
+    """Join each row's group limits to it and add ``__q_kept``.
+
+    The limits, a row per group, are written first: their size is then known, so Spark broadcasts them
+    where they are small, and otherwise can split a large group's side of the join.
+    """
     within = F.lit(True)
     for r in SLACK:
         within &= F.coalesce(F.col(f"__q_{r}") >= F.col(f"__q_min_{r}"), F.lit(True)) & F.coalesce(F.col(f"__q_{r}") <= F.col(f"__q_max_{r}"), F.lit(True))
-    return held.join(thresholds(held), ["__q_lang", "__q_source"], "left").withColumn("__q_kept", ~F.col("__q_base_failed") & within)
+    return held.join(materialize(thresholds(held), "limits"), ["__q_lang", "__q_source"], "left").withColumn("__q_kept", ~F.col("__q_base_failed") & within)
 
 
 def _keys() -> dict[str, Column]:
