@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -132,3 +133,9 @@ def winnow(h: np.ndarray, width: int) -> np.ndarray:
     low = sliding(h, width, np.minimum)
     pad = np.concatenate([np.zeros(width - 1, h.dtype), low, np.zeros(width - 1, h.dtype)])
     return np.flatnonzero(sliding(pad, width, np.maximum) == h)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished, unreferenced plans now, not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
