@@ -8,8 +8,9 @@ joins through one representative.
    the order depends on it, never a result.
 2. Prefix index: two sets can be similar only if they share a gram within their prefixes, at places
    that leave enough remaining length.  Prefix grams are dealt by hash as packed arrays, and each gram
-   chains the sets whose sizes and remaining lengths allow a link.  Chains are a superset of links.
-3. Rooms: connected chains form a room; each set goes to its room once.
+   connects the sets whose sizes and remaining lengths allow a link, by a forest of edges, not by
+   pairs.  That connects at least what links connect.
+3. Rooms: what is connected forms a room; each set goes to its room once.
 4. Prefix trees: a room's sets hang in a trie in the global order.  A set walks the tree; overlap along a
    path is shared by all sets below it, and a subtree is left where overlap and remaining lengths can't
    reach the threshold.  Verdicts are exact.  Sets already connected aren't compared again, so a
@@ -39,6 +40,8 @@ SKETCH_BLOCKS = 64
 #: Index entries that a task holds before it sends them.
 ENTRIES = 1 << 20
 ROOM_GRAMS = 3_000_000
+#: Sets with one common prefix gram up to which possible pairs are found one by one.
+WIDE = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -205,14 +208,45 @@ def _chain(table: pa.Table) -> pa.Table:
         key, sig, n, rest = key[keep], sig[keep], n[keep], rest[keep]
     # largest partner that the remaining length allows: NUM * (n + m) <= (NUM + DEN) * rest
     most = (NUM + DEN) * rest // NUM - n
-    run = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64)))) if len(key) else np.empty(0, np.int64)
-    reach = np.maximum.accumulate((run << 32) + np.maximum(most, 0)) - (run << 32) if len(key) else most
-    linked = (run[1:] == run[:-1]) & (n[1:] <= reach[:-1])
-    u, v = sig[1:][linked], sig[:-1][linked]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    two = start[size == 2]
+    two = two[(n[two] <= most[two + 1]) & (n[two + 1] <= most[two])]
+    u, v = [sig[two]], [sig[two + 1]]
+    for at, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        one = slice(at, at + k)
+        i, j = _forest(n[one], most[one])
+        u.append(sig[one][i])
+        v.append(sig[one][j])
+    u, v = np.concatenate(u), np.concatenate(v)
     pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _forest(n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect just what possible pairs connect: sizes n, ascending, and largest partner sizes.
+
+    Beyond ``WIDE`` sets, neighbours in size are chained as far as any set before them reaches; that
+    connects at least as much.
+    """
+    k = len(n)
+    if k > WIDE:
+        at = np.flatnonzero(n[1:] <= np.maximum.accumulate(most)[:-1]) + 1
+        return at, at - 1
+    label, u, v = np.arange(k), [], []
+    for y in range(1, k):
+        x = np.flatnonzero((n[:y] <= most[y]) & (n[y] <= most[:y]))
+        if len(x):
+            groups, first = np.unique(label[x], return_index=True)
+            u += [y] * len(first)
+            v += x[first].tolist()
+            if len(groups) > 1:
+                label[:y][np.isin(label[:y], groups)] = groups[0]
+            label[y] = groups[0]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
 # 4. prefix trees ---------------------------------------------------------------------------------
 
 
