@@ -35,8 +35,11 @@ SIDE = LEAST - GRAM
 CONTEXT = GRAM + 2 * SIDE
 PAD = 32
 #: Anchors that a task holds before it sends them.
-ENTRIES = 1 << 20
-BATCH = 1 << 22
+ENTRIES = 1 << 19
+#: Bytes of text that are held as arrays at once; a longer text is one batch.
+BATCH = 1 << 20
+#: Contexts in one suffix array; one gram's contexts stay together.
+BLOCK = 8_000
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -208,6 +211,23 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[new], e[last]], 1) if len(s) else np.empty((0, 2), np.int64)
 
 
+def unions(rows: np.ndarray) -> np.ndarray:
+    """Rows (document, text key, start, end), the intervals of each text merged."""
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    if not len(rows):
+        return rows
+    new = np.ones(len(rows), bool)
+    new[1:] = (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)
+    base = np.cumsum(new).astype(np.int64) << 40  # texts one after another, so that one running maximum serves all
+    reach = np.maximum.accumulate(base + rows[:, 3]) - base
+    new[1:] |= rows[1:, 2] > reach[:-1]
+    first = np.flatnonzero(new)
+    out = rows[first].copy()
+    out[:, 3] = reach[np.append(first[1:] - 1, len(rows) - 1)]
+    return out
+
+
 _BYTES = "part int, gram binary, bytes binary, left binary, right binary, doc binary, place binary, runs binary"
 
 
@@ -291,17 +311,16 @@ def _cover(table: pa.Table) -> pa.Table:
         edges = np.append(np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))), len(gram))
         lo = 0
         while lo < len(edges) - 1:
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 40_000, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BLOCK, side="right")) - 1)
             s = slice(int(edges[lo]), int(edges[hi]))
             runs.append(_cover_block(rows[s], left[s], right[s], doc[s], place[s]))
             lo = hi
     every = np.concatenate(runs) if runs else np.empty((0, 4), np.int64)
     out = []
     if len(every):
-        order = np.lexsort((every[:, 1], every[:, 0]))
-        every = every[order]
+        every = unions(every)
         cut = np.flatnonzero((np.diff(every[:, 0]) != 0) | (np.diff(every[:, 1]) != 0)) + 1
-        out = [(int(r[0, 0]), int(r[0, 1]), merged(r[:, 2], r[:, 3]).tobytes()) for r in np.split(every, cut)]
+        out = [(int(r[0, 0]), int(r[0, 1]), np.ascontiguousarray(r[:, 2:]).tobytes()) for r in np.split(every, cut)]
     cols = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "tkey": pa.array(cols[1], pa.int64()), "runs": pa.array(cols[2], pa.binary())})
 
@@ -322,7 +341,7 @@ def _cover_block(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.
     hit = doc[at, 0] > least
     at, o = at[hit], o[hit]
     start = place[at] - SIDE + o
-    return np.stack([doc[at, 0], doc[at, 1], start, start + LEAST], 1)
+    return unions(np.stack([doc[at, 0], doc[at, 1], start, start + LEAST], 1))
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
