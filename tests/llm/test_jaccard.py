@@ -37,6 +37,9 @@ def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # every room of some size is dealt to blocks
         monkeypatch.setattr(jaccard, "ROOM_GRAMS", 300)
         monkeypatch.setattr(jaccard, "WIDE", 5)
+        monkeypatch.setattr(jaccard, "PAIRS", 4)
+    if seed == 1:
+        monkeypatch.setattr(jaccard, "PAIRS", 4)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_shingles int").repartition(5)
     got = sorted(tuple(x)[:3] for x in jaccard.jaccard_components(df).collect())
     want = brute.op1(docs)
@@ -66,6 +69,21 @@ def test_prefix_tree_against_intersections():
             assert sorted(tree.similar(probe, [True] * len(sets))) == want
 
 
+def test_bitmaps_never_part_linked_sets():
+    r = np.random.default_rng(4)
+    parted = 0
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        cut = int(r.integers(0, max(1, len(a) // 3)))
+        b = np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 62, int(r.integers(0, max(1, len(a) // 3)))).astype(np.uint64)]))
+        packed = [np.packbits(jaccard.bitmap(x)).tobytes() for x in (a, b)]
+        ok = jaccard.may_link(packed[0], len(a), packed[1], len(b))
+        assert ok or len(np.intersect1d(a, b)) < jaccard.needed(len(a), len(b))
+        parted += not ok
+    assert parted > 50
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]

@@ -6,10 +6,11 @@ joins through one representative.
 
 1. Sketch: grams are counted by cell; a gram's level is how far its cell lies above the mean.  Only
    the order depends on it, never a result.
-2. Prefix index: two sets can be similar only if they share a gram within their prefixes, at places
-   that leave enough remaining length.  Prefix grams are dealt by hash as packed arrays, and each gram
-   connects the sets whose sizes and remaining lengths allow a link, by a forest of edges, not by
-   pairs.  That connects at least what links connect.
+2. Prefix index: linked sets share ``SHARED`` grams (or all that small sets need) within their prefixes,
+   at places that leave enough remaining length.  Prefix grams are dealt by hash as packed arrays; sets
+   that share a gram and may link by size and place become counted pairs, where up to ``PAIRS`` sets have
+   the gram, else a forest of edges that connects at least as much.  Counted pairs must also pass a
+   parity bitmap: where two bitmaps differ, the sets do, and linked sets differ little.
 3. Rooms: what is connected forms a room; each set goes to its room once.
 4. Prefix trees: a room's sets hang in a trie in the global order.  A set walks the tree; overlap along a
    path is shared by all sets below it, and a subtree is left where overlap and remaining lengths can't
@@ -28,19 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, shuffle_parts, slices
+from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices
 from tidemark.llm.graph import components
 
 N = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 75, 100
-#: Cells of the sketch, a power of two; 2**20 cells are 4 MB in a task and 1 MB as broadcast levels.
-CELL_BITS = 20
+#: Cells of the sketch: about one for 100 grams, between these powers of two, so a task holds 4 to 128 MB
+#: and broadcast levels are 1 to 32 MB.
+CELL_BITS = (20, 25)
+#: Grams that linked sets must share in their prefixes.
+SHARED = 6
+#: Sets with one common prefix gram up to which pairs are counted.
+PAIRS = 256
 SKETCH_BLOCKS = 64
 #: Index entries that a task holds before it sends them.
 ENTRIES = 1 << 20
 ROOM_GRAMS = 3_000_000
-#: Sets with one common prefix gram up to which possible pairs are found one by one.
+#: What an edge of a forest counts.
+SURE = 1 << 40
+#: The same up to which a forest is exact; beyond, neighbours in size are chained.
 WIDE = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -76,6 +84,26 @@ def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(59)) | (grams >> np.uint64(5)))
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Grams that a set of n must share in prefixes with any set it links with."""
+    return np.minimum(SHARED, -(-NUM * n // DEN))
+
+
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parity of the grams in each of 2**k bits, 64 at least and n at least."""
+    bits = max(6, int(len(grams) - 1).bit_length())
+    return (np.bincount((mix(grams) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """False only if the packed bitmaps of sets of n and m grams show that they differ too much."""
+    x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(len(y), -1), axis=1)
+    return (NUM + DEN) * int((x != y).sum()) <= (DEN - NUM) * (n + m)
+
+
 def needed(a: int, b: int) -> int:
     """Least overlap of linked sets of a and b grams."""
     return -(-NUM * (a + b) // (NUM + DEN))
@@ -86,9 +114,17 @@ def needed(a: int, b: int) -> int:
 _HEAD = "kind int, doc_id long, n long, a long, b long, cells binary"
 
 
-def _heads(n: int):
+def _cell_bits(docs: DataFrame) -> int:
+    """From the size that the plan expects of its input, which only the order's quality depends on."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # unknown
+        return CELL_BITS[0]
+    return max(CELL_BITS[0], min(CELL_BITS[1], (size // 800).bit_length()))
+
+
+def _heads(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, kinds = np.zeros(1 << CELL_BITS, np.uint32), pa.int32()
+        cells, kinds = np.zeros(1 << bits, np.uint32), pa.int32()
         names = ["kind", "doc_id", "n", "a", "b", "cells"]
         for b in slices(batches, "text", 1 << 22):
             sets = gram_sets(raw(b.column(1)), n)
@@ -96,7 +132,7 @@ def _heads(n: int):
             cells += np.bincount((every & np.uint64(len(cells) - 1)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
             sig = [signature(s) for s in sets]
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), kinds), b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m), kinds), b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), pa.array([np.packbits(bitmap(g)).tobytes() for g in sets], pa.binary())], names)
         if cells.any():
             parts = np.split(cells, SKETCH_BLOCKS)
             zero = pa.array([0] * SKETCH_BLOCKS, pa.int64())
@@ -117,10 +153,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(logs, pa.binary())], ["block", "logs"])
 
 
-def _levels(heads: DataFrame) -> np.ndarray:
+def _levels(heads: DataFrame, bits: int) -> np.ndarray:
     """Level of each cell, 0 to 31: 0 up to twice the median count, then quarter octaves."""
     rows = heads.filter("kind = 1").select(F.col("doc_id").alias("block"), "cells").repartition(SKETCH_BLOCKS, "block").mapInArrow(_merge, "block long, logs binary").collect()
-    logs = np.zeros(1 << CELL_BITS, np.uint8)
+    logs = np.zeros(1 << bits, np.uint8)
     size = len(logs) // SKETCH_BLOCKS
     for r in rows:
         logs[r.block * size : (r.block + 1) * size] = np.frombuffer(r.logs, np.uint8)
@@ -166,7 +202,7 @@ def _index(n: int, parts: int, sent):
                     seen.clear()
                 seen.add(sig)
                 size = len(grams)
-                prefix = size - -(-NUM * size // DEN) + 1
+                prefix = min(size, size - -(-NUM * size // DEN) + int(least_shared(np.int64(size))))
                 held.append((ordered(grams, levels)[:prefix], sig[0], size))
                 count += prefix
                 if count >= ENTRIES:
@@ -182,8 +218,11 @@ def _index(n: int, parts: int, sent):
 _INDEX = "part int, keys binary, step binary, who binary, place binary, sig binary, n binary"
 
 
+_PAIRS = "u long, v long, shared long, need long"
+
+
 def _chain(table: pa.Table) -> pa.Table:
-    """Chains (u, v) between the sets that share a prefix gram of this part."""
+    """Possible pairs (u, v) of this part, how many prefix grams they share here, and how many they must in all."""
     keys, sigs, sizes, rests = [], [], [], []
     for k, step, who, place, sig, n in zip(*(table.column(c).to_pylist() for c in ("keys", "step", "who", "place", "sig", "n")), strict=True):
         own = np.frombuffer(who, np.int32) if who else np.cumsum(np.frombuffer(step, np.uint16).astype(np.int64))
@@ -206,22 +245,46 @@ def _chain(table: pa.Table) -> pa.Table:
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
         key, sig, n, rest = key[keep], sig[keep], n[keep], rest[keep]
-    # largest partner that the remaining length allows: NUM * (n + m) <= (NUM + DEN) * rest
-    most = (NUM + DEN) * rest // NUM - n
+    # largest partner that the remaining length allows after at most SHARED - 1 earlier common grams:
+    # NUM * (n + m) <= (NUM + DEN) * overlap
+    least = least_shared(n)
+    most = (NUM + DEN) * np.minimum(n, rest + least - 1) // NUM - n
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     two = start[size == 2]
     two = two[(n[two] <= most[two + 1]) & (n[two + 1] <= most[two])]
-    u, v = [sig[two]], [sig[two + 1]]
+    u, v, sure = [two], [two + 1], []
     for at, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         one = slice(at, at + k)
-        i, j = _forest(n[one], most[one])
-        u.append(sig[one][i])
-        v.append(sig[one][j])
+        if k <= PAIRS:
+            i, j = np.nonzero(np.triu((n[one, None] <= most[None, one]) & (n[None, one] <= most[one, None]), 1))
+            u.append(at + i)
+            v.append(at + j)
+        else:
+            sure.append(at + np.stack(_forest(n[one], most[one]), 1))
     u, v = np.concatenate(u), np.concatenate(v)
-    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+    need = np.minimum(least[u], least[v])
+    rows = np.stack([np.maximum(sig[u], sig[v]), np.minimum(sig[u], sig[v]), need], 1) if len(u) else np.empty((0, 3), np.int64)
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))) if len(rows) else np.empty(0, np.int64)
+    shared = np.diff(np.append(first, len(rows)))
+    rows = rows[first]
+    if sure:  # edges of a forest stand for pairs elsewhere, and aren't to be counted
+        e = np.concatenate(sure)
+        e = np.unique(np.stack([np.maximum(sig[e[:, 0]], sig[e[:, 1]]), np.minimum(sig[e[:, 0]], sig[e[:, 1]]), np.zeros(len(e), np.int64)], 1), axis=0)
+        rows, shared = np.concatenate([rows, e]), np.concatenate([shared, np.full(len(e), SURE)])
+    keep = rows[:, 0] != rows[:, 1]
+    return pa.table({"u": rows[keep, 0], "v": rows[keep, 1], "shared": shared[keep].astype(np.int64), "need": rows[keep, 2]})
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps allow a link."""
+    for b in batches:
+        shared, m, n, x, y = (b.column(k).to_pylist() for k in (2, 3, 4, 5, 6))
+        keep = [s >= SURE or may_link(p, i, q, j) for s, i, j, p, q in zip(shared, m, n, x, y, strict=True)]
+        if any(keep):
+            yield b.filter(pa.array(keep)).select(["u", "v"])
 
 
 def _forest(n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,12 +402,18 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    heads = materialize(rows.mapInArrow(_heads(n), _HEAD), "heads")
-    sent = spark.sparkContext.broadcast(_levels(heads))
+    bits = _cell_bits(rows)
+    heads = materialize(rows.mapInArrow(_heads(n, bits), _HEAD), "heads")
+    sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
     index = rows.select("text").mapInArrow(_index(n, parts, sent), _INDEX)
-    chains = index.groupBy("part").applyInArrow(_chain, "u long, v long")
-    room_of = materialize(components(chains), "rooms")
+    pairs = index.groupBy("part").applyInArrow(_chain, _PAIRS).groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").drop("need")
+    pairs = materialize(pairs, "pairs")
+    release(spark)
+    maps = heads.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("cells").alias("bits"))
+    both = pairs.join(maps.select(F.col("a").alias("u"), F.col("n").alias("m"), F.col("bits").alias("x")), "u").join(maps.select(F.col("a").alias("v"), "n", F.col("bits").alias("y")), "v")
+    fitting = both.select("u", "v", "shared", "m", "n", "x", "y").mapInArrow(_fitting, "u long, v long")
+    room_of = materialize(components(fitting), "rooms")
     reps = base.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     placed = reps.join(room_of.withColumnRenamed("node", "a"), "a").select("doc_id", "n", F.col("root").alias("room"))
     weight = placed.groupBy("room").agg(F.sum("n").alias("grams"))
