@@ -69,6 +69,27 @@ def test_prefix_tree_against_intersections():
             assert sorted(tree.similar(probe, [True] * len(sets))) == want
 
 
+def test_linked_sets_share_neighbours_in_their_prefixes():
+    r = np.random.default_rng(5)
+    tried = 0
+    for _ in range(4000):
+        n = int(r.integers(3, 60))
+        a = np.sort(r.choice(1 << 20, n, replace=False))
+        gone = r.choice(n, int(r.integers(0, n // 4 + 1)), replace=False)
+        b = np.unique(np.concatenate([np.delete(a, gone), r.choice(1 << 20, int(r.integers(0, n // 3 + 1)))]))
+        o = len(np.intersect1d(a, b))
+        if len(b) < 3 or np.array_equal(a, b) or o < jaccard.needed(len(a), len(b)):
+            continue
+        tried += 1
+        firsts = []
+        for x in (a, b):
+            k = jaccard.breaks(len(x)) + jaccard.least_shared(len(x))
+            assert jaccard.least_shared(len(x)) >= 1 and k <= len(x) - 1
+            firsts.append({(int(p), int(q)) for p, q in zip(x[:k], x[1 : k + 1], strict=True)})
+        assert len(firsts[0] & firsts[1]) >= min(jaccard.least_shared(len(a)), jaccard.least_shared(len(b)))
+    assert tried > 500
+
+
 def test_bitmaps_never_part_linked_sets():
     r = np.random.default_rng(4)
     parted = 0

@@ -6,11 +6,14 @@ joins through one representative.
 
 1. Sketch: grams are counted by cell; a gram's level is how far its cell lies above the mean.  Only
    the order depends on it, never a result.
-2. Prefix index: linked sets share ``SHARED`` grams (or all that small sets need) within their prefixes,
-   at places that leave enough remaining length.  Prefix grams are dealt by hash as packed arrays; sets
-   that share a gram and may link by size and place become counted pairs, where up to ``PAIRS`` sets have
-   the gram, else a forest of edges that connects at least as much.  Counted pairs must also pass a
-   parity bitmap: where two bitmaps differ, the sets do, and linked sets differ little.
+2. Prefix index: of sets in order, neighbouring grams are the index's keys.  A gram that only one of two sets
+   has breaks at most two neighbourships of its own set and one of the other, so linked sets share
+   ``SHARED`` neighbourships (or all that small sets must) within prefixes of about half their length.
+   One common phrase, as unrelated texts have it ever more often in a larger corpus, hardly ever
+   makes neighbours in both.  Keys are dealt by hash as packed arrays; sets with a common key that may
+   link by size and place become counted pairs, where up to ``PAIRS`` sets have the key, else a forest
+   of edges that connects at least as much.  Counted pairs must also pass a parity bitmap: where two
+   bitmaps differ, the sets do, and linked sets differ little.
 3. Rooms: what is connected forms a room; each set goes to its room once.
 4. Prefix trees: a room's sets hang in a trie in the global order.  A set walks the tree; overlap along a
    path is shared by all sets below it, and a subtree is left where overlap and remaining lengths can't
@@ -38,9 +41,9 @@ NUM, DEN = 75, 100
 #: Cells of the sketch: about one for 100 grams, between these powers of two, so a task holds 4 to 128 MB
 #: and broadcast levels are 1 to 32 MB.
 CELL_BITS = (20, 25)
-#: Grams that linked sets must share in their prefixes.
-SHARED = 6
-#: Sets with one common prefix gram up to which pairs are counted.
+#: Neighbourships that linked sets must share in their prefixes.
+SHARED = 4
+#: Sets with one common key up to which pairs are counted.
 PAIRS = 256
 SKETCH_BLOCKS = 64
 #: Index entries that a task holds before it sends them.
@@ -84,9 +87,15 @@ def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(59)) | (grams >> np.uint64(5)))
 
 
-def least_shared(n: np.ndarray) -> np.ndarray:
-    """Grams that a set of n must share in prefixes with any set it links with."""
-    return np.minimum(SHARED, -(-NUM * n // DEN))
+def breaks(n: int) -> int:
+    """Most neighbourships of a set of n grams that another set can break and still link with it."""
+    m = np.arange(-(-NUM * n // DEN), DEN * n // NUM + 1)
+    return int((2 * n + m - 3 * -(-NUM * (n + m) // (NUM + DEN))).max())
+
+
+def least_shared(n: int) -> int:
+    """Neighbourships that a set of n grams must share with any different set it links with; n is 3 at least."""
+    return min(SHARED, n - 1 - breaks(n))
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
@@ -171,14 +180,14 @@ def _index(n: int, parts: int, sent):
     """Packed prefix entries: per part the entries' keys, their set's number, remaining length; and the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = sent.value, set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        levels, seen, prefix_of = sent.value, set(), {}
+        held: list[tuple[np.ndarray, int, int, int]] = []
         count = 0
 
         def send() -> pa.RecordBatch:
             keys = np.concatenate([h[0] for h in held])
             size = np.array([len(h[0]) for h in held])
-            sig, n_of = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int32)
+            sig, n_of = np.array([h[1] for h in held], np.int64), np.array([h[2:] for h in held], np.int32)
             who = np.repeat(np.arange(len(held), dtype=np.int32), size)
             place = np.arange(len(keys), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
             part = (mix(keys) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int32)
@@ -193,7 +202,8 @@ def _index(n: int, parts: int, sent):
 
         for b in slices(batches, "text", 1 << 22):
             for grams in gram_sets(raw(b.column(0)), n):
-                if not len(grams):
+                size = len(grams)
+                if size < 3:  # smaller sets link with equal ones only, which are their class
                     continue
                 sig = signature(grams)
                 if sig in seen:
@@ -201,9 +211,11 @@ def _index(n: int, parts: int, sent):
                 if len(seen) > 2_000_000:
                     seen.clear()
                 seen.add(sig)
-                size = len(grams)
-                prefix = min(size, size - -(-NUM * size // DEN) + int(least_shared(np.int64(size))))
-                held.append((ordered(grams, levels)[:prefix], sig[0], size))
+                if size not in prefix_of:
+                    prefix_of[size] = (breaks(size) + least_shared(size), least_shared(size))
+                prefix, least = prefix_of[size]
+                first = ordered(grams, levels)[: prefix + 1]
+                held.append((mix(mix(first[:-1]) + first[1:]), sig[0], size, least))
                 count += prefix
                 if count >= ENTRIES:
                     yield send()
@@ -223,45 +235,48 @@ _PAIRS = "u long, v long, shared long, need long"
 
 def _chain(table: pa.Table) -> pa.Table:
     """Possible pairs (u, v) of this part, how many prefix grams they share here, and how many they must in all."""
-    keys, sigs, sizes, rests = [], [], [], []
+    keys, sigs, sizes, places, leasts = [], [], [], [], []
     for k, step, who, place, sig, n in zip(*(table.column(c).to_pylist() for c in ("keys", "step", "who", "place", "sig", "n")), strict=True):
         own = np.frombuffer(who, np.int32) if who else np.cumsum(np.frombuffer(step, np.uint16).astype(np.int64))
-        n_of = np.frombuffer(n, np.int32).astype(np.int64)[own]
+        n_of = np.frombuffer(n, np.int32).astype(np.int64).reshape(-1, 2)[own]
         keys.append(np.frombuffer(k, np.uint64))
         sigs.append(np.frombuffer(sig, np.int64)[own])
-        sizes.append(n_of)
-        rests.append(n_of - np.frombuffer(place, np.int32))
-    key, sig, n, rest = map(np.concatenate, (keys, sigs, sizes, rests))
+        sizes.append(n_of[:, 0])
+        leasts.append(n_of[:, 1])
+        places.append(np.frombuffer(place, np.int32).astype(np.int64))
+    key, sig, n, place, least = map(np.concatenate, (keys, sigs, sizes, places, leasts))
     order = np.argsort(key, kind="stable")
     key = key[order]
     twin = np.zeros(len(key), bool)
     twin[1:] = key[1:] == key[:-1]
     twin[:-1] |= twin[1:]
     order, key = order[twin], key[twin]
-    sig, n, rest = sig[order], n[order], rest[order]
+    sig, n, place, least = sig[order], n[order], place[order], least[order]
     order = np.lexsort((sig, n, key))
-    key, sig, n, rest = key[order], sig[order], n[order], rest[order]
+    key, sig, n, place, least = key[order], sig[order], n[order], place[order], least[order]
     if len(key):  # the same set from several tasks
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
-        key, sig, n, rest = key[keep], sig[keep], n[keep], rest[keep]
-    # largest partner that the remaining length allows after at most SHARED - 1 earlier common grams:
-    # NUM * (n + m) <= (NUM + DEN) * overlap
-    least = least_shared(n)
-    most = (NUM + DEN) * np.minimum(n, rest + least - 1) // NUM - n
+        key, sig, n, place, least = key[keep], sig[keep], n[keep], place[keep], least[keep]
+    def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes and places allow the overlap that a link needs."""
+        most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        return (NUM + DEN) * most >= NUM * (n[i] + n[j])
+
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     two = start[size == 2]
-    two = two[(n[two] <= most[two + 1]) & (n[two + 1] <= most[two])]
+    two = two[fit(two, two + 1)]
     u, v, sure = [two], [two + 1], []
     for at, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         one = slice(at, at + k)
         if k <= PAIRS:
-            i, j = np.nonzero(np.triu((n[one, None] <= most[None, one]) & (n[None, one] <= most[one, None]), 1))
-            u.append(at + i)
-            v.append(at + j)
+            i, j = np.triu_indices(k, 1)
+            ok = fit(at + i, at + j)
+            u.append(at + i[ok])
+            v.append(at + j[ok])
         else:
-            sure.append(at + np.stack(_forest(n[one], most[one]), 1))
+            sure.append(at + np.stack(_forest(n[one], DEN * n[one] // NUM), 1))
     u, v = np.concatenate(u), np.concatenate(v)
     need = np.minimum(least[u], least[v])
     rows = np.stack([np.maximum(sig[u], sig[v]), np.minimum(sig[u], sig[v]), need], 1) if len(u) else np.empty((0, 3), np.int64)
