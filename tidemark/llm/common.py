@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             continue
         col = b.column(b.schema.get_field_index(text))
         size = np.zeros(b.num_rows + 1, np.int64)
-        np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)), out=size[1:])
+        np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)), out=size[1:])
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(size, size[at] + limit, side="right")) - 1)

@@ -25,6 +25,8 @@ from tidemark.llm.common import gram_hashes, hash_words, materialize, ranges, ra
 
 SPAN, GRAM = 10, 5
 BLOCK_WORDS = 2_000_000
+#: Bytes of text that a task has as words and hashes at once.
+SLICE = 1 << 20
 #: Words are runs of ASCII letters and digits, lower-cased, and of all other characters beyond ASCII.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -139,7 +141,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
     for sent, n in blocks_of(benchmark, block_words):
 
         def report(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "text", 1 << 22):
+            for b in slices(batches, "text", SLICE):
                 counts, hit = scan(raw(b.column(1)), sent.value)
                 n_hit, n_items, sha = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64), [_sha([])] * len(counts)
                 for row, (at, ids) in hit.items():
@@ -151,7 +153,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
             return rows.mapInArrow(report, REPORT)
 
         def hits(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "text", 1 << 22):
+            for b in slices(batches, "text", SLICE):
                 counts, hit = scan(raw(b.column(1)), sent.value)
                 at = [hit[r][0].tolist() if r in hit else [] for r in range(len(counts))]
                 ids = [hit[r][1] if r in hit else [] for r in range(len(counts))]
@@ -178,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     for sent, _ in blocks_of(benchmark, block_words):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "text", 1 << 22):
+            for b in slices(batches, "text", SLICE):
                 keep = np.ones(b.num_rows, bool)
                 keep[list(scan(raw(b.column(at)), sent.value)[1])] = False
                 if keep.any():

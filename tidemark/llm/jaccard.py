@@ -46,8 +46,10 @@ SHARED = 4
 #: Sets with one common key up to which pairs are counted.
 PAIRS = 256
 SKETCH_BLOCKS = 64
+#: Bytes of text that a task has as words and hashes at once.
+SLICE = 1 << 20
 #: Index entries that a task holds before it sends them.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 ROOM_GRAMS = 3_000_000
 #: What an edge of a forest counts.
 SURE = 1 << 40
@@ -135,7 +137,7 @@ def _heads(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, kinds = np.zeros(1 << bits, np.uint32), pa.int32()
         names = ["kind", "doc_id", "n", "a", "b", "cells"]
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", SLICE):
             sets = gram_sets(raw(b.column(1)), n)
             every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             cells += np.bincount((every & np.uint64(len(cells) - 1)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
@@ -200,7 +202,7 @@ def _index(n: int, parts: int, sent):
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["part", "keys", "step", "who", "place", "sig", "n"])
 
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", SLICE):
             for grams in gram_sets(raw(b.column(0)), n):
                 size = len(grams)
                 if size < 3:  # smaller sets link with equal ones only, which are their class
@@ -437,7 +439,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     placed = placed.join(weight, "room").withColumn("blocks", split).select("doc_id", "room", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", SLICE):
             grams = [ordered(g, sent.value).tobytes() for g in gram_sets(raw(b.column(3)), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.binary())], ["doc_id", "room", "blocks", "grams"])
 
@@ -468,7 +470,7 @@ def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", SLICE):
             nulls = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([nulls, pa.array([len(g) for g in gram_sets(raw(b.column(0)), n)], pa.int64()), nulls, nulls], ["doc_id", "n_shingles", "component_id", "class_id"])
 
