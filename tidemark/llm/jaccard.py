@@ -44,7 +44,7 @@ CELL_BITS = (20, 25)
 #: Neighbourships that linked sets must share in their prefixes.
 SHARED = 4
 #: Sets with one common key up to which pairs are counted.
-PAIRS = 256
+PAIRS = 8
 SKETCH_BLOCKS = 64
 #: Bytes of text that a task has as words and hashes at once.
 SLICE = 1 << 20
@@ -287,14 +287,42 @@ def _chain(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))) if len(rows) else np.empty(0, np.int64)
     shared = np.diff(np.append(first, len(rows)))
     rows = rows[first]
-    if sure:  # edges of a forest stand for pairs elsewhere, and aren't to be counted
-        e = np.concatenate(sure)
-        e = np.unique(np.stack([np.maximum(sig[e[:, 0]], sig[e[:, 1]]), np.minimum(sig[e[:, 0]], sig[e[:, 1]]), np.zeros(len(e), np.int64)], 1), axis=0)
-        rows, shared = np.concatenate([rows, e]), np.concatenate([shared, np.full(len(e), SURE)])
+    # what is certain here already needs no counting elsewhere, and a forest says it: pairs that share enough in this
+    # part, and the edges that stand for pairs of common keys
+    done = shared >= rows[:, 2]
+    e = [rows[done, :2]]
+    if sure:
+        i, j = np.concatenate(sure).T
+        e.append(np.stack([sig[i], sig[j]], 1))
+    e = spanning(np.concatenate(e))
+    rows = np.concatenate([rows[~done], np.concatenate([e, np.zeros((len(e), 1), np.int64)], 1)])
+    shared = np.concatenate([shared[~done], np.full(len(e), SURE)])
     keep = rows[:, 0] != rows[:, 1]
     return pa.table({"u": rows[keep, 0], "v": rows[keep, 1], "shared": shared[keep].astype(np.int64), "need": rows[keep, 2]})
 
 
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """A forest (larger, least node) with the components of the edges, by least labels and pointer jumps."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while len(ends):
+        low = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, label[ends[:, 0]], low)
+        np.minimum.at(new, label[ends[:, 1]], low)
+        while True:
+            jump = new[new]
+            if np.array_equal(jump, new):
+                break
+            new = jump
+        if np.array_equal(new, label):
+            break
+        label = new
+    up = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[up], nodes[label[up]]], 1)
+
+
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow a link."""
     for b in batches:
