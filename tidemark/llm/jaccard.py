@@ -52,7 +52,7 @@ SLICE = 1 << 20
 ENTRIES = 1 << 19
 ROOM_GRAMS = 3_000_000
 #: What an edge of a forest counts.
-SURE = 1 << 40
+SURE = 1 << 32
 #: The same up to which a forest is exact; beyond, neighbours in size are chained.
 WIDE = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -232,11 +232,36 @@ def _index(n: int, parts: int, sent):
 _INDEX = "part int, keys binary, step binary, who binary, place binary, sig binary, n binary"
 
 
-_PAIRS = "u long, v long, shared long, need long"
+_PAIRS = "part int, u binary, v binary, shared binary, need binary"
 
 
-def _chain(table: pa.Table) -> pa.Table:
-    """Possible pairs (u, v) of this part, how many prefix grams they share here, and how many they must in all."""
+def _chain(parts: int):
+    """Possible pairs (u, v) of a part, how many keys they share here and must in all, packed by the part that counts them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, shared = _possible(table)
+        to = (mix(mix(rows[:, 0].view(np.uint64)) + rows[:, 1].view(np.uint64)) % np.uint64(parts)).astype(np.int32) if len(rows) else np.empty(0, np.int32)
+        order = np.argsort(to, kind="stable")
+        out = [(int(to[o[0]]), rows[o, 0].tobytes(), rows[o, 1].tobytes(), shared[o].tobytes(), rows[o, 2].tobytes()) for o in (np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else [])]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["part", "u", "v", "shared", "need"])
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Pairs of a counting part that share as many keys as they must."""
+    u, v, shared, need = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("u", "v", "shared", "need"))
+    order = np.lexsort((v, u))
+    u, v, shared, need = u[order], v[order], shared[order], need[order]
+    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
+    total, least = np.add.reduceat(shared, first), np.minimum.reduceat(need, first)
+    keep = total >= least
+    return pa.table({"u": u[first][keep], "v": v[first][keep], "shared": total[keep]})
+
+
+def _possible(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (u, v, need) and the count of shared keys here."""
     keys, sigs, sizes, places, leasts = [], [], [], [], []
     for k, step, who, place, sig, n in zip(*(table.column(c).to_pylist() for c in ("keys", "step", "who", "place", "sig", "n")), strict=True):
         own = np.frombuffer(who, np.int32) if who else np.cumsum(np.frombuffer(step, np.uint16).astype(np.int64))
@@ -298,7 +323,7 @@ def _chain(table: pa.Table) -> pa.Table:
     rows = np.concatenate([rows[~done], np.concatenate([e, np.zeros((len(e), 1), np.int64)], 1)])
     shared = np.concatenate([shared[~done], np.full(len(e), SURE)])
     keep = rows[:, 0] != rows[:, 1]
-    return pa.table({"u": rows[keep, 0], "v": rows[keep, 1], "shared": shared[keep].astype(np.int64), "need": rows[keep, 2]})
+    return rows[keep], shared[keep].astype(np.int64)
 
 
 def spanning(edges: np.ndarray) -> np.ndarray:
@@ -452,7 +477,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
     index = rows.select("text").mapInArrow(_index(n, parts, sent), _INDEX)
-    pairs = index.groupBy("part").applyInArrow(_chain, _PAIRS).groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").drop("need")
+    pairs = index.groupBy("part").applyInArrow(_chain(parts), _PAIRS).groupBy("part").applyInArrow(_counted, "u long, v long, shared long")
     pairs = materialize(pairs, "pairs")
     release(spark)
     maps = heads.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("cells").alias("bits"))
