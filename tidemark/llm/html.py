@@ -32,6 +32,9 @@ ROLES = re.compile(
     re.I,
 )
 
+#: A tag or comment that the page's end cuts off.
+UNFINISHED = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
+
 
 class Blocks(HTMLParser):
     """Lines of a page: text, number of tags in it, whether skipped, whether in a main element."""
@@ -129,7 +132,7 @@ def threshold(x: np.ndarray) -> float:
 
 def extract(html: str, sigma: float = 1.0) -> str:
     parser = Blocks()
-    parser.feed(html)
+    parser.feed(UNFINISHED.sub("", html))
     parser.close()
     parser.cut()
     lines = [x for x in parser.lines if not x[2]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html, jaccard, langid, mixing, pii, quality, suffixes, tokens
+from tidemark.llm import chat, decontaminate, html, jaccard, langid, mixing, pii, quality, sql, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _ESC = "replace(replace(replace({0}, '\\', '\\\\'), '<', '\\l'), '#', '\\h')"
 
 SQL = {
+    "op1_ngram_jaccard_join": sql.OP1,
+    "op3_source_mix": sql.OP3,
+    "op4_decontaminate": sql.OP4,
+    "op6_suffix_dedup": sql.OP6,
+    "op10_quality_rules": sql.OP10,
     "op2_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
