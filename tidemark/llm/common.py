@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -140,3 +141,27 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished, unreferenced plans now, not at some later collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give a worker's free memory back to the system; idle workers stay alive beside the JVM's next tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """The function of batches, or of a group's table, that gives its memory back at its end."""
+
+    def batches(it):
+        yield from run(it)
+        trim()
+
+    def table(group):
+        out = run(group)
+        trim()
+        return out
+
+    return table if "table" in run.__code__.co_varnames[:1] else batches

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, ranges, raw, slices, winnow
+from tidemark.llm.common import gram_hashes, hash_words, materialize, ranges, raw, slices, trimmed, winnow
 
 SPAN, GRAM = 10, 5
 BLOCK_WORDS = 2_000_000
@@ -150,7 +150,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(n_hit), pa.array(n_items), pa.array(sha, pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
         if n == 1:
-            return rows.mapInArrow(report, REPORT)
+            return rows.mapInArrow(trimmed(report), REPORT)
 
         def hits(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", SLICE):
@@ -160,7 +160,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts), pa.array(at, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "at", "ids"])
 
         keyed = rows.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
-        partial.append(materialize(keyed.mapInArrow(hits, "doc_id long, row string, n_words long, at array<long>, ids array<string>"), "hits"))
+        partial.append(materialize(keyed.mapInArrow(trimmed(hits), "doc_id long, row string, n_words long, at array<long>, ids array<string>"), "hits"))
         sent.unpersist()
     found = partial[0].select("doc_id", "row", "n_words")
     every = partial[0]
@@ -186,5 +186,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
                 if keep.any():
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(trimmed(clean), docs.schema)
     return docs

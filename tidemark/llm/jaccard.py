@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices
+from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed
 from tidemark.llm.graph import components
 
 N = 5
@@ -166,7 +166,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _levels(heads: DataFrame, bits: int) -> np.ndarray:
     """Level of each cell, 0 to 31: 0 up to twice the median count, then quarter octaves."""
-    rows = heads.filter("kind = 1").select(F.col("doc_id").alias("block"), "cells").repartition(SKETCH_BLOCKS, "block").mapInArrow(_merge, "block long, logs binary").collect()
+    rows = heads.filter("kind = 1").select(F.col("doc_id").alias("block"), "cells").repartition(SKETCH_BLOCKS, "block").mapInArrow(trimmed(_merge), "block long, logs binary").collect()
     logs = np.zeros(1 << bits, np.uint8)
     size = len(logs) // SKETCH_BLOCKS
     for r in rows:
@@ -473,16 +473,16 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     bits = _cell_bits(rows)
-    heads = materialize(rows.mapInArrow(_heads(n, bits), _HEAD), "heads")
+    heads = materialize(rows.mapInArrow(trimmed(_heads(n, bits)), _HEAD), "heads")
     sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
-    index = rows.select("text").mapInArrow(_index(n, parts, sent), _INDEX)
-    pairs = index.groupBy("part").applyInArrow(_chain(parts), _PAIRS).groupBy("part").applyInArrow(_counted, "u long, v long, shared long")
+    index = rows.select("text").mapInArrow(trimmed(_index(n, parts, sent)), _INDEX)
+    pairs = index.groupBy("part").applyInArrow(trimmed(_chain(parts)), _PAIRS).groupBy("part").applyInArrow(trimmed(_counted), "u long, v long, shared long")
     pairs = materialize(pairs, "pairs")
     release(spark)
     maps = heads.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("cells").alias("bits"))
     both = pairs.join(maps.select(F.col("a").alias("u"), F.col("n").alias("m"), F.col("bits").alias("x")), "u").join(maps.select(F.col("a").alias("v"), "n", F.col("bits").alias("y")), "v")
-    fitting = both.select("u", "v", "shared", "m", "n", "x", "y").mapInArrow(_fitting, "u long, v long")
+    fitting = both.select("u", "v", "shared", "m", "n", "x", "y").mapInArrow(trimmed(_fitting), "u long, v long")
     room_of = materialize(components(fitting), "rooms")
     reps = base.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     placed = reps.join(room_of.withColumnRenamed("node", "a"), "a").select("doc_id", "n", F.col("root").alias("room"))
@@ -498,7 +498,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
 
     # a repeated doc_id with another text would bring its text into the room: the exact check below is on sets
     texts = rows.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "blocks", "text")
-    held = texts.mapInArrow(sets, "doc_id long, room long, blocks int, grams binary")
+    held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, blocks int, grams binary")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     held = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("room", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "grams")

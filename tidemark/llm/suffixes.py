@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, mix, ranges, raw, release, scratch_root, shuffle_parts, slices, winnow
+from tidemark.llm.common import materialize, mix, ranges, raw, release, scratch_root, shuffle_parts, slices, trimmed, winnow
 
 LEAST, GRAM = 50, 24
 SIDE = LEAST - GRAM
@@ -383,13 +383,13 @@ def dealt(rows: DataFrame, parts: int) -> DataFrame:
 def covered_runs(texts: DataFrame, parts: int) -> DataFrame:
     """doc_id and its list of (tkey, runs) that earlier documents cover."""
     spark = texts.sparkSession
-    sent = texts.select("doc_id", "text").mapInArrow(_send_anchors(parts), _SENT)
-    answers = materialize(sent.groupBy("part").applyInArrow(_answer, "doc_id long, covered binary, wanted binary"), "answers")
+    sent = texts.select("doc_id", "text").mapInArrow(trimmed(_send_anchors(parts)), _SENT)
+    answers = materialize(sent.groupBy("part").applyInArrow(trimmed(_answer), "doc_id long, covered binary, wanted binary"), "answers")
     del sent
     release(spark)
     asked = answers.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"), F.collect_list("wanted").alias("wanted"))
     joined = texts.join(asked, "doc_id").select("doc_id", "tkey", "text", "covered", "wanted")
-    found = joined.mapInArrow(_send_contexts(parts), _BYTES).groupBy("part").applyInArrow(_cover, "doc_id long, tkey long, runs binary")
+    found = joined.mapInArrow(trimmed(_send_contexts(parts)), _BYTES).groupBy("part").applyInArrow(trimmed(_cover), "doc_id long, tkey long, runs binary")
     found = materialize(found, "runs")
     release(spark)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "runs")).alias("runs"))
@@ -408,6 +408,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = rows.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     texts = dealt(named, parts)
     runs = covered_runs(texts, parts)
-    done = texts.join(runs, "doc_id", "left").select("doc_id", "tkey", "text", "runs").mapInArrow(_finish(True), _OUT)
-    nameless = rows.filter("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("tkey"), "text").mapInArrow(_finish(False), _OUT)
+    done = texts.join(runs, "doc_id", "left").select("doc_id", "tkey", "text", "runs").mapInArrow(trimmed(_finish(True)), _OUT)
+    nameless = rows.filter("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("tkey"), "text").mapInArrow(trimmed(_finish(False)), _OUT)
     return done.union(nameless)
