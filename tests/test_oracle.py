@@ -1,0 +1,36 @@
+"""Every query with a SQL twin gives the twin's rows on the small tables; the others run."""
+
+import os
+
+import pytest
+
+from tidemark.plans import registry
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+def rows(df):
+    text = lambda x: "" if x is None or x != x else repr(float(x)) if isinstance(x, float) else str(x)
+    cols = sorted(df.columns)
+    return cols, sorted(tuple(text(x) for x in r) for r in df[cols].astype(object).itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_twin(spark, duck, name):
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0

@@ -15,6 +15,12 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over rows that have both; null where either is constant."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
+
+
 def isclose(a: str | Column, b: str | Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """|a - b| <= atol + rtol * |b|; false where either is null, as nothing is close to a missing value."""
     return F.coalesce(F.abs(col(a) - col(b)) <= F.lit(atol) + F.lit(rtol) * F.abs(col(b)), F.lit(False))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import bin_right, branch, clip, half_even, ratio
+from tidemark.functions.columns import bin_right, branch, clip, corr, half_even, ratio
 from tidemark.operators.order import running_totals, top_fraction
 from tidemark.operators.profile import quantile_edges
 
@@ -242,7 +242,7 @@ def residual_moments(df: DataFrame, y: str, pred: str) -> DataFrame:
     e = F.col(y) - F.col(pred)
     x = df.select(e.alias("e"), F.col(pred).alias("p"))
     x = x.withColumns({"e2": F.col("e") * F.col("e"), "p2": F.col("p") * F.col("p")})
-    g = x.agg(F.count("e").alias("n"), F.skewness("e").alias("skew"), F.kurtosis("e").alias("kurtosis"), F.corr("e2", "p").alias("a"), F.corr("e2", "p2").alias("b"), F.corr("p", "p2").alias("c"))
+    g = x.agg(F.count("e").alias("n"), F.skewness("e").alias("skew"), F.kurtosis("e").alias("kurtosis"), corr("e2", "p").alias("a"), corr("e2", "p2").alias("b"), corr("p", "p2").alias("c"))
     r2 = F.try_divide(F.col("a") * F.col("a") + F.col("b") * F.col("b") - 2 * F.col("a") * F.col("b") * F.col("c"), F.lit(1.0) - F.col("c") * F.col("c"))
     jb = F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurtosis") * F.col("kurtosis") / 4.0)
     return g.select("n", "skew", "kurtosis", jb.alias("jarque_bera"), (F.col("n") * r2).alias("white"))

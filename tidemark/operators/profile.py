@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hist_bucket, isclose, ratio, skew_g1
+from tidemark.functions.columns import corr, hist_bucket, isclose, ratio, skew_g1
 from tidemark.operators.order import value_ranks
 
 
@@ -103,7 +103,7 @@ def any_outlier(df: DataFrame, columns: Sequence[str], positive: str) -> DataFra
 
 def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """a, b, r of column pairs, each over rows that have both, in one pass."""
-    wide = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    wide = df.agg(*(corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
     return wide.select(F.inline(F.array(*rows)))
 
@@ -231,7 +231,7 @@ def duplicate_columns(df: DataFrame, a: str, b: str, rtol: float = 1e-6) -> Data
     gathered: value ranges of both are joined by overlap of their places.
     """
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    by_row = rows.agg(F.avg(isclose("a", "b", rtol).cast("double") * 100).alias("by_row_pct"), F.corr("a", "b").alias("r"), F.try_divide(F.percentile("a", 0.5), F.percentile("b", 0.5)).alias("median_ratio"), F.count("*").alias("__n"))
+    by_row = rows.agg(F.avg(isclose("a", "b", rtol).cast("double") * 100).alias("by_row_pct"), corr("a", "b").alias("r"), F.try_divide(F.percentile("a", 0.5), F.percentile("b", 0.5)).alias("median_ratio"), F.count("*").alias("__n"))
     span = lambda c: value_ranks(rows, c).select(F.col(c), F.explode(F.sequence(F.col("rank_min"), F.col("rank_min") + F.col("n") - 1)).alias("place"))
     same = span("a").join(span("b"), "place").agg(F.count_if(isclose("a", "b", rtol)).alias("__same"))
     return by_row.crossJoin(same).select("by_row_pct", ratio(F.col("__same") * 100, "__n").alias("same_values_pct"), "r", "median_ratio")

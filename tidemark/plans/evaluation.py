@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import interp
+from tidemark.functions.columns import corr, interp
 from tidemark.operators import metrics as mt
 from tidemark.operators.order import lag_autocovariance
 from tidemark.plans.registry import R, query
@@ -205,7 +205,7 @@ def e22(spark, d):
 def e30(spark, d):
     e = (F.col("a") - F.col("y")) ** 2
     g = predictions(spark, d).groupBy("priority").agg(F.avg(F.when(F.col("id") % 2 == 0, e)).alias("cv"), F.avg(F.when(F.col("id") % 2 == 1, e)).alias("test"))
-    return g.agg(F.corr("cv", "test").alias("r"), F.avg(F.col("test") - F.col("cv")).alias("gap"))
+    return g.agg(corr("cv", "test").alias("r"), F.avg(F.col("test") - F.col("cv")).alias("gap"))
 
 
 @query("E32_index_error", f"SELECT {R('stddev_pop(a - 3 - y)', 'sd')} FROM pr")

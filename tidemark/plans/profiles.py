@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import corr
 from tidemark.operators import profile as pf
 from tidemark.plans.registry import R, query
 from tidemark.plans.roles import TYPES, customers, fold_values, predictions, scores, table, transactions
@@ -140,7 +141,7 @@ def a25(spark, d):
 @query("A26_boolean_sum", f"SELECT {R('avg(CASE WHEN y + toxic = 1 THEN 100.0 ELSE 0.0 END)', 'equal_pct')}, {R('corr(y + toxic, s)', 'r')} FROM sc")
 def a26(spark, d):
     total = F.col("y") + F.col("toxic")
-    return scores(spark, d).agg(F.avg((total == 1).cast("double") * 100).alias("equal_pct"), F.corr(total.cast("double"), F.col("s")).alias("r"))
+    return scores(spark, d).agg(F.avg((total == 1).cast("double") * 100).alias("equal_pct"), corr(total.cast("double"), F.col("s")).alias("r"))
 
 
 @query("A27_monthly", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, {R('sum(o_totalprice)', 'volume')} FROM orders GROUP BY 1")
