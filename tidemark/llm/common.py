@@ -14,15 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-import tidemark
-
-#: Executors get this package's functions by value and need no copy of it.  For that, what runs there
-#: imports names from modules of the package, never the modules.
-cloudpickle.register_pickle_by_value(tidemark)
-
 #: ASCII white space, the only separator of the word contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
