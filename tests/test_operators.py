@@ -227,3 +227,44 @@ def test_replicates_null_and_empty(spark):
     assert inf.permutation_test(empty, "id", "a", "b", 10).count() in (0, 1)
     assert pf.outliers(empty, ["a"]).count() == 0
     assert pf.missing(spark.createDataFrame([(None, 1)], "a double, b int")).head().missing == 1
+
+
+def test_boosting_fits_and_covers(spark):
+    from tidemark.operators.boosting import fit_steps, step_outputs
+
+    r = random.Random(11)
+    rows = []
+    for i in range(1500):
+        a, b = r.random(), float(r.randrange(5))
+        rows.append((i, a, b, 3 * (a > 0.5) + b + (4.0 if r.random() < 0.3 else 0.0) + r.gauss(0, 0.1)))
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double").repartition(4)
+    m = fit_steps(df.filter("id % 3 = 0"), df.filter("id % 3 = 1"), ["a", "b"], "y", warm=6, turns=2, rounds=2, depth=2, rate=0.5)
+    assert sorted(m["pi"])[0] == pytest.approx(0.3, abs=0.1) and max(m["c"]) - min(m["c"]) == pytest.approx(4.0, abs=0.5)
+    out = step_outputs(df.filter("id % 3 = 2"), m, 4.0).collect()
+    assert 0.84 < sum(x.low <= x.y <= x.high for x in out) / len(out) < 0.97
+    hit = [(x.p_exceeds, x.y > 4.0) for x in out]
+    pos, neg = [p for p, h in hit if h], [p for p, h in hit if not h]
+    assert sum(pos) / len(pos) > sum(neg) / len(neg) + 0.25  # 0.41 for the true model
+
+
+def test_nested_ridge_against_refits(spark):
+    import numpy as np
+
+    from tidemark.operators.search import grid, nested_ridge
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=(90, 2))
+    y = x @ [1.0, -2.0] + r.normal(size=90)
+    df = spark.createDataFrame([(int(i % 3), float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "fold int, a double, b double, y double")
+    got = {g.outer: g for g in nested_ridge(df, ["a", "b"], "y", grid(spark, penalty=[0.1, 100.0])).collect()}
+    f = np.arange(90) % 3
+    design = np.c_[np.ones(90), x]
+
+    def rmse(train, test, lam):
+        w = np.linalg.solve(design[train].T @ design[train] + lam * np.diag([0, 1, 1]), design[train].T @ y[train])
+        return float(np.sqrt(((design[test] @ w - y[test]) ** 2).mean()))
+
+    for k in range(3):
+        inner = {lam: np.mean([rmse((f != k) & (f != i), f == i, lam) for i in range(3) if i != k]) for lam in (0.1, 100.0)}
+        lam = min(inner, key=inner.get)
+        assert got[k].penalty == lam and got[k].inner_rmse == pytest.approx(inner[lam]) and got[k].outer_rmse == pytest.approx(rmse(f != k, f == k, lam))

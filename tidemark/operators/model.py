@@ -146,12 +146,12 @@ def evaluate_forest(df: DataFrame, key: str, features: Sequence[str], trees: lis
 
 def mixture_e_step(df: DataFrame, r: str, params: DataFrame) -> DataFrame:
     """Rows with gamma per component and log density; params is one row pi, c (arrays), sigma."""
-    d = df.crossJoin(F.broadcast(params))
-    z = lambda c: (F.col(r) - c) / F.col("sigma")
-    logs = F.zip_with("c", "pi", lambda c, p: F.lit(-0.5) * z(c) * z(c) + F.ln(F.greatest(p, F.lit(1e-300))))
+    d = df.crossJoin(F.broadcast(params.select(F.col("pi").alias("__pi"), F.col("c").alias("__c"), F.col("sigma").alias("__s"))))
+    z = lambda c: (F.col(r) - c) / F.col("__s")
+    logs = F.zip_with("__c", "__pi", lambda c, p: F.lit(-0.5) * z(c) * z(c) + F.ln(F.greatest(p, F.lit(1e-300))))
     d = d.withColumn("__l", logs).withColumn("__m", F.array_max("__l")).withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.col("__m"))))
     total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    return d.withColumns({"gamma": F.transform("__e", lambda x: x / total), "log_density": F.col("__m") + F.ln(total) - F.ln("sigma") - 0.5 * math.log(2 * math.pi)}).drop("__l", "__m", "__e", "pi", "c", "sigma")
+    return d.withColumns({"gamma": F.transform("__e", lambda x: x / total), "log_density": F.col("__m") + F.ln(total) - F.ln("__s") - 0.5 * math.log(2 * math.pi)}).drop("__l", "__m", "__e", "__pi", "__c", "__s")
 
 
 def mixture_m_step(rows: DataFrame, r: str, k: int, sigma_min: float, weight: str | None = None) -> DataFrame:

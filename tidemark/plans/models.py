@@ -243,3 +243,44 @@ def m10(spark, d):
 def norms(spark, d):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
+
+
+@query("M7_grid_configs", f"SELECT row_number() OVER (ORDER BY penalty, depth) - 1 AS config, {R('penalty', 'penalty')}, {R('depth', 'depth')} FROM (SELECT unnest([0.1, 1.0, 10.0]) AS penalty) CROSS JOIN (SELECT unnest([2, 4]) AS depth)")
+def m7(spark, d):
+    from tidemark.operators.search import grid
+
+    return grid(spark, penalty=[0.1, 1.0, 10.0], depth=[2, 4])
+
+
+@query("M7_random_configs")
+def m7b(spark, d):
+    from tidemark.operators.search import random_configs
+
+    return random_configs(spark, 20, penalty=(1e-3, 1e3))
+
+
+@query("M9_nested_cross_validation")
+def m9(spark, d):
+    from tidemark.operators.features import folds
+    from tidemark.operators.search import nested_ridge, random_configs
+
+    p = folds(predictions(spark, d).withColumn("c", F.col("cust") % 17), "id", 5)
+    return nested_ridge(p, ["a", "b", "c"], "y", random_configs(spark, 20, penalty=(1e-3, 1e3)))
+
+
+@query("M17_step_mixture_regressor")
+def m17(spark, d):
+    from tidemark.operators.boosting import fit_steps, step_outputs
+
+    p = predictions(spark, d).select("id", "y", "a", "b", (F.col("cust") % 17).cast("double").alias("c"))
+    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b", "c"], "y", warm=3, turns=1, rounds=1, depth=2, rate=0.5)
+    return step_outputs(p.filter("id % 6 = 3"), model, 250.0).select("id", "y", "forecast", "low", "high", "p_exceeds")
+
+
+@query("M20_step_mixture_classifier")
+def m20(spark, d):
+    from tidemark.operators.boosting import fit_steps, step_outputs
+
+    p = predictions(spark, d).select("id", "y", "a", "b")
+    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=2, turns=1, rounds=1, depth=2, rate=0.5)
+    return mt.auc(step_outputs(p.filter("id % 6 = 3"), model, 250.0).withColumn("label", (F.col("y") > 250).cast("int")), "label", "p_exceeds")
