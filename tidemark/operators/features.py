@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, days_between, dice, ratio
+from tidemark.operators.order import quantiles
 
 FIXED = ["n_tx", "total_amount", "mean_amount", "median_amount", "recency_days", "active_days", "amount_volatility", "active_months"]
 
@@ -104,7 +105,7 @@ def folds(df: DataFrame, key: str, k: int, stratum: str | None = None, seed: int
 
 def label_threshold(train: DataFrame, target: str, q: float = 0.75) -> DataFrame:
     """One row: the q-quantile of the training targets (linear interpolation)."""
-    return train.agg(F.percentile(target, F.lit(q)).alias("threshold"), F.count(target).alias("n_train"))
+    return quantiles(train, target, [q]).select(F.col("q")[0].alias("threshold")).crossJoin(train.agg(F.count(target).alias("n_train")))
 
 
 def binarize(df: DataFrame, target: str, threshold: DataFrame, out: str = "label") -> DataFrame:

@@ -44,12 +44,13 @@ def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str, s: str, points: int = 201) -> DataFrame:
     """The ROC curve interpolated on an even grid of fpr."""
-    pts = roc_points(df, y, s).groupBy("fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
-    seg = pts.select("fpr", "lo", "hi", F.lead("fpr").over(Window.orderBy("fpr")).alias("next"), F.lead("lo").over(Window.orderBy("fpr")).alias("next_lo"))
     k = points - 1
-    first = F.ceil(F.col("fpr") * k - F.lit(1e-9)).cast("int")
-    last = F.coalesce(F.ceil(F.col("next") * k - F.lit(1e-9)).cast("int") - 1, F.lit(k))
-    grid = seg.filter(first <= last).withColumn("g", F.explode(F.sequence(first, last))).withColumn("x", F.col("g") / F.lit(float(k)))
+    pts = roc_points(df, y, s).groupBy("fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
+    # of the points between two grid values only the outer ones matter, so at most 2 * points rows are ordered
+    cells = pts.groupBy(F.ceil(F.col("fpr") * k - F.lit(1e-9)).cast("int").alias("cell")).agg(F.min(F.struct("fpr", "lo", "hi")).alias("a"), F.max(F.struct("fpr", "lo", "hi")).alias("b"))
+    order = Window.orderBy("cell")
+    seg = cells.select("cell", F.col("b.fpr").alias("fpr"), F.col("b.hi").alias("hi"), F.lead("a.fpr").over(order).alias("next"), F.lead("a.lo").over(order).alias("next_lo"), F.lead("cell").over(order).alias("next_cell"))
+    grid = seg.withColumn("g", F.explode(F.sequence(F.col("cell"), F.coalesce(F.col("next_cell") - 1, F.lit(k))))).withColumn("x", F.col("g") / F.lit(float(k)))
     slope = F.try_divide(F.col("next_lo") - F.col("hi"), F.col("next") - F.col("fpr"))
     return grid.select(F.col("x").alias("fpr"), (F.col("hi") + F.coalesce((F.col("x") - F.col("fpr")) * slope, F.lit(0.0))).alias("tpr"))
 

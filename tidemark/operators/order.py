@@ -47,6 +47,21 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     return run.select(*by, value, "n", (F.col("upto") - F.col("n") + 1).alias("rank_min"), (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("rank_avg"), "total")
 
 
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], out: str = "q") -> DataFrame:
+    """One row: array of exact quantiles with linear interpolation, by running counts of distinct values.
+
+    The built-in exact percentile holds every distinct value of a group in one task; this one holds a value range.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    total = counts.agg(F.sum("__c").alias("__n"))
+    t = running_totals(counts, "__v", {"__u": "__c"}).crossJoin(F.broadcast(total))
+    at = lambda q, k: F.floor((F.col("__n") - 1) * F.lit(float(q))) + k
+    pick = lambda q, k: F.min(F.when(F.col("__u") >= at(q, k), F.col("__v")))
+    row = t.agg(F.max("__n").alias("__n"), *(pick(q, k).alias(f"__{i}_{k}") for i, q in enumerate(qs) for k in (1, 2)))
+    part = lambda q: (F.col("__n") - 1) * F.lit(float(q)) - F.floor((F.col("__n") - 1) * F.lit(float(q)))
+    return row.select(F.array(*(F.col(f"__{i}_1") + F.coalesce(part(q) * (F.col(f"__{i}_2") - F.col(f"__{i}_1")), F.lit(0.0)) for i, q in enumerate(qs))).alias(out))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = False) -> DataFrame:
     """Add the average rank of each row; null values have none."""
     ranks = value_ranks(df, value, by, descending).select(*by, value, F.col("rank_avg").alias(out))

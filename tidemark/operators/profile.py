@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import corr, hist_bucket, isclose, ratio, skew_g1
-from tidemark.operators.order import value_ranks
+from tidemark.operators.order import quantiles, value_ranks
 
 
 def _long(wide: DataFrame, parts: dict[str, Sequence[Column]], names: Sequence[str], key: str = "variable") -> DataFrame:
@@ -65,7 +65,8 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 def fences(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and Tukey fences of each column, long, per group."""
-    g = df.groupBy(*by).agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns))
+    q = [0.25, 0.5, 0.75]
+    g = df.groupBy(*by).agg(*(F.percentile(c, q).alias(c) for c in columns)) if by else reduce(DataFrame.crossJoin, (quantiles(df, c, q, c) for c in columns))
     spread = lambda c: F.col(c)[2] - F.col(c)[0]
     rows = [F.struct(F.lit(c).alias("variable"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q2"), F.col(c)[2].alias("q3"), (F.col(c)[0] - 1.5 * spread(c)).alias("low"), (F.col(c)[2] + 1.5 * spread(c)).alias("high")) for c in columns]
     return g.select(*by, F.inline(F.array(*rows)))
@@ -166,7 +167,7 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 def quantile_edges(df: DataFrame, column: str, n: int) -> DataFrame:
     """One row: distinct quantile edges, ascending."""
     q = [k / n for k in range(n + 1)]
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(column, q))).alias("edges"))
+    return quantiles(df, column, q).select(F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def quantile_bins(df: DataFrame, column: str, n: int, out: str = "bin") -> DataFrame:
@@ -204,7 +205,7 @@ def histogram(df: DataFrame, column: str, n: int, low: float | None = None, high
 def histogram_with_tail(df: DataFrame, column: str, n: int = 30, p: float = 0.99) -> DataFrame:
     """bin, n: n equal bins up to the p-quantile, and bin n + 1 for what lies above."""
     c = F.col(column).cast("double")
-    edge = df.agg(F.min(c).alias("lo"), F.percentile(c, F.lit(p)).alias("hi"))
+    edge = df.agg(F.min(c).alias("lo")).crossJoin(quantiles(df, column, [p]).select(F.col("q")[0].alias("hi")))
     b = F.when(c > F.col("hi"), n + 1).otherwise(hist_bucket(c, F.col("lo"), F.col("hi"), n))
     return df.filter(c.isNotNull()).crossJoin(F.broadcast(edge)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -232,7 +233,9 @@ def duplicate_columns(df: DataFrame, a: str, b: str, rtol: float = 1e-6) -> Data
     """
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     by_row = rows.agg(F.avg(isclose("a", "b", rtol).cast("double") * 100).alias("by_row_pct"), corr("a", "b").alias("r"), F.try_divide(F.percentile("a", 0.5), F.percentile("b", 0.5)).alias("median_ratio"), F.count("*").alias("__n"))
-    span = lambda c: value_ranks(rows, c).select(F.col(c), F.explode(F.sequence(F.col("rank_min"), F.col("rank_min") + F.col("n") - 1)).alias("place"))
+    last = F.col("rank_min") + F.col("n") - 1
+    chunks = lambda c: value_ranks(rows, c).select(F.col(c), last.alias("last"), F.explode(F.sequence(F.col("rank_min"), last, F.lit(1 << 16))).alias("at"))
+    span = lambda c: chunks(c).select(c, F.explode(F.sequence(F.col("at"), F.least(F.col("last"), F.col("at") + (1 << 16) - 1))).alias("place"))
     same = span("a").join(span("b"), "place").agg(F.count_if(isclose("a", "b", rtol)).alias("__same"))
     return by_row.crossJoin(same).select("by_row_pct", ratio(F.col("__same") * 100, "__n").alias("same_values_pct"), "r", "median_ratio")
 
@@ -281,13 +284,14 @@ def within_slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 def mad_sigma(df: DataFrame, column: str) -> DataFrame:
     """One row: 1.4826 times the median absolute deviation from the median."""
-    m = df.agg(F.percentile(column, 0.5).alias("__m"))
-    return df.crossJoin(F.broadcast(m)).agg((F.percentile(F.abs(F.col(column) - F.col("__m")), 0.5) * 1.4826).alias("sigma"))
+    m = quantiles(df, column, [0.5]).select(F.col("q")[0].alias("__m"))
+    gaps = df.crossJoin(F.broadcast(m)).select(F.abs(F.col(column) - F.col("__m")).alias("__d"))
+    return quantiles(gaps, "__d", [0.5]).select((F.col("q")[0] * 1.4826).alias("sigma"))
 
 
 def clipped_scale(df: DataFrame, column: str, out: str = "scaled", p: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """Add (x - p5) / (p95 - p5) within [0, 1]."""
-    q = df.agg(F.percentile(column, list(p)).alias("__q"))
+    q = quantiles(df, column, list(p), "__q")
     x = F.try_divide(F.col(column) - F.col("__q")[0], F.col("__q")[1] - F.col("__q")[0])
     return df.crossJoin(F.broadcast(q)).withColumn(out, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).drop("__q")
 
