@@ -15,7 +15,7 @@ def s_string(spark, d):
     return customers(spark, d).select("customer_id", F.concat_ws("__", "segment", "city").alias("key"), F.startswith("city", F.lit("NATION_1")).alias("starts"), F.contains("city", F.lit("_2")).alias("has"), tf.fold("segment").alias("folded"))
 
 
-@query("S_accent_fold", "SELECT 'cancion nino uber' AS folded, 'K = 0 – x' AS tidy, 1234.5 AS number")
+@query("S_accent_fold", "SELECT 'cancion nino uber' AS folded, 'K = 0 – x' AS tidy, CAST(1234.5 AS DOUBLE) AS number")
 def s_accents(spark, d):
     one = spark.createDataFrame([("CANCIÓN niño Über", "$K=0$ -- x", "1.234,5")], "a string, b string, c string")
     return one.select(tf.fold("a").alias("folded"), tf.tidy_math("b").alias("tidy"), tf.parse_decimal_comma("c").alias("number"))
