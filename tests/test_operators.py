@@ -196,7 +196,7 @@ def test_tree_recovers_steps(spark):
     tree = md.grow_tree(codes, "id", "r", 2, 10, 0.0)
     top = tree.filter("node = 0").head()
     assert (top.variable, top.code) == ("a", 2)
-    pred = {x.id: x.value for x in md.predict_tree(codes, "id", tree, 2).collect()}
+    pred = {x.id: x.value for x in md.predict_tree(codes, "id", tree).collect()}
     err = [abs(pred[i] - ((5.0 if a > 2 else 0.0) + (2.0 if b > 0.5 else 0.0))) for i, a, b in rows]
     assert sum(err) / len(err) < 0.2
 

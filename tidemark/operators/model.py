@@ -91,36 +91,43 @@ def best_split(sums: DataFrame, least: int, lam: float, by: Sequence[str] = ())
     return c.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*by, "variable", "code", "gain", "nl", nr.alias("nr"))
 
 
+def _code_map(codes: DataFrame, key: str, *keep: str) -> DataFrame:
+    """A row per key with its codes as a map by variable, as many entries as there are variables."""
+    return codes.groupBy(key).agg(*(F.first(c).alias(c) for c in keep), F.map_from_entries(F.collect_list(F.struct("variable", "code"))).alias("__codes"))
+
+
+def _node(splits: dict[int, tuple[str, int]], k: int = 0) -> Column:
+    """The place that a row reaches, as nested conditions on its codes."""
+    if k not in splits:
+        return F.lit(k)
+    variable, cut = splits[k]
+    return F.when(F.element_at("__codes", variable) <= cut, _node(splits, 2 * k + 1)).otherwise(_node(splits, 2 * k + 2))
+
+
 def grow_tree(codes: DataFrame, key: str, residual: str, depth: int, least: int, lam: float) -> DataFrame:
     """node, variable, code, value, n of a least-squares tree grown by levels; children of k are 2k + 1 and 2k + 2.
 
-    codes has key, variable, code and residual.  Each level aggregates one histogram for all its nodes; rows
-    learn their node by a join with the level's splits, a row per node.
+    codes has key, variable, code and residual.  Each level is one aggregation to (node, variable, bin) sums; a level's
+    splits, a row per node, come back and become conditions, so rows never move.
     """
-    rows = codes.select(key, residual).distinct().withColumn("node", F.lit(0))
-    splits = None
-    for _ in range(depth):
-        level = codes.join(rows.select(key, "node"), key)
-        if splits is not None:
-            live = best.select((2 * F.col("node") + 1).alias("node")).union(best.select((2 * F.col("node") + 2).alias("node")))
-            level = level.join(F.broadcast(live), "node", "left_semi")
-        best = best_split(bin_sums(level, residual, ["node"]), least, lam, ["node"]).select("node", "variable", "code")
-        splits = best if splits is None else splits.union(best)
-        moved = level.select(key, "node", "variable", F.col("code").alias("own")).join(F.broadcast(best), ["node", "variable"]).select(key, (2 * F.col("node") + F.when(F.col("own") <= F.col("code"), 1).otherwise(2)).alias("to"))
-        rows = rows.join(moved, key, "left").select(key, residual, F.coalesce("to", "node").alias("node"))
-    leaves = rows.groupBy("node").agg((F.sum(residual) / (F.count("*") + lam)).alias("value"), F.count("*").alias("n"))
-    none = F.lit(None)
-    return splits.select("node", "variable", "code", none.cast("double").alias("value"), none.cast("long").alias("n")).unionByName(leaves.select("node", none.cast("string").alias("variable"), none.cast("int").alias("code"), "value", "n"))
-
-
-def predict_tree(codes: DataFrame, key: str, tree: DataFrame, depth: int) -> DataFrame:
-    """key, value: rows walk the tree, a small table, level by level."""
-    inner, leaves = F.broadcast(tree.filter("variable IS NOT NULL").select("node", "variable", F.col("code").alias("cut"))), F.broadcast(tree.filter("value IS NOT NULL").select("node", "value"))
-    rows = codes.select(key).distinct().withColumn("node", F.lit(0))
-    for _ in range(depth):
-        step = codes.join(rows, key).join(inner, ["node", "variable"]).select(key, (2 * F.col("node") + F.when(F.col("code") <= F.col("cut"), 1).otherwise(2)).alias("to"))
-        rows = rows.join(step, key, "left").select(key, F.coalesce("to", "node").alias("node"))
-    return rows.join(leaves, "node").select(key, "value")
+    rows, splits = _code_map(codes, key, residual), {}
+    for level in range(depth):
+        sums = bin_sums(rows.select(_node(splits).alias("node"), residual, F.explode("__codes").alias("variable", "code")).filter(F.col("node") >= 2**level - 1), residual, ["node"])
+        best = best_split(sums, least, lam, ["node"]).select("node", "variable", "code").collect()
+        if not best:
+            break
+        splits |= {b.node: (b.variable, b.code) for b in best}
+    leaves = rows.groupBy(_node(splits).alias("node")).agg((F.sum(residual) / (F.count("*") + lam)).alias("value"), F.count("*").alias("n"))
+    inner = codes.sparkSession.createDataFrame([(k, v, c) for k, (v, c) in splits.items()], "node int, variable string, code int")
+    return inner.unionByName(leaves, allowMissingColumns=True)
+
+
+def predict_tree(codes: DataFrame, key: str, tree: DataFrame) -> DataFrame:
+    """key, value: the tree, a small table, as conditions on each row's codes."""
+    nodes = tree.collect()
+    splits = {r.node: (r.variable, r.code) for r in nodes if r.variable is not None}
+    values = F.create_map(*(F.lit(x) for r in nodes if r.variable is None for x in (r.node, float(r.value))))
+    return _code_map(codes, key).select(key, F.element_at(values, _node(splits)).alias("value"))
 
 
 def evaluate_forest(df: DataFrame, key: str, features: Sequence[str], trees: list[dict], intercept: float = 0.0, rate: float = 1.0) -> DataFrame:

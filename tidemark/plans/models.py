@@ -84,7 +84,7 @@ def m14(spark, d):
 @query("M14_tree_predictions")
 def m14b(spark, d):
     codes = _codes(spark, d)
-    return md.predict_tree(codes, "customer_id", md.grow_tree(codes, "customer_id", "r", 2, 20, 1.0), 2)
+    return md.predict_tree(codes, "customer_id", md.grow_tree(codes, "customer_id", "r", 2, 20, 1.0))
 
 
 _MIX = "pi AS (SELECT 0.25::DOUBLE AS p1, 0.75::DOUBLE AS p2, -5.0::DOUBLE AS c1, 3.0::DOUBLE AS c2, 4.0::DOUBLE AS s), lg AS (SELECT id, a - y AS r, ln(p1) - 0.5 * ((a - y - c1) / s) ** 2 AS l1, ln(p2) - 0.5 * ((a - y - c2) / s) ** 2 AS l2, s FROM pr, pi), gm AS (SELECT id, r, exp(l1) / (exp(l1) + exp(l2)) AS g1, ln(exp(l1) + exp(l2)) - ln(s) - 0.5 * ln(2 * pi()) AS ld FROM lg)"
