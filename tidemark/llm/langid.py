@@ -23,6 +23,7 @@ from tidemark.llm.common import slices
 ORDER = 4
 #: Characters of training text per language, about; rows are drawn by a hash of doc_id.
 TRAIN_CHARS = 3_000_000
+MAX_LANGS = 1000
 DISCOUNT = 0.75
 #: A uniform share over this many symbols ends the interpolation.
 ALPHABET = 512
@@ -193,13 +194,19 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 def training_rows(docs: DataFrame, train_chars: int) -> DataFrame:
     """Labelled rows outside the held-out fold, about train_chars characters of each language.
 
-    Each language's rate comes from a sum with map-side partials; rows are then picked by a hash of
-    doc_id, so nothing is sorted or gathered per language.
+    Each language's rate comes from a sum with map-side partials, a number per language that goes into the plan;
+    rows are then picked by a hash of doc_id, so no text is sorted, gathered or shuffled.  More than
+    ``MAX_LANGS`` labels are an error, for a model is kept of each.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "text", "lang")
-    total = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGS + 1).collect()
+    if len(totals) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not totals:
+        return rows.select("lang", "text")
+    chars = F.element_at(F.create_map(*(F.lit(x) for r in totals for x in (r.lang, float(r.chars)))), F.col("lang"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(total, "lang").filter(unit * F.col("chars") < train_chars).select("lang", "text")
+    return rows.filter(unit * chars < train_chars).select("lang", "text")
 
 
 def held_out(id_col: str):
