@@ -36,10 +36,13 @@ def test_against_brute_force(spark, seed, monkeypatch):
     docs = corpus(seed)
     if seed == 2:  # every room of some size is dealt to blocks
         monkeypatch.setattr(jaccard, "ROOM_GRAMS", 300)
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 100)
         monkeypatch.setattr(jaccard, "WIDE", 5)
         monkeypatch.setattr(jaccard, "PAIRS", 4)
     if seed == 1:
         monkeypatch.setattr(jaccard, "PAIRS", 4)
+        monkeypatch.setattr(jaccard, "ROOM_GRAMS", 800)
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 400)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_shingles int").repartition(5)
     got = sorted(tuple(x)[:3] for x in jaccard.jaccard_components(df).collect())
     want = brute.op1(docs)

@@ -19,7 +19,9 @@ joins through one representative.
    path is shared by all sets below it, and a subtree is left where overlap and remaining lengths can't
    reach the threshold.  Verdicts are exact.  Sets already connected aren't compared again, so a
    large group of near copies costs about one walk.
-   A room above ``ROOM_GRAMS`` grams is dealt to blocks; block pairs are walked by separate tasks.
+   A room above ``ROOM_GRAMS`` grams is dealt to blocks of about ``BLOCK_GRAMS``.  Each block is walked with the
+   first one, by separate tasks; in a group of near copies that connects nearly all.  Only what is then not
+   in the room's greatest component meets the other blocks, so work grows with the room, not its square.
 5. Links become components.
 """
 
@@ -50,7 +52,9 @@ SKETCH_BLOCKS = 64
 SLICE = 1 << 20
 #: Index entries that a task holds before it sends them.
 ENTRIES = 1 << 19
-ROOM_GRAMS = 3_000_000
+#: Grams of a room that one task walks; a larger one is dealt to blocks.
+ROOM_GRAMS = 100_000
+BLOCK_GRAMS = 25_000
 #: What an edge of a forest counts.
 SURE = 1 << 32
 #: The same up to which a forest is exact; beyond, neighbours in size are chained.
@@ -487,23 +491,51 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     reps = base.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     placed = reps.join(room_of.withColumnRenamed("node", "a"), "a").select("doc_id", "n", F.col("root").alias("room"))
     weight = placed.groupBy("room").agg(F.sum("n").alias("grams"))
-    blocks = F.ceil(F.col("grams") / F.lit(ROOM_GRAMS / 2)).cast("int")
-    split = F.when(F.col("grams") <= ROOM_GRAMS, 1).otherwise(blocks)
-    placed = placed.join(weight, "room").withColumn("blocks", split).select("doc_id", "room", "blocks")
+    blocks = F.when(F.col("grams") <= ROOM_GRAMS, 1).otherwise(F.ceil(F.col("grams") / F.lit(float(BLOCK_GRAMS)))).cast("int")
+    placed = placed.join(weight, "room").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = materialize(placed.select("doc_id", "n", "room", "blocks", "mine"), "placed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             grams = [ordered(g, sent.value).tobytes() for g in gram_sets(raw(b.column(3)), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.binary())], ["doc_id", "room", "blocks", "grams"])
-
-    # a repeated doc_id with another text would bring its text into the room: the exact check below is on sets
-    texts = rows.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "blocks", "text")
-    held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, blocks int, grams binary")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    held = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("room", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "grams")
-    links = held.groupBy("room", "i", "j").applyInArrow(_walk, "u long, v long")
-    return base, materialize(links, "links")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.binary())], ["doc_id", "room", "spots", "grams"])
+
+    def walked(spots: DataFrame) -> DataFrame:
+        """Links within the parts of rooms that spots (doc_id, room, array of part numbers i, j) name."""
+        # a repeated doc_id with another text brings that text into the room too: verdicts are on sets
+        texts = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "spots", "text")
+        held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, spots array<struct<i:int,j:int>>, grams binary")
+        held = held.select("room", "doc_id", "grams", F.explode("spots").alias("s")).select("room", "s.i", "s.j", "doc_id", "grams")
+        return materialize(held.groupBy("room", "i", "j").applyInArrow(_walk, "u long, v long"), "links")
+
+    at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    zero, mine = F.lit(0), F.col("mine")
+    star = F.when((F.col("blocks") > 1) & (mine == 0), F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda j: at(zero, j))).otherwise(F.array(at(zero, mine)))
+    links = walked(placed.select("doc_id", "room", star.alias("spots")))
+    large = placed.filter("blocks > 1")
+    if large.limit(1).count():
+        links = links.union(_rest(large, links, walked))
+    return base, links
+
+
+def _rest(large: DataFrame, links: DataFrame, walked) -> DataFrame:
+    """Links of rooms in blocks that the walks with the first block left open.
+
+    What isn't in a room's greatest component yet meets every block; two sets of that component needn't meet.
+    """
+    comp = components(links)
+    big = materialize(large.join(comp, large.doc_id == comp.node, "left").select("doc_id", "n", "room", "blocks", "mine", F.coalesce("root", "doc_id").alias("comp")), "big")
+    sizes = big.groupBy("room", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("room").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+    rest = big.join(main, "room").withColumn("away", F.col("comp") != F.col("main"))
+    weight = rest.filter("away").groupBy("room").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_GRAMS))).cast("int").alias("groups"))
+    rest = rest.join(weight, "room")
+    at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = F.transform(upto("groups"), lambda i: at(i, F.col("mine")))
+    group = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("groups"))
+    out = F.transform(upto("blocks"), lambda j: at(group, j))
+    return walked(rest.select("doc_id", "room", F.when(F.col("away"), F.array_union(own, out)).otherwise(own).alias("spots")))
 
 
 def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
