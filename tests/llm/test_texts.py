@@ -130,6 +130,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<article><p>x</p", "x"),
         ("<article><table><tr><td>1<td>2</table></article>", "1 2"),
         ("<nav>only menu</nav>", ""),
+        ('<article><p>own</p></article><article class="comment"><p>theirs</p></article>', "own"),
+        ('<div class="page has-sidebar"><article class="no-header">text</article><div id=Sidebar>x</div></div>', "text"),
         ("<article><p>" + "w " * 50000 + "</p></article>", ("w " * 50000).strip()),
         ("<div>" * 3000 + "deep", "deep"),
     ],

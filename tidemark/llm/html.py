@@ -32,6 +32,9 @@ ROLES = re.compile(
     re.I,
 )
 
+#: Words that say what a layout has, not what a region is; words of articles that aren't the page's own.
+STATE = re.compile(r"(?:has|with|without|no|is|not|hide|show)-")
+REPLIES = frozenset("comment comments reply replies ad ads advert advertisement promo related teaser".split())
 #: A tag or comment that the page's end cuts off.
 UNFINISHED = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
 
@@ -76,9 +79,10 @@ class Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        main = tag in MAIN or "main" in marks.split()
-        skip = tag in SKIP or any(k == "hidden" for k, _ in attrs) or bool(marks and not main and ROLES.search(marks)) and tag not in ("html", "body")
+        marks = [t for k, v in attrs if k in ("class", "id", "role") and v for t in v.lower().split() if not STATE.match(t)]
+        main = tag in MAIN or "main" in marks
+        named = not REPLIES.isdisjoint(marks) if main else any(map(ROLES.search, marks)) and tag not in ("html", "body")
+        skip = tag in SKIP or named or any(k == "hidden" for k, _ in attrs)
         self.open.append((tag, skip, main))
         self.skipped += skip
         self.mains += main
