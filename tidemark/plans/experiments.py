@@ -202,3 +202,34 @@ def w12(spark, d):
     from tidemark.plans.roles import scores
 
     return od.top_fraction(scores(spark, d), "s", 0.25, "id", seed=42).select("id", "selected")
+
+
+@query("IO10_headerless_csv", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def io10(spark, d):
+    """Round trip through CSV without a header, names supplied."""
+    path = _scratch(spark, "csv")
+    table(spark, d, "nation").select("n_nationkey", "n_name").write.csv(path)
+    return io.csv(spark, path, "k bigint, name string", header=False)
+
+
+@query("IO5_json_round_trip", f"SELECT o_orderkey, {R('o_totalprice', 'o_totalprice')} FROM orders WHERE o_orderkey % 100 = 0")
+def io5(spark, d):
+    path = _scratch(spark, "json")
+    io.write_json(table(spark, d, "orders").filter("o_orderkey % 100 = 0").select("o_orderkey", "o_totalprice"), path)
+    return spark.read.schema("o_orderkey bigint, o_totalprice double").json(path)
+
+
+def _scratch(spark, kind: str) -> str:
+    """A fresh path in the session's checkpoint folder; a temporary one only where it names none."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -124,3 +124,11 @@ def prep(spark, d):
 @query("P5_feature_columns", "SELECT unnest(['n_tx', 'total_amount', 'mean_amount', 'median_amount', 'recency_days', 'active_days', 'amount_volatility', 'active_months', 'share_click', 'share_error', 'share_purchase', 'share_signup', 'share_view']) AS name")
 def p5(spark, d):
     return spark.createDataFrame([(c,) for c in fe.feature_columns(_features(spark, d))], "name string")
+
+
+@query("A55_fold_invariant", "WITH f AS (SELECT nation % 5 AS fold, max(date) AS last FROM tx JOIN cu ON tx.customer_id = cu.customer_id GROUP BY 1), c AS (SELECT a.fold, max(b.last) AS cutoff FROM f a JOIN f b ON a.fold <> b.fold GROUP BY 1) SELECT count(*) AS folds, count(DISTINCT cutoff) AS cutoffs, count(*) FILTER (WHERE cutoff <> (SELECT max(last) FROM f)) AS moved FROM c")
+def a55(spark, d):
+    f = transactions(spark, d).join(customers(spark, d), "customer_id").groupBy((F.col("nation") % 5).alias("fold")).agg(F.max("date").alias("last"))
+    c = f.alias("a").join(f.alias("b"), F.col("a.fold") != F.col("b.fold")).groupBy("a.fold").agg(F.max("b.last").alias("cutoff"))
+    whole = f.agg(F.max("last").alias("whole"))
+    return c.crossJoin(F.broadcast(whole)).agg(F.count("*").alias("folds"), F.count_distinct("cutoff").alias("cutoffs"), F.count_if(F.col("cutoff") != F.col("whole")).alias("moved"))
