@@ -21,7 +21,7 @@ ACCURACY = 1000
 #: ratio -> (least distance from the quartile: below, above); None: that side has no limit.
 SLACK: dict[str, tuple[float | None, float | None]] = {
     "symbols_per_word": (None, 0.25),
-    "dup_line_share": (None, 0.3),
+    "dup_line_share": (None, 0.5),
     "mean_word_chars": (2.0, 3.0),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -74,6 +74,6 @@ f AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(le
 q AS (SELECT * EXCLUDE (ls), CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_symbols / greatest(n_words, 1)::DOUBLE AS a, (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1)::DOUBLE AS b, word_chars / greatest(n_words, 1)::DOUBLE AS c, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 t AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3 FROM q WHERE NOT base_failed GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(a <= a3 + greatest(0.25, 3 * (a3 - a1)), true) AND coalesce(b <= b3 + greatest(0.3, 3 * (b3 - b1)), true) AND coalesce(c BETWEEN c1 - greatest(2, 3 * (c3 - c1)) AND c3 + greatest(3, 3 * (c3 - c1)), true) AS kept
+  NOT base_failed AND coalesce(a <= a3 + greatest(0.25, 3 * (a3 - a1)), true) AND coalesce(b <= b3 + greatest(0.5, 3 * (b3 - b1)), true) AND coalesce(c BETWEEN c1 - greatest(2, 3 * (c3 - c1)) AND c3 + greatest(3, 3 * (c3 - c1)), true) AS kept
 FROM q LEFT JOIN t ON q.lang IS NOT DISTINCT FROM t.lang AND q.source IS NOT DISTINCT FROM t.source
 """
