@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,16 +100,12 @@ def test_language_without_training_rows(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    model = langid.fit({"x": ["abcab abd cab" * 5], "y": ["zzz yyy"]})
-    assert model["langs"] == ["x", "y"]
-    table, _ = langid.fold_table(), None
-    codes, owner = langid.folded(["abcab abd cab" * 5], table)
+    assert langid.fit({"x": ["abcab abd cab" * 5], "y": ["zzz yyy"]})["langs"] == ["x", "y"]
+    codes, owner = langid.folded(["abcab abd cab" * 5], langid.fold_table())
     grams = langid.keys(codes, 4)[langid.scored(owner)]
-    kn = langid.KneserNey(*__import__("numpy").unique(grams, return_counts=True))
-    ctx = grams[0] >> __import__("numpy").uint64(16)
-    np = __import__("numpy")
-    every = (ctx << np.uint64(16)) | np.arange(1, 200, dtype=np.uint64)
-    assert 0.3 < kn.prob(every).sum() <= 1.0 + 1e-9
+    model = langid.KneserNey(*np.unique(grams, return_counts=True))
+    every = ((grams[0] >> np.uint64(16)) << np.uint64(16)) | np.arange(1, 200, dtype=np.uint64)
+    assert 0.3 < model.prob(every).sum() <= 1.0 + 1e-9
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

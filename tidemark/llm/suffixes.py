@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, mix, ranges, raw, release, scratch_root, shuffle_parts, slices, trimmed, winnow
+from tidemark.llm.common import materialize, mix, raw, release, scratch_root, shuffle_parts, slices, trimmed, winnow
 
 LEAST, GRAM = 50, 24
 SIDE = LEAST - GRAM
