@@ -97,6 +97,22 @@ def test_mixing(spark, seed):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in words.items() if v}
 
 
+def test_mixing_keeps_texts_that_share_id_and_source(spark):
+    rows = [(None, f"null{i} " * (1 + i % 5), "a", "en") for i in range(40)] + [(7, f"seven{i} w", "b", "en") for i in range(20)] + [(8, "same w", "b", "de"), (8, "same w", "b", "en")]
+    rows += [(100 + i, "w " * 30, "c", "en") for i in range(20)] + [(9, "twice", "a", "en")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = [tuple(x) for x in mixing.mix(docs).collect()]
+    assert sorted(map(str, out)) == sorted(str(tuple(x)) for x in mixing.mix(docs.repartition(7)).collect())
+    copies = {x[:4]: sum(y[:4] == x[:4] for y in out) for x in out}
+    assert all(n <= 3 * rows.count(x) for x, n in copies.items())
+    count = lambda xs: sorted((str(d), w, n) for d, w, n in xs)
+    per_row = [(x.doc_id, x.size, x.copies) for x in mixing.mix_report(docs).collect()]
+    assert sum(n for *_, n in per_row) == len(out)
+    alone = count((d, w, n) for d, w, n in per_row if n and d != 9)
+    assert count((x[0], len(x[1].split()), n) for x, n in copies.items() if x[0] != 9) == alone
+    assert len(copies) > 60
+
+
 def test_mixing_empty_and_all_blank(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(x.size, x.source_size, x.target, x.taken) for x in mixing.mix_report(docs).collect()] == [(0, 0, 0.0, 0)] * 2

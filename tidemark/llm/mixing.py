@@ -34,9 +34,14 @@ def _level(size: Column) -> Column:
     return F.when(size < 8, size).otherwise(top * 8 + F.floor(size / F.pow(F.lit(2.0), top - 3)) % 8).cast("long")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size and the bucket of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _digest(docs: DataFrame) -> Column:
+    """A digest of all columns: equal only for identical rows."""
+    return F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+
+
+def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size and the bucket of each row, and more columns of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     rows = rows.withColumns({"skey": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")), "dice": order})
     return rows.withColumns({"level": _level(F.col("size")), "salt": F.conv(F.substring("dice", 1, 2), 16, 10).cast("int") % SALTS})
@@ -69,7 +74,8 @@ def mix_sizes(rows: DataFrame, seed: int) -> DataFrame:
     totals = counts.groupBy("skey").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     before = F.sum("n").over(Window.partitionBy("skey").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     places = counts.withColumn("before", before).join(targets(totals, seed), "skey").select(*bucket, "before", "source_size", "target", "step", "offset")
-    j = F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "dice", F.col("doc_id").asc_nulls_first())).cast("long")
+    ties = [c for c in ("digest",) if c in rows.columns]
+    j = F.row_number().over(Window.partitionBy(*bucket).orderBy("size", "dice", F.col("doc_id").asc_nulls_first(), *ties)).cast("long")
     df = rows.withColumn("nth", j).join(places, bucket).withColumn("nth", F.col("nth") + F.col("before"))
     crossed = lambda n: F.expr(f"(cast(offset as decimal(20,0)) + cast({n} as decimal(20,0)) * cast(step as decimal(12,0))) div {ONE}")
     return df.withColumn("copies", (crossed("nth") - crossed("(nth - 1)")).cast("long"))
@@ -89,13 +95,11 @@ def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixture: each row of docs as often as it is emitted (column ``copy``, from 1), other columns as they were.
 
-    Sizes are joined back by doc_id and source; rows that share both share one decision, the sum of copies
-    over them, so a repeated row is emitted as often as its repetitions together are.
+    Copies are joined back by a digest of the whole row, so that texts which share doc_id and source keep
+    their own; identical rows share one decision, the sum of copies over them.
     """
-    rows = materialize(sized(docs, seed), "sizes")
-    picked = mix_sizes(rows, seed).filter("copies > 0").groupBy("doc_id", "skey").agg(F.sum("copies").alias("copies"))
-    key = {"__x_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__x_key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))}
-    once = docs.withColumns(key).dropDuplicates(["__x_id", "__x_key"])
-    picked = picked.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__x_id"), F.col("skey").alias("__x_key"), F.col("copies").alias("__x_copies"))
-    out = once.join(picked, ["__x_id", "__x_key"])
+    rows = materialize(sized(docs, seed, _digest(docs).alias("digest")), "sizes")
+    picked = mix_sizes(rows, seed).filter("copies > 0").groupBy(F.col("digest").alias("__x_key")).agg(F.sum("copies").alias("__x_copies"))
+    once = docs.withColumn("__x_key", _digest(docs)).dropDuplicates(["__x_key"])
+    out = once.join(picked, "__x_key")
     return out.withColumn("__x_copy", F.explode(F.sequence(F.lit(1), F.col("__x_copies").cast("int")))).select(*docs.columns, F.col("__x_copy").alias("copy"))
