@@ -43,6 +43,15 @@ def test_pii_added_spans_and_redaction(spark):
     assert red[2] is None and red[3] == "[PHONE], ([IP])"
 
 
+def test_pii_secrets_by_words_in_any_case(spark):
+    secret = "fc22f42429fef2ebde85e081b172bc127a2eef28"
+    heads = ["Token: ", "Secret = ", "Password: ", "DB_PASSWORD=", "Key: ", "tOkEn=", "BEARER ", "token = "]
+    docs = spark.createDataFrame([(i, f"see {h}{secret} end") for i, h in enumerate(heads)], "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in pii.pii_report(docs).collect()}
+    assert spans == {i: f"secret:{4 + len(h)}:{4 + len(h) + len(secret)}" for i, h in enumerate(heads)}
+    assert {x.doc_id: x.text for x in pii.redact(docs).collect()} == {i: f"see {h}[SECRET] end" for i, h in enumerate(heads)}
+
+
 def test_quality_counts(spark):
     r = random.Random(4)
     words = ["a", "b", "c", "dd", "é", "😀", "#$", "&"]

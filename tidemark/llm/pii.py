@@ -18,7 +18,7 @@ MIN_SCORE = 0.7
 BEFORE = 40
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 
-#: kind -> (pattern, strings of which a text must have one, context words).
+#: kind -> (pattern, strings of which a text must have one, words in any case as in the context; context words).
 #: email, ip and phone match as their contract's patterns do.  Cards are maximal digit chains; only those
 #: of 13 to 19 digits can pass, so the pattern asks for these.
 KINDS: dict[str, tuple[str, tuple[str, ...], str]] = {
@@ -27,7 +27,7 @@ KINDS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", (), r"card|visa|master|credit|pay|tarjeta|carte|karte"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", ("+",), r"tel|phone|call|mobile|fax|whatsapp"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", (), r"iban|account|konto|cuenta|compte|bank"),
-    "secret": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{20,}+", ("token", "secret", "passw", "key", "bearer", "Bearer", "TOKEN", "SECRET", "KEY"), r"(?:token|secret|passw\w*|key|bearer)[\"']?\s*[=:]?\s*[\"']?$"),
+    "secret": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{20,}+", ("token", "secret", "passw", "key", "bearer"), r"(?:token|secret|passw\w*|key|bearer)[\"']?\s*[=:]?\s*[\"']?$"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -99,7 +99,7 @@ def find_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
     for kind, (pattern, needs, _) in KINDS.items():
         may = t.rlike("[0-9]") if not needs else F.lit(False)
         for n in needs:
-            may |= F.contains(t, F.lit(n))
+            may |= t.rlike("(?i)" + n) if n.isalpha() else F.contains(t, F.lit(n))
         steps[f"__p_m_{kind}"] = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
     df = df.withColumns(steps)
     df = df.withColumns({f"__p_s_{k}": F.when(F.size(f"__p_m_{k}") > 0, F.split(t, KINDS[k][0], -1)) for k in KINDS})
