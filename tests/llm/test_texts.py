@@ -144,6 +144,20 @@ def test_clusters_without_an_article():
     assert all(f"words {i}" in out for i in range(4)) and "l0" not in out and "m7" not in out
 
 
+def test_clusters_with_a_teaser_in_an_article():
+    body = "".join(f"<div>{'long prose with many words ' * 8}{i}</div>" for i in range(6))
+    teaser = "<article class=card><h2>Next</h2><p><a href=x>Read this too</a></article>"
+    for page in (f"<body>{teaser}{body}", f"<body>{body}{teaser}"):
+        out = html.extract(page)
+        assert all(f"words {i}" in out for i in range(6))
+
+
+def test_regions_with_the_dense_text_keep_their_short_lines():
+    body = "".join(f"<p>{'long prose with many words ' * 8}{i}</p><p>Of.</p>" for i in range(6))
+    out = html.extract(f"<body><div><b>outside</b></div><article><h1>Head</h1>{body}</article><div>also out</div>")
+    assert out.startswith("Head long") and out.count("Of.") == 6 and "out" not in out
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "<p>x", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars int")
     got = sorted(((x.page_id, x.url, x.n_chars) for x in html.extract_pages(df).collect()), key=str)
