@@ -1,5 +1,6 @@
 """Operators against plain Python on ties, nulls, single rows, empty and constant input."""
 
+import os
 import random
 from datetime import datetime
 
@@ -268,3 +269,18 @@ def test_nested_ridge_against_refits(spark):
         inner = {lam: np.mean([rmse((f != k) & (f != i), f == i, lam) for i in range(3) if i != k]) for lam in (0.1, 100.0)}
         lam = min(inner, key=inner.get)
         assert got[k].penalty == lam and got[k].inner_rmse == pytest.approx(inner[lam]) and got[k].outer_rmse == pytest.approx(rmse(f != k, f == k, lam))
+
+
+def test_replicates_and_steps_of_the_reference(spark):
+    from tidemark.operators.model import fit_mixture, useful_steps
+    from tidemark.plans import registry
+
+    assert useful_steps([0.5, 0.3, 0.195, 0.005], [0.0, 3.0, 9.0, 30.0], 1.0) == 2
+    g = random.Random(1).gauss
+    m = fit_mixture(spark.createDataFrame([(c + g(0, 0.3),) for c in [-5.0, 0.0, 7.0] * 300], "r double"), "r").head()
+    assert [round(c) for c in m.c] == [-5, 0, 7] and m.pi == pytest.approx([1 / 3] * 3, abs=0.01)
+    assert len(fit_mixture(spark.createDataFrame([(g(0, 1),) for _ in range(900)], "r double"), "r").head().c) == 1
+    q, sf = registry.queries(), "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        assert q["T9_permutation"](spark, sf).head().n_perm == 10000
+        assert q["T4_bootstrap_auc"](spark, sf).count() == q["T5_bootstrap_regression"](spark, sf).count() == 2000

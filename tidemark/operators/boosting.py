@@ -80,15 +80,16 @@ def predict_column(model: dict) -> Column:
     return reduce(lambda a, t: a + model["rate"] * tree_column(t, model["features"]), model["trees"], F.lit(float(model["intercept"])))
 
 
-def fit_steps(train: DataFrame, calibration: DataFrame, features: Sequence[str], target: str, components: int = 2, warm: int = 10, turns: int = 3, rounds: int = 3, coverage: float = 0.9, **kw) -> dict:
+def fit_steps(train: DataFrame, calibration: DataFrame, features: Sequence[str], target: str, components: int | None = None, warm: int = 10, turns: int = 3, rounds: int = 3, coverage: float = 0.9, **kw) -> dict:
     """Boosting plus a mixture of latent steps: warm-up trees, a mixture of their residuals, then generalized EM.
 
     In each turn responsibilities give every row its expected step, trees go on against the rest, and the mixture is
-    refitted in one pass; the half width of the interval comes from calibration rows.
+    refitted in one pass, with as many components as were given or BIC and pruning leave; the half width of the interval comes from calibration rows.
     """
     model = boost(train, features, target, rounds=warm, **kw)
     rest = lambda df: df.withColumn("__r", F.col(target) - predict_column(model))
-    params = fit_mixture(rest(train).select("__r"), "__r", components)
+    params = checkpointed(fit_mixture(rest(train).select("__r"), "__r", components))
+    components = len(params.head().c)
     for _ in range(turns):
         p = params.select("pi", "c", "sigma")
         rows = checkpointed(mixture_e_step(rest(train), "__r", p).crossJoin(F.broadcast(p.select(F.col("c").alias("__c")))))

@@ -95,6 +95,9 @@ def jackknife_auc(df: DataFrame, y: str, s: str, out: str = "auc_without") -> Da
     return p.crossJoin(F.broadcast(g)).withColumn(out, F.try_divide(k * F.col("__a") - F.col("__v"), k - 1)).drop("__v", "__a", "__m", "__n")
 
 
+#: Replicates of the reference: bootstraps, sign flips, confidence sets.
+N_BOOT, N_PERM, N_MCS = 2000, 10000, 1000
+
 # T3 to T5, T9: replicates ------------------------------------------------------------------------
 
 

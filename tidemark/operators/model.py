@@ -189,10 +189,26 @@ def kmeans_1d(positions: Sequence[float], weights: Sequence[float], k: int) -> l
     return [(x[b] - x[a]) / (w[b] - w[a]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def fit_mixture(df: DataFrame, r: str, k: int, bins: int = 512, sigma_min: float = 1e-3, rounds: int = 300, tol: float = 1e-10) -> DataFrame:
+#: Steps nearer than this many sigmas are one; steps with a lesser share of the rows are none.
+MIN_SEPARATION, MIN_SHARE = 4.0, 0.01
+
+
+def useful_steps(pi: Sequence[float], c: Sequence[float], sigma: float) -> int:
+    """Components that are steps of their own: near ones joined, light ones dropped, one at least."""
+    groups: list[list[float]] = []
+    for at, share in sorted(zip(c, pi, strict=True)):
+        if groups and at - groups[-1][0] < MIN_SEPARATION * sigma:
+            groups[-1][1] += share
+        else:
+            groups.append([at, share])
+    return max(1, sum(share >= MIN_SHARE for _, share in groups))
+
+
+def fit_mixture(df: DataFrame, r: str, k: int | None = None, bins: int = 512, sigma_min: float = 1e-3, rounds: int = 300, tol: float = 1e-10, most: int = 8) -> DataFrame:
     """One row pi, c, sigma, log_likelihood: equal-variance normal mixture fitted to a histogram.
 
-    Spark makes the histogram, ``bins`` rows however many data there are; EM runs on it.
+    Spark makes the histogram, ``bins`` rows however many data there are; EM runs on it.  Without ``k`` the number of
+    components up to ``most`` with the least BIC is taken, and of these the useful steps are kept.
     """
     from tidemark.operators.profile import histogram
 
@@ -204,24 +220,33 @@ def fit_mixture(df: DataFrame, r: str, k: int, bins: int = 512, sigma_min: float
 
         pdf = pdf.sort_values("x")
         x, n, floor = pdf.x.to_numpy(), pdf.n.to_numpy(), max(sigma_min, float(pdf.width.iloc[0]) / 2)
-        c = np.array(kmeans_1d(x.tolist(), n.tolist(), k))
-        near = np.abs(x[:, None] - c).argmin(1)
-        pi = np.maximum(np.bincount(near, n, len(c)) / n.sum(), 1e-12)
-        sigma = max(float(np.sqrt((n * (x - c[near]) ** 2).sum() / n.sum())), floor)
-        last = -np.inf
-        for _ in range(rounds):
-            lp = -0.5 * ((x[:, None] - c) / sigma) ** 2 + np.log(pi)
-            top = lp.max(1, keepdims=True)
-            e = np.exp(lp - top)
-            ll = float((n * (top[:, 0] + np.log(e.sum(1)) - np.log(sigma) - 0.5 * math.log(2 * math.pi))).sum())
-            if ll - last < tol * n.sum():
-                break
-            last = ll
-            gam = e / e.sum(1, keepdims=True) * n[:, None]
-            mass = gam.sum(0)
-            c = np.where(mass > 1e-9, gam.T @ x / np.maximum(mass, 1e-9), c)
-            sigma = max(float(np.sqrt((gam * (x[:, None] - c) ** 2).sum() / n.sum())), floor)
-            pi = np.maximum(mass / n.sum(), 1e-300)
+
+        def fit(k):
+            c = np.array(kmeans_1d(x.tolist(), n.tolist(), min(k, len(x))))
+            near = np.abs(x[:, None] - c).argmin(1)
+            pi = np.maximum(np.bincount(near, n, len(c)) / n.sum(), 1e-12)
+            sigma = max(float(np.sqrt((n * (x - c[near]) ** 2).sum() / n.sum())), floor)
+            last = -np.inf
+            for _ in range(rounds):
+                lp = -0.5 * ((x[:, None] - c) / sigma) ** 2 + np.log(pi)
+                top = lp.max(1, keepdims=True)
+                e = np.exp(lp - top)
+                ll = float((n * (top[:, 0] + np.log(e.sum(1)) - np.log(sigma) - 0.5 * math.log(2 * math.pi))).sum())
+                if ll - last < tol * n.sum():
+                    break
+                last = ll
+                gam = e / e.sum(1, keepdims=True) * n[:, None]
+                mass = gam.sum(0)
+                c = np.where(mass > 1e-9, gam.T @ x / np.maximum(mass, 1e-9), c)
+                sigma = max(float(np.sqrt((gam * (x[:, None] - c) ** 2).sum() / n.sum())), floor)
+                pi = np.maximum(mass / n.sum(), 1e-300)
+            return pi, c, sigma, ll
+
+        steps = k
+        if steps is None:
+            tried = [(-2 * m[3] + 2 * j * np.log(n.sum()), m) for j in range(1, most + 1) for m in [fit(j)]]
+            steps = useful_steps(*min(tried, key=lambda t: t[0])[1][:3])
+        pi, c, sigma, ll = fit(steps)
         return pd.DataFrame({"pi": [pi.tolist()], "c": [c.tolist()], "sigma": [sigma], "log_likelihood": [ll]})
 
     return h.groupBy(F.lit(0).alias("all")).applyInPandas(em, "pi array<double>, c array<double>, sigma double, log_likelihood double")

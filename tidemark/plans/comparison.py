@@ -47,17 +47,17 @@ def t2(spark, d):
 def t3(spark, d):
     s = scores(spark, d)
     jack = inf.jackknife_auc(s, "y", "s").select(F.col("auc_without").alias("estimate"))
-    return inf.bca(inf.bootstrap_auc(s, "id", "y", "s", 200), "auc", auc(s, "y", "s").select(F.col("auc").alias("estimate")), jack)
+    return inf.bca(inf.bootstrap_auc(s, "id", "y", "s", inf.N_BOOT), "auc", auc(s, "y", "s").select(F.col("auc").alias("estimate")), jack)
 
 
 @query("T4_bootstrap_auc")
 def t4(spark, d):
-    return inf.bootstrap_auc(scores(spark, d), "id", "y", "s", 200)
+    return inf.bootstrap_auc(scores(spark, d), "id", "y", "s", inf.N_BOOT)
 
 
 @query("T5_bootstrap_regression")
 def t5(spark, d):
-    return inf.bootstrap_regression(predictions(spark, d), "id", "y", "a", "b", 100)
+    return inf.bootstrap_regression(predictions(spark, d), "id", "y", "a", "b", inf.N_BOOT)
 
 
 _WIDE = "w AS (SELECT block, max(value) FILTER (WHERE treatment = '1-URGENT') AS a, max(value) FILTER (WHERE treatment = '5-LOW') AS b FROM fo GROUP BY 1)"
@@ -96,7 +96,7 @@ def t8(spark, d):
 @query("T9_permutation")
 def t9(spark, d):
     p = predictions(spark, d)
-    return inf.permutation_test(p.select("id", F.abs(F.col("a") - F.col("y")).alias("la"), F.abs(F.col("b") - F.col("y")).alias("lb")), "id", "la", "lb", 200)
+    return inf.permutation_test(p.select("id", F.abs(F.col("a") - F.col("y")).alias("la"), F.abs(F.col("b") - F.col("y")).alias("lb")), "id", "la", "lb", inf.N_PERM)
 
 
 @query("T10_mcnemar_counts", "SELECT count(*) FILTER (WHERE (s > 1500) = (y = 1) AND (toxic = 1) <> (y = 1)) AS only_a, count(*) FILTER (WHERE (s > 1500) <> (y = 1) AND (toxic = 1) = (y = 1)) AS only_b, count(*) AS n FROM sc")
@@ -128,7 +128,7 @@ def t11(spark, d):
 
 @query("T12_stationary_bootstrap")
 def t12(spark, d):
-    return inf.stationary_bootstrap(_losses(spark, d).withColumn("d", F.col("la") - F.col("lb")), "id", "d", block=3.0, n=50)
+    return inf.stationary_bootstrap(_losses(spark, d).withColumn("d", F.col("la") - F.col("lb")), "id", "d", block=3.0, n=inf.N_BOOT)
 
 
 @query("T13_cliffs_delta", f"WITH r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM sc), g AS (SELECT (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS a FROM r) SELECT {R('2 * a - 1', 'delta')}, {R('a', 'a12')}, CASE WHEN abs(2 * a - 1) < 0.147 THEN 'negligible' WHEN abs(2 * a - 1) < 0.33 THEN 'small' WHEN abs(2 * a - 1) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM g")
@@ -204,7 +204,7 @@ def t15d(spark, d):
 @query("T16_model_confidence_set")
 def t16(spark, d):
     p = predictions(spark, d)
-    return inf.model_confidence_set(p.select("id", ((F.col("a") - F.col("y")) ** 2).alias("a"), ((F.col("b") - F.col("y")) ** 2).alias("b"), ((F.col("y") * 0.98 - F.col("y")) ** 2).alias("c")), "id", ["a", "b", "c"], block=2.0, n=30)
+    return inf.model_confidence_set(p.select("id", ((F.col("a") - F.col("y")) ** 2).alias("a"), ((F.col("b") - F.col("y")) ** 2).alias("b"), ((F.col("y") * 0.98 - F.col("y")) ** 2).alias("c")), "id", ["a", "b", "c"], block=2.0, n=inf.N_MCS)
 
 
 @query("T17_giacomini_white")

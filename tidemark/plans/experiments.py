@@ -137,7 +137,7 @@ def e31(spark, d):
 def e34(spark, d):
     p, out = predictions(spark, d), None
     for c in ("a", "b"):
-        boot = inf.bootstrap_regression(p.withColumn("zero", F.col("y")), "id", "y", "zero", c, 100)
+        boot = inf.bootstrap_regression(p.withColumn("zero", F.col("y")), "id", "y", "zero", c, inf.N_BOOT)
         est = p.agg(F.sqrt(F.avg((F.col(c) - F.col("y")) ** 2)).alias("estimate"))
         one = inf.bca(boot, "rmse", est).select(F.lit(c).alias("model"), "low", "high")
         out = one if out is None else out.union(one)

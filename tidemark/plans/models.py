@@ -107,8 +107,8 @@ def m15b(spark, d):
 
 @query("M16_mixture_fit")
 def m16(spark, d):
-    m = md.fit_mixture(predictions(spark, d).select((F.col("a") - F.col("y")).alias("r")), "r", 2, bins=64)
-    return m.select(F.get("pi", F.lit(0)).alias("pi1"), F.get("c", F.lit(0)).alias("c1"), F.get("c", F.lit(1)).alias("c2"), "sigma", "log_likelihood")
+    m = md.fit_mixture(predictions(spark, d).select((F.col("a") - F.col("y")).alias("r")), "r")
+    return m.select(F.size("c").alias("k"), F.get("pi", F.lit(0)).alias("pi1"), F.get("c", F.lit(0)).alias("c1"), F.get("c", F.lit(1)).alias("c2"), "sigma", "log_likelihood")
 
 
 @query("M18_exceedance")
@@ -273,7 +273,7 @@ def m17(spark, d):
     from tidemark.operators.boosting import fit_steps, step_outputs
 
     p = predictions(spark, d).select("id", "y", "a", "b", (F.col("cust") % 17).cast("double").alias("c"))
-    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b", "c"], "y", warm=3, turns=1, rounds=1, depth=2, rate=0.5)
+    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b", "c"], "y", warm=100, turns=1, rounds=1, depth=2, rate=0.5)
     return step_outputs(p.filter("id % 6 = 3"), model, 250.0).select("id", "y", "forecast", "low", "high", "p_exceeds")
 
 
@@ -282,5 +282,5 @@ def m20(spark, d):
     from tidemark.operators.boosting import fit_steps, step_outputs
 
     p = predictions(spark, d).select("id", "y", "a", "b")
-    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=2, turns=1, rounds=1, depth=2, rate=0.5)
+    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=100, turns=1, rounds=1, depth=2, rate=0.5)
     return mt.auc(step_outputs(p.filter("id % 6 = 3"), model, 250.0).withColumn("label", (F.col("y") > 250).cast("int")), "label", "p_exceeds")
