@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator of the word contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,17 +23,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+    """The application's folder for scratch tables, below the session's spark.checkpoint.dir, which driver and executors share.
 
-    Only where a session names none (tests in local mode) a temporary folder is made and set.
+    Only a local master may name none (tests): then a temporary folder is made and set.  On a cluster a
+    session without one is an error, for a folder of the driver's machine isn't the executors'.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/tidemark-{sc.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,19 +49,83 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more, and their names in the catalog."""
     for t in tables:
-        spark = t.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._tm_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name := getattr(t, "_tm_name", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(t.sparkSession, t._tm_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written; their results can't be read after it."""
+    _delete(spark, scratch_root(spark))
+
+
+def dealt(rows: DataFrame, parts: int, by: str) -> DataFrame:
+    """The rows, hash-dealt by a column and written bucketed, so that joins and groups on it leave them in place."""
+    spark = rows.sparkSession
+    name = f"tm_texts_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    rows.repartition(parts, by).write.bucketBy(parts, by).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    release(spark)
+    out = spark.table(name)
+    out._tm_path, out._tm_name = path, name
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def data_parts(rows: DataFrame, text: str, least_bytes: int) -> int:
+    """Number of groups to deal rows to: the session's, and more where one would hold above least_bytes of text."""
+    total = rows.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(shuffle_parts(rows.sparkSession), -(-total // least_bytes))
+
+
+def _murmur(k: int) -> int:
+    """Spark's hash of an int column: Murmur3 (x86, 32 bits) of one block, seed 42, as a signed number."""
+    turn = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF
+    h = 42 ^ turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h = (turn(h, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (h >> 31 << 32)
+
+
+def even_keys(parts: int) -> list[int]:
+    """An int for each of parts groups; Spark's hash partitioning puts each group into a partition of its own.
+
+    Beyond some thousand groups chance deals them evenly enough, and the keys are 0, 1, ...
+    """
+    if parts > 4096:
+        return list(range(parts))
+    keys: dict[int, int] = {}
+    k = 0
+    while len(keys) < parts:
+        keys.setdefault(_murmur(k) % parts, k)
+        k += 1
+    return [keys[p] for p in range(parts)]
+
+
+def long_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column (XXH64 of 8 bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.uint64((42 + 0x27D4EB2F165667C5 + 8) & (1 << 64) - 1) ^ turn(ids.astype(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has at most ``limit`` bytes of text, or one row."""
     for b in batches:
@@ -146,15 +214,32 @@ def trim() -> None:
 
 
 def trimmed(run):
-    """The function of batches, or of a group's table, that gives its memory back at its end."""
+    """The function of batches that gives its memory back at its end."""
 
     def batches(it):
         yield from run(it)
         trim()
 
+    return batches
+
+
+def trimmed_group(run):
+    """The function of a group's table that gives its memory back at its end."""
+
     def table(group):
         out = run(group)
         trim()
         return out
 
-    return table if "table" in run.__code__.co_varnames[:1] else batches
+    return table
+
+
+def trimmed_pair(run):
+    """The function of two tables with one key that gives its memory back at its end."""
+
+    def tables(left, right):
+        out = run(left, right)
+        trim()
+        return out
+
+    return tables

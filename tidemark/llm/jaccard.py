@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed
+from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
 from tidemark.llm.graph import components
 
 N = 5
@@ -481,7 +481,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
     index = rows.select("text").mapInArrow(trimmed(_index(n, parts, sent)), _INDEX)
-    pairs = index.groupBy("part").applyInArrow(trimmed(_chain(parts)), _PAIRS).groupBy("part").applyInArrow(trimmed(_counted), "u long, v long, shared long")
+    pairs = index.groupBy("part").applyInArrow(trimmed_group(_chain(parts)), _PAIRS).groupBy("part").applyInArrow(trimmed_group(_counted), "u long, v long, shared long")
     pairs = materialize(pairs, "pairs")
     release(spark)
     maps = heads.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("cells").alias("bits"))
