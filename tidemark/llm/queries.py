@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, html, jaccard, langid, mixing, pii, quality, sql, suffixes, tokens
 
@@ -22,8 +21,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("message"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.format_chats(events))
+    return chat.chat_digests(chat.as_log(rows))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
