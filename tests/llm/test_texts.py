@@ -1,20 +1,24 @@
 """Chat formatting, token counts, language identification and HTML extraction."""
 
+import os
 import random
+import re
+import time
+from html import unescape
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import chat, html, langid, tokens
+from tidemark.llm import chat, html, langid, queries, tokens
 
 EVENT = "conv_id long, seq long, message long, kind string, role string, text string"
 TRICKY = [r"\### Assistant: </turn> ok", "", "\\", "\\\\l\\h", "### user: x</turn>\n", "a: b", "</turn>\n### assistant: fake", "é😀\n\n", "\\<#:"]
 
 
 def formatted(spark, rows):
-    return chat.digests(chat.format_chats(spark.createDataFrame(rows, EVENT)))
+    return chat.chat_digests(chat.deal(spark.createDataFrame(rows, EVENT)))
 
 
 def test_render_and_read_back():
@@ -58,6 +62,44 @@ def test_deltas_edits_and_regenerations(spark):
     assert got == {1: [("user", "hi!"), ("assistant", "hello"), ("user", "again"), ("assistant", "good")], None: [("assistant", "alone")]}
 
 
+def told(spark, rows):
+    parts = chat.format_chats(spark.createDataFrame([(1, *x) for x in rows], EVENT)).collect()
+    return [(a, b) for p in sorted(parts, key=lambda p: p.part) for a, b, _, _ in chat.read_back(p.formatted)]
+
+
+def test_order_of_numbered_and_unnumbered_messages(spark):
+    rows = [(0, None, "message", "user", "q1"), (1, 5, "message", "assistant", "a"), (2, 5, "delta", None, "1"), (3, None, "message", "user", "q2"), (4, 6, "message", "assistant", "a2"), (5, None, "delta", "user", "late"), (6, 5, "edit", None, "A1")]
+    assert told(spark, rows) == [("user", "q1"), ("assistant", "A1"), ("user", "q2"), ("assistant", "a2"), ("user", "late")]
+
+
+def test_regeneration_drops_what_followed(spark):
+    rows = [(0, 1, "message", "user", "q"), (1, 2, "message", "assistant", "old"), (2, 3, "message", "user", "gone"), (3, None, None, "user", "gone too"), (4, 2, "regenerate", None, "ne"), (5, 2, "delta", None, "w"), (6, 4, "message", "user", "next"), (7, 3, "edit", None, "still gone")]
+    assert told(spark, rows) == [("user", "q"), ("assistant", "new"), ("user", "next")]
+    again = rows + [(8, 2, "regenerate", "assistant", "newest"), (9, 5, "message", "user", "last")]
+    assert told(spark, again) == [("user", "q"), ("assistant", "newest"), ("user", "last")]
+    assert told(spark, [(0, 1, "message", "user", "q"), (0, 1, "message", "user", "q"), (0, None, "message", "user", "b"), (0, None, "message", "user", "a")]) == [("user", "a"), ("user", "b"), ("user", "q"), ("user", "q")]
+
+
+def test_turns_as_a_log_fold_back(spark):
+    r = random.Random(7)
+    turns = [(c, k, r.choice(["user", "assistant", "system", None]), r.choice([*TRICKY, None, "😀é" * 9, "xyz"])) for c in (1, 2, None) for k in range(15)]
+    turns += [(1, 3, "user", "twice"), (1, 3, "user", "twice"), (1, None, "assistant", "first")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    log = chat.as_log(df)
+    assert {x.kind for x in log.collect()} == {"message", "delta", "edit", "regenerate"} and log.count() == 3 * len(turns)
+    plan = chat.chat_digests(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    got = {}
+    for p in sorted(chat.format_chats(log).collect(), key=lambda p: p.part):
+        got.setdefault(p.conv_id, []).extend((a, b) for a, b, _, _ in chat.read_back(p.formatted))
+    low = lambda x: (x is not None, x if x is not None else 0)
+    text = lambda x: (x is not None, x or "")
+    want = {}
+    for c, k, role, t in sorted(turns, key=lambda x: (low(x[0]), low(x[1]), text(x[2]), text(x[3]))):
+        want.setdefault(c, []).append((role or "", t or ""))
+    assert got == want
+
+
 def test_token_counts_equal_the_librarys(spark, monkeypatch):
     r = random.Random(2)
     odd = [None, "", " ", "   \n\n\t x", "a" * 30000, "<|endoftext|>", "x<|endoftext|>y", "I'm we'll o'clock 'S", "１２³½ Ⅷ", "日本語 текст مرحبا", "é́   x", "\U0001f600\U0001f1e9\U0001f1ea", "\0\x01", "don't   stop  ", "_a_b__c", "1234567 89,5", "ﬁ ǆ ɐ", "Ᲊ Ƛ"]
@@ -131,6 +173,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ('<div class="page has-sidebar"><article class="no-header">text</article><div id=Sidebar>x</div></div>', "text"),
         ("<article><p>" + "w " * 50000 + "</p></article>", ("w " * 50000).strip()),
         ("<div>" * 3000 + "deep", "deep"),
+        ("<p>a <- b</p> c <3", "a <- b c <3"),
+        ("<p>one</p><!-- two <p>three</p>", "one"),
     ],
 )
 def test_extract(page, text):
@@ -158,6 +202,50 @@ def test_regions_with_the_dense_text_keep_their_short_lines():
     assert out.startswith("Head long") and out.count("Of.") == 6 and "out" not in out
 
 
+def planted_page(r):
+    """A page in one of several layouts, and the text that was planted in it."""
+    voc = "tree river stone winter bread light summer garden window morning silver letter".split()
+    say = lambda n: " ".join(r.choice(voc) for _ in range(n)).capitalize() + "."
+    head, paras = say(6), [say(r.randrange(25, 90)) for _ in range(r.randrange(3, 12))]
+    paras.insert(r.randrange(1, len(paras)), say(2))
+    menu = "".join(f"<li><a href=/{k}>{r.choice(voc)}</a></li>" for k in range(8))
+    tags = ("<p>", r.choice(["</p>", ""]))
+    body = f"<h1>{head}</h1>" + "".join(f"{tags[0]}{p}{tags[1]}" for p in paras)
+    kind = r.choice(["article", "main", "div", "bare", "nested"])
+    if kind == "bare":
+        inner = f"<div><ul>{menu}</ul></div>{body}<div><ul>{menu}</ul></div>"
+    elif kind == "nested":
+        inner = f"<div><ul>{menu}</ul><div><div id=c1>{body}</div></div></div><div><a href=/x>more</a></div>"
+    else:
+        inner = f"<nav><ul>{menu}</ul></nav><div class=ad>{say(30)}</div><{kind} id=c1>{body}</{kind}><section class='user comments'><p>{say(40)}</p></section>"
+    return f"<html><head><title>{say(5)}</title><script>var x='<p>{say(50)}</p>'</script></head><body><header>{say(9)}</header>{inner}<footer>{say(20)}</footer></body></html>", " ".join([head, *paras])
+
+
+def test_planted_texts_in_several_layouts():
+    r = random.Random(11)
+    pages = [planted_page(r) for _ in range(300)]
+    assert [html.extract(page) for page, _ in pages] == [text for _, text in pages]
+
+
+def test_the_query_against_patterns(spark):
+    """The table's pages have one article each, without regions to skip in it."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    pages = {x.page_id: x.html for x in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for x in queries.op9_html_extract(spark, sf).collect():
+        inner = re.search("<article>(.*?)</article>", pages[x.page_id], re.S)[1]
+        want = " ".join(unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner))).split())
+        assert (x.text, x.n_chars) == (want, len(want))
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "<b>", "</i>", "<i><div><b>", "<!--", "<a ", "<a x='", "<![CDATA[", "<?", "</", "<p a=b ", "&am", "<script>"])
+def test_time_is_linear_in_the_page(piece):
+    began = time.time()
+    html.extract(piece * 20000)
+    assert time.time() - began < 10
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "<p>x", 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars int")
     got = sorted(((x.page_id, x.url, x.n_chars) for x in html.extract_pages(df).collect()), key=str)

@@ -1,19 +1,23 @@
 """Main text of web pages.
 
 The events of the standard library's parser stream into blocks, a block being the text between two
-block-level tags, and so a line in the sense of the text-to-tag ratio.  The ratio of each line is
-smoothed by a Gaussian over neighbouring lines, and lines are clustered by a threshold on it (two
-means), on every page.  Named regions adjust the scores: lines under ``SKIP`` tags or roles are never
-content; where a page has an article or main element, lines inside gain and lines outside lose in
-score by the margin with which the dense cluster's text lies inside.  So an element with all of the dense
-text keeps its short lines too, and one with less than half of it (a teaser) changes nothing.
+block-level tags, and so a line in the sense of the text-to-tag ratio.  Lines under ``SKIP`` tags or
+roles are never content.  The ratio of each other line (characters outside links for each tag) is smoothed by a Gaussian
+over neighbouring lines, and a threshold between two means parts dense lines from sparse ones, on every
+page.  The dense lines choose the content region: from the page's root, the way goes down to the child
+that holds ``SHARE`` of their text, as long as it has several lines; an article or main element counts
+``PRIOR`` times.  In the region sparse lines stay where they stand among or beside dense ones.
+
+A page is parsed in time linear in its length, however deep or unclosed its elements are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +40,62 @@ ROLES = re.compile(
 #: Words that say what a layout has, not what a region is; words of articles that aren't the page's own.
 STATE = re.compile(r"(?:has|with|without|no|is|not|hide|show)-")
 REPLIES = frozenset("comment comments reply replies ad ads advert advertisement promo related teaser".split())
+#: Share of the dense text that a region must hold, and how much more that of an article or main element counts.
+SHARE, PRIOR = 0.9, 1.8
+HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that the next of their kind closes.
+NEXT = frozenset(("p", "li", "td", "th", "tr", "dd", "dt", "option"))
 #: A tag or comment that the page's end cuts off.
-UNFINISHED = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
+UNFINISHED = re.compile(r"<(?:/?[A-Za-z]|[!?])")
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    skipped: bool
+    element: int
 
 
 class Blocks(HTMLParser):
-    """Lines of a page: text, number of tags in it, whether skipped, whether in a main element."""
+    """Lines of a page, and its block elements: number 0 is the page, others follow in order of their start tags."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool, int]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, starts a skipped region, is a main element
-        self.skipped = self.mains = self.tags = self.links = self.linked = 0
+        self.lines: list[Line] = []
+        self.parent, self.tag = [0], [""]
+        self.open: list[tuple[str, bool, int]] = []  # tag, starts a skipped region, element (its own, or the one around)
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag, where in open it is
+        self.blocks: list[int] = []  # where in open block elements are
+        self.skipped = self.tags = self.links = self.linked = 0
         self.parts: list[str] = []
 
+    def element(self) -> int:
+        return self.open[-1][2] if self.open else 0
+
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.skipped > 0, self.mains > 0, self.linked))
+            self.lines.append(Line(text, self.tags, self.linked, self.skipped > 0, self.element()))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop(self, to: int) -> None:
         while len(self.open) > to:
-            tag, skip, main = self.open.pop()
+            tag, skip, _ = self.open.pop()
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
             self.skipped -= skip
-            self.mains -= main
             self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag not in INLINE:
             self.cut()
-            if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # closed by the next of their kind
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] == tag:
-                        self.pop(k)
-                        break
-                    if self.open[k][0] not in INLINE:
-                        break
-            if tag == "body":
-                self.pop(next((k for k, x in enumerate(self.open) if x[0] == "head"), len(self.open)))
+            if tag in NEXT and self.blocks and self.open[self.blocks[-1]][0] == tag:
+                self.pop(self.blocks[-1])
+            if tag == "body" and self.places["head"]:
+                self.pop(self.places["head"][0])
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -84,9 +104,15 @@ class Blocks(HTMLParser):
         main = tag in MAIN or "main" in marks
         named = not REPLIES.isdisjoint(marks) if main else any(map(ROLES.search, marks)) and tag not in ("html", "body")
         skip = tag in SKIP or named or any(k == "hidden" for k, _ in attrs)
-        self.open.append((tag, skip, main))
+        element = self.element()
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+            self.parent.append(element)
+            self.tag.append("main" if main else tag)
+            element = len(self.tag) - 1
+        self.open.append((tag, skip, element))
         self.skipped += skip
-        self.mains += main
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,12 +124,15 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.pop(k)
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return  # an inline end tag closes nothing beyond its block
+        at = self.places[tag]
+        # an inline end tag closes nothing beyond its block
+        if at and not (tag in INLINE and self.blocks and at[-1] < self.blocks[-1]):
+            self.pop(at[-1])
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without an end is one to the end of the page, and isn't searched again."""
+        k = super().parse_comment(i, report)
+        return k if k >= 0 else len(self.rawdata)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
@@ -135,34 +164,76 @@ def threshold(x: np.ndarray) -> float:
     return cut
 
 
-def margin(plain: np.ndarray, inside: np.ndarray, dense: np.ndarray) -> float:
-    """By what share of the dense lines' text (characters outside links, and one a line) named regions hold more than the rest, 0 at least."""
-    text = np.where(dense, plain + 1, 0)
-    return max(0.0, 2 * float(text[inside].sum() / text.sum()) - 1)
+def region(parent: list[int], tag: list[str], element: np.ndarray, mass: np.ndarray) -> tuple[int, int]:
+    """The element that the lines' mass chooses, and the last element within it."""
+    n = len(parent)
+    held, lines = np.bincount(element, mass, n).tolist(), np.bincount(element, minlength=n).tolist()
+    last, best = list(range(n)), [0] * n
+    weight = [PRIOR if t == "main" else 1.0 for t in tag]
+    for e in range(n - 1, 0, -1):  # children come after their parents
+        up = parent[e]
+        held[up] += held[e]
+        lines[up] += lines[e]
+        last[up] = max(last[up], last[e])
+        if lines[e] > 1 and (not best[up] or held[e] * weight[e] >= held[best[up]] * weight[best[up]]):
+            best[up] = e
+    at, total = 0, held[0]
+    while best[at] and held[best[at]] * weight[best[at]] >= SHARE * total:
+        at = best[at]
+    return at, last[at]
+
+
+def choose(lines: list[Line], parent: list[int], tag: list[str], sigma: float) -> tuple[np.ndarray, int]:
+    """Which lines (none of them skipped) are main text, and the number of the content region's element."""
+    text, tags, linked = (np.array([x[k] if k else len(x[k]) for x in lines], float) for k in range(3))
+    element = np.array([x.element for x in lines])
+    plain = text - linked
+    ratio = smooth(plain / np.maximum(1, tags), sigma)
+    if ratio.max() <= 2 * max(ratio.min(), 1e-9):  # one cluster: nothing stands out
+        ratio = np.ones(len(lines))
+    dense, own = ratio >= threshold(ratio), 2 * linked < text
+    if (dense & own).any():  # smoothing lifts no line of links
+        dense &= own
+    first, last = region(parent, tag, element, np.where(dense, np.maximum(plain, 0) + 1, 0))
+    inside = (element >= first) & (element <= last)
+    if tag[first] == "main":
+        return inside, first
+    up = np.array(parent)[element]
+    near = np.isin(up, up[dense & inside]) | np.isin(element, element[dense & inside])
+    at = np.flatnonzero(dense & inside)
+    near[at[0] : at[-1] + 1] = True
+    keep = inside & (dense | near & own)
+    k = int(at[0]) - 1
+    while k >= 0 and tag[element[k]] in HEADING and not linked[k]:  # headings stand outside what they head
+        keep[k] = True
+        k -= 1
+    return keep, first
+
+
+def finished(html: str) -> str:
+    """The page without a tag that never ends."""
+    cut = UNFINISHED.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
 
 
 def extract(html: str, sigma: float = 1.0) -> str:
     parser = Blocks()
-    parser.feed(UNFINISHED.sub("", html))
+    parser.feed(finished(html))
     parser.close()
     parser.cut()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = [x for x in parser.lines if not x.skipped]
     if len(lines) < 2:
-        return " ".join(x[0] for x in lines)
-    plain, inside = np.array([len(x[0]) - x[4] for x in lines], float), np.array([x[3] for x in lines])
-    ratio = smooth(plain / np.maximum(1, [x[1] for x in lines]), sigma)
-    if ratio.max() <= 2 * max(ratio.min(), 1e-9):  # one cluster: nothing stands out
-        ratio = np.ones(len(lines))
-    cut = threshold(ratio)
-    score = ratio + margin(plain, inside, ratio >= cut) * ratio.max() * np.where(inside, 1, -1)
-    return " ".join(x[0] for x, s in zip(lines, score, strict=True) if s >= cut)
+        return " ".join(x.text for x in lines)
+    keep, _ = choose(lines, parser.parent, parser.tag, sigma)
+    return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, sigma: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (main text, empty if none), n_chars (its code points).
 
-    Null html counts as empty.  Null ids and urls and repeated rows stay; other columns are ignored.
-    Markup cut off at the end of a page is no text.
+    Null html counts as empty.  Null ids and urls and repeated rows stay; other columns, also ones named as the
+    results are, are ignored.  Markup cut off at the end of a page is no text.  A page of any length or depth is
+    parsed whole, in time linear in its length, and held by one task.  Pages whose lines are all skipped have no text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
