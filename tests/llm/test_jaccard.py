@@ -31,7 +31,7 @@ def corpus(seed, n=260):
     return docs + [(5000, None), (5001, " \n"), (5002, "one two"), (5003, "One\ttwo"), (5004, "two one"), (5005, "a b c d e " * 4000), (5006, "a b c d e " * 4001)]
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
 def test_against_brute_force(spark, seed, monkeypatch):
     docs = corpus(seed)
     if seed == 2:  # every room of some size is dealt to blocks
@@ -39,6 +39,11 @@ def test_against_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 100)
         monkeypatch.setattr(jaccard, "WIDE", 5)
         monkeypatch.setattr(jaccard, "PAIRS", 4)
+    if seed == 3:  # what is away meets by prefixes
+        monkeypatch.setattr(jaccard, "ROOM_GRAMS", 200)
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 60)
+        monkeypatch.setattr(jaccard, "AWAY", 0)
+        monkeypatch.setattr(jaccard, "PART_ENTRIES", 500)
     if seed == 1:
         monkeypatch.setattr(jaccard, "PAIRS", 4)
         monkeypatch.setattr(jaccard, "ROOM_GRAMS", 800)
@@ -108,7 +113,43 @@ def test_bitmaps_never_part_linked_sets():
     assert parted > 50
 
 
-def test_components(spark):
+def test_linked_sets_meet_in_a_group_of_their_prefixes():
+    r = np.random.default_rng(6)
+    for _ in range(2000):
+        n = int(r.integers(1, 60))
+        a = np.sort(r.choice(1 << 20, n, replace=False)).astype(np.uint64)
+        b = np.unique(np.concatenate([np.delete(a, r.choice(n, int(r.integers(0, n // 4 + 1)), replace=False)), r.choice(1 << 20, int(r.integers(0, n // 3 + 1))).astype(np.uint64)]))
+        if len(b) and len(np.intersect1d(a, b)) >= jaccard.needed(len(a), len(b)):
+            assert set(jaccard.prefix_groups(a, 1 << 40)) & set(jaccard.prefix_groups(b, 1 << 40))
+
+
+def test_rooms_with_a_connected_part():
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        pool = np.sort(r.choice(1 << 20, 30, replace=False)).astype(np.uint64)
+        sets = [np.sort(r.choice(pool, r.integers(18, 31), replace=False)) for _ in range(25)]
+        linked = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= jaccard.needed(len(sets[i]), len(sets[j]))
+        home = {0}
+        for i in range(1, 25):  # some part of the component of 0
+            if i % 3 and any(linked(i, j) for j in home):
+                home.add(i)
+
+        def classes(edges):
+            root = list(range(25))
+            for _ in range(25):
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        known = [(0, i) for i in home]
+        want = classes([(i, j) for i in range(25) for j in range(i) if linked(i, j)])
+        assert classes(jaccard.link_room(list(range(25)), sets)) == want
+        assert classes(jaccard.link_room(list(range(25)), sets, [i not in home for i in range(25)]) + known) == want
+
+
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", hub)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -7,28 +7,43 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, materialize
 
+#: Nodes with more edges are hubs; so many of them at most, the largest, go to every task.
+HUB, HUBS = 256, 4096
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Row count and an order-free checksum of the edge set."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least neighbour that least (u, m, n) gives for u.
+
+    A hub's edges stay where they are and get m from a broadcast of at most HUBS rows, so that they don't
+    meet in one task; all other edges are joined by u.
+    """
+    hubs = least.filter(F.col("n") > HUB).orderBy(F.desc("n"), "u").limit(HUBS).select("u", F.col("m").alias("hub"))
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    rest = told.filter("hub IS NULL").select("u", "v").join(least.select("u", "m"), "u")
+    return told.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")).union(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of an edge (u, v), and the least node that it reaches.
 
     Each round hangs all neighbours of a node on the least of them, first the larger ones, then the
-    smaller; the least neighbour is an aggregate with map-side partials, and no neighbour list is ever
-    gathered, so a node with very many edges costs no task its list.  Rounds grow with the logarithm of
+    smaller; the least neighbour is an aggregate with map-side partials, no neighbour list is ever
+    gathered, and hubs' edges are not shuffled by their hub.  Rounds grow with the logarithm of
     the longest path; each is written to the shared folder, which also cuts the lineage.
     """
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     mark = _mark(cur)
     while mark[0]:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         new = materialize(least.select("u", F.col("m").alias("v")).union(small).filter("u <> v").distinct(), "edges")
         now = _mark(new)
         discard(cur)

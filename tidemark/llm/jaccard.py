@@ -20,8 +20,11 @@ joins through one representative.
    reach the threshold.  Verdicts are exact.  Sets already connected aren't compared again, so a
    large group of near copies costs about one walk.
    A room above ``ROOM_GRAMS`` grams is dealt to blocks of about ``BLOCK_GRAMS``.  Each block is walked with the
-   first one, by separate tasks; in a group of near copies that connects nearly all.  Only what is then not
-   in the room's greatest component meets the other blocks, so work grows with the room, not its square.
+   first one, by separate tasks; in a group of near copies that connects nearly all.  What is then not
+   in the room's greatest component is away, and two sets that aren't away needn't meet.  Up to ``AWAY`` blocks of away
+   sets meet every block of the room.  Where more is away, sets meet by the grams of their prefixes
+   instead: linked sets have one in common among the first quarter of each, so a set goes to as many groups at
+   most as its prefix has grams, and work grows with the room, not its square.
 5. Links become components.
 """
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
+from tidemark.llm.common import discard, even_keys, gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
 from tidemark.llm.graph import components
 
 N = 5
@@ -55,6 +58,10 @@ ENTRIES = 1 << 19
 #: Grams of a room that one task walks; a larger one is dealt to blocks.
 ROOM_GRAMS = 100_000
 BLOCK_GRAMS = 25_000
+#: Blocks of away sets that meet all of their room.
+AWAY = 4
+#: Index entries of a part, about, where the session has no more shuffle partitions.
+PART_ENTRIES = 2_000_000
 #: What an edge of a forest counts.
 SURE = 1 << 32
 #: The same up to which a forest is exact; beyond, neighbours in size are chained.
@@ -182,7 +189,7 @@ def _levels(heads: DataFrame, bits: int) -> np.ndarray:
 # 2. prefix index ---------------------------------------------------------------------------------
 
 
-def _index(n: int, parts: int, sent):
+def _index(n: int, parts: int, keys_of: list[int], sent):
     """Packed prefix entries: per part the entries' keys, their set's number, remaining length; and the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +209,7 @@ def _index(n: int, parts: int, sent):
             rows = []
             for o in np.split(order, cuts):
                 own, inv = np.unique(who[o], return_inverse=True)
-                rows.append((int(part[o[0]]), keys[o].tobytes(), np.diff(inv, prepend=0).astype(np.uint16).tobytes() if len(own) < 1 << 16 else b"", inv.astype(np.int32).tobytes() if len(own) >= 1 << 16 else b"", place[o].tobytes(), sig[own].tobytes(), n_of[own].tobytes()))
+                rows.append((keys_of[part[o[0]]], keys[o].tobytes(), np.diff(inv, prepend=0).astype(np.uint16).tobytes() if len(own) < 1 << 16 else b"", inv.astype(np.int32).tobytes() if len(own) >= 1 << 16 else b"", place[o].tobytes(), sig[own].tobytes(), n_of[own].tobytes()))
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["part", "keys", "step", "who", "place", "sig", "n"])
 
@@ -239,14 +246,14 @@ _INDEX = "part int, keys binary, step binary, who binary, place binary, sig bina
 _PAIRS = "part int, u binary, v binary, shared binary, need binary"
 
 
-def _chain(parts: int):
+def _chain(parts: int, keys_of: list[int]):
     """Possible pairs (u, v) of a part, how many keys they share here and must in all, packed by the part that counts them."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, shared = _possible(table)
         to = (mix(mix(rows[:, 0].view(np.uint64)) + rows[:, 1].view(np.uint64)) % np.uint64(parts)).astype(np.int32) if len(rows) else np.empty(0, np.int32)
         order = np.argsort(to, kind="stable")
-        out = [(int(to[o[0]]), rows[o, 0].tobytes(), rows[o, 1].tobytes(), shared[o].tobytes(), rows[o, 2].tobytes()) for o in (np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else [])]
+        out = [(keys_of[to[o[0]]], rows[o, 0].tobytes(), rows[o, 1].tobytes(), shared[o].tobytes(), rows[o, 2].tobytes()) for o in (np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else [])]
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["part", "u", "v", "shared", "need"])
 
@@ -441,22 +448,26 @@ class PrefixTree:
         return out
 
 
-def link_room(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (larger, smaller id) that connect just those ids that any links of the room connect."""
+def link_room(ids: list[int], sets: list[np.ndarray], away: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links (larger, smaller id) that connect just those ids that any links of the room connect.
+
+    With ``away``, sets that aren't away are known to be connected: they are found, but nothing starts from them.
+    """
     tree, found = PrefixTree(sets), []
+    away = away or [True] * len(sets)
     free = [True] * len(sets)
-    left = len(sets)
     for first in sorted(range(len(sets)), key=lambda i: ids[i]):
-        if not free[first]:
+        if not free[first] or not away[first]:
             continue
         free[first], queue = False, [first]
-        left -= 1
-        while queue and left:
+        while queue:
             at = queue.pop()
-            for k in tree.similar(sets[at], free):
-                free[k] = False
-                left -= 1
-                queue.append(k)
+            hits = tree.similar(sets[at], free)
+            home = [k for k in hits if not away[k]]
+            for k in [*(k for k in hits if away[k]), *home[:1]]:  # one link to what is connected is enough
+                if away[k]:
+                    free[k] = False
+                    queue.append(k)
                 found.append((max(ids[first], ids[k]), min(ids[first], ids[k])))
     return found
 
@@ -464,10 +475,15 @@ def link_room(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _walk(table: pa.Table) -> pa.Table:
     ids = table.column("doc_id").to_pylist()
     sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-    found = link_room(ids, sets)
+    found = link_room(ids, sets, table.column("away").to_pylist())
     return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
 
+def prefix_groups(grams: np.ndarray, groups: int) -> list[int]:
+    """The groups of the grams among which linked sets, in order, have one in common."""
+    return np.unique(mix(grams[: len(grams) - -(-NUM * len(grams) // DEN) + 1]) % np.uint64(groups)).tolist()
+
+
 # the join ----------------------------------------------------------------------------------------
 
 
@@ -475,13 +491,15 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     """Per row with an id: doc_id, n (grams), a, b (signature); and links (u, v) between class representatives."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     bits = _cell_bits(rows)
     heads = materialize(rows.mapInArrow(trimmed(_heads(n, bits)), _HEAD), "heads")
     sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
-    index = rows.select("text").mapInArrow(trimmed(_index(n, parts, sent)), _INDEX)
-    pairs = index.groupBy("part").applyInArrow(trimmed_group(_chain(parts)), _PAIRS).groupBy("part").applyInArrow(trimmed_group(_counted), "u long, v long, shared long")
+    entries = (base.agg(F.sum("n")).first()[0] or 0) // 2
+    parts = max(shuffle_parts(spark), -(-entries // PART_ENTRIES))
+    keys_of = even_keys(parts)
+    index = rows.select("text").mapInArrow(trimmed(_index(n, parts, keys_of, sent)), _INDEX)
+    pairs = index.groupBy("part").applyInArrow(trimmed_group(_chain(parts, keys_of)), _PAIRS).groupBy("part").applyInArrow(trimmed_group(_counted), "u long, v long, shared long")
     pairs = materialize(pairs, "pairs")
     release(spark)
     maps = heads.filter("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("cells").alias("bits"))
@@ -495,47 +513,56 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     placed = placed.join(weight, "room").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = materialize(placed.select("doc_id", "n", "room", "blocks", "mine"), "placed")
 
+    spot = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
-            grams = [ordered(g, sent.value).tobytes() for g in gram_sets(raw(b.column(3)), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(grams, pa.binary())], ["doc_id", "room", "spots", "grams"])
+            grams = [ordered(g, sent.value) for g in gram_sets(raw(b.column(4)), n)]
+            spots = [s if g[0]["j"] >= 0 else [{"i": k, "j": -1} for k in prefix_groups(x, g[0]["i"])] for x, g in zip(grams, b.column(2).to_pylist(), strict=True) for s in [g]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spots, spot), b.column(3), pa.array([g.tobytes() for g in grams], pa.binary())], ["doc_id", "room", "spots", "away", "grams"])
 
     def walked(spots: DataFrame) -> DataFrame:
-        """Links within the parts of rooms that spots (doc_id, room, array of part numbers i, j) name."""
+        """Links within the parts of rooms that spots (doc_id, room, away, array of part numbers i, j) name.
+
+        One spot (i, -1) stands for the prefix's groups, of i.
+        """
         # a repeated doc_id with another text brings that text into the room too: verdicts are on sets
-        texts = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "spots", "text")
-        held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, spots array<struct<i:int,j:int>>, grams binary")
-        held = held.select("room", "doc_id", "grams", F.explode("spots").alias("s")).select("room", "s.i", "s.j", "doc_id", "grams")
-        return materialize(held.groupBy("room", "i", "j").applyInArrow(_walk, "u long, v long"), "links")
+        texts = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "spots", "away", "text")
+        held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, spots array<struct<i:int,j:int>>, away boolean, grams binary")
+        held = held.select("room", "doc_id", "away", "grams", F.explode("spots").alias("s")).select("room", "s.i", "s.j", "doc_id", "away", "grams")
+        return materialize(held.groupBy("room", "i", "j").applyInArrow(trimmed_group(_walk), "u long, v long"), "links")
 
     at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     zero, mine = F.lit(0), F.col("mine")
     star = F.when((F.col("blocks") > 1) & (mine == 0), F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda j: at(zero, j))).otherwise(F.array(at(zero, mine)))
-    links = walked(placed.select("doc_id", "room", star.alias("spots")))
+    links = walked(placed.select("doc_id", "room", F.lit(True).alias("away"), star.alias("spots")))
     large = placed.filter("blocks > 1")
     if large.limit(1).count():
         links = links.union(_rest(large, links, walked))
+    discard(pairs, room_of, placed)
     return base, links
 
 
 def _rest(large: DataFrame, links: DataFrame, walked) -> DataFrame:
-    """Links of rooms in blocks that the walks with the first block left open.
-
-    What isn't in a room's greatest component yet meets every block; two sets of that component needn't meet.
-    """
+    """Links of rooms in blocks that the walks with the first block left open."""
     comp = components(links)
     big = materialize(large.join(comp, large.doc_id == comp.node, "left").select("doc_id", "n", "room", "blocks", "mine", F.coalesce("root", "doc_id").alias("comp")), "big")
     sizes = big.groupBy("room", "comp").agg(F.count("*").alias("size"))
     main = sizes.groupBy("room").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     rest = big.join(main, "room").withColumn("away", F.col("comp") != F.col("main"))
-    weight = rest.filter("away").groupBy("room").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_GRAMS))).cast("int").alias("groups"))
+    prefix = F.col("n") - F.ceil(F.lit(NUM) * F.col("n") / F.lit(float(DEN))) + 1
+    weight = rest.groupBy("room").agg(F.ceil(F.sum(F.when(F.col("away"), F.col("n")).otherwise(0)) / F.lit(float(BLOCK_GRAMS))).cast("int").alias("groups"), F.ceil(F.sum(F.col("n") * prefix) / F.lit(float(ROOM_GRAMS))).cast("int").alias("shares"))
     rest = rest.join(weight, "room")
     at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = F.transform(upto("groups"), lambda i: at(i, F.col("mine")))
     group = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("groups"))
     out = F.transform(upto("blocks"), lambda j: at(group, j))
-    return walked(rest.select("doc_id", "room", F.when(F.col("away"), F.array_union(own, out)).otherwise(own).alias("spots")))
+    by_prefix = F.array(at(F.col("shares"), F.lit(-1)))
+    spots = F.when(F.col("groups") > AWAY, by_prefix).when(F.col("away"), F.array_union(own, out)).otherwise(own)
+    found = walked(rest.select("doc_id", "room", "away", spots.alias("spots")))
+    discard(big)
+    return found
 
 
 def jaccard_components(docs: DataFrame, n: int = N) -> DataFrame:
