@@ -42,7 +42,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 3:  # what is away meets by prefixes
         monkeypatch.setattr(jaccard, "ROOM_GRAMS", 200)
         monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 60)
-        monkeypatch.setattr(jaccard, "AWAY", 0)
+        monkeypatch.setattr(jaccard, "PREFIX_COST", 0.0)
         monkeypatch.setattr(jaccard, "PART_ENTRIES", 500)
     if seed == 1:
         monkeypatch.setattr(jaccard, "PAIRS", 4)

@@ -21,9 +21,9 @@ joins through one representative.
    large group of near copies costs about one walk.
    A room above ``ROOM_GRAMS`` grams is dealt to blocks of about ``BLOCK_GRAMS``.  Each block is walked with the
    first one, by separate tasks; in a group of near copies that connects nearly all.  What is then not
-   in the room's greatest component is away, and two sets that aren't away needn't meet.  Up to ``AWAY`` blocks of away
-   sets meet every block of the room.  Where more is away, sets meet by the grams of their prefixes
-   instead: linked sets have one in common among the first quarter of each, so a set goes to as many groups at
+   in the room's greatest component is away, and two sets that aren't away needn't meet.  Away sets meet every block
+   of the room, or, where that moves fewer grams, sets meet by the grams of their prefixes:
+   linked sets have one in common among the first quarter of each, so a set goes to as many groups at
    most as its prefix has grams, and work grows with the room, not its square.
 5. Links become components.
 """
@@ -58,8 +58,8 @@ ENTRIES = 1 << 19
 #: Grams of a room that one task walks; a larger one is dealt to blocks.
 ROOM_GRAMS = 100_000
 BLOCK_GRAMS = 25_000
-#: Blocks of away sets that meet all of their room.
-AWAY = 4
+#: What a gram sent by prefix costs, against one sent to a block.
+PREFIX_COST = 1.0
 #: Index entries of a part, about, where the session has no more shuffle partitions.
 PART_ENTRIES = 2_000_000
 #: What an edge of a forest counts.
@@ -551,7 +551,11 @@ def _rest(large: DataFrame, links: DataFrame, walked) -> DataFrame:
     main = sizes.groupBy("room").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     rest = big.join(main, "room").withColumn("away", F.col("comp") != F.col("main"))
     prefix = F.col("n") - F.ceil(F.lit(NUM) * F.col("n") / F.lit(float(DEN))) + 1
-    weight = rest.groupBy("room").agg(F.ceil(F.sum(F.when(F.col("away"), F.col("n")).otherwise(0)) / F.lit(float(BLOCK_GRAMS))).cast("int").alias("groups"), F.ceil(F.sum(F.col("n") * prefix) / F.lit(float(ROOM_GRAMS))).cast("int").alias("shares"))
+    gone = F.sum(F.when(F.col("away"), F.col("n")).otherwise(0))
+    weight = rest.groupBy("room").agg(gone.alias("gone"), F.sum("n").alias("grams"), F.sum(F.col("n") * prefix).alias("sent"), F.first("blocks").alias("b"))
+    groups = F.ceil(F.col("gone") / F.lit(float(BLOCK_GRAMS))).cast("int")
+    cheaper = F.col("sent") * F.lit(PREFIX_COST) < F.col("gone") * F.col("b") + F.col("grams") * groups
+    weight = weight.select("room", groups.alias("groups"), F.ceil(F.col("sent") / F.lit(float(ROOM_GRAMS))).cast("int").alias("shares"), cheaper.alias("cheaper"))
     rest = rest.join(weight, "room")
     at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -559,7 +563,7 @@ def _rest(large: DataFrame, links: DataFrame, walked) -> DataFrame:
     group = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("groups"))
     out = F.transform(upto("blocks"), lambda j: at(group, j))
     by_prefix = F.array(at(F.col("shares"), F.lit(-1)))
-    spots = F.when(F.col("groups") > AWAY, by_prefix).when(F.col("away"), F.array_union(own, out)).otherwise(own)
+    spots = F.when(F.col("cheaper"), by_prefix).when(F.col("away"), F.array_union(own, out)).otherwise(own)
     found = walked(rest.select("doc_id", "room", "away", spots.alias("spots")))
     discard(big)
     return found
