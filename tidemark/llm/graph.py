@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize
+from tidemark.llm.common import discard, materialize, shuffle_parts
 
-#: Nodes with more edges are hubs; so many of them at most, the largest, go to every task.
+#: A node is a hub if it has more edges than this and than a task has on average; so many hubs at most, the largest, go to every task.
 HUB, HUBS = 256, 4096
 
 
+def _ways(edges: DataFrame) -> DataFrame:
+    """Every edge in both directions."""
+    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def _mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free checksum of the edge set."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    """Number of directed edges, an order-free checksum of the edge set, and the most edges of a node."""
+    nodes = _ways(edges).groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    return tuple(nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.max("n")).first())
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
     """Edges (u, v) with m, the least neighbour that least (u, m, n) gives for u.
 
-    A hub's edges stay where they are and get m from a broadcast of at most HUBS rows, so that they don't
-    meet in one task; all other edges are joined by u.
+    The edges of a node with more than hub stay where they are and get m from a broadcast of at most HUBS rows, so
+    that they don't meet in one task; all other edges are joined by u.
     """
-    hubs = least.filter(F.col("n") > HUB).orderBy(F.desc("n"), "u").limit(HUBS).select("u", F.col("m").alias("hub"))
+    if hub is None:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = least.filter(F.col("n") > hub).orderBy(F.desc("n"), "u").limit(HUBS).select("u", F.col("m").alias("hub"))
     told = edges.join(F.broadcast(hubs), "u", "left")
     rest = told.filter("hub IS NULL").select("u", "v").join(least.select("u", "m"), "u")
     return told.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")).union(rest)
@@ -38,17 +46,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     mark = _mark(cur)
+    parts = shuffle_parts(edges.sparkSession)
     while mark[0]:
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _ways(cur)
+        limit = max(HUB, mark[0] // parts)
+        hub = limit if mark[2] > limit else None
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, least).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, least, hub).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = _with_least(large, least, hub).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         new = materialize(least.select("u", F.col("m").alias("v")).union(small).filter("u <> v").distinct(), "edges")
         now = _mark(new)
         discard(cur)
         cur = new
-        if now == mark:
+        if now[:2] == mark[:2]:
             break
         mark = now
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
