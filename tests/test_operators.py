@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import features as fe
 from tidemark.operators import inference as inf
 from tidemark.operators import metrics as mt
+from tidemark.operators import mixture as mx
 from tidemark.operators import model as md
 from tidemark.operators import order as od
 from tidemark.operators import profile as pf
@@ -186,7 +187,7 @@ def test_kmeans_1d_against_all_cuts():
 
     for k in (1, 2, 3, 4):
         best = min((sum(cost(a, b)[0] for a, b in zip((0, *c), (*c, 12), strict=True)), [cost(a, b)[1] for a, b in zip((0, *c), (*c, 12), strict=True)]) for c in combinations(range(1, 12), k - 1))
-        assert md.kmeans_1d(x, w, k) == pytest.approx(best[1])
+        assert mx.kmeans_1d(x, w, k) == pytest.approx(best[1])
 
 
 def test_tree_recovers_steps(spark):
@@ -205,7 +206,7 @@ def test_tree_recovers_steps(spark):
 def test_mixture_recovers_centres(spark):
     r = random.Random(8)
     df = spark.createDataFrame([(r.gauss(-0.3 if r.random() < 0.3 else 0.4, 0.03),) for _ in range(3000)], "r double")
-    m = md.fit_mixture(df, "r", 2).head()
+    m = mx.fit_mixture(df, "r", 2).head()
     assert sorted(m.c) == pytest.approx([-0.3, 0.4], abs=0.01) and m.sigma == pytest.approx(0.03, abs=0.005)
 
 
@@ -272,7 +273,7 @@ def test_nested_ridge_against_refits(spark):
 
 
 def test_replicates_and_steps_of_the_reference(spark):
-    from tidemark.operators.model import fit_mixture, useful_steps
+    from tidemark.operators.mixture import fit_mixture, useful_steps
     from tidemark.plans import registry
 
     assert useful_steps([0.5, 0.3, 0.195, 0.005], [0.0, 3.0, 9.0, 30.0], 1.0) == 2
@@ -284,3 +285,58 @@ def test_replicates_and_steps_of_the_reference(spark):
     if os.path.isdir(sf):
         assert q["T9_permutation"](spark, sf).head().n_perm == 10000
         assert q["T4_bootstrap_auc"](spark, sf).count() == q["T5_bootstrap_regression"](spark, sf).count() == 2000
+
+
+def test_ranges_of_skewed_values_are_even(spark):
+    df = spark.range(4000).select(F.exp(F.col("id") / 200.0).alias("v"))
+    got = [r["count"] for r in od.with_range(df, "v", 16).groupBy("__range").count().collect()]
+    assert len(got) == 16 and max(got) < 400
+    assert od.with_range(df.limit(0), "v", 16).count() == 0
+
+
+def test_quantiles_by_group(spark):
+    r = random.Random(3)
+    rows = [(k % 3, r.expovariate(1) if k % 7 else None) for k in range(400)]
+    got = {x.g: x.q for x in od.quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0.0, 0.3, 1.0], "q", ["g"]).collect()}
+    for g in range(3):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        at = 0.3 * (len(v) - 1)
+        assert got[g] == pytest.approx([v[0], v[int(at)] + (at - int(at)) * (v[int(at) + 1] - v[int(at)]), v[-1]])
+
+
+def test_normal_tail_column(spark):
+    from tidemark.functions.columns import norm_sf
+    from tidemark.functions.dist import norm_sf as exact
+
+    z = [-40.0, -8.0, -2.5, -0.1, 0.0, 0.3, 1.96, 6.9, 7.2, 20.0, 38.0, None]
+    got = [x.p for x in spark.createDataFrame([(x,) for x in z], "z double").select(norm_sf("z").alias("p")).collect()]
+    assert got[-1] is None and got[:-1] == pytest.approx([exact(x) for x in z[:-1]], rel=1e-6, abs=1e-15)
+
+
+def test_mixture_quantiles_and_level_sets(spark):
+    import numpy as np
+
+    m = mx.Mixture(np.array([0.3, 0.7]), np.array([-4.0, 3.0]), 0.5)
+    for p in (0.05, 0.3, 0.9):
+        assert m.cdf(m.quantile(p)) == pytest.approx(p, abs=1e-9)
+    parts = m.level_set(0.9)
+    assert len(parts) == 2 and sum(m.cdf(b) - m.cdf(a) for a, b in parts) == pytest.approx(0.9, abs=1e-4)
+    ends = m.density(np.array(parts).ravel())
+    assert ends == pytest.approx([ends[0]] * 4, rel=1e-2)
+    assert sum(b - a for a, b in parts) < m.quantile(0.95) - m.quantile(0.05)
+    df = spark.createDataFrame([(0.0, -4.0), (0.0, 0.0), (1.0, 4.0)], "f double, y double")
+    out = mx.mixture_outputs(df, "f", m, 2.0)
+    assert out.filter("f = 0").head().p_exceeds == pytest.approx(1 - m.cdf(2.0), abs=1e-9)
+    assert mx.set_coverage(out, "y").head().set_coverage == pytest.approx(2 / 3)
+
+
+def test_fit_keeps_degenerate_data(spark):
+    one = mx.fit_mixture(spark.createDataFrame([(2.0,)] * 5, "r double"), "r", 2).head()
+    assert list(one.c) == [2.0] and one.sigma >= 0
+
+
+def test_platt_is_the_logistic_fit(spark):
+    r = random.Random(5)
+    rows = [(x, int(r.random() < 1 / (1 + 2.718281828 ** -(2 * x - 0.5)))) for x in (r.gauss(0, 1) for _ in range(4000))]
+    m = mt.platt(spark.createDataFrame(rows, "s double, y int"), "y", "s").head()
+    assert m.slope == pytest.approx(2, abs=0.2) and m.intercept == pytest.approx(-0.5, abs=0.15)

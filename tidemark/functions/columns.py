@@ -120,6 +120,35 @@ def magnitude(x: str | Column, cuts: tuple[float, float, float]) -> Column:
     return F.when(v < cuts[0], "negligible").when(v < cuts[1], "small").when(v < cuts[2], "medium").when(v.isNotNull(), "large")
 
 
+#: Hart's rational approximation of the normal tail (double precision, as published by West 2005).
+TAIL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_LOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+TAIL_FAR = 7.07106781186547
+
+
+def norm_sf(z: str | Column) -> Column:
+    """P(a standard normal exceeds z): a ratio of polynomials up to TAIL_FAR, a continued fraction beyond; null stays null."""
+    z = col(z)
+    x = F.abs(z)
+    bell = F.exp(-x * x / 2)
+    top, low = F.lit(0.0), F.lit(0.0)
+    for k in TAIL_TOP:
+        top = top * x + k
+    for k in TAIL_LOW:
+        low = low * x + k
+    far = x + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = x + k / far
+    tail = F.when(x < TAIL_FAR, bell * top / low).when(x < 37, bell / far / 2.506628274631).otherwise(0.0)
+    return F.when(z > 0, tail).when(z.isNotNull(), 1.0 - tail)
+
+
+def place_among(x: str | Column, cuts: Column, most: int) -> Column:
+    """Number of ascending cuts (``most`` at most) at or below x, by binary search."""
+    x, steps = col(x), [1 << k for k in range(max(1, most).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(cuts, at + s - 1) <= x, at + s).otherwise(at))
+
+
 def dice(key: Column, seed: int) -> Column:
     """A number in [0, 1) that only key and seed decide."""
     return F.conv(F.substring(F.md5(F.concat_ws("#", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

@@ -8,9 +8,6 @@ the lineage.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,18 +16,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import bin_left
 from tidemark.operators.metrics import conformal_level, kth_smallest
-from tidemark.operators.model import best_split, bin_cuts, exceedance, fit_mixture, mixture_e_step, mixture_m_step
+from tidemark.operators.mixture import exceedance, fit_mixture
+from tidemark.operators.model import best_split, bin_cuts, mixture_e_step, mixture_m_step
+from tidemark.session import scratch_root
 
 CUT = 5
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written to the session's checkpoint folder; a temporary one only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+    """Rows written to the shared checkpoint folder."""
+    scratch_root(df.sparkSession)  # sets one for local sessions, refuses a cluster without
     return df.checkpoint()
 
 

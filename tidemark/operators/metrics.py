@@ -64,7 +64,8 @@ def capture_curve(df: DataFrame, y: str, s: str, key: str, points: int = 101) ->
     total = t.agg(F.sum("n").alias("total"), F.greatest(F.sum("pos"), F.lit(1)).alias("all_pos"))
     caps = total.select("total", "all_pos", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")).select("total", "all_pos", (F.col("g") / F.lit(float(points - 1))).alias("capacity"))
     caps = caps.withColumn("contacted", half_even(F.col("capacity") * F.col("total")).cast("long"))
-    cut = caps.filter("contacted > 0").join(F.broadcast(t), (F.col("upto") >= F.col("contacted")) & (F.col("upto") - F.col("n") < F.col("contacted")))
+    # the points capacities are what is broadcast, never the scores
+    cut = t.join(F.broadcast(caps.filter("contacted > 0")), (F.col("upto") >= F.col("contacted")) & (F.col("upto") - F.col("n") < F.col("contacted")))
     cut = cut.select("capacity", "contacted", "score", (F.col("tp_upto") - F.col("pos")).alias("sure"), (F.col("contacted") - (F.col("upto") - F.col("n"))).alias("room"))
     edges = cut.select(F.col("score").alias("__s")).distinct()
     tied = df.filter(F.col(y).isNotNull() & F.col(s).isNotNull()).select(F.col(s).cast("double").alias("score"), F.col(y).alias("y"), key).join(F.broadcast(edges), F.col("score") == F.col("__s"), "left_semi")
@@ -228,14 +229,24 @@ def isotonic(df: DataFrame, y: str, s: str) -> DataFrame:
     return df.sparkSession.createDataFrame(knots, "score double, p double")
 
 
-def platt(df: DataFrame, y: str, s: str) -> DataFrame:
-    """One row: slope and intercept of the logistic recalibration of s."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def platt(df: DataFrame, y: str, s: str, rounds: int = 30) -> DataFrame:
+    """One row: slope and intercept of the logistic recalibration of s, by Newton steps of one aggregation each.
 
-    rows = VectorAssembler(inputCols=[s], outputCol="__v").transform(df.select(F.col(s).cast("double").alias(s), F.col(y).cast("double").alias("label")))
-    m = LogisticRegression(featuresCol="__v", maxIter=200, tol=1e-10).fit(rows)
-    return df.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+    Null pairs are left out.  It stops at a step below 1e-12, and where classes are apart after ``rounds``.
+    """
+    rows, a, b = df.filter(F.col(y).isNotNull() & F.col(s).isNotNull()).select(F.col(s).cast("double").alias("x"), F.col(y).cast("double").alias("t")), 0.0, 0.0
+    for _ in range(rounds):
+        q = 1.0 / (1.0 + F.exp(-(a * F.col("x") + b)))
+        w = q * (1 - q)
+        g = rows.agg(F.sum((F.col("t") - q) * F.col("x")).alias("gx"), F.sum(F.col("t") - q).alias("g1"), F.sum(w * F.col("x") * F.col("x")).alias("xx"), F.sum(w * F.col("x")).alias("x1"), F.sum(w).alias("w")).head()
+        det = (g.xx or 0) * (g.w or 0) - (g.x1 or 0) ** 2
+        if not det > 0:
+            break
+        da, db = (g.w * g.gx - g.x1 * g.g1) / det, (g.xx * g.g1 - g.x1 * g.gx) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < 1e-12:
+            break
+    return df.sparkSession.createDataFrame([(a, b)], "slope double, intercept double")
 
 
 def residual_moments(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -249,6 +260,26 @@ def residual_moments(df: DataFrame, y: str, pred: str) -> DataFrame:
     return g.select("n", "skew", "kurtosis", jb.alias("jarque_bera"), (F.col("n") * r2).alias("white"))
 
 
+def normality(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """One row: D'Agostino's K2 of the residuals (skewness and kurtosis turned into normal scores) and the p values of K2, Jarque-Bera and White.
+
+    All three are chi-squared with two degrees of freedom, whose tail is exp(-x / 2).  Null below 20 rows.
+    """
+    m = residual_moments(df, y, pred)
+    n, g, k = F.col("n").cast("double"), F.col("skew"), F.col("kurtosis") + 3
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (b2 - 1)) - 1
+    u = g * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / F.sqrt(2 / (w2 - 1))
+    z1 = F.asinh(u) / F.sqrt(0.5 * F.ln(w2))
+    x = (k - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    r = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / r * (2 / r + F.sqrt(1 + 4 / (r * r)))
+    z2 = (1 - 2 / (9 * a) - F.cbrt((1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4))))) / F.sqrt(2 / (9 * a))
+    k2 = F.when(F.col("n") >= 20, z1 * z1 + z2 * z2)
+    p = lambda c: F.exp(-c / 2)
+    return m.withColumn("k2", k2).select("n", "k2", p(F.col("k2")).alias("k2_p"), p(F.col("jarque_bera")).alias("jarque_bera_p"), p(F.col("white")).alias("white_p"))
+
+
 def ljung_box(acf: DataFrame, n: int | Column, h: int) -> DataFrame:
     """One row: Q of lags 1..h from a table k, acf."""
     n = F.lit(n) if isinstance(n, int) else n

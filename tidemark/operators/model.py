@@ -8,10 +8,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tidemark.functions import dist
 from tidemark.functions.columns import bin_left, bin_right, dice, sigmoid
+from tidemark.operators.order import quantiles
 
 
 def standardize(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,10 +57,11 @@ def bin_cuts(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
 
     long = unpivot(df, columns).filter("value IS NOT NULL")
     q = [k / most for k in range(1, most)]
-    few = long.select("variable", "value").distinct().withColumn("prev", F.lag("value").over(Window.partitionBy("variable").orderBy("value")))
+    few = long.select("variable", "value").distinct()
     n = few.groupBy("variable").agg(F.count("*").alias("d"))
-    mids = few.join(n.filter(F.col("d") <= most), "variable").filter("prev IS NOT NULL").groupBy("variable").agg(F.array_sort(F.collect_list((F.col("value") + F.col("prev")) / 2)).alias("mid"))  # at most ``most`` values
-    quant = long.groupBy("variable").agg(F.array_sort(F.array_distinct(F.percentile("value", q))).alias("quant"))
+    few = few.join(n.filter(F.col("d") <= most), "variable").withColumn("prev", F.lag("value").over(Window.partitionBy("variable").orderBy("value")))
+    mids = few.filter("prev IS NOT NULL").groupBy("variable").agg(F.array_sort(F.collect_list((F.col("value") + F.col("prev")) / 2)).alias("mid"))  # at most ``most`` values
+    quant = quantiles(long, "value", q, "quant", ["variable"]).withColumn("quant", F.array_sort(F.array_distinct("quant")))
     j = n.join(quant, "variable").join(mids, "variable", "left")
     return j.select("variable", F.when(F.col("d") <= most, F.coalesce("mid", F.expr("cast(array() as array<double>)"))).otherwise(F.col("quant")).alias("cuts"))
 
@@ -70,6 +70,8 @@ def encode_bins(df: DataFrame, columns: Sequence[str], cuts: DataFrame, keep: Se
     """Long codes: keep, variable, code = number of cuts below the value."""
     from tidemark.operators.profile import unpivot
 
+    rows = cuts.select("variable", "cuts").collect()  # variables x bins numbers, so that the cuts aren't computed by every job on the codes
+    cuts = df.sparkSession.createDataFrame([(r.variable, list(r.cuts)) for r in rows], "variable string, cuts array<double>")
     long = unpivot(df, columns, keep)
     return long.join(F.broadcast(cuts), "variable").select(*keep, "variable", bin_left("value", F.col("cuts")).alias("code"))
 
@@ -86,7 +88,7 @@ def best_split(sums: DataFrame, least: int, lam: float, by: Sequence[str] = ())
     c = sums.withColumns({"gl": F.sum("g").over(w), "nl": F.sum("n").over(w), "gt": F.sum("g").over(all_), "nt": F.sum("n").over(all_)})
     gr, nr = F.col("gt") - F.col("gl"), F.col("nt") - F.col("nl")
     gain = F.col("gl") ** 2 / (F.col("nl") + lam) + gr**2 / (nr + lam) - F.col("gt") ** 2 / (F.col("nt") + lam)
-    c = c.filter((F.col("nl") >= least) & (nr >= least)).withColumn("gain", gain).filter("gain > 1e-14")
+    c = c.filter((F.col("nl") >= least) & (nr >= least)).withColumn("gain", gain).filter("gain > 1e-9")
     order = Window.partitionBy(*by).orderBy(F.round("gain", 9).desc(), "variable", "code")
     return c.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*by, "variable", "code", "gain", "nl", nr.alias("nr"))
 
@@ -172,92 +174,6 @@ def mixture_m_step(rows: DataFrame, r: str, k: int, sigma_min: float, weight: st
     return s.select(F.array(*(F.col(f"m{j}") / total for j in range(k))).alias("pi"), F.array(*c).alias("c"), F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(sigma_min)).alias("sigma"))
 
 
-def kmeans_1d(positions: Sequence[float], weights: Sequence[float], k: int) -> list[float]:
-    """Centres of the k contiguous groups of least squares on a sorted histogram, by dynamic programming over suffix starts."""
-    m = len(positions)
-    k = min(k, m)
-    w, x, q = [0.0], [0.0], [0.0]
-    for p, n in zip(positions, weights, strict=True):
-        w.append(w[-1] + n)
-        x.append(x[-1] + n * p)
-        q.append(q[-1] + n * p * p)
-    cost = lambda i, j: q[j] - q[i] - (x[j] - x[i]) ** 2 / (w[j] - w[i])  # noqa: E731  bars i..j-1
-    best = [(cost(i, m), (m,)) for i in range(m)] + [(math.inf, ())]
-    for _ in range(k - 1):
-        best = [min(((cost(i, j) + best[j][0], (j, *best[j][1])) for j in range(i + 1, m)), default=(math.inf, ())) for i in range(m)] + [(math.inf, ())]
-    edges = (0, *best[0][1])
-    return [(x[b] - x[a]) / (w[b] - w[a]) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-#: Steps nearer than this many sigmas are one; steps with a lesser share of the rows are none.
-MIN_SEPARATION, MIN_SHARE = 4.0, 0.01
-
-
-def useful_steps(pi: Sequence[float], c: Sequence[float], sigma: float) -> int:
-    """Components that are steps of their own: near ones joined, light ones dropped, one at least."""
-    groups: list[list[float]] = []
-    for at, share in sorted(zip(c, pi, strict=True)):
-        if groups and at - groups[-1][0] < MIN_SEPARATION * sigma:
-            groups[-1][1] += share
-        else:
-            groups.append([at, share])
-    return max(1, sum(share >= MIN_SHARE for _, share in groups))
-
-
-def fit_mixture(df: DataFrame, r: str, k: int | None = None, bins: int = 512, sigma_min: float = 1e-3, rounds: int = 300, tol: float = 1e-10, most: int = 8) -> DataFrame:
-    """One row pi, c, sigma, log_likelihood: equal-variance normal mixture fitted to a histogram.
-
-    Spark makes the histogram, ``bins`` rows however many data there are; EM runs on it.  Without ``k`` the number of
-    components up to ``most`` with the least BIC is taken, and of these the useful steps are kept.
-    """
-    from tidemark.operators.profile import histogram
-
-    h = histogram(df, r, bins).filter("n > 0").select(((F.col("low") + F.col("high")) / 2).alias("x"), F.col("n").cast("double").alias("n"), (F.col("high") - F.col("low")).alias("width"))
-
-    def em(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("x")
-        x, n, floor = pdf.x.to_numpy(), pdf.n.to_numpy(), max(sigma_min, float(pdf.width.iloc[0]) / 2)
-
-        def fit(k):
-            c = np.array(kmeans_1d(x.tolist(), n.tolist(), min(k, len(x))))
-            near = np.abs(x[:, None] - c).argmin(1)
-            pi = np.maximum(np.bincount(near, n, len(c)) / n.sum(), 1e-12)
-            sigma = max(float(np.sqrt((n * (x - c[near]) ** 2).sum() / n.sum())), floor)
-            last = -np.inf
-            for _ in range(rounds):
-                lp = -0.5 * ((x[:, None] - c) / sigma) ** 2 + np.log(pi)
-                top = lp.max(1, keepdims=True)
-                e = np.exp(lp - top)
-                ll = float((n * (top[:, 0] + np.log(e.sum(1)) - np.log(sigma) - 0.5 * math.log(2 * math.pi))).sum())
-                if ll - last < tol * n.sum():
-                    break
-                last = ll
-                gam = e / e.sum(1, keepdims=True) * n[:, None]
-                mass = gam.sum(0)
-                c = np.where(mass > 1e-9, gam.T @ x / np.maximum(mass, 1e-9), c)
-                sigma = max(float(np.sqrt((gam * (x[:, None] - c) ** 2).sum() / n.sum())), floor)
-                pi = np.maximum(mass / n.sum(), 1e-300)
-            return pi, c, sigma, ll
-
-        steps = k
-        if steps is None:
-            tried = [(-2 * m[3] + 2 * j * np.log(n.sum()), m) for j in range(1, most + 1) for m in [fit(j)]]
-            steps = useful_steps(*min(tried, key=lambda t: t[0])[1][:3])
-        pi, c, sigma, ll = fit(steps)
-        return pd.DataFrame({"pi": [pi.tolist()], "c": [c.tolist()], "sigma": [sigma], "log_likelihood": [ll]})
-
-    return h.groupBy(F.lit(0).alias("all")).applyInPandas(em, "pi array<double>, c array<double>, sigma double, log_likelihood double")
-
-
-def exceedance(mean: Column, threshold: Column, pi: Column, c: Column, sigma: Column) -> Column:
-    """P(mean + mixture error > threshold), by an Arrow-free scalar function over the components."""
-    f = lambda m, t, p, cc, s, sf=dist.norm_sf: None if m is None else float(sum(w * sf((t - m - k) / s) for w, k in zip(p, cc, strict=True)))
-    return F.udf(f, DoubleType())(mean, threshold, pi, c, sigma)
-
-
 # table-driven scoring and explanation ------------------------------------------------------------
 
 
@@ -344,6 +260,43 @@ def add_noise(df: DataFrame, column: str, key: str, sd: float, seed: int = 42) -
     return df.withColumn(column, F.col(column) + sd * F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v))
 
 
+def add_outliers(df: DataFrame, column: str, key: str, share: float, factor: float, seed: int = 42) -> DataFrame:
+    """Column times factor in about share of the rows, which only key and seed choose."""
+    return df.withColumn(column, F.when(dice(F.col(key), seed) < share, F.col(column) * F.lit(float(factor))).otherwise(F.col(column)))
+
+
+def sensitivity(df: DataFrame, columns: Sequence[str], score) -> DataFrame:
+    """variable, low, high: mean score with one column a standard deviation down or up in every row, minus the mean as it is.
+
+    ``score`` maps a dict of columns to a column.
+    """
+    sd = df.agg(*(F.stddev_samp(c).alias(f"__s_{c}") for c in columns))
+    at = {c: F.col(c) for c in columns}
+    moved = lambda c, k: score({**at, c: F.col(c) + k * F.col(f"__s_{c}")})
+    wide = df.crossJoin(F.broadcast(sd)).agg(F.avg(score(at)).alias("__base"), *(F.avg(moved(c, k)).alias(f"__{n}_{c}") for c in columns for n, k in (("low", -1), ("high", 1))))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), (F.col(f"__low_{c}") - F.col("__base")).alias("low"), (F.col(f"__high_{c}") - F.col("__base")).alias("high")) for c in columns))))
+
+
+def bayes_explanation(df: DataFrame, key: str, y: str, columns: Sequence[str]) -> DataFrame:
+    """key, variable, contribution of a Gaussian naive Bayes classifier: log density ratio of the classes, from its mean over the rows."""
+    side = lambda k, c: F.when(F.col(y) == k, F.col(c))
+    p = df.agg(*(a.alias(f"__{n}{k}_{c}") for c in columns for k in (0, 1) for n, a in (("m", F.avg(side(k, c))), ("v", F.var_pop(side(k, c))))))
+    log = lambda k, c: -0.5 * (F.ln(F.col(f"__v{k}_{c}")) + (F.col(c) - F.col(f"__m{k}_{c}")) ** 2 / F.col(f"__v{k}_{c}"))
+    rows = df.crossJoin(F.broadcast(p)).select(key, *((log(1, c) - log(0, c)).alias(c) for c in columns))
+    return linear_explanation(rows, key, dict.fromkeys(columns, 1.0))
+
+
+def term_density(df: DataFrame, variable: str, cuts: Sequence[float]) -> DataFrame:
+    """step, n, share of rows between a numeric term's cuts."""
+    g = df.filter(F.col(variable).isNotNull()).groupBy(bin_right(variable, F.array(*map(F.lit, cuts))).alias("step")).agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def category_effect(contributions: DataFrame, category: str) -> DataFrame:
+    """category, n, mean contribution."""
+    return contributions.groupBy(category).agg(F.count("*").alias("n"), F.avg("contribution").alias("effect"))
+
+
 def learning_curve(df: DataFrame, key: str, fractions: Sequence[float], aggs: Sequence[Column], seed: int = 42) -> DataFrame:
     """fraction, aggregates over nested hash samples: one pass, a row joins every sample that holds it."""
     hit = F.filter(F.array(*(F.when(dice(F.col(key), seed) < f, F.lit(float(f))) for f in fractions)), lambda x: x.isNotNull())

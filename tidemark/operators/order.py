@@ -12,22 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import dice, half_even
+from tidemark.functions.columns import dice, half_even, place_among
 
 RANGES = 64
 
 
-def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    """df with ``__range``: about evenly filled value ranges 0 to ranges - 1, cut by a mergeable quantile sketch."""
+    cuts = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], F.lit(max(10_000, 20 * ranges))).alias("__cuts")) if ranges > 1 else None
+    if cuts is None:
+        return df.withColumn("__range", F.lit(0))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("__range", place_among(order, F.col("__cuts"), ranges - 1)).drop("__cuts")
+
+
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add inclusive running totals {new column: summed column} along ``order``, within ``by``.
 
-    ``order`` is numeric and distinct within ``by``.  Values are cut into equal ranges between the least and the
-    greatest, so tasks hold a range each, and only range totals meet in one.
+    ``order`` is numeric and distinct within ``by``.  Values are cut into ranges of about equal numbers of rows, RANGES or
+    as many as the session has shuffle partitions, so tasks hold a range each, and only range totals meet in one.
     """
     by = list(by)
-    edge = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.try_divide(F.col("__hi") - F.col("__lo"), F.lit(float(ranges)))
-    place = F.coalesce(F.least(F.floor(F.try_divide(F.col(order) - F.col("__lo"), width)), F.lit(ranges - 1)), F.lit(0)).cast("int")
-    cut = df.crossJoin(F.broadcast(edge)).withColumn("__range", place).drop("__lo", "__hi")
+    cut = with_range(df, order, ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     key = F.col("__range").desc() if descending else F.col("__range").asc()
     totals = cut.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,19 +52,21 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), descending: b
     return run.select(*by, value, "n", (F.col("upto") - F.col("n") + 1).alias("rank_min"), (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("rank_avg"), "total")
 
 
-def quantiles(df: DataFrame, value: str, qs: Sequence[float], out: str = "q") -> DataFrame:
-    """One row: array of exact quantiles with linear interpolation, by running counts of distinct values.
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], out: str = "q", by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group): array of exact quantiles with linear interpolation, by running counts of distinct values.
 
     The built-in exact percentile holds every distinct value of a group in one task; this one holds a value range.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    total = counts.agg(F.sum("__c").alias("__n"))
-    t = running_totals(counts, "__v", {"__u": "__c"}).crossJoin(F.broadcast(total))
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    total = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    t = running_totals(counts, "__v", {"__u": "__c"}, by)
+    t = t.join(total, by) if by else t.crossJoin(F.broadcast(total))
     at = lambda q, k: F.floor((F.col("__n") - 1) * F.lit(float(q))) + k
     pick = lambda q, k: F.min(F.when(F.col("__u") >= at(q, k), F.col("__v")))
-    row = t.agg(F.max("__n").alias("__n"), *(pick(q, k).alias(f"__{i}_{k}") for i, q in enumerate(qs) for k in (1, 2)))
+    row = t.groupBy(*by).agg(F.max("__n").alias("__n"), *(pick(q, k).alias(f"__{i}_{k}") for i, q in enumerate(qs) for k in (1, 2)))
     part = lambda q: (F.col("__n") - 1) * F.lit(float(q)) - F.floor((F.col("__n") - 1) * F.lit(float(q)))
-    return row.select(F.array(*(F.col(f"__{i}_1") + F.coalesce(part(q) * (F.col(f"__{i}_2") - F.col(f"__{i}_1")), F.lit(0.0)) for i, q in enumerate(qs))).alias(out))
+    return row.select(*by, F.array(*(F.col(f"__{i}_1") + F.coalesce(part(q) * (F.col(f"__{i}_2") - F.col(f"__{i}_1")), F.lit(0.0)) for i, q in enumerate(qs))).alias(out))
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = False) -> DataFrame:

@@ -36,11 +36,12 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """variable, n, mean, sd, min, p25, p50, p75, max, skew (bias-corrected) of numeric columns in one pass."""
-    names = ("n", "mean", "sd", "min", "q", "max", "skew")
-    aggs = [a.alias(f"{c}__{n}") for c in columns for a, n in zip((F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.percentile(c, [0.25, 0.5, 0.75]), F.max(c).cast("double"), skew_g1(c)), names, strict=True)]
-    parts = {c: (*(F.col(f"{c}__{n}") for n in names[:4]), *(F.col(f"{c}__q")[k] for k in range(3)), F.col(f"{c}__max"), F.col(f"{c}__skew")) for c in columns}
-    return _long(df.agg(*aggs), parts, ("n", "mean", "sd", "min", "p25", "p50", "p75", "max", "skew"))
+    """variable, n, mean, sd, min, p25, p50, p75, max, skew (bias-corrected) of numeric columns: one pass, and one for quartiles."""
+    names = ("n", "mean", "sd", "min", "max", "skew")
+    aggs = [a.alias(f"{c}__{n}") for c in columns for a, n in zip((F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double"), skew_g1(c)), names, strict=True)]
+    wide = _long(df.agg(*aggs), {c: tuple(F.col(f"{c}__{n}") for n in names) for c in columns}, names)
+    out = wide.join(quantiles(unpivot(df, columns), "value", [0.25, 0.5, 0.75], "__q", ["variable"]), "variable", "left")
+    return out.select("variable", *names[:4], *(F.col("__q")[k].alias(p) for k, p in enumerate(("p25", "p50", "p75"))), "max", "skew")
 
 
 def describe_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -185,11 +186,15 @@ def profile_variable(df: DataFrame, column: str, target: str, positive: str, bin
         none = F.lit(None).cast("double")
         return g.select(F.lit("category").alias("kind"), none.alias("x"), none.alias("low"), none.alias("high"), "level", "n", "mean_target", "positive_rate")
     x = df.withColumn("__x", F.col(column).cast("double")).filter("__x IS NOT NULL")
-    distinct = x.select("__x").distinct().agg(F.count("*").alias("__d"))
-    binned = quantile_bins(x, "__x", bins, "__bin").crossJoin(F.broadcast(distinct))
-    few = F.col("__d") <= most
-    g = binned.groupBy(few.alias("__few"), F.when(few, F.col("__x")).otherwise(F.col("__bin").cast("double")).alias("__k")).agg(*aggs, F.percentile("__x", 0.5).alias("x"), F.min("__x").alias("low"), F.max("__x").alias("high"))
-    return g.select(F.when(F.col("__few"), "value").otherwise("bin").alias("kind"), "x", "low", "high", F.lit(None).cast("string").alias("level"), "n", "mean_target", "positive_rate")
+    ends = [F.min("__x").alias("low"), F.max("__x").alias("high")]
+    distinct = x.select("__x").distinct().limit(most + 1).count()
+    if distinct <= most:
+        g = x.groupBy("__x").agg(*aggs, *ends).withColumnRenamed("__x", "x")
+    else:
+        edges = F.array(*map(F.lit, quantile_edges(x, "__x", bins).head().edges))  # bins + 1 numbers
+        keyed = x.withColumn("__bin", F.greatest(F.size(F.filter(edges, lambda e: e < F.col("__x"))), F.lit(1)))
+        g = keyed.groupBy("__bin").agg(*aggs, *ends).join(quantiles(keyed, "__x", [0.5], "__q", ["__bin"]), "__bin").withColumn("x", F.col("__q")[0])
+    return g.select(F.lit("value" if distinct <= most else "bin").alias("kind"), "x", "low", "high", F.lit(None).cast("string").alias("level"), "n", "mean_target", "positive_rate")
 
 
 def histogram(df: DataFrame, column: str, n: int, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -232,7 +237,8 @@ def duplicate_columns(df: DataFrame, a: str, b: str, rtol: float = 1e-6) -> Data
     gathered: value ranges of both are joined by overlap of their places.
     """
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    by_row = rows.agg(F.avg(isclose("a", "b", rtol).cast("double") * 100).alias("by_row_pct"), corr("a", "b").alias("r"), F.try_divide(F.percentile("a", 0.5), F.percentile("b", 0.5)).alias("median_ratio"), F.count("*").alias("__n"))
+    by_row = rows.agg(F.avg(isclose("a", "b", rtol).cast("double") * 100).alias("by_row_pct"), corr("a", "b").alias("r"), F.count("*").alias("__n"))
+    by_row = by_row.crossJoin(quantiles(rows, "a", [0.5], "__qa")).crossJoin(quantiles(rows, "b", [0.5], "__qb")).withColumn("median_ratio", F.try_divide(F.col("__qa")[0], F.col("__qb")[0]))
     last = F.col("rank_min") + F.col("n") - 1
     chunks = lambda c: value_ranks(rows, c).select(F.col(c), last.alias("last"), F.explode(F.sequence(F.col("rank_min"), last, F.lit(1 << 16))).alias("at"))
     span = lambda c: chunks(c).select(c, F.explode(F.sequence(F.col("at"), F.least(F.col("last"), F.col("at") + (1 << 16) - 1))).alias("place"))
@@ -270,9 +276,10 @@ def weekdays(tx: DataFrame) -> DataFrame:
 
 def screen(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """variable, min, p1, p99, max, zero_share."""
-    aggs = [a.alias(f"{c}__{n}") for c in columns for a, n in ((F.min(c).cast("double"), "min"), (F.percentile(c, [0.01, 0.99]), "q"), (F.max(c).cast("double"), "max"), (F.avg((F.col(c) == 0).cast("double")), "zero"))]
-    parts = {c: (F.col(f"{c}__min"), F.col(f"{c}__q")[0], F.col(f"{c}__q")[1], F.col(f"{c}__max"), F.col(f"{c}__zero")) for c in columns}
-    return _long(df.agg(*aggs), parts, ("min", "p1", "p99", "max", "zero_share"))
+    aggs = [a.alias(f"{c}__{n}") for c in columns for a, n in ((F.min(c).cast("double"), "min"), (F.max(c).cast("double"), "max"), (F.avg((F.col(c) == 0).cast("double")), "zero"))]
+    wide = _long(df.agg(*aggs), {c: (F.col(f"{c}__min"), F.col(f"{c}__max"), F.col(f"{c}__zero")) for c in columns}, ("min", "max", "zero_share"))
+    out = wide.join(quantiles(unpivot(df, columns), "value", [0.01, 0.99], "__q", ["variable"]), "variable", "left")
+    return out.select("variable", "min", F.col("__q")[0].alias("p1"), F.col("__q")[1].alias("p99"), "max", "zero_share")
 
 
 def within_slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

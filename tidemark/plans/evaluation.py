@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import corr, interp
 from tidemark.operators import metrics as mt
-from tidemark.operators.order import lag_autocovariance
+from tidemark.operators.order import lag_autocovariance, quantiles
 from tidemark.plans.registry import R, query
 from tidemark.plans.roles import customers, fold_values, predictions, scores
 
@@ -142,6 +142,11 @@ def e12(spark, d):
     return mt.residual_moments(predictions(spark, d), "y", "a")
 
 
+@query("E12_normality", f"WITH e AS (SELECT y - a AS e, (y - a) ** 2 AS e2, a AS p, a * a AS p2 FROM pr), m AS (SELECT count(*) AS n, avg(e) AS mu, var_pop(e) AS v FROM e), g AS (SELECT avg((e - mu) ** 3) / any_value(v) ** 1.5 AS g, avg((e - mu) ** 4) / any_value(v) ** 2 AS k, any_value(n)::DOUBLE AS n, corr(e2, p) AS ca, corr(e2, p2) AS cb, corr(p, p2) AS cc FROM e, m), f AS (SELECT *, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2, (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM g), h AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS aa FROM f), z AS (SELECT *, asinh(g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * aa) - cbrt((1 - 2 / aa) / (1 + x * sqrt(2 / (aa - 4))))) / sqrt(2 / (9 * aa)) AS z2 FROM h) SELECT CAST(n AS BIGINT) AS n, {R('z1 * z1 + z2 * z2', 'k2')}, {R('exp(-(z1 * z1 + z2 * z2) / 2)', 'k2_p')}, {R('exp(-n / 12 * (g * g + (k - 3) ** 2 / 4))', 'jarque_bera_p')}, {R('exp(-n * (ca * ca + cb * cb - 2 * ca * cb * cc) / (1 - cc * cc) / 2)', 'white_p')} FROM z")
+def e12b(spark, d):
+    return mt.normality(predictions(spark, d), "y", "a")
+
+
 @query("E13_ljung_box", f"WITH v AS (SELECT id, a - y - (SELECT avg(a - y) FROM pr) AS e FROM pr), l AS (SELECT e, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3 FROM v WINDOW w AS (ORDER BY id)), r AS (SELECT count(*)::DOUBLE AS n, sum(e * e1) / sum(e * e) AS r1, sum(e * e2) / sum(e * e) AS r2, sum(e * e3) / sum(e * e) AS r3 FROM l) SELECT {R('n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2) + r3 * r3 / (n - 3))', 'q')} FROM r")
 def e13(spark, d):
     p = predictions(spark, d).select("id", (F.col("a") - F.col("y")).alias("e"))
@@ -156,7 +161,7 @@ def e14(spark, d):
     return one("p BETWEEN 0 AND 1", "probability").union(one("s > 1", "margin"))
 
 
-@query("E15_isotonic")
+@query("E15_isotonic", f"WITH k AS (SELECT s, sum(y)::DOUBLE AS t, count(*)::DOUBLE AS n FROM sc GROUP BY 1), c AS (SELECT s, t, n, row_number() OVER (ORDER BY s) AS i, sum(t) OVER (ORDER BY s) AS ct, sum(n) OVER (ORDER BY s) AS cn FROM k), pr2 AS (SELECT a.i AS j, b.i AS k, (b.ct - a.ct + a.t) / (b.cn - a.cn + a.n) AS v FROM c a JOIN c b ON b.i >= a.i), lo AS (SELECT j, k, min(v) OVER (PARTITION BY j ORDER BY k DESC) AS v FROM pr2), fit AS (SELECT k, max(v) AS p FROM lo GROUP BY 1) SELECT id, {R('fit.p', 'p')} FROM sc JOIN c ON c.s = sc.s JOIN fit ON fit.k = c.i")
 def e15(spark, d):
     s = scores(spark, d)
     knots = mt.isotonic(s, "y", "s")
@@ -165,7 +170,10 @@ def e15(spark, d):
     return c.select("id", interp("s", F.transform("k", lambda x: x["score"]), F.transform("k", lambda x: x["p"])).alias("p"))
 
 
-@query("E16_platt")
+_NEWTON = "n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)" + "".join(f", q{i} AS (SELECT a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM sc, n{i}), m{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum((y - q) * p) AS gx, sum(y - q) AS g1, sum(q * (1 - q) * p * p) AS xx, sum(q * (1 - q) * p) AS x1, sum(q * (1 - q)) AS w FROM q{i}), n{i + 1} AS (SELECT a + (w * gx - x1 * g1) / (xx * w - x1 * x1) AS a, b + (xx * g1 - x1 * gx) / (xx * w - x1 * x1) AS b FROM m{i})" for i in range(12))
+
+
+@query("E16_platt", f"WITH {_NEWTON} SELECT {R('a', 'slope')}, {R('b', 'intercept')} FROM n12")
 def e16(spark, d):
     return mt.platt(scores(spark, d), "y", "p")
 
@@ -189,6 +197,20 @@ def e19(spark, d):
     return c.agg((F.sum(F.col("n") * v) / F.sum("n")).alias("brier"), F.sqrt(F.sum(F.col("n") * v) / F.sum("n")).alias("rmse"), (F.sum(F.col("n") * 2 * v) / F.sum("n")).alias("mae"))
 
 
+@query("E19_ceiling_log_loss", f"WITH c AS (SELECT lang, source, avg(y) AS b, count(*) AS n FROM sc GROUP BY 1, 2) SELECT {R('sum(n * CASE WHEN b > 0 AND b < 1 THEN -(b * ln(b) + (1 - b) * ln(1 - b)) ELSE 0 END) / sum(n)', 'log_loss')} FROM c")
+def e19b(spark, d):
+    c, b = scores(spark, d).groupBy("lang", "source").agg(F.avg("y").alias("best"), F.count("*").alias("n")), F.col("best")
+    loss = F.when((b > 0) & (b < 1), -(b * F.ln(b) + (1 - b) * F.ln(1 - b))).otherwise(0.0)
+    return c.agg((F.sum(F.col("n") * loss) / F.sum("n")).alias("log_loss"))
+
+
+@query("E19_ceiling_auc", "WITH c AS (SELECT lang, source, round(avg(y), 12) AS b, sum(y)::DOUBLE AS p, (count(*) - sum(y))::DOUBLE AS q FROM sc GROUP BY 1, 2) SELECT " + R("sum(a.p * d.q * CASE WHEN a.b > d.b THEN 1.0 WHEN a.b = d.b THEN 0.5 ELSE 0.0 END) / sum(a.p * d.q)", "auc") + " FROM c a, c d")
+def e19c(spark, d):
+    s = scores(spark, d)
+    best = s.groupBy("lang", "source").agg(F.round(F.avg("y"), 12).alias("best"))
+    return mt.auc(s.join(best, (s.lang.eqNullSafe(best.lang)) & (s.source.eqNullSafe(best.source))).select("y", "best"), "y", "best").select("auc")
+
+
 @query("E20_optimal_comparison", f"WITH m AS (SELECT y, p, avg(y) OVER (PARTITION BY lang, source) AS best FROM sc) SELECT {R('avg((p - y) ** 2) - avg((best - y) ** 2)', 'brier_gap')} FROM m")
 def e20(spark, d):
     s = scores(spark, d)
@@ -216,7 +238,7 @@ def e32(spark, d):
 @query("E33_shifted_mae", f"WITH m AS (SELECT median(a - y) AS m FROM pr WHERE id % 2 = 0) SELECT {R('avg(abs(a - m - y))', 'mae')} FROM pr, m WHERE id % 2 = 1")
 def e33(spark, d):
     p = predictions(spark, d)
-    m = p.filter("id % 2 = 0").agg(F.percentile(F.col("a") - F.col("y"), 0.5).alias("m"))
+    m = quantiles(p.filter("id % 2 = 0").select((F.col("a") - F.col("y")).alias("e")), "e", [0.5]).select(F.col("q")[0].alias("m"))
     return p.filter("id % 2 = 1").crossJoin(F.broadcast(m)).agg(F.avg(F.abs(F.col("a") - F.col("m") - F.col("y"))).alias("mae"))
 
 
@@ -225,8 +247,8 @@ def a48(spark, d):
     c = customers(spark, d)
     unit = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("customer_id").cast("string"), F.col("seed").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     h = c.withColumn("seed", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("train", unit < 0.5)
-    m = h.filter("train").groupBy("seed").agg(F.percentile("balance", 0.5).alias("median"))
-    t = c.agg(F.percentile("balance", 0.5).alias("t"))
+    m = quantiles(h.filter("train"), "balance", [0.5], "q", ["seed"]).select("seed", F.col("q")[0].alias("median"))
+    t = quantiles(c, "balance", [0.5]).select(F.col("q")[0].alias("t"))
     j = h.filter("NOT train").join(F.broadcast(m), "seed").crossJoin(F.broadcast(t))
     return j.groupBy("seed", "median").agg(F.count_if((F.col("balance") > F.col("median")) != (F.col("balance") > F.col("t"))).alias("flipped"))
 

@@ -10,8 +10,9 @@ from tidemark.operators import order as od
 from tidemark.operators import relational as rl
 from tidemark.operators import store as st
 from tidemark.operators.metrics import verdict
-from tidemark.plans.registry import R, query
+from tidemark.plans.registry import DICE, R, query
 from tidemark.plans.roles import fold_values, predictions, table
+from tidemark.session import scratch
 from tidemark.sources import io
 
 #: Runs made of folds: a row per treatment (model) and half (optimizer), with its scores.
@@ -197,7 +198,7 @@ def io12(spark, d):
     return words.select(from_inverted_index(F.col("i")).alias("text"))
 
 
-@query("W12_tie_by_seed")
+@query("W12_tie_by_seed", f"WITH r AS (SELECT id, row_number() OVER (ORDER BY s DESC, {DICE('id', 42)}, id) AS k, round_even(0.25 * count(*) OVER (), 0) AS n FROM sc) SELECT id, CAST(k <= n AS BIGINT) AS selected FROM r")
 def w12(spark, d):
     from tidemark.plans.roles import scores
 
@@ -207,29 +208,92 @@ def w12(spark, d):
 @query("IO10_headerless_csv", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
 def io10(spark, d):
     """Round trip through CSV without a header, names supplied."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     table(spark, d, "nation").select("n_nationkey", "n_name").write.csv(path)
     return io.csv(spark, path, "k bigint, name string", header=False)
 
 
-@query("IO5_json_round_trip", f"SELECT o_orderkey, {R('o_totalprice', 'o_totalprice')} FROM orders WHERE o_orderkey % 100 = 0")
+@query("IO5_json_round_trip", f"SELECT o_orderkey, {R('o_totalprice', 'o_totalprice')} FROM orders")
 def io5(spark, d):
-    path = _scratch(spark, "json")
-    io.write_json(table(spark, d, "orders").filter("o_orderkey % 100 = 0").select("o_orderkey", "o_totalprice"), path)
+    path = scratch(spark, "json")
+    io.write_json(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), path)
     return spark.read.schema("o_orderkey bigint, o_totalprice double").json(path)
 
 
-def _scratch(spark, kind: str) -> str:
-    """A fresh path in the session's checkpoint folder; a temporary one only where it names none."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+_NATION = "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation"
+
+
+def _nation(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
+
+
+def _put(spark, path, content):
+    """A file's bytes, through Spark's file systems."""
+    fs, p = io._fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def _zipped(files):
+    import io as std
+    import zipfile
+
+    held = std.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return held.getvalue()
+
+
+@query("IO2_locate_and_unzip", _NATION)
+def io2(spark, d):
+    """A table that lies zipped in the second of two candidate folders."""
+    path, rows = scratch(spark, "zip"), _nation(spark, d).collect()  # 25 rows
+    _put(spark, f"{path}/nation.csv.zip", _zipped({"nation.csv": "k,name\n" + "".join(f"{r.k},{r.name}\n" for r in rows)}))
+    return io.csv(spark, io.locate(spark, [f"{path}/none", path], "nation.csv"), "k bigint, name string")
+
+
+@query("IO4_csv_sink", f"SELECT o_orderkey, {R('o_totalprice', 'o_totalprice')}, 'orders' AS source FROM orders")
+def io4(spark, d):
+    path = scratch(spark, "csv")
+    io.write_csv(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), path, "orders", "round trip")
+    rows = io.csv(spark, f"{path}/part*", "o_orderkey bigint, o_totalprice double")
+    return rows.crossJoin(F.broadcast(spark.read.schema("source string, how string").json(f"{path}/_provenance").select("source")))
+
+
+@query("IO6_shared_relation", "SELECT count(*) AS n, true AS same FROM nation")
+def io6(spark, d):
+    a, b = (io.shared(spark, f"{d}/nation.parquet") for _ in range(2))
+    return a.agg(F.count("*").alias("n")).withColumn("same", F.lit(a is b))
+
+
+@query("IO8_workbook", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def io8(spark, d):
+    """A workbook made of the table, read back as cells."""
+    path, rows = scratch(spark, "xlsx"), _nation(spark, d).collect()  # 25 rows
+    names = "".join(f"<si><t>{r.name}</t></si>" for r in rows)
+    cells = "".join(f'<row><c r="A{i + 1}"><v>{r.k}</v></c><c r="C{i + 1}" t="s"><v>{i}</v></c></row>' for i, r in enumerate(rows))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    _put(spark, f"{path}/nation.xlsx", _zipped({"xl/sharedStrings.xml": f"<sst {ns}>{names}</sst>", "xl/worksheets/sheet1.xml": f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>"}))
+    c = io.xlsx(spark, f"{path}/nation.xlsx")
+    return c.groupBy("row").agg(F.max(F.when(F.col("column") == 1, F.col("number"))).cast("long").alias("k"), F.max(F.when(F.col("column") == 3, F.col("text"))).alias("name")).drop("row")
+
+
+@query("IO13_manifest", "SELECT 'nation.csv' AS name, CAST(sum(length(n_nationkey::VARCHAR) + length(n_name) + 2) AS BIGINT) AS bytes, sha256(string_agg(n_nationkey::VARCHAR || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256, 'nation' AS source FROM nation")
+def io13(spark, d):
+    path, rows = scratch(spark, "files"), _nation(spark, d).orderBy("k").collect()  # 25 rows
+    _put(spark, f"{path}/nation.csv", "".join(f"{r.k},{r.name}\n" for r in rows).encode())
+    return io.manifest(spark, path, spark.createDataFrame([("nation.csv", "nation")], "name string, source string")).select("name", "bytes", "sha256", "source")
+
+
+@query("IO15_model_store", f"WITH g AS (SELECT regr_slope(y, a) AS m, regr_intercept(y, a) AS c FROM pr) SELECT id, {R('m * a + c', 'score')} FROM pr, g")
+def io15(spark, d):
+    """A pipeline that is saved, loaded and applied."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    p, path = predictions(spark, d), scratch(spark, "model")
+    io.save_model(Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="v"), LinearRegression(featuresCol="v", labelCol="y", solver="normal")]).fit(p), path)
+    return io.load_pipeline(path).transform(p).select("id", F.col("prediction").alias("score"))

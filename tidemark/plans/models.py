@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as mt
+from tidemark.operators import mixture as mx
 from tidemark.operators import model as md
-from tidemark.plans.registry import R, query
+from tidemark.plans.registry import DICE, TAIL, R, query
 from tidemark.plans.roles import customers, predictions, scores, table
 
 
@@ -76,12 +77,27 @@ def m13(spark, d):
     return md.best_split(md.bin_sums(_codes(spark, d), "r"), 20, 1.0)
 
 
-@query("M14_tree")
+def _tree(depth):
+    """SQL of a tree grown by levels: splits s0, s1, ... and rows with their last node."""
+    out = [f"{_CODES}, cw AS (SELECT customer_id, max(code) FILTER (WHERE variable = 'balance') AS cb, max(code) FILTER (WHERE variable = 'five') AS cf FROM cd GROUP BY 1), t0 AS (SELECT cw.customer_id, cb, cf, r, 0 AS node FROM cw JOIN rs ON cw.customer_id = rs.customer_id)"]
+    for l in range(depth):
+        out.append(f"h{l} AS (SELECT node, variable, code, sum(r)::DOUBLE AS g, count(*) AS n FROM (SELECT node, r, 'balance' AS variable, cb AS code FROM t{l} UNION ALL SELECT node, r, 'five', cf FROM t{l}) WHERE node >= {2**l - 1} GROUP BY 1, 2, 3)")
+        out.append(f"c{l} AS (SELECT node, variable, code, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER v AS gt, sum(n) OVER v AS nt FROM h{l} WINDOW w AS (PARTITION BY node, variable ORDER BY code), v AS (PARTITION BY node, variable))")
+        out.append(f"g{l} AS (SELECT node, variable, code, gl ** 2 / (nl + 1) + (gt - gl) ** 2 / (nt - nl + 1) - gt ** 2 / (nt + 1) AS gain FROM c{l} WHERE nl >= 20 AND nt - nl >= 20)")
+        out.append(f"s{l} AS (SELECT node, variable, code FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, variable, code) AS k FROM g{l} WHERE gain > 1e-9) WHERE k = 1)")
+        out.append(f"t{l + 1} AS (SELECT customer_id, cb, cf, r, CASE WHEN s.node IS NULL THEN t.node WHEN CASE WHEN s.variable = 'balance' THEN cb ELSE cf END <= s.code THEN 2 * t.node + 1 ELSE 2 * t.node + 2 END AS node FROM t{l} t LEFT JOIN s{l} s ON s.node = t.node)")
+    return ", ".join(out)
+
+
+_INNER = " UNION ALL ".join(f"SELECT node, variable, code, NULL::DOUBLE AS value, NULL::BIGINT AS n FROM s{l}" for l in range(3))
+
+
+@query("M14_tree", f"WITH {_tree(3)} SELECT CAST(node AS BIGINT) AS node, variable, CAST(code AS BIGINT) AS code, value, n FROM ({_INNER}) UNION ALL SELECT CAST(node AS BIGINT), NULL, NULL, {R('sum(r) / (count(*) + 1)', 'value')}, count(*) FROM t3 GROUP BY 1")
 def m14(spark, d):
     return md.grow_tree(_codes(spark, d), "customer_id", "r", 3, 20, 1.0)
 
 
-@query("M14_tree_predictions")
+@query("M14_tree_predictions", f"WITH {_tree(2)}, lf AS (SELECT node, sum(r) / (count(*) + 1) AS v FROM t2 GROUP BY 1) SELECT customer_id, {R('v', 'value')} FROM t2 JOIN lf ON t2.node = lf.node")
 def m14b(spark, d):
     codes = _codes(spark, d)
     return md.predict_tree(codes, "customer_id", md.grow_tree(codes, "customer_id", "r", 2, 20, 1.0))
@@ -107,14 +123,33 @@ def m15b(spark, d):
 
 @query("M16_mixture_fit")
 def m16(spark, d):
-    m = md.fit_mixture(predictions(spark, d).select((F.col("a") - F.col("y")).alias("r")), "r")
+    m = mx.fit_mixture(predictions(spark, d).select((F.col("a") - F.col("y")).alias("r")), "r")
     return m.select(F.size("c").alias("k"), F.get("pi", F.lit(0)).alias("pi1"), F.get("c", F.lit(0)).alias("c1"), F.get("c", F.lit(1)).alias("c2"), "sigma", "log_likelihood")
 
 
-@query("M18_exceedance")
+_EXCEEDS = f"z AS (SELECT id, y, a, (250 - a + 5) / 4.0::DOUBLE AS z1, (250 - a - 3) / 4.0::DOUBLE AS z2 FROM pr), x AS (SELECT id, y, a, 0.25::DOUBLE * {TAIL('z1')} + 0.75::DOUBLE * {TAIL('z2')} AS p FROM z)"
+
+
+@query("M18_exceedance", f"WITH {_EXCEEDS} SELECT id, {R('p', 'p')} FROM x")
 def m18(spark, d):
     p = spark.sql("SELECT array(0.25D, 0.75D) AS pi, array(-5.0D, 3.0D) AS c, 4.0D AS sigma")
-    return predictions(spark, d).crossJoin(F.broadcast(p)).select("id", md.exceedance(F.col("a"), F.lit(250.0), F.col("pi"), F.col("c"), F.col("sigma")).alias("p"))
+    return predictions(spark, d).crossJoin(F.broadcast(p)).select("id", mx.exceedance(F.col("a"), F.lit(250.0), F.col("pi"), F.col("c"), F.col("sigma")).alias("p"))
+
+
+@query("M18_outputs")
+def m18b(spark, d):
+    """Exceedance, quantile, interval and level set of forecasts with one fitted mixture of residuals."""
+    p = predictions(spark, d)
+    m = mx.fit_mixture(p.filter("id % 2 = 0").select((F.col("y") - F.col("a")).alias("r")), "r").head()
+    out = mx.mixture_outputs(p.filter("id % 2 = 1"), "a", mx.Mixture(mx.np.array(m.pi), mx.np.array(m.c), m.sigma), 250.0)
+    return out.select("id", "y", "p_exceeds", "quantile", "low", "high", F.size("level_set").alias("intervals"), F.element_at("level_set", 1)["low"].alias("set_low"), F.element_at("level_set", -1)["high"].alias("set_high"))
+
+
+@query("M18_coverage")
+def m18c(spark, d):
+    p = predictions(spark, d)
+    m = mx.fit_mixture(p.filter("id % 2 = 0").select((F.col("y") - F.col("a")).alias("r")), "r").head()
+    return mx.set_coverage(mx.mixture_outputs(p.filter("id % 2 = 1"), "a", mx.Mixture(mx.np.array(m.pi), mx.np.array(m.c), m.sigma), 250.0), "y")
 
 
 _TERMS = [("balance", "balance", "numeric", 5000.0, 2500.0, None, [-1.0, 0.0, 1.0], [0.0, -0.5, -0.1, 0.2, 0.6, 0.0]), ("machinery", "segment", "category", None, None, "MACHINERY", [0.5], [0.0, -0.05, 0.3, 0.0])]
@@ -196,17 +231,48 @@ def m27(spark, d):
     return f.join(o, ["priority", "k"]).select("id", "prediction")
 
 
-@query("M28_permutation_importance")
+@query("M28_permutation_importance", f"WITH b AS (SELECT id, y, a, floor({DICE('id', 42)} * 64) AS b FROM pr), p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) AS i, row_number() OVER (PARTITION BY b ORDER BY {DICE('id', 43)}, id) AS j FROM b), g AS (SELECT (SELECT sqrt(avg((a - y) ** 2)) FROM pr) AS base, sqrt(avg((q.a - p.y) ** 2)) AS shuffled FROM p JOIN p q ON p.b = q.b AND p.i = q.j) SELECT {R('base', 'base')}, {R('shuffled', 'shuffled')}, {R('shuffled - base', 'importance')} FROM g")
 def m28(spark, d):
     return md.permutation_importance(predictions(spark, d), "id", "a", lambda df: df.withColumn("prediction", F.col("a")), F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)))
 
 
-@query("M28_learning_curve")
+@query("M28_learning_curve", " UNION ALL ".join(f"SELECT {f}::DOUBLE AS fraction, count(*) AS n, {R('avg(y)', 'mean')} FROM pr WHERE {DICE('id', 42)} < {f}" for f in (0.1, 0.3, 1.0)))
 def m28b(spark, d):
     return md.learning_curve(predictions(spark, d), "id", [0.1, 0.3, 1.0], [F.count("*").alias("n"), F.avg("y").alias("mean")])
 
 
-@query("M29_noise")
+@query("M28_sensitivity", f"WITH s AS (SELECT stddev_samp(a) AS sa, stddev_samp(b) AS sb, avg(a * b) AS m FROM pr) SELECT 'a' AS variable, {R('avg((a - sa) * b) - any_value(m)', 'low')}, {R('avg((a + sa) * b) - any_value(m)', 'high')} FROM pr, s UNION ALL SELECT 'b', {R('avg(a * (b - sb)) - any_value(m)', 'low')}, {R('avg(a * (b + sb)) - any_value(m)', 'high')} FROM pr, s")
+def m28c(spark, d):
+    return md.sensitivity(predictions(spark, d), ["a", "b"], lambda c: c["a"] * c["b"])
+
+
+@query("M29_outliers", f"WITH o AS (SELECT y, CASE WHEN {DICE('id', 42)} < 0.05 THEN a * 3 ELSE a END AS a FROM pr) SELECT count(*) AS n, {R('sqrt(avg((a - y) ** 2))', 'rmse')}, {R('avg(abs(a - y))', 'mae')}, {R('1 - avg((a - y) ** 2) / var_pop(y)', 'r2')}, {R('avg(abs(a - y) / nullif(abs(y), 0))', 'mape')}, {R('avg(a - y)', 'bias')} FROM o")
+def m29c(spark, d):
+    return mt.regression_metrics(md.add_outliers(predictions(spark, d), "a", "id", 0.05, 3.0), "y", "a")
+
+
+@query("M29_sample_size", " UNION ALL ".join(f"SELECT {f}::DOUBLE AS fraction, count(*) AS n, {R('sqrt(avg((a - y) ** 2))', 'rmse')} FROM pr WHERE {DICE('id', 42)} < {f}" for f in (0.2, 0.5, 1.0)))
+def m29d(spark, d):
+    return md.learning_curve(predictions(spark, d), "id", [0.2, 0.5, 1.0], [F.count("*").alias("n"), F.sqrt(F.avg((F.col("a") - F.col("y")) ** 2)).alias("rmse")])
+
+
+@query("M25_bayes_explanation", "WITH c AS (SELECT id, CAST(y > 150 AS INT) AS k, a, b FROM pr), g AS (SELECT " + ", ".join(f"avg({v}) FILTER (WHERE k = {k}) AS m{k}{v}, var_pop({v}) FILTER (WHERE k = {k}) AS v{k}{v}" for v in "ab" for k in (0, 1)) + " FROM c), l AS (SELECT id, " + ", ".join(f"-0.5 * (ln(v1{v}) + ({v} - m1{v}) ** 2 / v1{v}) + 0.5 * (ln(v0{v}) + ({v} - m0{v}) ** 2 / v0{v}) AS l{v}" for v in "ab") + " FROM c, g) " + " UNION ALL ".join(f"SELECT id, '{v}' AS variable, {R(f'l{v} - avg(l{v}) OVER ()', 'contribution')} FROM l" for v in "ab"))
+def m25b(spark, d):
+    return md.bayes_explanation(predictions(spark, d).withColumn("k", (F.col("y") > 150).cast("int")), "id", "k", ["a", "b"])
+
+
+@query("M22_density", f"WITH s AS (SELECT CASE WHEN balance < 2500 THEN 0 WHEN balance < 5000 THEN 1 WHEN balance < 7500 THEN 2 ELSE 3 END AS step FROM cu) SELECT CAST(step AS BIGINT) AS step, count(*) AS n, {R('count(*) / (SELECT count(*) FROM s)::DOUBLE', 'share')} FROM s GROUP BY 1")
+def m22c(spark, d):
+    return md.term_density(customers(spark, d), "balance", [2500.0, 5000.0, 7500.0])
+
+
+@query("M22_category_effect", f"SELECT segment, count(*) AS n, {R('avg(CASE WHEN segment = $$MACHINERY$$ THEN 0.3 ELSE -0.05 END)', 'effect')} FROM cu GROUP BY 1")
+def m22d(spark, d):
+    c = customers(spark, d).withColumn("contribution", F.when(F.col("segment") == "MACHINERY", 0.3).otherwise(-0.05))
+    return md.category_effect(c, "segment")
+
+
+@query("M29_noise", f"WITH o AS (SELECT y, a + 5.0::DOUBLE * sqrt(-2 * ln(greatest({DICE('id', 42)}, 1e-12::DOUBLE))) * cos(2 * pi() * {DICE('id', 43)}) AS a FROM pr) SELECT count(*) AS n, {R('sqrt(avg((a - y) ** 2))', 'rmse')}, {R('avg(abs(a - y))', 'mae')}, {R('1 - avg((a - y) ** 2) / var_pop(y)', 'r2')}, {R('avg(abs(a - y) / nullif(abs(y), 0))', 'mape')}, {R('avg(a - y)', 'bias')} FROM o")
 def m29(spark, d):
     p = predictions(spark, d)
     return mt.regression_metrics(md.add_noise(p, "a", "id", 5.0), "y", "a")
@@ -224,17 +290,28 @@ def m30(spark, d):
     return wide.select(F.inline(F.array(*(F.struct(F.lit(n).alias("scenario"), F.col(f"`{n}`").alias("rmse")) for n in cases))))
 
 
-@query("M10_spark_ml_catalogue")
+@query("M10_classifiers")
 def m10(spark, d):
-    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=["s", "toxic"], outputCol="features").transform(scores(spark, d).withColumn("label", F.col("y").cast("double")))
-    out = None
-    for name, est in (("logistic", LogisticRegression(maxIter=50)), ("tree", DecisionTreeClassifier(maxDepth=3, seed=1))):
-        p = est.fit(rows).transform(rows).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        one = mt.auc(p, "y", "p").select(F.lit(name).alias("model"), "auc")
+    """AUC of every classifier of the catalogue on held-out rows."""
+    from tidemark.operators import catalogue as cg
+
+    rows, out = cg.vectors(scores(spark, d), ["s", "toxic"], "y"), None
+    for name in cg.classifiers():
+        p = cg.fitted_scores(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), ["s", "toxic"], cg.classifiers()[name])
+        one = mt.auc(p, "y", "score").select(F.lit(name).alias("model"), "auc")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("M10_regressors")
+def m10b(spark, d):
+    """RMSE of every regressor of the catalogue on held-out rows."""
+    from tidemark.operators import catalogue as cg
+
+    rows, out = cg.vectors(predictions(spark, d).withColumn("c", F.col("cust") % 17), ["b", "c"], "y"), None
+    for name in cg.regressors():
+        p = cg.fitted_scores(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), ["b", "c"], cg.regressors()[name])
+        one = mt.regression_metrics(p, "y", "score").select(F.lit(name).alias("model"), "rmse")
         out = one if out is None else out.union(one)
     return out
 
@@ -252,7 +329,7 @@ def m7(spark, d):
     return grid(spark, penalty=[0.1, 1.0, 10.0], depth=[2, 4])
 
 
-@query("M7_random_configs")
+@query("M7_random_configs", f"SELECT config, {R(f'exp(ln(0.001::DOUBLE) + {DICE("config", 42)} * (ln(1000.0::DOUBLE) - ln(0.001::DOUBLE)))', 'penalty')} FROM (SELECT unnest(range(0, 20)) AS config)")
 def m7b(spark, d):
     from tidemark.operators.search import random_configs
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import TAIL_FAR, TAIL_LOW, TAIL_TOP
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -32,6 +35,21 @@ def R(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6) + 0.0 AS {name}"
 
 
+def DICE(key: str, seed: int) -> str:
+    """SQL for the number in [0, 1) that key and seed decide."""
+    return f"(CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '#{seed}'), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0)"
+
+
+def TAIL(z: str) -> str:
+    """SQL for the normal tail of a column, by the same approximation as norm_sf."""
+    x = f"abs({z})"
+    poly = lambda ks: reduce(lambda a, k: f"({a} * {x} + {k!r}::DOUBLE)", ks[1:], f"{ks[0]!r}::DOUBLE")
+    far = reduce(lambda a, k: f"({x} + {k} / {a})", ("4.0::DOUBLE", "3.0::DOUBLE", "2.0::DOUBLE", "1.0::DOUBLE"), f"({x} + 0.65::DOUBLE)")
+    bell = f"exp(-{x} * {x} / 2)"
+    up = f"CASE WHEN {x} < {TAIL_FAR!r}::DOUBLE THEN {bell} * {poly(TAIL_TOP)} / {poly(TAIL_LOW)} WHEN {x} < 37 THEN {bell} / {far} / 2.506628274631::DOUBLE ELSE 0.0 END"
+    return f"(CASE WHEN {z} > 0 THEN {up} ELSE 1.0::DOUBLE - {up} END)"
+
+
 #: The roles of the driver's tables as common table expressions; see roles.py for the same in Spark.
 ROLES = """
 tx AS (SELECT user_id AS customer_id, ts AS date, value AS amount, event_type AS type FROM events),

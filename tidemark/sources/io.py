@@ -63,15 +63,33 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Whole-table rewrite: written beside, then renamed into place."""
+    """Whole-table rewrite: written beside, the old table set aside, the new one renamed into place, the old one deleted.
+
+    At no moment are both gone: after a crash between the two renames ``recover_parquet`` brings the old table back.
+    """
     spark = df.sparkSession
-    staged = f"{path}__staged"
+    staged, old = f"{path}__staged", f"{path}__old"
+    recover_parquet(spark, path)
     df.write.mode("overwrite").parquet(staged)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    _, s = _fs(spark, staged)
-    if not fs.rename(s, target):
+    aside, fresh = _fs(spark, old)[1], _fs(spark, staged)[1]
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(fresh, target):
+        fs.rename(aside, target)
         raise OSError(f"{staged} could not be renamed")
+    fs.delete(aside, True)
+
+
+def recover_parquet(spark: SparkSession, path: str) -> None:
+    """Finish or undo a rewrite that a crash broke off: the table stays if it is there, else the old one returns."""
+    fs, target = _fs(spark, path)
+    aside = _fs(spark, f"{path}__old")[1]
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, target)
 
 
 _CACHE: dict[tuple[str, str], DataFrame] = {}
