@@ -141,6 +141,16 @@ def test_language_without_training_rows(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_many_labels(spark, monkeypatch):
+    """Labels beyond the bound get no model; the most common ones do, and share the characters."""
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid, "ALL_CHARS", 30_000)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(SAY[lang]) for _ in range(20)), lang) for i in range(600) for lang in [r.choice(sorted(SAY))]] + [(700 + i, "the of", f"rare{i}") for i in range(40)]
+    out = {x.doc_id: x.lang_pred for x in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(out.values()) == set(SAY) and sum(out[d] == lang for d, _, lang in rows[:600]) >= 590
+
+
 def test_kneser_ney_sums_to_one():
     assert langid.fit({"x": ["abcab abd cab" * 5], "y": ["zzz yyy"]})["langs"] == ["x", "y"]
     codes, owner = langid.folded(["abcab abd cab" * 5], langid.fold_table())

@@ -4,8 +4,8 @@ One 4-gram model per language over folded characters (letters in lower case, eve
 blank, runs of blanks one).  A 4-gram of 16-bit codes is its own 64-bit hash, so the models of all
 languages are sorted arrays of keys with a row of values for each language, and a text costs one
 binary search per character for all languages together.  The language with the least mean
-cross-entropy per character wins.  Rejection is calibrated on the training rows: a text whose
-cross-entropy is above the 99.5th percentile of its language's own training texts is marked.
+cross-entropy per character wins.  Rejection is calibrated on training texts that the models don't learn from: a text whose
+cross-entropy is above the 99.5th percentile of its language's own held-back texts is marked.
 """
 
 from __future__ import annotations
@@ -23,7 +23,11 @@ from tidemark.llm.common import slices
 ORDER = 4
 #: Characters of training text per language, about; rows are drawn by a hash of doc_id.
 TRAIN_CHARS = 3_000_000
+#: Labels that get a model, those with most characters, and characters of training text in all: what the driver holds.
 MAX_LANGS = 1000
+ALL_CHARS = 48_000_000
+#: One training text in so many is held back to calibrate the rejection.
+HELD = 8
 DISCOUNT = 0.75
 #: A uniform share over this many symbols ends the interpolation.
 ALPHABET = 512
@@ -114,11 +118,12 @@ def fit(texts: dict[str, list[str]]) -> dict:
     """Sorted keys of all orders with a log probability per language."""
     table, langs, models, own = fold_table(), sorted(texts), [], []
     for lang in langs:
-        codes, owner = folded(texts[lang], table)
-        k = keys(codes, ORDER)[scored(owner)]
-        grams, counts = np.unique(k, return_counts=True)
+        few = len(texts[lang]) < 2 * HELD  # too few to hold any back
+        codes, owner = folded([t for i, t in enumerate(texts[lang]) if few or i % HELD], table)
+        grams, counts = np.unique(keys(codes, ORDER)[scored(owner)], return_counts=True)
         models.append(KneserNey(grams, counts))
-        own.append((k, owner[ORDER - 1 :][scored(owner)]))
+        codes, owner = folded([t for i, t in enumerate(texts[lang]) if few or not i % HELD], table)
+        own.append((keys(codes, ORDER)[scored(owner)], owner[ORDER - 1 :][scored(owner)]))
     out = {"langs": langs, "keys": [], "logs": []}
     union = np.unique(np.concatenate([m.levels[0][1] for m in models])) if models else np.empty(0, np.uint64)
     for n in range(ORDER, 0, -1):
@@ -195,18 +200,17 @@ def training_rows(docs: DataFrame, train_chars: int) -> DataFrame:
     """Labelled rows outside the held-out fold, about train_chars characters of each language.
 
     Each language's rate comes from a sum with map-side partials, a number per language that goes into the plan;
-    rows are then picked by a hash of doc_id, so no text is sorted, gathered or shuffled.  More than
-    ``MAX_LANGS`` labels are an error, for a model is kept of each.
+    rows are then picked by a hash of doc_id, so no text is sorted, gathered or shuffled.  Of more than
+    ``MAX_LANGS`` labels those with most characters are learned, ties by name, and many labels share ``ALL_CHARS``.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "text", "lang")
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGS + 1).collect()
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGS).collect()
     if not totals:
         return rows.select("lang", "text")
+    train_chars = min(train_chars, ALL_CHARS // len(totals))
     chars = F.element_at(F.create_map(*(F.lit(x) for r in totals for x in (r.lang, float(r.chars)))), F.col("lang"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(unit * chars < train_chars).select("lang", "text")
+    return rows.filter(unit * chars < train_chars).select("lang", "text")  # labels without a model have no entry and so no row
 
 
 def held_out(id_col: str):
@@ -219,7 +223,8 @@ def identify(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> DataFrame:
     docs has doc_id, text, lang; models learn from the text and lang of rows that aren't held out
     (``crc32(doc_id) % 5 <> 0``), about ``train_chars`` characters per language, and predictions use
     text alone.  ``und`` with score 0 where text is null or has no letter, and everywhere if there is
-    nothing to learn from.  A null doc_id isn't held out.  Repeated rows stay.
+    nothing to learn from.  A null doc_id isn't held out.  Repeated rows stay.  Whole texts are scored, however long;
+    other columns, also ones named as the results are, are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     texts: dict[str, list[str]] = {}
