@@ -175,9 +175,13 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs without any hit, with all their columns as they were; one map-side pass per block."""
+    """The rows of docs without any hit, with all their columns as they were; one map-side pass per block.
+
+    Null and empty texts, null doc_ids and repeated rows stay, and all rows if the benchmark is empty.  With several blocks
+    each pass is written before the next block is read, so that one block is held at a time.
+    """
     at = docs.columns.index("text")
-    for sent, _ in blocks_of(benchmark, block_words):
+    for sent, n in blocks_of(benchmark, block_words):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", SLICE):
@@ -187,4 +191,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
                     yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(trimmed(clean), docs.schema)
+        if n > 1:
+            docs = materialize(docs, "clean")
+            sent.unpersist()
     return docs
