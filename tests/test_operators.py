@@ -340,3 +340,96 @@ def test_platt_is_the_logistic_fit(spark):
     rows = [(x, int(r.random() < 1 / (1 + 2.718281828 ** -(2 * x - 0.5)))) for x in (r.gauss(0, 1) for _ in range(4000))]
     m = mt.platt(spark.createDataFrame(rows, "s double, y int"), "y", "s").head()
     assert m.slope == pytest.approx(2, abs=0.2) and m.intercept == pytest.approx(-0.5, abs=0.15)
+
+
+def test_logistic_boosting_learns_log_odds(spark):
+    from tidemark.functions.columns import sigmoid
+    from tidemark.operators.boosting import boost, predict_column
+
+    r = random.Random(5)
+    rows = []
+    for i in range(3000):
+        a, b = r.random(), None if i % 50 == 0 else float(r.randrange(4))
+        rows.append((i, a, b, int(r.random() < (0.9 if a > 0.5 else 0.2))))
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int").repartition(4)
+    m = boost(df, ["a", "b"], "y", rounds=12, depth=1, rate=0.5, logistic=True)
+    got = df.withColumn("p", sigmoid(predict_column(m))).groupBy((F.col("a") > 0.5).alias("k")).agg(F.avg("p").alias("p"), F.avg("y").alias("y")).collect()
+    for g in got:
+        assert g.p == pytest.approx(g.y, abs=0.03)
+
+
+def test_trees_match_their_leaf_means_with_nulls(spark):
+    from tidemark.operators.boosting import fit_tree, tree_column
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(None if i % 7 == 0 else r.random(), r.gauss(0, 1) + (i % 7 == 0)) for i in range(400)], "a double, y double")
+    t = fit_tree(df, ["a"], {"a": [0.25, 0.5, 0.75]}, F.col("y"), 2, 5, 1.0)
+    leaves = df.groupBy(tree_column(t, ["a"], leaf="node").alias("k")).agg((F.sum("y") / (F.count("*") + 1)).alias("v")).collect()
+    assert t["split"] and {x.k: x.v for x in leaves} == pytest.approx({x.k: t["value"][x.k] for x in leaves})
+    assert fit_tree(df, ["a"], {"a": []}, F.col("y"), 2, 5, 1.0)["value"][0] == pytest.approx(df.agg(F.sum("y")).head()[0] / 401)
+
+
+def test_bca_p_is_where_an_end_meets_zero(spark):
+    r = random.Random(7)
+    rows = [(i, y, y + r.gauss(0, 1.0), y + r.gauss(0, 1.08)) for i in range(300) for y in [r.gauss(0, 3)]]
+    df = spark.createDataFrame(rows, "id int, y double, a double, b double").repartition(4)
+    reps = inf.bootstrap_regression(df, "id", "y", "a", "b", 400).cache()
+    seen = inf.regression_differences(df, "y", "a", "b").select(F.col("rmse").alias("estimate"))
+    jack = inf.jackknife_regression(df, "y", "a", "b").select("id", F.col("rmse").alias("estimate")).cache()
+    rmse = lambda rs, k: (sum((x[k] - x[1]) ** 2 for x in rs) / len(rs)) ** 0.5
+    assert seen.head()[0] == pytest.approx(rmse(rows, 3) - rmse(rows, 2))
+    left = [x for x in rows if x[0] != 17]
+    assert jack.filter("id = 17").head().estimate == pytest.approx(rmse(left, 3) - rmse(left, 2))
+    p = inf.bca_p(reps, "rmse", seen, jack).head().p
+    assert 0.005 < p < 1
+    wide, tight = (inf.bca(reps, "rmse", seen, jack, 1 - q).head() for q in (p * 0.8, min(0.99, p * 1.25)))
+    assert wide.low < 0 < wide.high and not tight.low < 0 < tight.high
+
+
+def test_optimal_block_follows_dependence(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    noise, walk = r.normal(size=800), [0.0]
+    for e in noise[1:]:
+        walk.append(0.8 * walk[-1] + e)
+    df = spark.createDataFrame([(i, float(a), float(b), 1.0) for i, (a, b) in enumerate(zip(noise, walk))], "i int, a double, b double, c double")
+
+    def brute(x):  # Politis and White, written out
+        x = np.asarray(x) - np.mean(x)
+        n = len(x)
+        acov = [float(x[k:] @ x[: n - k]) / n for k in range(40)]
+        top, m = int(np.ceil(n**0.5)) + 5, 0
+        while any(abs(acov[m + k] / acov[0]) >= 2 * (np.log10(n) / n) ** 0.5 for k in range(1, 6) if m + k <= top):
+            m += 1
+        w = min(2 * max(m, 1), top)
+        lam = lambda t: 1.0 if abs(t) <= 0.5 else 2 * (1 - abs(t))
+        g = sum(lam(k / w) * abs(k) * acov[abs(k)] for k in range(-w, w + 1))
+        d = 2 * sum(lam(k / w) * acov[abs(k)] for k in range(-w, w + 1)) ** 2
+        return max(1.0, min((2 * g * g / d) ** (1 / 3) * n ** (1 / 3), np.ceil(min(3 * n**0.5, n / 3))))
+
+    a, b = inf.optimal_block(df, "i", "a"), inf.optimal_block(df, "i", "b")
+    assert a == pytest.approx(brute(noise)) and b == pytest.approx(brute(walk)) and b > a
+    assert inf.optimal_block(df, "i", "c") == 1.0 and inf.optimal_block(df.limit(3), "i", "a") == 1.0
+
+
+def test_permutation_explanation_adds_up(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 3)) for i in range(40)], "id int, a double, b double, c double")
+    score = lambda v: v["a"] * v["b"] + v["c"] * v["c"]
+    got = md.permutation_explanation(df, "id", ["a", "b", "c"], score, df, F.col("id"), most=10, turns=3).collect()
+    base = sum((i % 7) * (i % 5) + (i % 3) ** 2 for i in range(10)) / 10
+    for i in (0, 13, 39):
+        assert sum(x.contribution for x in got if x.id == i) == pytest.approx((i % 7) * (i % 5) + (i % 3) ** 2 - base)
+    squares = sum((i % 3) ** 2 for i in range(10)) / 10  # c is alone in its term, so its part is known
+    assert {x.id: x.contribution for x in got if x.variable == "c"}[13] == pytest.approx(1 - squares)
+
+
+def test_tree_explanation_adds_up(spark):
+    tree = {"variable": [0, 1, 0, -1, -1, -1, -1], "cut": [3, 1, 5, 0, 0, 0, 0], "value": [0, 0, 0, 1.0, 2.0, 4.0, 8.0], "cover": [20, 8, 12, 6, 2, 3, 9]}
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), 0.0) for i in range(20)], "id int, a double, b double, z double")
+    got = md.tree_explanation(df, "id", ["a", "b", "z"], [tree, tree], 0.5).collect()
+    mean = (6 * 1 + 2 * 2 + 3 * 4 + 9 * 8) / 20
+    for i in range(20):
+        want = (1.0 if i % 5 <= 1 else 2.0) if i % 7 <= 3 else (4.0 if i % 7 <= 5 else 8.0)
+        assert sum(x.contribution for x in got if x.id == i) == pytest.approx(want - mean)
+    assert all(x.contribution == 0 for x in got if x.variable == "z")

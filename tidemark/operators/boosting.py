@@ -8,13 +8,14 @@ the lineage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import bin_left
+from tidemark.functions.columns import bin_left, sigmoid
 from tidemark.operators.metrics import conformal_level, kth_smallest
 from tidemark.operators.mixture import exceedance, fit_mixture
 from tidemark.operators.model import best_split, bin_cuts, mixture_e_step, mixture_m_step
@@ -38,30 +39,45 @@ def tree_column(tree: dict, features: Sequence[str], k: int = 0, leaf: str = "va
 
 
 def fit_tree(df: DataFrame, features: Sequence[str], cuts: dict[str, list[float]], residual: Column, depth: int, least: int, lam: float) -> dict:
-    """A least-squares tree of the residual, grown by levels."""
+    """A least-squares tree of the residual, grown by levels: one job a level, whose sums are the leaves' values too.
+
+    Nulls go right at every split, in the sums as in tree_column.
+    """
     tree: dict = {"split": {}, "value": {}}
-    codes = F.array(*(F.struct(F.lit(c).alias("variable"), bin_left(c, F.array(*map(F.lit, cuts[c])) if cuts[c] else F.expr("cast(array() as array<double>)")).alias("code")) for c in features))
+    code = lambda c: F.when(F.col(c).isNull(), len(cuts[c])).otherwise(bin_left(c, F.array(*map(F.lit, cuts[c])) if cuts[c] else F.expr("cast(array() as array<double>)")))
+    codes = F.array(*(F.struct(F.lit(c).alias("variable"), code(c).alias("code")) for c in features))
     for level in range(depth):
         rows = df.select(tree_column(tree, features, leaf="node").alias("node"), residual.alias("r"), F.inline(codes)).filter(F.col("node") >= 2**level - 1)
         sums = rows.groupBy("node", "variable", "code").agg(F.sum("r").alias("g"), F.count("*").alias("n"))
-        best = best_split(sums, least, lam, ["node"]).select("node", "variable", "code").collect()  # a row per node
+        best = best_split(sums, least, lam, ["node"]).collect()  # a row per node
         if not best:
             break
         for b in best:
             tree["split"][b.node] = (features.index(b.variable), cuts[b.variable][b.code])
-    leaves = df.groupBy(tree_column(tree, features, leaf="node").alias("node")).agg((F.sum(residual) / (F.count("*") + lam)).alias("v")).collect()  # a row per leaf
-    tree["value"] = {r.node: r.v for r in leaves}
+            tree["value"] |= {2 * b.node + 1: b.gl / (b.nl + lam), 2 * b.node + 2: b.gr / (b.nr + lam)}
+    if not tree["split"]:
+        tree["value"] = {0: df.agg(F.sum(residual) / (F.count("*") + lam)).head()[0] or 0.0}
     return tree
 
 
-def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, least: int = 20, lam: float = 1.0, bins: int = 32, shift: Column | None = None, start: dict | None = None) -> dict:
-    """Least-squares boosting; ``shift`` is taken off the target, ``start`` is a model to go on from."""
-    model = start or {"features": list(features), "trees": [], "rate": rate, "intercept": df.agg(F.avg(target)).head()[0]}
+def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, least: int = 20, lam: float = 1.0, bins: int = 32, shift: Column | None = None, start: dict | None = None, logistic: bool = False) -> dict:
+    """Least-squares boosting; ``shift`` is taken off the target, ``start`` is a model to go on from.
+
+    ``logistic``: the target is 0 or 1 and the sum of trees is its log odds.  A row's curvature is at most 1/4, so trees
+    follow four times the gradient, a step that can't raise the loss.
+    """
+    if start is None:
+        mean = df.agg(F.avg(target)).head()[0]
+        if logistic:
+            share = min(max(mean, 1e-6), 1 - 1e-6)
+            mean = math.log(share / (1 - share))
+    model = start or {"features": list(features), "trees": [], "rate": rate, "intercept": mean}
     cuts = {r.variable: list(r.cuts) for r in bin_cuts(df, features, bins).collect()}  # variables x bins numbers
     d = checkpointed(df.withColumn("__f", predict_column(model)))
     done = F.col("__f")
     for k in range(rounds):
-        goal = F.col(target) - done - (shift if shift is not None else F.lit(0.0))
+        at = done + shift if shift is not None else done
+        goal = 4 * (F.col(target) - sigmoid(at)) if logistic else F.col(target) - at
         tree = fit_tree(d, features, cuts, goal, depth, least, lam)
         model["trees"].append(tree)
         done = done + rate * tree_column(tree, features)

@@ -16,8 +16,8 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.functions import dist
 from tidemark.functions.columns import CLIFF, COHEN, magnitude, ratio
-from tidemark.operators.metrics import score_table
-from tidemark.operators.order import group_rank, lag_autocovariance, running_totals
+from tidemark.operators.metrics import auc, score_table
+from tidemark.operators.order import group_rank, lag_autocovariance, running_totals, top_fraction
 
 
 def _scalar(f, *cols: Column) -> Column:
@@ -140,20 +140,61 @@ def bootstrap_auc(df: DataFrame, key: str, y: str, a: str, n: int = 200, seed: i
     return t.groupBy("rep").agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
+def regression_differences(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
+    """One row: rmse, mae, r2 of b minus those of a, and the sums that they come from."""
+    ea, eb = F.col(a) - F.col(y), F.col(b) - F.col(y)
+    g = df.agg(F.count(ea + eb).alias("n"), F.sum(ea**2).alias("qa"), F.sum(eb**2).alias("qb"), F.sum(F.abs(ea)).alias("ma"), F.sum(F.abs(eb)).alias("mb"), F.sum(y).alias("sy"), F.sum(F.col(y) ** 2).alias("qy"))
+    return _differences(g, "n", "qa", "qb", F.col("mb") - F.col("ma"), "sy", "qy")
+
+
+def _differences(g: DataFrame, n, qa, qb, m, sy, qy) -> DataFrame:
+    n, qa, qb, sy, qy = (F.col(c) if isinstance(c, str) else c for c in (n, qa, qb, sy, qy))
+    root = lambda q: F.sqrt(F.greatest(q, F.lit(0.0)) / n)
+    return g.withColumns({"rmse": root(qb) - root(qa), "mae": m / n, "r2": F.try_divide(qa - qb, qy - sy * sy / n)})
+
+
+def jackknife_regression(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
+    """df with rmse, mae and r2: the differences b - a without each row, in closed form from the sums."""
+    ea, eb = F.col(a) - F.col(y), F.col(b) - F.col(y)
+    sums = ("n", "qa", "qb", "ma", "mb", "sy", "qy")
+    g = regression_differences(df, y, a, b).select(*(F.col(c).alias(f"__{c}") for c in sums))
+    s = {c: F.col(f"__{c}") for c in sums}
+    d = df.filter((ea + eb).isNotNull()).crossJoin(F.broadcast(g))
+    out = _differences(d, s["n"] - 1, s["qa"] - ea**2, s["qb"] - eb**2, s["mb"] - s["ma"] - F.abs(eb) + F.abs(ea), s["sy"] - F.col(y), s["qy"] - F.col(y) ** 2)
+    return out.drop(*(f"__{c}" for c in sums))
+
+
+def _bca_shape(replicates: DataFrame, value: str, estimate: DataFrame, jackknife: DataFrame | None, null: float = 0.0) -> DataFrame:
+    """One row: replicates n, those below the estimate b and below the null z (ties half), acceleration a."""
+    e = replicates.crossJoin(F.broadcast(estimate.select(F.col("estimate").alias("__e"))))
+    under = lambda x: F.sum(F.when(F.col(value) < x, 1.0).when(F.col(value) == x, 0.5).otherwise(0.0))
+    below = e.agg(under(F.col("__e")).alias("b"), under(F.lit(null)).alias("z"), F.count(value).alias("n"))
+    if jackknife is None:
+        return below.withColumn("a", F.lit(0.0))
+    m = jackknife.agg(F.avg("estimate").alias("__m"))
+    u = F.col("__m") - F.col("estimate")
+    return below.crossJoin(jackknife.crossJoin(F.broadcast(m)).agg(F.coalesce(F.try_divide(F.sum(u * u * u), 6 * F.pow(F.sum(u * u), 1.5)), F.lit(0.0)).alias("a")))
+
+
+def bca_p(replicates: DataFrame, value: str, estimate: DataFrame, jackknife: DataFrame | None = None, null: float = 0.0) -> DataFrame:
+    """One row (p): twice the tail at which an end of the bca interval meets the null value, the formula of its ends solved for the level."""
+
+    def f(b: float, z: float, n: int, a: float, ppf=dist.norm_ppf, cdf=dist.norm_cdf) -> float:
+        inside = lambda k: min(max(k / n, 1 / (2 * n)), 1 - 1 / (2 * n))
+        z0 = ppf(inside(b))
+        w = ppf(inside(z)) - z0
+        tail = cdf(w / (1 + a * w) - z0)
+        return min(1.0, 2 * min(tail, 1 - tail))
+
+    return _bca_shape(replicates, value, estimate, jackknife, null).select(_scalar(f, F.col("b"), F.col("z"), F.col("n"), F.col("a")).alias("p"))
+
+
 def bca(replicates: DataFrame, value: str, estimate: DataFrame, jackknife: DataFrame | None = None, level: float = 0.95) -> DataFrame:
     """One row (low, high): bias-corrected and accelerated interval.
 
     ``estimate`` is one row, column ``estimate``; ``jackknife`` has a column ``estimate`` per left-out row (none: no acceleration).
     """
-    e = replicates.crossJoin(F.broadcast(estimate.select(F.col("estimate").alias("__e"))))
-    below = e.agg((F.sum((F.col(value) < F.col("__e")).cast("double")) + 0.5 * F.sum((F.col(value) == F.col("__e")).cast("double"))).alias("b"), F.count(value).alias("n"))
-    if jackknife is None:
-        below = below.withColumn("a", F.lit(0.0))
-    else:
-        m = jackknife.agg(F.avg("estimate").alias("__m"))
-        u = F.col("__m") - F.col("estimate")
-        a = jackknife.crossJoin(F.broadcast(m)).agg(F.coalesce(F.try_divide(F.sum(u * u * u), 6 * F.pow(F.sum(u * u), 1.5)), F.lit(0.0)).alias("a"))
-        below = below.crossJoin(a)
+    below = _bca_shape(replicates, value, estimate, jackknife)
     tail = (1 - level) / 2
 
     def point(z: float):
@@ -174,6 +215,19 @@ def bca(replicates: DataFrame, value: str, estimate: DataFrame, jackknife: DataF
     return ordered.crossJoin(q).select(at("q_low").alias("low"), at("q_high").alias("high"))
 
 
+def bca_regression(df: DataFrame, key: str, y: str, a: str, b: str, n: int = N_BOOT, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """metric, estimate, low, high, p of the differences b - a of RMSE, MAE and R2, on one set of replicates."""
+    from tidemark.operators.boosting import checkpointed
+
+    replicates = checkpointed(bootstrap_regression(df, key, y, a, b, n, seed))  # a row per replicate
+    seen, left_out, out = regression_differences(df, y, a, b), jackknife_regression(df, y, a, b), None
+    for m in ("rmse", "mae", "r2"):
+        e, j = seen.select(F.col(m).alias("estimate")), left_out.select(F.col(m).alias("estimate"))
+        one = e.crossJoin(bca(replicates, m, e, j, level)).crossJoin(bca_p(replicates, m, e, j)).select(F.lit(m).alias("metric"), "estimate", "low", "high", "p")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def permutation_test(df: DataFrame, key: str, a: str, b: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean of a - b, p of sign flips, n."""
     d = df.select(key, (F.col(a) - F.col(b)).alias("d")).filter("d IS NOT NULL")
@@ -243,13 +297,40 @@ def diebold_mariano(df: DataFrame, order: str, a: str, b: str, h: int = 1) -> Da
     return g.select("n", "mean", "dm", "statistic", t_two_sided(F.col("statistic"), n - 1).alias("p_two_sided"), t_upper(F.col("statistic"), n - 1).alias("p_upper"))
 
 
-def stationary_bootstrap(df: DataFrame, order: str, value: str, block: float, n: int = 500, seed: int = 42) -> DataFrame:
-    """One row: mean, p values and 95 % interval of the mean, blocks of geometric length with mean ``block``.
+def optimal_block(df: DataFrame, order: str, value: str, most: int = 250) -> float:
+    """Mean block length for the stationary bootstrap by Politis and White's rule with Patton's correction, at least 1.
+
+    Autocovariances up to sqrt(n) lags, ``most`` at the utmost, come back; the rule itself is arithmetic on them.
+    """
+    d = df.filter(F.col(value).isNotNull())
+    n = d.count()
+    if n < 9:
+        return 1.0
+    run = max(5, int(math.sqrt(math.log10(n))))
+    top = min(math.ceil(math.sqrt(n)) + run, n - 1, most)
+    acov = [r.acov for r in lag_autocovariance(d, value, order, top).orderBy("k").collect()]
+    if acov[0] <= 0:
+        return 1.0
+    small = 2 * math.sqrt(math.log10(n) / n)
+    loud = [k for k in range(1, top + 1) if abs(acov[k]) >= small * acov[0]]
+    quiet = next((p for p, q in zip([0, *loud], [*loud, top + run + 1]) if q - p > run), top)  # the last lag before a run of small ones
+    width = min(2 * max(quiet, 1), top)
+    taper = [min(1.0, 2 * (1 - k / width)) for k in range(width + 1)]
+    slope = 2 * sum(t * k * acov[k] for k, t in enumerate(taper))
+    level = acov[0] + 2 * sum(taper[k] * acov[k] for k in range(1, width + 1))
+    if level == 0:
+        return 1.0
+    return max(1.0, min(abs(slope / level) ** (2 / 3) * n ** (1 / 3), math.ceil(min(3 * math.sqrt(n), n / 3))))
+
+
+def stationary_bootstrap(df: DataFrame, order: str, value: str, block: float | None = None, n: int = 500, seed: int = 42) -> DataFrame:
+    """One row: mean, p values and 95 % interval of the mean, blocks of geometric length with mean ``block`` (none: optimal_block).
 
     Every place draws, in each replicate, whether a block starts there and where it reads from; a block's later
     places read on from its start, around the end.  Places are numbered once, then replicates are rows.
     """
-    v = df.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    block = optimal_block(df, order, value) if block is None else block
+    v = df.filter(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("v"))
     size = v.agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     r = v.select("i").crossJoin(F.broadcast(size.select("n"))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
     u = lambda k: F.pmod(F.xxhash64("i", "rep", F.lit(seed + k)), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -396,6 +477,35 @@ def model_confidence_set(losses: DataFrame, order: str, models: Sequence[str], a
     return means.groupBy(F.lit(0).alias("all")).applyInPandas(eliminate, "model string, p_mcs double, included boolean")
 
 
+def battery(df: DataFrame, key: str, y: str, model: str, benchmarks: Sequence[str], fold: str = "fold", share: float = 0.25, alpha: float = 0.05) -> DataFrame:
+    """benchmark, test, statistic, p, p_adjusted, in_favour, rejects: one score against each benchmark.
+
+    P1 Wilcoxon and P2 corrected t on AUCs by fold, P3 DeLong and P4 McNemar (of the rows of greatest score) on all
+    rows; p values are adjusted by Holm within a test.  A rejection speaks for the model only where in_favour.
+    """
+    from tidemark.operators.boosting import checkpointed
+
+    names = [model, *benchmarks]
+    long = df.select(y, fold, F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("value")) for m in names))))
+    per = checkpointed(auc(long, y, "value", ["model", fold]).groupBy(fold).pivot("model", names).agg(F.first("auc")))  # a row per fold
+    marked, out = df.select(key, y, *names), None
+    for m in names:  # written between, for each mark reads the table before it three times
+        marked = checkpointed(top_fraction(marked, m, share, key, 0, f"__{m}"))
+    for b in benchmarks:
+        median = per.agg((F.median(F.col(model) - F.col(b)) > 0).alias("in_favour"))
+        rows = {
+            "P1": wilcoxon(per, model, b).crossJoin(median).select("statistic", "p", "in_favour"),
+            "P2": corrected_t(per, model, b).select("t", "p", F.col("mean") > 0),
+            "P3": delong(df, y, b, model).select("z", "p_two_sided", F.col("diff") > 0),
+            "P4": mcnemar(marked, y, f"__{model}", f"__{b}").select((F.col("only_a") - F.col("only_b")).cast("double"), "p", F.col("only_a") > F.col("only_b")),
+        }
+        for test, r in rows.items():
+            one = r.toDF("statistic", "p", "in_favour").select(F.lit(b).alias("benchmark"), F.lit(test).alias("test"), "*")
+            one = checkpointed(one)  # one row, so that plans stay small
+            out = one if out is None else out.unionByName(one)
+    return adjust_p(out, "p", "benchmark", by=["test"]).withColumn("rejects", F.col("p_adjusted") < alpha)
+
+
 def share_of_wins(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: share of rows where a is greater, ties half."""
     return df.agg(ratio(F.sum(F.when(F.col(a) > F.col(b), 1.0).when(F.col(a) == F.col(b), 0.5).otherwise(0.0)), F.count("*")).alias("share"))

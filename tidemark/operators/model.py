@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -90,7 +91,7 @@ def best_split(sums: DataFrame, least: int, lam: float, by: Sequence[str] = ())
     gain = F.col("gl") ** 2 / (F.col("nl") + lam) + gr**2 / (nr + lam) - F.col("gt") ** 2 / (F.col("nt") + lam)
     c = c.filter((F.col("nl") >= least) & (nr >= least)).withColumn("gain", gain).filter("gain > 1e-9")
     order = Window.partitionBy(*by).orderBy(F.round("gain", 9).desc(), "variable", "code")
-    return c.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*by, "variable", "code", "gain", "nl", nr.alias("nr"))
+    return c.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*by, "variable", "code", "gain", "nl", nr.alias("nr"), "gl", gr.alias("gr"))
 
 
 def _code_map(codes: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -233,6 +234,55 @@ def shapley(value_of, players: Sequence[str]) -> dict[str, Column]:
     return out
 
 
+def tree_explanation(df: DataFrame, key: str, features: Sequence[str], trees: list[dict], rate: float = 1.0) -> DataFrame:
+    """key, variable, contribution: exact Shapley values of a forest, trees as in evaluate_forest with ``cover``, the training rows by place.
+
+    A split on a variable outside the set is the mean of its sides by cover.  A tree costs two to the number of variables it uses.
+    """
+
+    def mean(t: dict, known: set, k: int = 0) -> Column:
+        v = t["variable"][k]
+        if v < 0:
+            return F.lit(float(t["value"][k]))
+        low, high = mean(t, known, 2 * k + 1), mean(t, known, 2 * k + 2)
+        if features[v] in known:
+            return F.when(F.col(features[v]) <= t["cut"][k], low).otherwise(high)
+        share = t["cover"][2 * k + 1] / t["cover"][k]
+        return share * low + (1 - share) * high
+
+    phi = dict.fromkeys(features, F.lit(0.0))
+    for t in trees:
+        parts = shapley(lambda s, t=t: mean(t, s), sorted({features[v] for v in t["variable"] if v >= 0}))
+        phi |= {f: phi[f] + rate * c for f, c in parts.items()}
+    return df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("variable"), c.alias("contribution")) for f, c in phi.items()))))
+
+
+def permutation_explanation(df: DataFrame, key: str, columns: Sequence[str], score, background: DataFrame, order: Column, most: int = 50, turns: int = 8, seed: int = 42) -> DataFrame:
+    """key, variable, contribution: Shapley values of any score by sampled orders of the columns, each with its reverse.
+
+    ``score`` maps a dict of columns to a column.  The background is the ``most`` rows of least ``order``, one array that
+    every row meets; a column's contribution is the mean change of the score when it turns from a background row's value
+    to the row's own.  With two columns one order and its reverse are exact.
+    """
+    draw = random.Random(seed)
+    orders = [p for _ in range(turns) for o in [draw.sample(list(columns), len(columns))] for p in (o, o[::-1])]
+    some = background.orderBy(order).limit(most).agg(F.collect_list(F.struct(*columns)).alias("__b"))
+
+    def changes(x: Column) -> Column:
+        total = dict.fromkeys(columns, F.lit(0.0))
+        for o in orders:
+            at = {c: x[c] for c in columns}
+            for c in o:
+                now = {**at, c: F.col(c)}
+                total[c], at = total[c] + score(now) - score(at), now
+        return F.array(*(total[c] / float(len(orders)) for c in columns))
+
+    d = df.crossJoin(F.broadcast(some)).withColumn("__c", F.transform("__b", changes))
+    mean = lambda k: F.aggregate("__c", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(k))) / F.size("__c")
+    rows = F.array(*(F.struct(F.lit(c).alias("variable"), mean(k).alias("contribution")) for k, c in enumerate(columns)))
+    return d.select(key, F.inline(rows))
+
+
 def what_if(df: DataFrame, changes: dict[str, object], products: Sequence[str], cap: float = 600.0) -> DataFrame:
     """Apply changes, then recompute the columns tied to others: shares of products held, capped activity, rounded score."""
     out = df.withColumns({c: F.lit(v) for c, v in changes.items()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import inference as inf
+from tidemark.operators.features import folds
 from tidemark.operators.metrics import auc
 from tidemark.plans.registry import R, query
 from tidemark.plans.roles import fold_values, predictions, scores
@@ -60,6 +61,24 @@ def t5(spark, d):
     return inf.bootstrap_regression(predictions(spark, d), "id", "y", "a", "b", inf.N_BOOT)
 
 
+_SUMS = "g AS (SELECT count(*) AS n, sum((a - y) ** 2) AS qa, sum((b - y) ** 2) AS qb, sum(abs(b - y)) - sum(abs(a - y)) AS m, sum(y) AS sy, sum(y * y) AS qy FROM pr)"
+
+
+@query("T5_differences", f"WITH {_SUMS} SELECT {R('sqrt(qb / n) - sqrt(qa / n)', 'rmse')}, {R('m / n', 'mae')}, {R('(qa - qb) / (qy - sy * sy / n)', 'r2')} FROM g")
+def t5b(spark, d):
+    return inf.regression_differences(predictions(spark, d), "y", "a", "b").select("rmse", "mae", "r2")
+
+
+@query("T5_jackknife", f"WITH {_SUMS} SELECT id, {R('sqrt((qb - (b - y) ** 2) / (n - 1)) - sqrt((qa - (a - y) ** 2) / (n - 1))', 'rmse')}, {R('(m - abs(b - y) + abs(a - y)) / (n - 1)', 'mae')}, {R('(qa - (a - y) ** 2 - qb + (b - y) ** 2) / (qy - y * y - (sy - y) ** 2 / (n - 1))', 'r2')} FROM pr, g")
+def t5c(spark, d):
+    return inf.jackknife_regression(predictions(spark, d), "y", "a", "b").select("id", "rmse", "mae", "r2")
+
+
+@query("T5_bca")
+def t5d(spark, d):
+    return inf.bca_regression(predictions(spark, d), "id", "y", "a", "b")
+
+
 _WIDE = "w AS (SELECT block, max(value) FILTER (WHERE treatment = '1-URGENT') AS a, max(value) FILTER (WHERE treatment = '5-LOW') AS b FROM fo GROUP BY 1)"
 
 
@@ -128,7 +147,13 @@ def t11(spark, d):
 
 @query("T12_stationary_bootstrap")
 def t12(spark, d):
-    return inf.stationary_bootstrap(_losses(spark, d).withColumn("d", F.col("la") - F.col("lb")), "id", "d", block=3.0, n=inf.N_BOOT)
+    return inf.stationary_bootstrap(_losses(spark, d).withColumn("d", F.col("la") - F.col("lb")), "id", "d", n=inf.N_BOOT)
+
+
+@query("T12_optimal_block")
+def t12b(spark, d):
+    block = inf.optimal_block(_losses(spark, d).withColumn("d", F.col("la") - F.col("lb")), "id", "d")
+    return spark.createDataFrame([(block,)], "block double")
 
 
 @query("T13_cliffs_delta", f"WITH r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM sc), g AS (SELECT (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS a FROM r) SELECT {R('2 * a - 1', 'delta')}, {R('a', 'a12')}, CASE WHEN abs(2 * a - 1) < 0.147 THEN 'negligible' WHEN abs(2 * a - 1) < 0.33 THEN 'small' WHEN abs(2 * a - 1) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM g")
@@ -226,9 +251,8 @@ def t18(spark, d):
 
 @query("T19_hypothesis_battery")
 def t19(spark, d):
-    w = _wide(spark, d)
-    tests = inf.wilcoxon(w, "a", "b").select(F.lit("wilcoxon").alias("test"), "p").union(inf.corrected_t(w, "a", "b").select(F.lit("corrected_t"), "p"))
-    return inf.adjust_p(tests, "p", "test")
+    s = _pairs(spark, d).withColumn("s3", F.col("s") % 97)
+    return inf.battery(folds(s, "id", 10), "id", "y", "p", ["s2", "s3"])
 
 
 @query("T20_tie_break_mcnemar")

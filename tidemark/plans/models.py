@@ -74,7 +74,7 @@ def m12(spark, d):
 
 @query("M13_best_split", f"WITH {_CODES}, h AS (SELECT variable, code, sum(r)::DOUBLE AS g, count(*) AS n FROM cd JOIN rs ON cd.customer_id = rs.customer_id GROUP BY 1, 2), c AS (SELECT variable, code, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY variable) AS gt, sum(n) OVER (PARTITION BY variable) AS nt FROM h WINDOW w AS (PARTITION BY variable ORDER BY code)), s AS (SELECT variable, code, gl ** 2 / (nl + 1) + (gt - gl) ** 2 / (nt - nl + 1) - gt ** 2 / (nt + 1) AS gain, nl, nt - nl AS nr FROM c WHERE nl >= 20 AND nt - nl >= 20) SELECT variable, code, {R('gain', 'gain')}, CAST(nl AS BIGINT) AS nl, CAST(nr AS BIGINT) AS nr FROM s ORDER BY round(gain, 9) DESC, variable, code LIMIT 1")
 def m13(spark, d):
-    return md.best_split(md.bin_sums(_codes(spark, d), "r"), 20, 1.0)
+    return md.best_split(md.bin_sums(_codes(spark, d), "r"), 20, 1.0).drop("gl", "gr")
 
 
 def _tree(depth):
@@ -261,6 +261,23 @@ def m25b(spark, d):
     return md.bayes_explanation(predictions(spark, d).withColumn("k", (F.col("y") > 150).cast("int")), "id", "k", ["a", "b"])
 
 
+_VALUES = "v AS (SELECT id, 3.0::DOUBLE AS v0, CASE WHEN a <= 200 THEN 5 / 3.0::DOUBLE ELSE 5.0 END AS va, 2 + 0.6::DOUBLE * CASE WHEN b <= 100 THEN 1.0 ELSE 2.0 END AS vb, CASE WHEN a > 200 THEN 5.0 WHEN b <= 100 THEN 1.0 ELSE 2.0 END AS vab FROM pr)"
+
+
+@query("M25_tree_explanation", f"WITH {_VALUES} SELECT id, 'a' AS variable, {R('0.25 * (va - v0 + vab - vb)', 'contribution')} FROM v UNION ALL SELECT id, 'b', {R('0.25 * (vb - v0 + vab - va)', 'contribution')} FROM v")
+def m25c(spark, d):
+    tree = {"variable": [0, 1, -1, -1, -1], "cut": [200, 100, 0, 0, 0], "value": [0, 0, 5.0, 1.0, 2.0], "cover": [10, 6, 4, 2, 4]}
+    return md.tree_explanation(predictions(spark, d), "id", ["a", "b"], [tree], 0.5)
+
+
+@query("M25_permutation_explanation", f"WITH g AS (SELECT a AS xa, b AS xb FROM pr ORDER BY {DICE('id', 42)}, id LIMIT 20), m AS (SELECT avg(xa) AS ma, avg(xb) AS mb, avg(xa * xb) AS mab FROM g) SELECT id, 'a' AS variable, {R('0.5 * (a * mb - mab + a * b - ma * b)', 'contribution')} FROM pr, m UNION ALL SELECT id, 'b', {R('0.5 * (b * ma - mab + a * b - mb * a)', 'contribution')} FROM pr, m")
+def m25d(spark, d):
+    from tidemark.functions.columns import dice
+
+    p = predictions(spark, d)
+    return md.permutation_explanation(p, "id", ["a", "b"], lambda c: c["a"] * c["b"], p, F.struct(dice(F.col("id"), 42), F.col("id")), most=20, turns=2)
+
+
 @query("M22_density", f"WITH s AS (SELECT CASE WHEN balance < 2500 THEN 0 WHEN balance < 5000 THEN 1 WHEN balance < 7500 THEN 2 ELSE 3 END AS step FROM cu) SELECT CAST(step AS BIGINT) AS step, count(*) AS n, {R('count(*) / (SELECT count(*) FROM s)::DOUBLE', 'share')} FROM s GROUP BY 1")
 def m22c(spark, d):
     return md.term_density(customers(spark, d), "balance", [2500.0, 5000.0, 7500.0])
@@ -361,3 +378,15 @@ def m20(spark, d):
     p = predictions(spark, d).select("id", "y", "a", "b")
     model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=100, turns=1, rounds=1, depth=2, rate=0.5)
     return mt.auc(step_outputs(p.filter("id % 6 = 3"), model, 250.0).withColumn("label", (F.col("y") > 250).cast("int")), "label", "p_exceeds")
+
+
+@query("M20_logistic_boosting")
+def m20b(spark, d):
+    """AUC and log-loss of trees boosted on the log odds, on held-out rows."""
+    from tidemark.functions.columns import sigmoid
+    from tidemark.operators.boosting import boost, predict_column
+
+    p = predictions(spark, d).select("id", "a", "b", (F.col("y") > 250).cast("int").alias("label"))
+    model = boost(p.filter("id % 3 <> 0"), ["a", "b"], "label", rounds=20, depth=2, rate=0.5, logistic=True)
+    out = p.filter("id % 3 = 0").withColumn("p", sigmoid(predict_column(model)))
+    return mt.auc(out, "label", "p").select("auc").crossJoin(mt.probability_losses(out, "label", "p").select("log_loss"))
