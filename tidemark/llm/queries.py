@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, html, jaccard, langid, mixing, pii, quality, sql, suffixes, tokens
+from tidemark.llm import chat, cluster, decontaminate, html, jaccard, langid, layout, mixing, pii, quality, sql, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.document_layout(table(spark, sf_dir, "documents"))
+
+
+def op12_delta_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -68,6 +76,8 @@ SQL = {
     "op4_decontaminate": sql.OP4,
     "op6_suffix_dedup": sql.OP6,
     "op10_quality_rules": sql.OP10,
+    "op11_clustered_layout": sql.OP11,
+    "op12_delta_kmeans": sql.OP12,
     "op2_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

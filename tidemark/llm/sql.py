@@ -77,3 +77,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(a <= a3 + greatest(0.25, 3 * (a3 - a1)), true) AND coalesce(b <= b3 + greatest(0.5, 3 * (b3 - b1)), true) AND coalesce(c BETWEEN c1 - greatest(2, 3 * (c3 - c1)) AND c3 + greatest(3, 3 * (c3 - c1)), true) AS kept
 FROM q LEFT JOIN t ON q.lang IS NOT DISTINCT FROM t.lang AND q.source IS NOT DISTINCT FROM t.source
 """
+
+#: crc32 of the decimal doc_id, by the table of the reflected polynomial.
+CRC = """
+crc_t AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS BIGINT)])), 4294967295) AS crc FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN crc_t)
+"""
+
+
+def _op11(rows_per_file: int = 2000) -> str:
+    names, cells = ("date", "length", "lang", "source"), 8
+    coords = ", ".join(f"CAST({cells} * (rank() OVER (ORDER BY {c} NULLS FIRST) - 1) // count(*) OVER () AS BIGINT) AS {c[0]}{c[1]}" for c in names)
+    short = [c[:2] for c in names]
+    z = " + ".join(f"(({c} >> {b} & 1) << {b * 4 + 3 - i})" for b in range(3) for i, c in enumerate(short))
+    ends = ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in short)
+    near = lambda c, lo, hi: f"{c} BETWEEN {lo} - {int(c in ('da', 'le'))} AND {hi} + {int(c in ('da', 'le'))}"
+    meets = " AND ".join(near(c, f"{c}0", f"{c}1") for c in short)
+    inside = " AND ".join(near(f"{c}", f"p.{c}", f"p.{c}").replace(c, f"q.{c}", 1) for c in short)
+    bounds = " || ',' || ".join(f"{c}{e}" for c in ("so", "la", "le", "da") for e in (0, 1))
+    return f"""
+WITH {CRC},
+d AS (SELECT doc_id, crc % 365 AS date, coalesce(strlen(text), -1) AS length, lang, source FROM documents LEFT JOIN crc USING (doc_id)),
+c AS (SELECT doc_id, {coords} FROM d),
+y AS (SELECT *, {z} AS z FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM y),
+p AS (SELECT *, position // {rows_per_file} AS file FROM o),
+f AS (SELECT file, {ends} FROM p GROUP BY 1),
+u AS (SELECT DISTINCT z, {", ".join(short)} FROM p),
+g AS (SELECT DISTINCT z, file, {", ".join(short)} FROM p),
+t AS (SELECT z, count(*) AS files_touched FROM u JOIN f ON {meets} GROUP BY 1),
+m AS (SELECT p.z, count(DISTINCT q.file) AS files_matching FROM u p JOIN g q ON {inside} GROUP BY 1)
+SELECT doc_id, z, position, file, files_touched, files_matching, {bounds} AS file_bounds FROM p JOIN f USING (file) JOIN t USING (z) JOIN m USING (z)
+"""
+
+
+OP11 = _op11()
+
+
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    held = "greatest(least(floor(1024 * CAST(e AS DOUBLE)), 134217728), -134217728)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, any_value(v.x) AS x, min(CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT) * {k} + k) AS best FROM v CROSS JOIN c{r} c GROUP BY rid)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT best % {k} AS k, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL)")
+            steps.append(f"n{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n{r} n ON c.k = n.k)")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST({held} AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id), x LIMIT {k}),
+{", ".join(steps)},
+r AS (SELECT vec_id, CAST(best % {k} AS INT) AS cluster, CAST(best // {k} AS BIGINT) AS distance FROM a{rounds} JOIN v USING (rid))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM r JOIN c{rounds} c ON r.cluster = c.k
+"""
+
+
+OP12 = _op12()
