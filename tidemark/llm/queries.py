@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, cluster, decontaminate, html, jaccard, langid, layout, mixing, pii, quality, sql, suffixes, tokens
+from tidemark.llm import chat, cluster, decontaminate, html, jaccard, langid, layout, lm, mixing, pii, quality, sql, suffixes, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op12_delta_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm.score_corpus(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -78,6 +84,7 @@ SQL = {
     "op10_quality_rules": sql.OP10,
     "op11_clustered_layout": sql.OP11,
     "op12_delta_kmeans": sql.OP12,
+    "op13_lm_scores": sql.OP13,
     "op2_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

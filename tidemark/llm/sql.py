@@ -133,3 +133,34 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
 
 
 OP12 = _op12()
+
+
+def _discounts(name: str, table: str, count: str) -> str:
+    """Modified Kneser-Ney discounts d1, d2, d3 from counts of counts; fixed ones where a count is missing or a discount is out of range."""
+    n = ", ".join(f"CAST(count(*) FILTER (WHERE {count} = {k}) AS DOUBLE) AS k{k}" for k in (1, 2, 3, 4))
+    y = "k1 / (k1 + 2 * k2)"
+    one = lambda k, fixed: f"CASE WHEN k1 * k2 * k3 * k4 > 0 AND {k} - {k + 1} * ({y}) * k{k + 1} / k{k} > 0 AND {k} - {k + 1} * ({y}) * k{k + 1} / k{k} <= {k} THEN {k} - {k + 1} * ({y}) * k{k + 1} / k{k} ELSE {fixed}::DOUBLE END AS d{k}"
+    return f"{name} AS (SELECT *, {one(1, 0.5)}, {one(2, 1.0)}, {one(3, 1.5)} FROM (SELECT {n} FROM {table}))"
+
+
+_OFF = lambda c, d: f"CASE WHEN {c} >= 3 THEN {d}.d3 WHEN {c} = 2 THEN {d}.d2 WHEN {c} = 1 THEN {d}.d1 ELSE 0 END"
+
+OP13 = f"""
+WITH {CRC},
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(crc % 10 = 0, false) AS held_out, list_append(regexp_extract_all({_AZ}, {_WORD}), ' </s>') AS ws FROM documents LEFT JOIN crc USING (doc_id)),
+t AS MATERIALIZED (SELECT rid, held_out, unnest(list_prepend(' <s>', ws[1:len(ws) - 1])) AS a, unnest(ws) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+p AS MATERIALIZED (SELECT a, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT w, count(*) AS k FROM p GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0)::DOUBLE AS n, count(*) AS v FROM c),
+{_discounts("e", "p", "c")},
+{_discounts("f", "l", "k")},
+g AS (SELECT sum(k)::DOUBLE AS kinds, sum({_OFF("k", "f")}) / sum(k)::DOUBLE AS spare FROM l CROSS JOIN f),
+s AS MATERIALIZED (SELECT a, sum(c)::DOUBLE AS den, sum({_OFF("c", "e")}) AS spare FROM p CROSS JOIN e GROUP BY 1),
+q AS (SELECT t.rid, coalesce(c.c, 0) AS c, CASE WHEN g.kinds IS NULL THEN 1.0 / (n.v + 1) ELSE (coalesce(l.k, 0) - {_OFF("l.k", "f")}) / g.kinds + g.spare / (n.v + 1) END AS low,
+  s.den, s.spare, coalesce(p.c, 0) - {_OFF("p.c", "e")} AS top, n.n, n.v
+  FROM t LEFT JOIN c ON t.w = c.w LEFT JOIN l ON t.w = l.w LEFT JOIN s ON t.a = s.a LEFT JOIN p ON t.a = p.a AND t.w = p.w CROSS JOIN n CROSS JOIN e CROSS JOIN f CROSS JOIN g)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  round(sum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score, round(sum(log10(CASE WHEN den IS NULL THEN low ELSE top / den + spare / den * low END)), 6) AS score
+FROM q JOIN d USING (rid) GROUP BY rid
+"""
