@@ -81,6 +81,14 @@ def test_scores_against_brute_force(spark):
     compare(spark, docs, batch_bytes=1000, shard_bytes=3000)
 
 
+def test_model_stays_in_a_folder_if_asked(spark, tmp_path):
+    docs = [(d, f"a b c{d % 5} a b") for d in range(30)]
+    compare(spark, docs, model_dir=f"{tmp_path}/model")
+    kept = [np.load(f) for f in (tmp_path / "model").glob("*.npy")]
+    pairs = {tuple(p) for d, t in docs if zlib.crc32(str(d).encode()) % 10 for p in zip(["<", *tokens(t)], tokens(t))}
+    assert kept and len(pairs) in map(len, kept)
+
+
 def test_odd_corpora(spark):
     assert compare(spark, [(0, None)])
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 10 == 0)
@@ -106,6 +114,6 @@ def test_packing_and_codes():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 48, 1000).astype(np.uint64)
     assert (lm.unpacked(lm.packed(a, 6), 6) == a).all() and not len(lm.unpacked(lm.packed(a[:0])))
-    assert lm.code_bytes(0) == 4 and lm.code_bytes(1 << 47) == 8 and lm.code_bytes(1 << 60) == 8
+    assert lm.code_bytes(0) == 4 and lm.code_bytes(1 << 31) == 5 and lm.code_bytes(1 << 60) == 8
     assert (lm.shard_of(np.array([0, (1 << 64) - 1], np.uint64), 7) == [0, 6]).all()
     assert re.fullmatch(r"\d+", str(int(lm.BEGIN)))

@@ -212,6 +212,36 @@ def test_regions_with_the_dense_text_keep_their_short_lines():
     assert out.startswith("Head long") and out.count("Of.") == 6 and "out" not in out
 
 
+def test_density_drops_lines_within_an_article():
+    body = "".join(f"<p>{'long prose with many words ' * 8}{i}</p>" for i in range(5)) + "<p>Of.</p>"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>more of number {k}</a></li>" for k in range(6)) + "</ul>"
+    said = "<div><b>Joe</b> <i>says</i> <span>nice!</span></div><div><b>Ann</b> <i>says</i> <span>so so</span></div>"
+    for tag in ("article", "div"):
+        page = f"<body><div><a href=/>home</a></div><{tag}><h1>Head</h1>{body}{links}{said}</{tag}></body>"
+        out = html.extract(page)
+        assert out.startswith("Head long") and out.endswith("Of.") and "Joe" not in out and "more of" not in out
+        assert "Joe" in html.extract(page, cut=-1.0)  # the threshold drops them, nothing else does
+
+
+def test_regions_that_no_tag_or_class_gives_away():
+    """Pages of plain div elements, with menus, teasers and readers' lines around the text, against what was planted."""
+    r = random.Random(23)
+    voc = "tree river stone winter bread light summer garden window morning silver letter".split()
+    say = lambda n: " ".join(r.choice(voc) for _ in range(n)).capitalize() + "."
+    right = blind = 0
+    for _ in range(200):
+        paras = [say(r.randrange(25, 90)) for _ in range(r.randrange(4, 12))]
+        paras.insert(r.randrange(1, len(paras)), say(2))
+        menu = "".join(f"<div><a href=/{k}>{r.choice(voc)}</a></div>" for k in range(r.randrange(4, 12)))
+        teasers = "".join(f"<div><b>{say(2)}</b> <i>{r.choice(voc)}</i> <a href=/{k}>{say(3)}</a></div>" for k in range(r.randrange(2, 6)))
+        said = "".join(f"<div><b>{r.choice(voc)}</b> <i>says</i> <span>{say(3)}</span></div>" for _ in range(r.randrange(1, 5)))
+        text = "".join(f"<p>{p}</p>" for p in paras)
+        page = f"<body><div>{menu}</div><div>{text}{teasers}{said}</div><div><div>{say(2)}</div><div>{say(3)}</div></div></body>"
+        right += html.extract(page) == " ".join(paras)
+        blind += html.extract(page, cut=-1.0) == " ".join(paras)
+    assert right == 200 and blind == 0
+
+
 def planted_page(r):
     """A page in one of several layouts, and the text that was planted in it."""
     voc = "tree river stone winter bread light summer garden window morning silver letter".split()

@@ -6,7 +6,9 @@ roles are never content.  The ratio of each other line (characters outside links
 over neighbouring lines, and a threshold between two means parts dense lines from sparse ones, on every
 page.  The dense lines choose the content region: from the page's root, the way goes down to the child
 that holds ``SHARE`` of their text, as long as it has several lines; an article or main element counts
-``PRIOR`` times.  In the region sparse lines stay where they stand among or beside dense ones.
+``PRIOR`` times.  In the region, whatever its element, dense lines stay; sparse ones do between dense ones, as headings above
+them, or where they are blocks of a kind (tag and parent) that holds dense lines too, so the short paragraph of a text stays and
+the line of a reader or a list of links below it goes.  Lines that are mostly links are never dense.
 
 A page is parsed in time linear in its length, however deep or unclosed its elements are.
 """
@@ -183,27 +185,32 @@ def region(parent: list[int], tag: list[str], element: np.ndarray, mass: np.ndar
     return at, last[at]
 
 
-def choose(lines: list[Line], parent: list[int], tag: list[str], sigma: float) -> tuple[np.ndarray, int]:
-    """Which lines (none of them skipped) are main text, and the number of the content region's element."""
+def choose(lines: list[Line], parent: list[int], tag: list[str], sigma: float, cut: float | None = None) -> tuple[np.ndarray, int]:
+    """Which lines (none of them skipped) are main text, and the number of the content region's element; cut replaces the threshold."""
     text, tags, linked = (np.array([x[k] if k else len(x[k]) for x in lines], float) for k in range(3))
     element = np.array([x.element for x in lines])
     plain = text - linked
-    ratio = smooth(plain / np.maximum(1, tags), sigma)
+    sharp = plain / np.maximum(1, tags)
+    ratio = smooth(sharp, sigma)
     if ratio.max() <= 2 * max(ratio.min(), 1e-9):  # one cluster: nothing stands out
-        ratio = np.ones(len(lines))
-    dense, own = ratio >= threshold(ratio), 2 * linked < text
+        sharp = ratio = np.ones(len(lines))
+    cut = threshold(ratio) if cut is None else cut
+    dense, own = ratio >= cut, 2 * linked < text
     if (dense & own).any():  # smoothing lifts no line of links
         dense &= own
     first, last = region(parent, tag, element, np.where(dense, np.maximum(plain, 0) + 1, 0))
     inside = (element >= first) & (element <= last)
-    if tag[first] == "main":
-        return inside, first
-    up = np.array(parent)[element]
-    near = np.isin(up, up[dense & inside]) | np.isin(element, element[dense & inside])
+    if (dense & inside & (sharp >= cut)).any():  # what only its neighbours lift says nothing of its kind
+        dense &= sharp >= cut
+    # a line that stands in the region's own element, not in a block of it, is of the region's kind
+    kind = np.array([(-1, "") if e == first else (parent[e], tag[e]) for e in element.tolist()], "i8,U16")
+    near = np.isin(kind, kind[dense & inside]) | np.isin(element, element[dense & inside])
     at = np.flatnonzero(dense & inside)
     near[at[0] : at[-1] + 1] = True
     keep = inside & (dense | near & own)
-    k = int(at[0]) - 1
+    if all(tag[e] in HEADING for e in element[keep].tolist()):  # headings alone are no text: they head the region's other lines
+        keep |= inside & own
+    k = int(np.argmax(keep)) - 1
     while k >= 0 and tag[element[k]] in HEADING and not linked[k]:  # headings stand outside what they head
         keep[k] = True
         k -= 1
@@ -216,7 +223,7 @@ def finished(html: str) -> str:
     return html[: cut.start()] if cut else html
 
 
-def extract(html: str, sigma: float = 1.0) -> str:
+def extract(html: str, sigma: float = 1.0, cut: float | None = None) -> str:
     parser = Blocks()
     parser.feed(finished(html))
     parser.close()
@@ -224,7 +231,7 @@ def extract(html: str, sigma: float = 1.0) -> str:
     lines = [x for x in parser.lines if not x.skipped]
     if len(lines) < 2:
         return " ".join(x.text for x in lines)
-    keep, _ = choose(lines, parser.parent, parser.tag, sigma)
+    keep, _ = choose(lines, parser.parent, parser.tag, sigma, cut)
     return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 

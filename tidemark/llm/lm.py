@@ -1,11 +1,12 @@
 """Scoring by an interpolated modified Kneser-Ney bigram model that Spark counts over the corpus itself.
 
 Texts are dealt to batches once.  A batch sends its distinct word pairs, as sorted and packed word codes with their
-training counts, to the shards of the model; a shard's pairs follow from a hash of both words, so a very common word
+training counts, to the shards of the model in one shuffle; a shard's pairs follow from a hash of both words, so a very common word
 is spread over all shards.  A shard merges its pieces to one sorted array of pair hashes with counts, written to the
 shared folder and memory-mapped, and looks the pieces' pairs up in it by binary search.  From its
 pairs it also sends each first word's sum and numbers of counts 1, 2 and 3 or more, and each second word's number of
-left neighbours, to the shards of words, which answer the batches' words alike.  Discounts come
+left neighbours, to the shards of words, which answer the batches' words alike.  A shard's file goes when its task has answered, unless a folder to
+keep the model in is given.  Discounts come
 from counts of counts, some numbers per shard.  Last, every batch meets its answers and its texts become rows.
 
 The order is two, for disk: of these corpora's pairs most are distinct, and of triples nearly all (README gives figures).
@@ -32,7 +33,7 @@ from tidemark.session import scratch_root
 #: Reserved words hold a blank, so that no word of a text equals them.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" <s>", b" </s>"))
 #: Bytes of text in a batch, and of text per shard of the model, about.
-BATCH_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
 #: Base probability: added to every count.
 ADDED = 0.1
 #: Discounts where the counts of counts give none.
@@ -41,8 +42,8 @@ STATS = ("den", "n1", "n2", "n3", "left")
 
 
 def code_bytes(text_bytes: int) -> int:
-    """Bytes of a word's code in pairs: less than one word in 2 ** 16 shares its code with another, however large the corpus."""
-    return min(8, max(4, -(-(max(1, text_bytes).bit_length() + 16) // 8)))
+    """Bytes of a word's code in pairs: if each 16 bytes of text were a word of their own, one in 4,096 would share its code with another."""
+    return min(8, max(4, -(-(max(1, text_bytes >> 4).bit_length() + 12) // 8)))
 
 
 def packed(a: np.ndarray, width: int = 8) -> bytes:
@@ -91,15 +92,18 @@ def found(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray
 class Shards:
     """Arrays in the shared folder, memory-mapped where that is a mounted folder, else read from its store."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, keep: bool = False):
+        self.root, self.keep = root, keep
 
     def _local(self) -> str | None:
         url = urlparse(self.root)
         return unquote(url.path) if url.scheme in ("", "file") else None
 
     def mapped(self, *arrays: np.ndarray) -> list[np.ndarray]:
-        """Write the columns of a shard, and give them back as maps of the file; a task that runs again writes a file of its own."""
+        """Write the columns of a shard, and give them back as maps of the file; a task that runs again writes a file of its own.
+
+        A file that isn't kept loses its name at once, and its room when the maps go.
+        """
         out, name = [], uuid.uuid4().hex
         for k, a in enumerate(arrays):
             if not len(a):
@@ -108,6 +112,10 @@ class Shards:
                 os.makedirs(root, exist_ok=True)
                 np.save(f"{root}/{name}-{k}.npy", a)
                 out.append(np.load(f"{root}/{name}-{k}.npy", mmap_mode="r"))
+                if not self.keep:
+                    os.unlink(f"{root}/{name}-{k}.npy")
+            elif not self.keep:
+                out.append(a)
             else:
                 store, path = fs.FileSystem.from_uri(f"{self.root}/{name}-{k}.npy")
                 np.save(held := io.BytesIO(), a)
@@ -203,6 +211,18 @@ def _kinds(counts: np.ndarray) -> np.ndarray:
     return np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts), counts.sum()], np.int64)
 
 
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
+
+
+def shard_group(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Table:
+    """A shard's pairs answered, or its pieces of words handed on."""
+    if table["kind"][0].as_py() == "pair":
+        return pair_shard(table, shards, width, store)
+    return pa.Table.from_arrays([table[c].combine_chunks() for c in ("kind", "shard", "batch", "first", "count")], schema=ANSWER)
+
+
 def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Table:
     """One shard of pairs: its sorted array, the batches' counts by it, and what it tells of its words."""
     shift = np.uint64(64 - 8 * width)
@@ -215,10 +235,10 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
     order = np.argsort(g, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.empty(0, np.int64)
     once = order[at]
-    keys, counts = store.mapped(g[once], np.add.reduceat(c[order], at).astype(np.int64) if len(at) else np.empty(0, np.int64))
+    keys, counts = store.mapped(g[once], small(np.add.reduceat(c[order], at)) if len(at) else np.empty(0, np.uint8))
     rows = [("pair", number, n, b"", packed(found(keys, counts, pair_hash(a, b)))) for n, a, b, _ in parts]
-    rows.append(("pairs", number, -1, b"", _kinds(np.asarray(counts)).astype("<i8").tobytes()))
-    v, w, c = v[once], w[once], np.asarray(counts)
+    rows.append(("pairs", number, -1, b"", _kinds(np.asarray(counts).astype(np.int64)).astype("<i8").tobytes()))
+    v, w, c = v[once], w[once], np.asarray(counts).astype(np.int64)
     firsts = summed(v, c, *((c == k).astype(np.int64) for k in (1, 2)), (c >= 3).astype(np.int64))
     for kind, (codes, *values) in (("first", firsts), ("second", summed(w, np.ones(len(w), np.int64)))):
         cut = np.searchsorted(shard_of(codes << shift, shards), np.arange(shards + 1))
@@ -231,7 +251,7 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
 def word_shard(words: pa.Table, told: pa.Table, width: int, store: Shards) -> pa.Table:
     """One shard of words: sorted arrays of counts and of what pairs tell, and the batches' answers by them."""
     shift = np.uint64(64 - 8 * width)
-    parts = [(n, np.cumsum(unpacked(a)), unpacked(c)) for n, a, c in zip(*(words[c].to_pylist() for c in ("batch", "first", "count")), strict=True)]
+    parts = [(n, np.cumsum(unpacked(a)), unpacked(c)) for n, a, c in zip(*(words[c].to_pylist() for c in ("batch", "key", "value")), strict=True)]
     if not parts:
         return _answers([])
     number = words["shard"][0].as_py()
@@ -308,14 +328,14 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_corpus(docs: DataFrame, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_corpus(docs: DataFrame, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES, model_dir: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     docs has doc_id and text; the model learns from whole texts of rows whose crc32(doc_id as text) modulo 10 isn't 0,
     and of rows without doc_id.  Null and empty texts have one token, the end, and are learned like others.  score and base_score
     are log10 probabilities of whole texts.  Repeated rows count as often as they are there.  With nothing to learn from every
     probability is 1.  An empty table gives no rows; other columns are ignored, whatever their names.  A task holds one
-    batch of about batch_bytes of text, or one text if that is longer, or one shard of the model.
+    batch of about batch_bytes of text, or one text if that is longer, or one shard of the model.  The sorted arrays of the model stay in model_dir, if given.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -326,13 +346,13 @@ def score_corpus(docs: DataFrame, batch_bytes: int = BATCH_BYTES, shard_bytes: i
     slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     batch = F.element_at(keys, slot + 1) if keys is not None else slot
     texts = dealt(docs.withColumns({"held_out": held_out("doc_id"), "batch": batch.cast("int")}), parts, "batch")
-    store = Shards(f"{scratch_root(spark)}/lm-{uuid.uuid4().hex}")
-    sent = materialize(texts.groupBy("batch").applyInArrow(trimmed_group(lambda t: pieces(t.set_column(t.schema.get_field_index("batch"), "batch", t["batch"].cast(pa.int64())), shards, width)), PIECE_DDL), "pieces")
-    pairs = materialize(sent.filter("kind = 'pair'").groupBy("shard").applyInArrow(trimmed_group(lambda t: pair_shard(t, shards, width, store)), ANSWER_DDL), "pairs")
+    store = Shards(model_dir or f"{scratch_root(spark)}/lm-{uuid.uuid4().hex}", model_dir is not None)
+    wide = lambda t: t.set_column(t.schema.get_field_index("batch"), "batch", t["batch"].cast(pa.int64()))
+    sent = texts.groupBy("batch").applyInArrow(trimmed_group(lambda t: pieces(wide(t), shards, width)), PIECE_DDL)
+    pairs = materialize(sent.groupBy("kind", "shard").applyInArrow(trimmed_group(lambda t: shard_group(t, shards, width, store)), ANSWER_DDL), "pairs")
     release(spark)
     told = pairs.filter("kind in ('first', 'second')")
-    words = materialize(sent.filter("kind = 'word'").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(trimmed_pair(lambda a, b: word_shard(a, b, width, store)), ANSWER_DDL), "words")
-    discard(sent)
+    words = materialize(pairs.filter("kind = 'word'").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(trimmed_pair(lambda a, b: word_shard(a, b, width, store)), ANSWER_DDL), "words")
     release(spark)
     sums: dict[str, np.ndarray] = {"pairs": np.zeros(7, object), "words": np.zeros(7, object), "left": np.zeros(7, object)}
     for r in pairs.filter("kind = 'pairs'").union(words.filter("kind = 'words'")).select("kind", "value").toLocalIterator():  # some numbers per shard
