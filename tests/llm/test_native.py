@@ -126,3 +126,32 @@ def test_mixing_empty_and_all_blank(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(x.size, x.source_size, x.target, x.taken) for x in mixing.mix_report(docs).collect()] == [(0, 0, 0.0, 0)] * 2
     assert mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_mix_keeps_rows_that_differ_anywhere(spark):
+    """Microseconds, nulls beside empty texts, columns named as the operators' own."""
+    rows = [(1, "a b c", "s", f"2024-01-01 00:00:00.00000{k % 3}", None if k % 2 else "", k % 2) for k in range(6)] + [(2, "d", None, None, None, 5), (None, None, "s", None, "", 6), (3, "", "t", None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, t string, note string, Copy int").withColumns({"t": F.col("t").cast("timestamp"), "n": F.col("t").cast("timestamp_ntz"), "row": F.lit(1), "digest": F.lit("x"), "a.b": F.lit(2)})
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy_"]
+    got = [tuple(x) for x in out.collect()]
+    base = {tuple(x) for x in df.collect()}
+    assert len(base) == len(rows) and {x[:-1] for x in got} <= base
+    assert len(got) == sum(x.copies for x in mixing.mix_report(df).collect())
+    assert len({x[3:6] for x in got if x[0] == 1}) > 3  # 5 of these 6 rows at least are taken
+    assert max(x[-1] for x in got) <= 3 and len(set(got)) == len(got)
+    assert sorted(map(repr, got)) == sorted(map(repr, map(tuple, mixing.mix(df).collect())))
+    assert mixing.mix(df.limit(0)).collect() == [] and mixing.mix_report(df.limit(0)).collect() == []
+
+
+def test_filters_take_any_column_name(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(k, say(k) + " a@b.co", "en", "s") for k in range(5)] + [(5, None, None, None), (6, "", "en", "s"), (7, "few", "en", "s"), (7, say(7), "en", "s"), (7, say(7), "en", "s"), (8, "long " * 200000, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1) for c in ("__q_words", "__q_kept", "__q_lang", "__p_text", "__p_m_email", "row", "x.y")})
+    kept = quality.quality_filter(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [0, 1, 2, 3, 4, 7, 7]
+    red = pii.redact(df)
+    assert red.columns == df.columns
+    assert sorted((x.doc_id, x.text or "") for x in red.collect()) == sorted((d, (t or "").replace("a@b.co", "[EMAIL]")) for d, t, *_ in rows)
+    for f in (quality.quality_filter, pii.redact, quality.quality_report, pii.pii_report):
+        assert f(df.limit(0)).collect() == []

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_root
@@ -44,8 +44,46 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._tm_path)
 
 
+_read_later: list[DataFrame] = []
+
+
+def leave(table: DataFrame) -> DataFrame:
+    """A scratch table that the operator's lazy result still reads; drop_left deletes it when the result is written."""
+    _read_later.append(table)
+    return table
+
+
+def drop_left() -> None:
+    """Delete the scratch tables of operators whose results have been written or are no longer wanted."""
+    while _read_later:
+        discard(_read_later.pop())
+
+
+def packed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row of docs as one struct ``row``, with the columns of more: no name of docs can clash with them."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), *more)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unpacked_rows(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The rows of packed_rows again, some columns replaced."""
+    return df.select(*(replaced.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in columns))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this application's operators have written; their results can't be read after it."""
+    _read_later.clear()
     _delete(spark, scratch_root(spark))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hashes, hash_words, materialize, ranges, raw, slices, trimmed, winnow
+from tidemark.llm.common import gram_hashes, hash_words, leave, materialize, ranges, raw, slices, trimmed, winnow
 
 SPAN, GRAM = 10, 5
 BLOCK_WORDS = 2_000_000
@@ -160,7 +160,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, block_words: int
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts), pa.array(at, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "at", "ids"])
 
         keyed = rows.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))
-        partial.append(materialize(keyed.mapInArrow(trimmed(hits), "doc_id long, row string, n_words long, at array<long>, ids array<string>"), "hits"))
+        partial.append(leave(materialize(keyed.mapInArrow(trimmed(hits), "doc_id long, row string, n_words long, at array<long>, ids array<string>"), "hits")))
         sent.unpersist()
     found = partial[0].select("doc_id", "row", "n_words")
     every = partial[0]
@@ -192,6 +192,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
         docs = docs.mapInArrow(trimmed(clean), docs.schema)
         if n > 1:
-            docs = materialize(docs, "clean")
+            docs = leave(materialize(docs, "clean"))
             sent.unpersist()
     return docs

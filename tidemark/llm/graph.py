@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize, shuffle_parts
+from tidemark.llm.common import discard, leave, materialize, shuffle_parts
 
 #: A node is a hub if it has more edges than this and than a task has on average; so many hubs at most, the largest, go to every task.
 HUB, HUBS = 256, 4096
@@ -62,4 +62,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now[:2] == mark[:2]:
             break
         mark = now
+    leave(cur)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

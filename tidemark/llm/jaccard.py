@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, even_keys, gram_hashes, hash_words, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
+from tidemark.llm.common import discard, even_keys, gram_hashes, hash_words, leave, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
 from tidemark.llm.graph import components
 
 N = 5
@@ -492,7 +492,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     spark = docs.sparkSession
     bits = _cell_bits(rows)
-    heads = materialize(rows.mapInArrow(trimmed(_heads(n, bits)), _HEAD), "heads")
+    heads = leave(materialize(rows.mapInArrow(trimmed(_heads(n, bits)), _HEAD), "heads"))
     sent = spark.sparkContext.broadcast(_levels(heads, bits))
     base = heads.filter("kind = 0").select("doc_id", "n", "a", "b")
     entries = (base.agg(F.sum("n")).first()[0] or 0) // 2
@@ -530,7 +530,7 @@ def classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame]:
         texts = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "room", "spots", "away", "text")
         held = texts.mapInArrow(trimmed(sets), "doc_id long, room long, spots array<struct<i:int,j:int>>, away boolean, grams binary")
         held = held.select("room", "doc_id", "away", "grams", F.explode("spots").alias("s")).select("room", "s.i", "s.j", "doc_id", "away", "grams")
-        return materialize(held.groupBy("room", "i", "j").applyInArrow(trimmed_group(_walk), "u long, v long"), "links")
+        return leave(materialize(held.groupBy("room", "i", "j").applyInArrow(trimmed_group(_walk), "u long, v long"), "links"))
 
     at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     zero, mine = F.lit(0), F.col("mine")

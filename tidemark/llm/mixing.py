@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import WORD, free_name, leave, materialize, packed_rows, quoted, unpacked_rows
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -35,8 +35,9 @@ def _level(size: Column) -> Column:
 
 
 def _digest(docs: DataFrame) -> Column:
-    """A digest of all columns: equal only for identical rows."""
-    return F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+    """A digest of all columns, nulls and times to the microsecond included: equal only for identical rows."""
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.sha2(F.to_json(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns))), exact).cast("binary"), 256)
 
 
 def sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
@@ -85,21 +86,24 @@ def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies per row of docs.
 
     Null text has size 0 and takes 0 words; a null source is a source of its own, the last; repeated rows
-    are numbered one after another; rows with a null doc_id take part.  An empty table gives none.
-    Other columns are ignored.
+    are numbered one after another; rows with a null doc_id take part.  An empty table gives none.  Texts count whole, however
+    long.  Other columns are ignored, whatever their names.
     """
-    rows = materialize(sized(docs, seed), "sizes")
+    rows = leave(materialize(sized(docs, seed), "sizes"))
     return mix_sizes(rows, seed).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixture: each row of docs as often as it is emitted (column ``copy``, from 1), other columns as they were.
 
-    Copies are joined back by a digest of the whole row, so that texts which share doc_id and source keep
-    their own; identical rows share one decision, the sum of copies over them.
+    Copies are joined back by a digest of the whole row, so that rows which differ anywhere keep their own;
+    identical rows share one decision, the sum of copies over them.  Null texts, sources and ids take part as in mix_report;
+    rows without words are emitted at their source's rate like others, and nothing is of an empty table.  Where docs has a column ``copy``, in any case, it stays
+    and the new one is named ``copy_`` (or with more underscores); other names can't clash.
     """
-    rows = materialize(sized(docs, seed, _digest(docs).alias("digest")), "sizes")
-    picked = mix_sizes(rows, seed).filter("copies > 0").groupBy(F.col("digest").alias("__x_key")).agg(F.sum("copies").alias("__x_copies"))
-    once = docs.withColumn("__x_key", _digest(docs)).dropDuplicates(["__x_key"])
-    out = once.join(picked, "__x_key")
-    return out.withColumn("__x_copy", F.explode(F.sequence(F.lit(1), F.col("__x_copies").cast("int")))).select(*docs.columns, F.col("__x_copy").alias("copy"))
+    rows = leave(materialize(sized(docs, seed, _digest(docs).alias("digest")), "sizes"))
+    picked = mix_sizes(rows, seed).filter("copies > 0").groupBy("digest").agg(F.sum("copies").alias("n_copies"))
+    once = packed_rows(docs, _digest(docs).alias("digest")).dropDuplicates(["digest"])
+    out = once.join(picked, "digest").select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("nth"))
+    name = free_name("copy", docs.columns)
+    return unpacked_rows(out.withColumn("row", F.struct("row.*", F.col("nth").alias(name))), [*docs.columns, name])

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import packed_rows, unpacked_rows
+
 MIN_SCORE = 0.7
 BEFORE = 40
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -116,8 +118,8 @@ def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores per row of docs.
 
     spans lists kind:start:end (code points, end exclusive), base kinds first, by start within a kind;
-    scores lists their scores in that order.  Null text counts as empty; repeated rows and null ids stay;
-    other columns are ignored.
+    scores lists their scores in that order.  Null text counts as empty; repeated rows and null ids stay; texts are searched
+    whole, however long; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     df = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     scores = F.transform(F.concat(*(F.col(f"__p_{k}") for k in KINDS)), lambda s: s["score"].cast("string"))
@@ -133,9 +135,10 @@ def pii_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans become one.
 
-    Null texts stay null, all other columns stay as they are.
+    Null texts stay null, empty ones empty, all other columns stay as they are, whatever their names; repeated rows stay, an empty table
+    stays empty, and texts are searched whole, however long.
     """
-    df = find_spans(docs)
+    df = find_spans(packed_rows(docs, "text"))
     every = F.sort_array(F.transform(F.concat(*(F.col(f"__p_{k}") for k in KINDS)), lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k"))))
     t = F.col("__p_text")
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
@@ -146,5 +149,5 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(fresh, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate(every, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    df = df.withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.size(every) > 0, clean).otherwise(F.col("text"))))
-    return df.select(*docs.columns)
+    text = F.when(F.col("text").isNotNull(), F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
+    return unpacked_rows(df, docs.columns, text=text)

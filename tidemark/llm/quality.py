@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, materialize
+from tidemark.llm.common import SPACE, leave, materialize, packed_rows, unpacked_rows
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -83,7 +83,7 @@ def _judged(held: DataFrame) -> DataFrame:
     within = F.lit(True)
     for r in SLACK:
         within &= F.coalesce(F.col(f"__q_{r}") >= F.col(f"__q_min_{r}"), F.lit(True)) & F.coalesce(F.col(f"__q_{r}") <= F.col(f"__q_max_{r}"), F.lit(True))
-    return held.join(materialize(thresholds(held), "limits"), ["__q_lang", "__q_source"], "left").withColumn("__q_kept", ~F.col("__q_base_failed") & within)
+    return held.join(leave(materialize(thresholds(held), "limits")), ["__q_lang", "__q_source"], "left").withColumn("__q_kept", ~F.col("__q_base_failed") & within)
 
 
 def _keys() -> dict[str, Column]:
@@ -94,16 +94,22 @@ def _keys() -> dict[str, Column]:
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept per row.
 
-    docs has doc_id, text, lang, source; other columns are ignored.  Null text has no words and so fails
+    docs has doc_id, text, lang, source; other columns are ignored, whatever their names.  Null text has no words and so fails
     the base rules; null langs and sources are groups of their own; repeated rows stay, each with its
-    verdict; an empty table stays empty.  Counts are computed once and written without texts.
+    verdict; an empty table stays empty.  Texts count whole, however long.  Counts are computed once and written without texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    held = materialize(features(rows.withColumns(_keys())).drop("text", "lang", "source"), "quality")
+    held = leave(materialize(features(rows.withColumns(_keys())).drop("text", "lang", "source"), "quality"))
     return _judged(held).select("doc_id", *(F.col(f"__q_{c}").alias(c) for c in OUTPUT[1:]))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_report keeps, with all their columns as they were."""
-    held = materialize(features(docs.withColumns(_keys())), "quality")
-    return _judged(held).filter("__q_kept").select(*docs.columns)
+    """The rows of docs that quality_report keeps, with all their columns as they were, whatever their names.
+
+    Null and empty texts go, an empty table stays empty, repeated rows share their verdict and all stay or go, and texts count whole.
+    Rows are written once with their counts, texts included, for there is no key to join verdicts by; drop_left
+    deletes that table when the result has been written.
+    """
+    rows = packed_rows(docs, "text", "lang", "source")
+    held = leave(materialize(features(rows.withColumns(_keys())).drop("text", "lang", "source"), "quality"))
+    return unpacked_rows(_judged(held).filter("__q_kept"), docs.columns)
