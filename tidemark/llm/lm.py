@@ -32,8 +32,9 @@ from tidemark.session import scratch_root
 
 #: Reserved words hold a blank, so that no word of a text equals them.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" <s>", b" </s>"))
+ENDED = np.array([END])
 #: Bytes of text in a batch, and of text per shard of the model, about.
-BATCH_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BATCH_BYTES, SHARD_BYTES = 10 << 20, 10 << 20
 #: Base probability: added to every count.
 ADDED = 0.1
 #: Discounts where the counts of counts give none.
@@ -130,33 +131,35 @@ class Batch:
     """Tokens of texts: lower-cased words, then one end for each text."""
 
     def __init__(self, texts: list[bytes], trains: np.ndarray):
-        words = [t.lower().split() for t in texts]  # ASCII only, as bytes
-        self.sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        ends = np.cumsum(self.sizes)
-        n = int(ends[-1]) if len(ends) else 0
-        last = np.zeros(n, bool)
-        last[ends - 1] = True
-        h = np.full(n, END, np.uint64)
-        h[~last] = hash_words([x for w in words for x in w])
-        del words
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        self.trains = trains[self.owner]
+        parts = []
+        for t in texts:
+            parts += [hash_words(t.lower().split()), ENDED]  # bytes: only ASCII letters and blanks count
+        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.sizes = np.fromiter((len(w) + 1 for w in parts[::2]), np.int64, len(texts))
+        del parts
+        n, starts = len(h), np.cumsum(self.sizes) - self.sizes
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        self.trains = np.repeat(trains, self.sizes)
         # local numbers follow the order of hashes, so pairs of numbers are ordered as pairs of hashes are
         order = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if n else np.empty(0, bool)
-        words_ = h[order][new]
-        at_begin = int(np.searchsorted(words_, BEGIN))
-        local = np.empty(n, np.int64)
-        local[order] = np.cumsum(new) - 1
+        h = h[order]
+        new = np.concatenate(([True], h[1:] != h[:-1])) if n else np.empty(0, bool)
+        words = h[new]
+        del h
+        at_begin = int(np.searchsorted(words, BEGIN))
+        local = np.empty(n, np.int32)
+        local[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         local += local >= at_begin
-        self.words = np.insert(words_, at_begin, BEGIN) if n else words_
-        before = np.empty(n, np.int64)
-        before[1:] = local[:-1]
-        before[ends - self.sizes] = at_begin
-        self.local, self.before = local, before
-        self.pair = before * len(self.words) + local
-        self.pairs = np.sort(self.pair)
-        self.pairs = self.pairs[np.concatenate(([True], self.pairs[1:] != self.pairs[:-1]))] if n else self.pairs
+        self.words = np.insert(words, at_begin, BEGIN) if n else words
+        self.local = local
+        self.pair = np.empty(n, np.int64)
+        self.pair[1:] = local[:-1]
+        self.pair[starts] = at_begin
+        self.pair *= len(self.words)
+        self.pair += local
+        pairs = np.sort(self.pair)
+        self.pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if n else pairs
 
     def coded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the distinct pairs' words."""
@@ -229,6 +232,7 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
     parts = [(n, np.cumsum(unpacked(a, width)), unpacked(b, width), unpacked(c)) for n, a, b, c in zip(*(table[c].to_pylist() for c in ("batch", "first", "second", "count")), strict=True)]
     number = table["shard"][0].as_py()
     v, w, c = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    parts = [(n, pair_hash(a, b)) for n, a, b, _ in parts]
     keep = c > 0
     v, w, c = v[keep], w[keep], c[keep]
     g = pair_hash(v, w)
@@ -236,7 +240,8 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
     at = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.empty(0, np.int64)
     once = order[at]
     keys, counts = store.mapped(g[once], small(np.add.reduceat(c[order], at)) if len(at) else np.empty(0, np.uint8))
-    rows = [("pair", number, n, b"", packed(found(keys, counts, pair_hash(a, b)))) for n, a, b, _ in parts]
+    rows = [("pair", number, n, b"", packed(found(keys, counts, x))) for n, x in parts]
+    del parts, g, order
     rows.append(("pairs", number, -1, b"", _kinds(np.asarray(counts).astype(np.int64)).astype("<i8").tobytes()))
     v, w, c = v[once], w[once], np.asarray(counts).astype(np.int64)
     firsts = summed(v, c, *((c == k).astype(np.int64) for k in (1, 2)), (c >= 3).astype(np.int64))
