@@ -1,8 +1,8 @@
 """Statistical comparison: aggregates in Spark, then one scalar step per row of a tiny result.
 
 The scalar step is a Python UDF over closed-form distribution functions; it sees a row per test, never data.
-Replicates (bootstrap, permutation) are an axis of rows: each data row gets a weight or sign per replicate
-from a hash, and replicates are aggregated with map-side partials.
+Replicates (bootstrap, permutation) are drawn inside tasks, which give one vector of sums per replicate (replicates.py);
+what needs one order of all rows runs on its parts (series.py).
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql.types import DoubleType
 from tidemark.functions import dist
 from tidemark.functions.columns import CLIFF, COHEN, magnitude, ratio
 from tidemark.operators.metrics import auc, score_table
-from tidemark.operators.order import group_rank, lag_autocovariance, running_totals, top_fraction
+from tidemark.operators.order import group_rank, lag_autocovariance, running_totals, top_fraction, value_ranks
+from tidemark.operators.replicates import bootstrap_auc, paired_bootstrap_auc, replicate_sums  # noqa: F401
+from tidemark.operators.series import stationary_means
 
 
 def _scalar(f, *cols: Column) -> Column:
@@ -101,43 +103,12 @@ N_BOOT, N_PERM, N_MCS = 2000, 10000, 1000
 # T3 to T5, T9: replicates ------------------------------------------------------------------------
 
 
-def _dice(key: str, seed: int) -> Column:
-    """Uniform in (0, 1) by row, replicate and seed."""
-    return (F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-
-
-def poisson_weight(u: Column, most: int = 12) -> Column:
-    """Poisson(1) count of a uniform number."""
-    cum, term, total = F.lit(0), math.exp(-1), 0.0
-    for k in range(most):
-        total += term
-        cum = cum + (u >= total).cast("int")
-        term /= k + 1
-    return cum
-
-
-def with_replicates(df: DataFrame, n: int) -> DataFrame:
-    """Each row once for every replicate 1..n, generated in place; nothing is shuffled."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-
-
 def bootstrap_regression(df: DataFrame, key: str, y: str, a: str, b: str, n: int = 200, seed: int = 42) -> DataFrame:
     """rep, and differences b - a of RMSE, MAE and R2 under Poisson weights."""
     ea, eb = F.col(a) - F.col(y), F.col(b) - F.col(y)
-    r = with_replicates(df.select(key, F.col(y).alias("__y"), ea.alias("__a"), eb.alias("__b")), n).withColumn("w", poisson_weight(_dice(key, seed)))
-    w = F.col("w")
-    s = lambda x: F.sum(w * x)
-    g = r.filter("w > 0").groupBy("rep").agg(F.sum(w).alias("n"), s(F.col("__a") ** 2).alias("qa"), s(F.col("__b") ** 2).alias("qb"), s(F.abs("__a")).alias("ma"), s(F.abs("__b")).alias("mb"), s(F.col("__y")).alias("sy"), s(F.col("__y") ** 2).alias("qy"))
-    total = F.col("qy") - F.col("sy") ** 2 / F.col("n")
-    return g.select("rep", (F.sqrt(F.col("qb") / F.col("n")) - F.sqrt(F.col("qa") / F.col("n"))).alias("rmse"), ((F.col("mb") - F.col("ma")) / F.col("n")).alias("mae"), F.try_divide(F.col("qa") - F.col("qb"), total).alias("r2"))
-
-
-def bootstrap_auc(df: DataFrame, key: str, y: str, a: str, n: int = 200, seed: int = 42) -> DataFrame:
-    """rep, auc under Poisson weights; ranks come from weighted counts of distinct scores."""
-    r = with_replicates(df.filter(F.col(y).isNotNull() & F.col(a).isNotNull()).select(key, F.col(y).alias("__y"), F.col(a).cast("double").alias("score")), n).withColumn("w", poisson_weight(_dice(key, seed)))
-    t = r.groupBy("rep", "score").agg(F.sum(F.when(F.col("__y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("__y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    t = running_totals(t, "score", {"below": "neg"}, ["rep"])
-    return t.groupBy("rep").agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0)), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    values = {"n": F.lit(1.0), "qa": ea**2, "qb": eb**2, "ma": F.abs(ea), "mb": F.abs(eb), "sy": F.col(y), "qy": F.col(y) ** 2}
+    g = replicate_sums(df, key, values, n, seed).filter("n > 0")
+    return _differences(g, "n", "qa", "qb", F.col("mb") - F.col("ma"), "sy", "qy").select("rep", "rmse", "mae", "r2")
 
 
 def regression_differences(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
@@ -231,9 +202,10 @@ def bca_regression(df: DataFrame, key: str, y: str, a: str, b: str, n: int = N_B
 def permutation_test(df: DataFrame, key: str, a: str, b: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """One row: mean of a - b, p of sign flips, n."""
     d = df.select(key, (F.col(a) - F.col(b)).alias("d")).filter("d IS NOT NULL")
-    r = with_replicates(d, n).groupBy("rep").agg(F.avg(F.when(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)) % 2 == 0, F.col("d")).otherwise(-F.col("d"))).alias("m"))
-    seen = d.agg(F.avg("d").alias("diff"))
-    g = r.crossJoin(F.broadcast(seen)).groupBy("diff").agg(F.count_if(F.abs("m") >= F.abs("diff") - 1e-15).alias("k"))
+    seen = d.agg(F.avg("d").alias("diff"), F.sum("d").alias("s"), F.count("*").alias("rows"))
+    r = replicate_sums(d, key, {"up": F.col("d")}, n, seed, "coins").crossJoin(F.broadcast(seen))
+    m = (2 * F.col("up") - F.col("s")) / F.col("rows")  # those with a 1 keep their sign
+    g = r.groupBy("diff").agg(F.count_if(F.abs(m) >= F.abs("diff") - 1e-15).alias("k"))
     return g.select("diff", ((F.col("k") + 1) / F.lit(float(n + 1))).alias("p"), F.lit(n).alias("n_perm"))
 
 
@@ -284,6 +256,42 @@ def mcnemar(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     return g.select("only_a", "only_b", binomial_two_sided(F.col("only_a").cast("double"), (F.col("only_a") + F.col("only_b")).cast("double")).alias("p"), "n")
 
 
+def tie_break_mcnemar(df: DataFrame, y: str, a: str, b: str, fraction: float, n: int = 2000, seed: int = 42) -> DataFrame:
+    """rep, only_a, only_b, p, n of McNemar's test of the rows of greatest a against those of greatest b, ties at both cuts broken at random.
+
+    A row is in, out or tied at each score's cut.  Which tied rows are drawn matters only through how many of each class and each
+    state of the other score they are, and those numbers are hypergeometric: Spark counts rows by class and states, 18 numbers at
+    most, and the draws are made from them.
+    """
+    import numpy as np
+
+    rows = df.select(y, a, b).dropna(subset=[y])
+    quota = {}
+    for c, name in ((a, "__a"), (b, "__b")):
+        ranks = value_ranks(rows, c, descending=True)
+        ranks = ranks.withColumn("quota", F.bround(F.col("total") * F.lit(fraction)).cast("long"))
+        last = F.col("rank_min") + F.col("n") - 1
+        state = F.when(last <= F.col("quota"), 1).when(F.col("rank_min") > F.col("quota"), 0).otherwise(2)
+        edge = ranks.filter(state == 2).agg(F.first(F.col("quota") - F.col("rank_min") + 1)).first()[0]
+        quota[name] = int(edge or 0)
+        rows = rows.join(ranks.select(c, state.alias(name)), c, "left").fillna(0, [name])
+    cells = {(int(r[y]), r["__a"], r["__b"]): r.n for r in rows.groupBy(y, "__a", "__b").agg(F.count("*").alias("n")).collect()}
+    draw, out = np.random.default_rng(seed), []
+    for rep in range(1, n + 1):
+        now = dict(cells)
+        for at, name in ((1, "__a"), (2, "__b")):
+            tied = sorted(k for k in now if k[at] == 2)
+            got = draw.multivariate_hypergeometric([now[k] for k in tied], quota[name]) if tied else []
+            for k, g in zip(tied, got, strict=True):
+                all_ = now.pop(k)
+                for state, m in ((1, int(g)), (0, all_ - int(g))):
+                    to = (*k[:at], state, *k[at + 1 :])
+                    now[to] = now.get(to, 0) + m
+        only = [sum(m for (c, p, q), m in now.items() if (p == c) == x and (q == c) != x) for x in (True, False)]
+        out.append((rep, only[0], only[1], dist.binom_two_sided(only[0], sum(only)), sum(now.values())))
+    return df.sparkSession.createDataFrame(out, "rep int, only_a long, only_b long, p double, n long")
+
+
 def diebold_mariano(df: DataFrame, order: str, a: str, b: str, h: int = 1) -> DataFrame:
     """One row: n, mean difference of losses, DM, the Harvey-Leybourne-Newbold statistic, p values with n - 1 degrees."""
     d = df.select(order, (F.col(a) - F.col(b)).alias("d")).filter("d IS NOT NULL")
@@ -324,22 +332,11 @@ def optimal_block(df: DataFrame, order: str, value: str, most: int = 250) -> flo
 
 
 def stationary_bootstrap(df: DataFrame, order: str, value: str, block: float | None = None, n: int = 500, seed: int = 42) -> DataFrame:
-    """One row: mean, p values and 95 % interval of the mean, blocks of geometric length with mean ``block`` (none: optimal_block).
-
-    Every place draws, in each replicate, whether a block starts there and where it reads from; a block's later
-    places read on from its start, around the end.  Places are numbered once, then replicates are rows.
-    """
+    """One row: mean, p values and 95 % interval of the mean, blocks of geometric length with mean ``block`` (none: optimal_block)."""
     block = optimal_block(df, order, value) if block is None else block
-    v = df.filter(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("v"))
-    size = v.agg(F.count("*").alias("n"), F.avg("v").alias("m"))
-    r = v.select("i").crossJoin(F.broadcast(size.select("n"))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = lambda k: F.pmod(F.xxhash64("i", "rep", F.lit(seed + k)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    w = Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when((F.col("i") == 1) | (u(0) < 1 / block), F.struct(F.col("i").alias("at"), F.floor(u(1) * F.col("n")).alias("from")))
-    r = r.withColumn("s", start).withColumn("s", F.last("s", ignorenulls=True).over(w))
-    r = r.select("rep", (F.pmod(F.col("s.from") + F.col("i") - F.col("s.at"), F.col("n")) + 1).cast("int").alias("i"))
-    means = r.join(v, "i").groupBy("rep").agg(F.avg("v").alias("b"))
-    c = means.crossJoin(F.broadcast(size))
+    v = df.filter(F.col(value).isNotNull()).select(order, F.col(value).cast("double").alias("b"))
+    means = stationary_means(v, order, ["b"], block, n, seed)
+    c = means.crossJoin(F.broadcast(v.agg(F.avg("b").alias("m"))))
     return c.agg(F.first("m").alias("mean"), F.avg((F.abs(F.col("b") - F.col("m")) >= F.abs("m")).cast("double")).alias("p_two_sided"), F.avg((F.col("b") - F.col("m") >= F.col("m")).cast("double")).alias("p_upper"), F.percentile("b", F.lit(0.025)).alias("low"), F.percentile("b", F.lit(0.975)).alias("high"))
 
 
@@ -443,15 +440,8 @@ def model_confidence_set(losses: DataFrame, order: str, models: Sequence[str], a
     Spark computes mean losses and their bootstrap replicates, models x replicates numbers; the elimination runs on
     that small table in one task.
     """
-    v = losses.select(F.row_number().over(Window.orderBy(order)).alias("i"), *models)
-    size = v.agg(F.count("*").alias("n"))
-    r = v.select("i").crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = lambda k: F.pmod(F.xxhash64("i", "rep", F.lit(seed + k)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    w = Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when((F.col("i") == 1) | (u(0) < 1 / block), F.struct(F.col("i").alias("at"), F.floor(u(1) * F.col("n")).alias("from")))
-    r = r.withColumn("s", start).withColumn("s", F.last("s", ignorenulls=True).over(w))
-    r = r.select("rep", (F.pmod(F.col("s.from") + F.col("i") - F.col("s.at"), F.col("n")) + 1).cast("int").alias("i"))
-    means = r.join(v, "i").groupBy("rep").agg(*(F.avg(m).alias(m) for m in models)).union(v.agg(F.lit(0).alias("rep"), *(F.avg(m).alias(m) for m in models)))
+    v = losses.select(order, *(F.col(m).cast("double").alias(m) for m in models)).dropna(subset=list(models))
+    means = stationary_means(v, order, models, block, n, seed).union(v.agg(F.lit(0).alias("rep"), *(F.avg(m).alias(m) for m in models)))
     names = list(models)
 
     def eliminate(pdf):

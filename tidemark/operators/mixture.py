@@ -19,7 +19,7 @@ from tidemark.functions.dist import norm_cdf
 
 #: Rounds at most, and how near to its extrapolated limit the mean log density must come.
 ROUNDS, NEAR = 500, 1e-10
-#: Steps nearer than this many sigmas are one; steps with a lesser share of the rows are none.
+#: Steps nearer than this many sigmas are one; steps with a lesser share of the rows are none.
 MIN_SEPARATION, MIN_SHARE = 4.0, 0.01
 
 
@@ -153,14 +153,17 @@ def fit_bars(x: np.ndarray, n: np.ndarray, width: float, k: int, sigma_min: floa
 
 
 def useful_steps(pi: Sequence[float], c: Sequence[float], sigma: float) -> int:
-    """Components that are steps of their own: near ones joined, light ones dropped, one at least."""
-    groups: list[list[float]] = []
-    for at, share in sorted(zip(c, pi, strict=True)):
-        if groups and at - groups[-1][0] < MIN_SEPARATION * sigma:
-            groups[-1][1] += share
-        else:
-            groups.append([at, share])
-    return max(1, sum(share >= MIN_SHARE for _, share in groups))
+    """Components that are steps of their own, one at least.
+
+    A step takes all centres less than MIN_SEPARATION sigmas above its lowest; those with MIN_SHARE of the rows count.
+    """
+    order = np.argsort(c)
+    at, upto = np.asarray(c, float)[order], np.concatenate(([0.0], np.cumsum(np.asarray(pi, float)[order])))
+    end = np.searchsorted(at, at + MIN_SEPARATION * sigma)  # where a step that begins at each centre would end
+    lows = [0]
+    while lows[-1] < len(at):
+        lows.append(int(max(end[lows[-1]], lows[-1] + 1)))
+    return max(1, int((np.diff(upto[lows]) >= MIN_SHARE).sum()))
 
 
 def choose_bars(x: np.ndarray, n: np.ndarray, width: float, most: int, sigma_min: float = 0.0) -> Mixture:

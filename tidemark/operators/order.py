@@ -121,7 +121,20 @@ def arg_max(df: DataFrame, value: str, by: Sequence[str], tie: Sequence[str], de
 
 
 def lag_autocovariance(df: DataFrame, value: str, order: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
-    """k, acov, acf of k = 0..lags along an explicit order, divided by n."""
+    """k, acov, acf of k = 0..lags along an explicit order, divided by n; nulls count as the mean, and lags beyond the rows are 0.
+
+    Without ``by`` the order runs over all rows, in parts with halos (series.py); with it, each group's order is a window of its own.
+    """
+    if not by:
+        from tidemark.operators.series import lagged_products
+
+        m = df.agg(F.avg(value).alias("__m"), F.count("*").alias("n"))
+        d = df.select(order, F.col(value).alias("__x")).crossJoin(F.broadcast(m.select("__m"))).select(order, (F.col("__x") - F.col("__m")).alias("__d"))
+        sums = lagged_products(d.withColumnRenamed(order, "__o"), "__d", "__o", lags)
+        every = df.sparkSession.range(lags + 1).select(F.col("id").cast("int").alias("k")).join(F.broadcast(sums), "k", "left")
+        zero = sums.filter("k = 0").select(F.col("s").alias("__z"))
+        out = every.crossJoin(F.broadcast(m.select("n"))).crossJoin(F.broadcast(zero)).filter("n > 0")
+        return out.select("k", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("acov"), F.try_divide(F.coalesce("s", F.lit(0.0)), "__z").alias("acf"))
     mean = Window.partitionBy(*by)
     d = df.withColumn("__d", F.col(value) - F.avg(value).over(mean))
     w = Window.partitionBy(*by).orderBy(order)

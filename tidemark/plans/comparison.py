@@ -53,7 +53,7 @@ def t3(spark, d):
 
 @query("T4_bootstrap_auc")
 def t4(spark, d):
-    return inf.bootstrap_auc(scores(spark, d), "id", "y", "s", inf.N_BOOT)
+    return inf.paired_bootstrap_auc(_pairs(spark, d), "id", "y", "s", "s2", inf.N_BOOT)
 
 
 @query("T5_bootstrap_regression")
@@ -257,11 +257,4 @@ def t19(spark, d):
 
 @query("T20_tie_break_mcnemar")
 def t20(spark, d):
-    from tidemark.operators.order import top_fraction
-
-    s, out = scores(spark, d), None
-    for seed in range(5):
-        m = top_fraction(top_fraction(s, "s", 0.25, "id", seed, "ca"), "toxic", 0.25, "id", seed, "cb")
-        one = inf.mcnemar(m, "y", "ca", "cb").select(F.lit(seed).alias("seed"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    return inf.tie_break_mcnemar(scores(spark, d), "y", "s", "toxic", 0.25, inf.N_BOOT)

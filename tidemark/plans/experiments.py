@@ -139,8 +139,11 @@ def e34(spark, d):
     p, out = predictions(spark, d), None
     for c in ("a", "b"):
         boot = inf.bootstrap_regression(p.withColumn("zero", F.col("y")), "id", "y", "zero", c, inf.N_BOOT)
-        est = p.agg(F.sqrt(F.avg((F.col(c) - F.col("y")) ** 2)).alias("estimate"))
-        one = inf.bca(boot, "rmse", est).select(F.lit(c).alias("model"), "low", "high")
+        square = (F.col(c) - F.col("y")) ** 2
+        est = p.agg(F.sqrt(F.avg(square)).alias("estimate"))
+        sums = p.agg(F.sum(square).alias("q"), F.count(square).alias("n"))
+        left_out = p.crossJoin(F.broadcast(sums)).select(F.sqrt((F.col("q") - square) / (F.col("n") - 1)).alias("estimate"))
+        one = inf.bca(boot, "rmse", est, left_out).select(F.lit(c).alias("model"), "low", "high")
         out = one if out is None else out.union(one)
     return out
 
