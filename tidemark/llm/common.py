@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -222,6 +223,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished, unreferenced plans now, not at some later collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner is a thread of its own
 
 
 def trim() -> None:

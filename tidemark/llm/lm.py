@@ -34,7 +34,7 @@ from tidemark.session import scratch_root
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" <s>", b" </s>"))
 ENDED = np.array([END])
 #: Bytes of text in a batch, and of text per shard of the model, about.
-BATCH_BYTES, SHARD_BYTES = 10 << 20, 10 << 20
+BATCH_BYTES, SHARD_BYTES = 11 << 20, 14 << 20
 #: Base probability: added to every count.
 ADDED = 0.1
 #: Discounts where the counts of counts give none.
