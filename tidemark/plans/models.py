@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import additive as ad
 from tidemark.operators import metrics as mt
 from tidemark.operators import mixture as mx
 from tidemark.operators import model as md
+from tidemark.operators.neighbours import adasyn, adasyn_shares, nearest, smote
 from tidemark.plans.registry import DICE, TAIL, R, query
 from tidemark.plans.roles import customers, predictions, scores, table
 
@@ -391,3 +393,57 @@ def m20b(spark, d):
     model = boost(p.filter("id % 3 <> 0"), ["a", "b"], "label", rounds=20, depth=2, rate=0.5, logistic=True)
     out = p.filter("id % 3 = 0").withColumn("p", sigmoid(predict_column(model)))
     return mt.auc(out, "label", "p").select("auc").crossJoin(mt.probability_losses(out, "label", "p").select("log_loss"))
+
+
+_RARE = "x AS (SELECT id, y AS u, CAST(cust % 17 AS DOUBLE) AS v, CAST((cust * 7) % 23 AS DOUBLE) AS w, CAST(status = 'P' AS INT) AS rare FROM pr), f AS (SELECT * FROM x WHERE rare = 1)"
+_PAIR = "power(a.u - b.u, 2) + power(a.v - b.v, 2) + power(a.w - b.w, 2)"
+_NEAR = f"n AS MATERIALIZED (SELECT a.id, b.id AS neighbour, {_PAIR} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}, b.id) AS place FROM f a JOIN f b ON a.id <> b.id QUALIFY place <= 5)"
+_LACKS = "c AS (SELECT count(*) FILTER (WHERE rare = 0) - sum(rare) AS lacking, sum(rare) AS few FROM x)"
+
+
+def _rare(spark, d):
+    p = predictions(spark, d)
+    return p.select("id", F.col("y").alias("u"), (F.col("cust") % 17).cast("double").alias("v"), ((F.col("cust") * 7) % 23).cast("double").alias("w"), (F.col("status") == "P").cast("int").alias("rare"))
+
+
+@query("M5_neighbours", f"WITH {_RARE}, {_NEAR} SELECT id, place, neighbour, {R('sqrt(d)', 'distance')} FROM n")
+def m5a(spark, d):
+    few = _rare(spark, d).filter("rare = 1")
+    near = nearest(few, few, "id", ["u", "v", "w"])
+    return near.select("id", F.posexplode(F.arrays_zip("n", "d")).alias("place", "p")).select("id", (F.col("place") + 1).alias("place"), F.col("p.n").alias("neighbour"), F.col("p.d").alias("distance"))
+
+
+@query("M5_smote", f"WITH {_RARE}, {_NEAR}, {_LACKS}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM f), m AS (SELECT id, max(place) AS most FROM n GROUP BY 1), s AS (SELECT unnest(range(CAST(lacking AS BIGINT))) AS s, few FROM c), t AS (SELECT s, id AS base FROM s JOIN k ON k.place = CAST(floor({DICE('s', 42)} * few) AS BIGINT)), g AS (SELECT s, base, neighbour, {DICE('s', 44)} AS gap FROM t JOIN m ON base = m.id JOIN n ON n.id = base AND n.place = CAST(floor({DICE('s', 43)} * most) AS BIGINT) + 1) SELECT s, base, neighbour, {R('gap', 'gap')}, {R('a.u + gap * (b.u - a.u)', 'u')}, {R('a.v + gap * (b.v - a.v)', 'v')}, {R('a.w + gap * (b.w - a.w)', 'w')} FROM g JOIN f a ON a.id = base JOIN f b ON b.id = neighbour")
+def m5b(spark, d):
+    return smote(_rare(spark, d), "id", "rare", ["u", "v", "w"], 1)
+
+
+@query("M5_adasyn_shares", f"WITH {_RARE}, {_LACKS}, e AS (SELECT a.id, b.rare, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}, b.id) AS place FROM f a JOIN x b ON a.id <> b.id QUALIFY place <= 5), o AS (SELECT id, sum(1 - rare) / 5.0::DOUBLE AS others FROM e GROUP BY 1) SELECT id, {R('others', 'others')}, CAST(round_even(others / (SELECT sum(others) FROM o) * lacking, 0) AS BIGINT) AS copies FROM o, c")
+def m5c(spark, d):
+    return adasyn_shares(_rare(spark, d), "id", "rare", ["u", "v", "w"], 1)
+
+
+@query("M5_adasyn")
+def m5d(spark, d):
+    return adasyn(_rare(spark, d), "id", "rare", ["u", "v", "w"], 1)
+
+
+def _additive(spark, d):
+    p = predictions(spark, d)
+    rows = p.select("id", "y", F.col("a").alias("u"), (F.col("cust") % 17).cast("double").alias("v"), ((F.col("cust") * 7) % 23).cast("double").alias("w"))
+    return rows, ad.fit_additive(rows, "id", ["u", "v", "w"], "y", pairs=1)
+
+
+@query("M10_additive_terms")
+def m10c(spark, d):
+    _, m = _additive(spark, d)
+    main = [(f, "", k, 0, float(s)) for f in m.features for k, s in enumerate(m.scores[f])]
+    both = [(a, b, i, j, float(s)) for (a, b), t in m.pairs.items() for i, row in enumerate(t) for j, s in enumerate(row)]
+    return spark.createDataFrame(main + both, "term string, other string, slot long, other_slot long, score double")
+
+
+@query("M10_additive_fit")
+def m10d(spark, d):
+    rows, m = _additive(spark, d)
+    p = ad.additive_column(m)
+    return rows.withColumn("p", p).groupBy((F.floor(F.col("y") / 50) * 50).alias("from")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse"))
