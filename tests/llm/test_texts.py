@@ -160,6 +160,43 @@ def test_kneser_ney_sums_to_one():
     assert 0.3 < model.prob(every).sum() <= 1.0 + 1e-9
 
 
+def test_kneser_ney_against_brute_force():
+    """Probabilities of seen and unseen grams by the interpolation's definition on plain dictionaries; each context's sum to 1."""
+    from collections import Counter, defaultdict
+
+    text = "the cat sat on the mat and the hat on the cat that sat "
+    codes, owner = langid.folded([text, "a cat "], langid.fold_table())
+    grams, counts = np.unique(langid.keys(codes, langid.ORDER)[langid.scored(owner)], return_counts=True)
+    model = langid.KneserNey(grams, counts)
+    apart = lambda g, n: tuple(int(g) >> 16 * k & 0xFFFF for k in range(n - 1, -1, -1))
+    level = {4: Counter({apart(g, 4): int(c) for g, c in zip(grams, counts)})}
+    for n in (3, 2, 1):
+        level[n] = Counter(g[1:] for g in level[n + 1])  # distinct left neighbours
+    after = {n: defaultdict(list) for n in level}
+    for n, grams_ in level.items():
+        for g, c in grams_.items():
+            after[n][g[:-1]].append(c)
+
+    def prob(g):
+        if not g:
+            return 1 / langid.ALPHABET
+        n, lower = len(g), prob(g[1:])
+        if g[:-1] not in after[n]:
+            return lower
+        c = after[n][g[:-1]]
+        return (max(level[n][g] - langid.DISCOUNT, 0) + langid.DISCOUNT * len(c) * lower) / sum(c)
+
+    letters = sorted({x for g in level[4] for x in g} | {ord("z"), ord("q")})
+    r = random.Random(2)
+    asked = [tuple(r.choice(letters) for _ in range(4)) for _ in range(500)] + sorted(level[4])
+    wanted = np.array([sum(x << 16 * (3 - k) for k, x in enumerate(g)) for g in asked], np.uint64)
+    assert model.prob(wanted) == pytest.approx([prob(g) for g in asked], rel=1e-12)
+    unseen = (langid.ALPHABET - len(letters)) / langid.ALPHABET  # symbols that no text has, each by the last level alone
+    for context in [g[:-1] for g in asked[::40]]:
+        rest = prob((*context, 0x2FFF)) * langid.ALPHABET
+        assert sum(prob((*context, x)) for x in letters) + unseen * rest == pytest.approx(1)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class="cookie-notice">Accept</div>
 <article><h1>Head &amp; line</h1><p>First&nbsp;<b>bold<br>text</p><div class="ad">Buy</div><p>Second <a href=x>link</a>&#33;
