@@ -60,56 +60,145 @@ def fit_tree(df: DataFrame, features: Sequence[str], cuts: dict[str, list[float]
     return tree
 
 
-def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, least: int = 20, lam: float = 1.0, bins: int = 32, shift: Column | None = None, start: dict | None = None, logistic: bool = False) -> dict:
-    """Least-squares boosting; ``shift`` is taken off the target, ``start`` is a model to go on from.
+class Followed:
+    """Rows with the sum of trees so far, in column ``__f`` and an expression on it that becomes the column every CUT trees."""
+
+    def __init__(self, df: DataFrame, model: dict):
+        self.features, self.rate, self.trees = model["features"], model["rate"], 0
+        self.df, self.done = df.withColumn("__f", F.lit(float(model["intercept"]))), F.col("__f")
+        for tree in model["trees"]:
+            self.add(tree)
+        self.settle()
+
+    def add(self, tree: dict) -> None:
+        self.done = self.done + self.rate * tree_column(tree, self.features)
+        self.trees += 1
+        if self.trees % CUT == 0:
+            self.settle()
+
+    def settle(self) -> None:
+        self.df, self.done = checkpointed(self.df.withColumn("__f", self.done)), F.col("__f")
+
+    def state(self) -> tuple[DataFrame, Column, int]:
+        return self.df, self.done, self.trees
+
+    def back(self, state: tuple[DataFrame, Column, int]) -> None:
+        self.df, self.done, self.trees = state
+
+
+def value_cuts(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Cuts by variable, variables x bins numbers."""
+    return {r.variable: list(r.cuts) for r in bin_cuts(df, features, bins).collect()}
+
+
+def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, least: int = 20, lam: float = 1.0, bins: int = 32, logistic: bool = False, watch: DataFrame | None = None, patience: int = 10) -> dict:
+    """Least-squares boosting; with ``watch``, rows that judge, it stops after ``patience`` trees without a lesser error and keeps the best.
 
     ``logistic``: the target is 0 or 1 and the sum of trees is its log odds.  A row's curvature is at most 1/4, so trees
     follow four times the gradient, a step that can't raise the loss.
     """
-    if start is None:
-        mean = df.agg(F.avg(target)).head()[0]
-        if logistic:
-            share = min(max(mean, 1e-6), 1 - 1e-6)
-            mean = math.log(share / (1 - share))
-    model = start or {"features": list(features), "trees": [], "rate": rate, "intercept": mean}
-    cuts = {r.variable: list(r.cuts) for r in bin_cuts(df, features, bins).collect()}  # variables x bins numbers
-    d = checkpointed(df.withColumn("__f", predict_column(model)))
-    done = F.col("__f")
-    for k in range(rounds):
-        at = done + shift if shift is not None else done
-        goal = 4 * (F.col(target) - sigmoid(at)) if logistic else F.col(target) - at
-        tree = fit_tree(d, features, cuts, goal, depth, least, lam)
-        model["trees"].append(tree)
-        done = done + rate * tree_column(tree, features)
-        if k % CUT == CUT - 1:
-            d = checkpointed(d.withColumn("__f", done))
-            done = F.col("__f")
+    mean = df.agg(F.avg(target)).head()[0]
+    if logistic:
+        share = min(max(mean, 1e-6), 1 - 1e-6)
+        mean = math.log(share / (1 - share))
+    model = {"features": list(features), "trees": [], "rate": rate, "intercept": mean}
+    cuts = value_cuts(df, features, bins)
+    rows, judge = Followed(df, model), None if watch is None else Followed(watch, model)
+    _warm(model, rows, judge, cuts, target, rounds, patience, depth, least, lam, logistic)
     return model
 
 
+def _warm(model: dict, rows: Followed, judge: Followed | None, cuts: dict, target: str, rounds: int, patience: int, depth: int, least: int, lam: float, logistic: bool) -> None:
+    """Trees on the residuals, in place; the judge's error stops them."""
+
+    def error() -> float:
+        f, y = judge.done, F.col(target)
+        loss = F.log1p(F.exp(-F.abs(f))) + F.greatest(f, F.lit(0.0)) - y * f if logistic else (y - f) ** 2
+        return judge.df.agg(F.avg(loss)).head()[0] or 0.0
+
+    best = None if judge is None else (error(), 0, rows.state(), judge.state())
+    for _ in range(rounds):
+        goal = 4 * (F.col(target) - sigmoid(rows.done)) if logistic else F.col(target) - rows.done
+        tree = fit_tree(rows.df, model["features"], cuts, goal, depth, least, lam)
+        model["trees"].append(tree)
+        rows.add(tree)
+        if judge is None:
+            continue
+        judge.add(tree)
+        if (now := error()) < best[0]:
+            best = (now, len(model["trees"]), rows.state(), judge.state())
+        elif len(model["trees"]) - best[1] >= patience:
+            break
+    if judge is not None:
+        del model["trees"][best[1] :]
+        rows.back(best[2])
+        judge.back(best[3])
+
+
 def predict_column(model: dict) -> Column:
     return reduce(lambda a, t: a + model["rate"] * tree_column(t, model["features"]), model["trees"], F.lit(float(model["intercept"])))
 
 
-def fit_steps(train: DataFrame, calibration: DataFrame, features: Sequence[str], target: str, components: int | None = None, warm: int = 10, turns: int = 3, rounds: int = 3, coverage: float = 0.9, **kw) -> dict:
+def fit_steps(train: DataFrame, calibration: DataFrame, features: Sequence[str], target: str, components: int | None = None, warm: int = 100, turns: int = 400, rounds: int = 5, coverage: float = 0.9, validation: DataFrame | None = None, warm_patience: int = 10, patience: int = 20, depth: int = 3, rate: float = 0.1, least: int = 20, lam: float = 1.0, bins: int = 32) -> dict:
     """Boosting plus a mixture of latent steps: warm-up trees, a mixture of their residuals, then generalized EM.
 
-    In each turn responsibilities give every row its expected step, trees go on against the rest, and the mixture is
-    refitted in one pass, with as many components as were given or BIC and pruning leave; the half width of the interval comes from calibration rows.
+    In each turn responsibilities give every row its expected step, ``rounds`` trees go on against the rest, and the mixture follows the
+    new residuals under the same responsibilities.  ``validation`` rows (none: no stop) judge: the warm-up by its error, with ``warm_patience``
+    trees, the turns by the distance of residuals from the nearest step, with ``patience`` turns; forest and mixture go back to
+    the best turn.  There are as many components as were given, or as BIC and pruning leave; the half width of the interval comes from
+    calibration rows.  model["history"] has the turns' errors.
     """
-    model = boost(train, features, target, rounds=warm, **kw)
-    rest = lambda df: df.withColumn("__r", F.col(target) - predict_column(model))
-    params = checkpointed(fit_mixture(rest(train).select("__r"), "__r", components))
-    components = len(params.head().c)
+    mean = train.agg(F.avg(target)).head()[0]
+    model = {"features": list(features), "trees": [], "rate": rate, "intercept": mean, "history": []}
+    cuts = value_cuts(train, features, bins)
+    rows, judge = Followed(train, model), None if validation is None else Followed(validation, model)
+    _warm(model, rows, judge, cuts, target, warm, warm_patience, depth, least, lam, False)
+    model["warm"] = len(model["trees"])
+    rows.settle()
+    m = fit_mixture(rows.df.select((F.col(target) - F.col("__f")).alias("__r")), "__r", components).head()
+    pi, c, sigma = list(m.pi), list(m.c), m.sigma
+    least_sigma = 1e-6 * (train.agg(F.stddev_pop(target)).head()[0] or 1.0)
+
+    def error() -> float:
+        r = F.col(target) - judge.done
+        near = F.array_min(F.array(*((r - float(x)) ** 2 for x in c)))
+        return math.sqrt(judge.df.agg(F.avg(near)).head()[0] or 0.0)
+
+    best = None if judge is None else (error(), len(model["trees"]), (pi, c, sigma))
+    since = 0
     for _ in range(turns):
-        p = params.select("pi", "c", "sigma")
-        rows = checkpointed(mixture_e_step(rest(train), "__r", p).crossJoin(F.broadcast(p.select(F.col("c").alias("__c")))))
-        step = F.aggregate(F.zip_with("gamma", "__c", lambda g, c: g * c), F.lit(0.0), lambda a, x: a + x)
-        model = boost(rows.withColumn("__step", step), features, target, rounds=rounds, shift=F.col("__step"), start=model, **kw)
-        params = checkpointed(mixture_m_step(mixture_e_step(rest(train), "__r", p), "__r", components, 1e-6))
-    m = params.head()
-    model |= {"pi": list(m.pi), "c": list(m.c), "sigma": m.sigma}
-    model["half_width"] = kth_smallest(calibration.select(F.abs(F.col(target) - mean_column(model)).alias("r")), "r", conformal_level(coverage)).head()[0]
+        p = train.sparkSession.createDataFrame([(pi, c, sigma)], "pi array<double>, c array<double>, sigma double")
+        owned = mixture_e_step(rows.df.withColumn("__r", F.col(target) - rows.done), "__r", p).drop("log_density")
+        step = F.aggregate(F.zip_with("gamma", F.array(*map(F.lit, map(float, c))), lambda g, x: g * x), F.lit(0.0), lambda a, x: a + x)
+        rows.df = owned.withColumns({"__f": rows.done, "__goal": F.col(target) - step})
+        rows.done = F.col("__f")
+        rows.settle()
+        for _ in range(rounds):
+            tree = fit_tree(rows.df, model["features"], cuts, F.col("__goal") - rows.done, depth, least, lam)
+            model["trees"].append(tree)
+            rows.add(tree)
+            if judge is not None:
+                judge.add(tree)
+        m = mixture_m_step(rows.df.withColumn("__r", F.col(target) - rows.done), "__r", len(c), least_sigma).head()
+        pi, c, sigma = list(m.pi), [x if x is not None else old for x, old in zip(m.c, c, strict=True)], m.sigma
+        rows.df = rows.df.withColumn("__f", rows.done).drop("gamma", "__goal", "__r")
+        rows.done = F.col("__f")
+        if judge is None:
+            continue
+        model["history"].append(now := error())
+        if now < best[0] * (1 - 1e-6):
+            best, since = (now, len(model["trees"]), (pi, c, sigma)), 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    if judge is not None:
+        del model["trees"][best[1] :]
+        pi, c, sigma = best[2]
+    model |= {"pi": pi, "c": c, "sigma": sigma}
+    out = Followed(calibration, model)
+    shift = sum(p * x for p, x in zip(pi, c, strict=True))
+    model["half_width"] = kth_smallest(out.df.select(F.abs(F.col(target) - F.col("__f") - shift).alias("r")), "r", conformal_level(coverage)).head()[0]
     return model
 
 

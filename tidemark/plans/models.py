@@ -364,12 +364,16 @@ def m9(spark, d):
     return nested_ridge(p, ["a", "b", "c"], "y", random_configs(spark, 20, penalty=(1e-3, 1e3)))
 
 
+#: Turns at most and trees of a turn in the queries; the operator's own defaults are 400 and 5.
+STEP_TURNS, STEP_TREES = 3, 2
+
+
 @query("M17_step_mixture_regressor")
 def m17(spark, d):
     from tidemark.operators.boosting import fit_steps, step_outputs
 
     p = predictions(spark, d).select("id", "y", "a", "b", (F.col("cust") % 17).cast("double").alias("c"))
-    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b", "c"], "y", warm=100, turns=1, rounds=1, depth=2, rate=0.5)
+    model = fit_steps(p.filter("id % 3 = 1"), p.filter("id % 6 = 0"), ["a", "b", "c"], "y", warm=100, turns=STEP_TURNS, rounds=STEP_TREES, validation=p.filter("id % 3 = 2"), depth=2, rate=0.5)
     return step_outputs(p.filter("id % 6 = 3"), model, 250.0).select("id", "y", "forecast", "low", "high", "p_exceeds")
 
 
@@ -378,7 +382,7 @@ def m20(spark, d):
     from tidemark.operators.boosting import checkpointed, fit_steps, step_outputs
 
     p = predictions(spark, d).select("id", "y", "a", "b")
-    model = fit_steps(p.filter("id % 3 <> 0"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=100, turns=1, rounds=1, depth=2, rate=0.5)
+    model = fit_steps(p.filter("id % 3 = 1"), p.filter("id % 6 = 0"), ["a", "b"], "y", warm=100, turns=STEP_TURNS, rounds=STEP_TREES, validation=p.filter("id % 3 = 2"), depth=2, rate=0.5)
     out = checkpointed(step_outputs(p.filter("id % 6 = 3"), model, 250.0).select((F.col("y") > 250).cast("int").alias("label"), "p_exceeds"))  # the ranks read the score more than once
     return mt.auc(out, "label", "p_exceeds")
 
