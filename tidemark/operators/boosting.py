@@ -109,26 +109,40 @@ def boost(df: DataFrame, features: Sequence[str], target: str, rounds: int = 20,
 
 
 def _warm(model: dict, rows: Followed, judge: Followed | None, cuts: dict, target: str, rounds: int, patience: int, depth: int, least: int, lam: float, logistic: bool) -> None:
-    """Trees on the residuals, in place; the judge's error stops them."""
-
-    def error() -> float:
-        f, y = judge.done, F.col(target)
-        loss = F.log1p(F.exp(-F.abs(f))) + F.greatest(f, F.lit(0.0)) - y * f if logistic else (y - f) ** 2
-        return judge.df.agg(F.avg(loss)).head()[0] or 0.0
-
-    best = None if judge is None else (error(), 0, rows.state(), judge.state())
-    for _ in range(rounds):
+    """Trees on the residuals, in place; the judge's error stops them.  Errors of CUT trees come from one job, and count one by one."""
+
+    def loss(f: Column) -> Column:
+        y = F.col(target)
+        return F.avg(F.log1p(F.exp(-F.abs(f))) + F.greatest(f, F.lit(0.0)) - y * f if logistic else (y - f) ** 2)
+
+    def better(waiting: list) -> bool:
+        """Take in the errors of waiting trees; whether patience has ended."""
+        nonlocal best
+        errors = waiting[0][1].agg(*(loss(f).alias(f"e{i}") for i, (_, _, f, _, _) in enumerate(waiting))).head()
+        for e, (n, _, _, mine, theirs) in zip(errors, waiting, strict=True):
+            if best is None or (e or 0.0) < best[0]:
+                best = (e or 0.0, n, mine, theirs)
+            elif n - best[1] >= patience:
+                return True
+        return False
+
+    best, waiting = None, []
+    if judge is not None:
+        better([(0, judge.df, judge.done, rows.state(), judge.state())])
+    for k in range(rounds):
         goal = 4 * (F.col(target) - sigmoid(rows.done)) if logistic else F.col(target) - rows.done
         tree = fit_tree(rows.df, model["features"], cuts, goal, depth, least, lam)
         model["trees"].append(tree)
         rows.add(tree)
         if judge is None:
             continue
+        seen = judge.df, judge.done + judge.rate * tree_column(tree, judge.features)
         judge.add(tree)
-        if (now := error()) < best[0]:
-            best = (now, len(model["trees"]), rows.state(), judge.state())
-        elif len(model["trees"]) - best[1] >= patience:
-            break
+        waiting.append((len(model["trees"]), *seen, rows.state(), judge.state()))
+        if judge.trees % CUT == 0 or k == rounds - 1:
+            if better(waiting):
+                break
+            waiting = []
     if judge is not None:
         del model["trees"][best[1] :]
         rows.back(best[2])
