@@ -45,3 +45,24 @@ def test_nothing_to_gain(spark):
     flat = spark.createDataFrame([(i, 1.0, 2.0 + i % 2 * 1e-9) for i in range(60)], "id int, a double, y double")
     m = boost(flat, ["a"], "y", rounds=20, watch=flat, patience=2)
     assert len(m["trees"]) <= 2
+
+
+def test_sets_by_density_against_numpy(spark):
+    from tidemark.operators.mixture import calibrated_sets, fit_mixture
+
+    r = random.Random(7)
+    v = [(i, r.gauss(-3.0 if r.random() < 0.4 else 2.0, 0.5)) for i in range(1800)] + [(1800, None)]
+    df = spark.createDataFrame(v, "id int, r double")
+    fit, cal, test = (df.filter(f"id % 3 = {k}") for k in range(3))
+    got = {x.nominal: x for x in calibrated_sets(fit, cal, test, "r", [0.5, 0.9, 0.9999], 2).collect()}
+    m = fit_mixture(fit, "r", 2).head()
+    density = lambda x: sum(p * math.exp(-0.5 * ((x - c) / m.sigma) ** 2) for p, c in zip(m.pi, m.c)) / (m.sigma * math.sqrt(2 * math.pi))
+    own = sorted(density(x) for i, x in v if i % 3 == 1)
+    there = [density(x) for i, x in v if i % 3 == 2]
+    for nominal, x in got.items():
+        k = math.floor(round((1 - nominal) * (len(own) + 1), 9))
+        assert x.level == pytest.approx(own[k - 1] if k else 0.0)
+        assert x.covered == pytest.approx(np.mean([d >= x.level - 1e-15 for d in there]), abs=2 / len(there)) and abs(x.covered - nominal) < 0.06
+        grid = np.linspace(-8, 8, 40001)
+        if k:
+            assert x.length == pytest.approx(np.mean([density(g) >= x.level for g in grid[::10]]) * 16, abs=0.05) and x.pieces == 2

@@ -91,31 +91,28 @@ class Mixture(NamedTuple):
             lo, hi = (mid, hi) if self.cdf(mid) < p else (lo, mid)
         return (lo + hi) / 2
 
-    def level_set(self, share: float, points: int = 4096) -> list[tuple[float, float]]:
-        """The intervals of greatest density that hold share, least in total length.
-
-        The density's level is halved until the set above it holds share; ends lie where a fine grid's density crosses it.
-        """
+    def above(self, level: float, points: int = 4096) -> list[tuple[float, float]]:
+        """The intervals where the density is at least level; ends lie where a fine grid's density crosses it, or at the support's."""
         grid = np.linspace(*self.support(), points)
         f = self.density(grid)
+        up = np.concatenate(([False], f >= level, [False]))
+        turn = np.flatnonzero(up[1:] != up[:-1])
 
-        def above(level: float) -> list[tuple[float, float]]:
-            up = np.concatenate(([False], f >= level, [False]))
-            turn = np.flatnonzero(up[1:] != up[:-1])
-
-            def crossing(k: int) -> float:
-                if k in (0, points):
-                    return float(grid[min(k, points - 1)])
-                a, b = f[k - 1], f[k]
-                return float(grid[k - 1] + (level - a) / (b - a) * (grid[k] - grid[k - 1]))
+        def crossing(k: int) -> float:
+            if k in (0, points):
+                return float(grid[min(k, points - 1)])
+            a, b = f[k - 1], f[k]
+            return float(grid[k - 1] + (level - a) / (b - a) * (grid[k] - grid[k - 1]))
 
-            return [(crossing(int(a)), crossing(int(b))) for a, b in zip(turn[::2], turn[1::2], strict=True)]
+        return [(crossing(int(a)), crossing(int(b))) for a, b in zip(turn[::2], turn[1::2], strict=True)]
 
-        lo, hi = 0.0, float(f.max())
+    def level_set(self, share: float, points: int = 4096) -> list[tuple[float, float]]:
+        """The intervals of greatest density that hold share, least in total length; the density's level is halved until they do."""
+        lo, hi = 0.0, float(self.density(np.linspace(*self.support(), points)).max())
         for _ in range(60):
             level = (lo + hi) / 2
-            lo, hi = (level, hi) if sum(self.cdf(b) - self.cdf(a) for a, b in above(level)) >= share else (lo, level)
-        return above(lo)
+            lo, hi = (level, hi) if sum(self.cdf(b) - self.cdf(a) for a, b in self.above(level, points)) >= share else (lo, level)
+        return self.above(lo, points)
 
 
 def settled(levels: list[float]) -> bool:
@@ -217,3 +214,37 @@ def set_coverage(df: DataFrame, y: str) -> DataFrame:
     inside = F.exists("level_set", lambda s: (F.col(y) >= s["low"]) & (F.col(y) <= s["high"]))
     length = F.aggregate("level_set", F.lit(0.0), lambda a, s: a + s["high"] - s["low"])
     return df.agg(F.avg(F.col(y).between(F.col("low"), F.col("high")).cast("double")).alias("interval_coverage"), F.avg(F.col("high") - F.col("low")).alias("interval_length"), F.avg(inside.cast("double")).alias("set_coverage"), F.avg(length).alias("set_length"))
+
+
+def density_column(r: Column, m: Mixture) -> Column:
+    """The mixture's density at r, in column functions."""
+    z = lambda c: (r - F.lit(float(c))) / F.lit(float(m.sigma))
+    terms = [F.lit(float(p)) * F.exp(-0.5 * z(c) * z(c)) for p, c in zip(m.pi, m.c, strict=True)]
+    return sum(terms[1:], terms[0]) / F.lit(m.sigma * math.sqrt(2 * math.pi))
+
+
+def calibrated_sets(fit: DataFrame, calibration: DataFrame, test: DataFrame, r: str, coverages: Sequence[float], components: int | None = None) -> DataFrame:
+    """nominal, level, length, pieces, covered: prediction sets by density, with the density as the conformal score.
+
+    A mixture is fitted to the residuals r of ``fit``; a set is where its density reaches the floor((1 - nominal) * (n + 1))-th smallest
+    density of the n calibration rows (0, and the whole support, where that place is below 1), and covered is the share of test rows in
+    it.  The order statistics come from running counts of distinct densities, whatever the number of rows.
+    """
+    from tidemark.operators.order import running_totals
+
+    g = fit_mixture(fit, r, components).head()
+    m = Mixture(np.array(g.pi), np.array(g.c), g.sigma)
+    score = calibration.filter(F.col(r).isNotNull()).select(density_column(F.col(r), m).alias("f"))
+    counts = score.groupBy("f").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    place = [math.floor(round((1 - c) * (total + 1), 9)) for c in coverages]
+    upto = running_totals(counts, "f", {"upto": "n"})
+    found = upto.agg(*(F.min(F.when(F.col("upto") >= k, F.col("f"))).alias(f"l{i}") for i, k in enumerate(place))).first()
+    levels = [float(found[i]) if k >= 1 and found[i] is not None else 0.0 for i, k in enumerate(place)]
+    f = density_column(F.col(r), m)
+    share = test.filter(F.col(r).isNotNull()).agg(*(F.avg((f >= F.lit(x)).cast("double")).alias(f"s{i}") for i, x in enumerate(levels))).first()
+    rows = []
+    for i, (c, x) in enumerate(zip(coverages, levels, strict=True)):
+        pieces = m.above(x)
+        rows.append((float(c), x, float(sum(b - a for a, b in pieces)), len(pieces), share[i]))
+    return test.sparkSession.createDataFrame(rows, "nominal double, level double, length double, pieces int, covered double")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import corr, interp
+from tidemark.functions.columns import corr, dice, interp
 from tidemark.operators import metrics as mt
+from tidemark.operators.mixture import calibrated_sets
 from tidemark.operators.order import lag_autocovariance, quantiles
 from tidemark.plans.registry import R, query
 from tidemark.plans.roles import customers, fold_values, predictions, scores
@@ -242,6 +243,14 @@ def e33(spark, d):
     return p.filter("id % 2 = 1").crossJoin(F.broadcast(m)).agg(F.avg(F.abs(F.col("a") - F.col("m") - F.col("y"))).alias("mae"))
 
 
+@query("E33_calibrated_sets")
+def e33b(spark, d):
+    """Sets by density for forecast a: mixture on one half of the other rows, levels from the other half, coverage on every third row."""
+    p = predictions(spark, d).select("id", (F.col("y") - F.col("a")).alias("r"))
+    rest, half = p.filter("id % 3 <> 0"), dice(F.col("id"), 42) < 0.5
+    return calibrated_sets(rest.filter(half), rest.filter(~half), p.filter("id % 3 = 0"), "r", [0.5, 0.8, 0.9, 0.95])
+
+
 @query("A48_threshold_shift", f"WITH g AS (SELECT unnest([1, 2, 3]) AS seed), h AS (SELECT seed, balance, CAST(CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '#' || seed), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 < 0.5 AS train FROM cu, g), m AS (SELECT seed, median(balance) AS m FROM h WHERE train GROUP BY 1), t AS (SELECT median(balance) AS t FROM cu) SELECT h.seed, {R('any_value(m)', 'median')}, count(*) FILTER (WHERE (balance > m) <> (balance > t)) AS flipped FROM h JOIN m ON h.seed = m.seed CROSS JOIN t WHERE NOT train GROUP BY 1")
 def a48(spark, d):
     c = customers(spark, d)
