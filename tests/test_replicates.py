@@ -176,3 +176,15 @@ def test_tie_breaks_are_hypergeometric(spark):
         w = [x[k] for x in want]
         assert got[c].mean() == pytest.approx(np.mean(w), abs=0.2) and got[c].std() == pytest.approx(np.std(w), rel=0.12)
     assert (got["n"] == 80).all() and len(got) == 1500
+
+
+def test_battery_for_forecasts(spark):
+    r = random.Random(12)
+    rows = [(i, i % 10, y := r.gauss(0, 2), y + r.gauss(0, 1), y + r.gauss(0, 1.02), y + r.gauss(0, 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, fold int, y double, m double, same double, worse double")
+    got = {(x.benchmark, x.test): x for x in inf.battery_regression(df, "id", "y", "m", ["same", "worse"], n_perm=400, n_boot=300).collect()}
+    assert set(got) == {(b, t) for b in ("same", "worse") for t in ("P1", "P2", "P3", "P4")}
+    assert all(got["worse", t].rejects and got["worse", t].in_favour for t in ("P1", "P2", "P3", "P4"))
+    assert not any(got["same", t].rejects for t in ("P1", "P2", "P3", "P4"))
+    mse = [np.mean([(x[k] - x[2]) ** 2 for x in rows]) for k in (3, 5)]
+    assert got["worse", "P3"].statistic == pytest.approx(mse[0] - mse[1]) and got["worse", "P4"].statistic == pytest.approx(math.sqrt(mse[0]) - math.sqrt(mse[1]))

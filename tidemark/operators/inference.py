@@ -496,6 +496,33 @@ def battery(df: DataFrame, key: str, y: str, model: str, benchmarks: Sequence[st
     return adjust_p(out, "p", "benchmark", by=["test"]).withColumn("rejects", F.col("p_adjusted") < alpha)
 
 
+def battery_regression(df: DataFrame, key: str, y: str, model: str, benchmarks: Sequence[str], fold: str = "fold", alpha: float = 0.05, n_perm: int = N_PERM, n_boot: int = N_BOOT) -> DataFrame:
+    """As battery, for forecasts: P1 Wilcoxon and P2 corrected t on RMSE by fold, P3 paired sign flips of squared errors and P4 the
+    paired bootstrap of the RMSE difference (p by inverting its BCa interval) on all rows.
+
+    Differences are model - benchmark, so those below 0 speak for the model.  Rows where a value is null are left out of P3 and P4.
+    """
+    from tidemark.operators.boosting import checkpointed
+
+    names = [model, *benchmarks]
+    square = lambda m: (F.col(m) - F.col(y)) ** 2
+    per = checkpointed(df.groupBy(fold).agg(*(F.sqrt(F.avg(square(m))).alias(m) for m in names)))  # a row per fold
+    errors, out = df.select(key, *(square(m).alias(m) for m in names)), None
+    for b in benchmarks:
+        median = per.agg((F.median(F.col(model) - F.col(b)) < 0).alias("in_favour"))
+        boot = bca_regression(df, key, y, b, model, n_boot).filter("metric = 'rmse'")
+        rows = {
+            "P1": wilcoxon(per, model, b).crossJoin(median).select("statistic", "p", "in_favour"),
+            "P2": corrected_t(per, model, b).select("t", "p", F.col("mean") < 0),
+            "P3": permutation_test(errors, key, model, b, n_perm).select("diff", "p", F.col("diff") < 0),
+            "P4": boot.select("estimate", "p", F.col("estimate") < 0),
+        }
+        for test, r in rows.items():
+            one = checkpointed(r.toDF("statistic", "p", "in_favour").select(F.lit(b).alias("benchmark"), F.lit(test).alias("test"), "*"))  # one row
+            out = one if out is None else out.unionByName(one)
+    return adjust_p(out, "p", "benchmark", by=["test"]).withColumn("rejects", F.col("p_adjusted") < alpha)
+
+
 def share_of_wins(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: share of rows where a is greater, ties half."""
     return df.agg(ratio(F.sum(F.when(F.col(a) > F.col(b), 1.0).when(F.col(a) == F.col(b), 0.5).otherwise(0.0)), F.count("*")).alias("share"))

@@ -255,6 +255,12 @@ def t19(spark, d):
     return inf.battery(folds(s, "id", 10), "id", "y", "p", ["s2", "s3"])
 
 
+@query("T19_battery_regression")
+def t19b(spark, d):
+    p = predictions(spark, d).withColumn("c", F.col("y") * 0.98)
+    return inf.battery_regression(folds(p, "id", 10), "id", "y", "a", ["b", "c"])
+
+
 @query("T20_tie_break_mcnemar")
 def t20(spark, d):
     return inf.tie_break_mcnemar(scores(spark, d), "y", "s", "toxic", 0.25, inf.N_BOOT)
