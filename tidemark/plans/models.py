@@ -355,6 +355,27 @@ def m7b(spark, d):
     return random_configs(spark, 20, penalty=(1e-3, 1e3))
 
 
+def _search_rows(spark, d):
+    from tidemark.operators.features import folds
+
+    p = predictions(spark, d).withColumns({"u": (F.col("cust") % 17).cast("double"), "v": ((F.col("cust") * 7) % 23).cast("double")})
+    return folds(p, "id", 5)
+
+
+@query("M7_adaptive_search")
+def m7c(spark, d):
+    from tidemark.operators.search import search
+
+    return search(_search_rows(spark, d), "id", ["a", "b", "u", "v"], "y")
+
+
+@query("M9_successive_halving")
+def m9b(spark, d):
+    from tidemark.operators.search import halving
+
+    return halving(_search_rows(spark, d), "id", ["a", "b", "u", "v"], "y")
+
+
 @query("M9_nested_cross_validation")
 def m9(spark, d):
     from tidemark.operators.features import folds
