@@ -155,3 +155,16 @@ def test_filters_take_any_column_name(spark):
     assert sorted((x.doc_id, x.text or "") for x in red.collect()) == sorted((d, (t or "").replace("a@b.co", "[EMAIL]")) for d, t, *_ in rows)
     for f in (quality.quality_filter, pii.redact, quality.quality_report, pii.pii_report):
         assert f(df.limit(0)).collect() == []
+
+
+def test_repeated_words_are_bounded_by_the_language(spark):
+    """A source of which most rows repeat each word doesn't lift its own limit; one of another language does."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    again = lambda n: " ".join(" ".join([f"w{r.randrange(3000)}"] * r.randrange(4, 7)) for _ in range(n))
+    good = [(i, say(60), "en", f"s{i % 4}") for i in range(200)]
+    bad = [(1000 + i, again(12), "en", "junk") for i in range(30)] + [(2000, again(12), "en", "s1")]
+    own = [(3000 + i, again(12), "zz", "drums") for i in range(30)]
+    docs = spark.createDataFrame([*good, *bad, *own, (4000, None, "en", "junk"), (4001, "", None, None)], "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in quality.quality_filter(docs).collect()}
+    assert kept == {x[0] for x in good} | {x[0] for x in own}

@@ -4,7 +4,8 @@ Fixed base rules (too few words, repeated 8-word windows) come first.  Beside th
 group gets its own thresholds from mergeable quantile sketches (``percentile_approx``: partial
 sketches per task, merged in the shuffle, so a group that holds a third of the rows costs its task a
 few kilobytes per map task).  A row is an outlier where a ratio lies more than ``SPREAD`` interquartile
-ranges, and at least a fixed slack, beyond the quartiles of its group.
+ranges, and at least a fixed slack, beyond the quartiles of its group.  For repetition, words equal to the word before them, the
+limit of the row's whole language bounds the group's: a source full of it doesn't lift its own limit.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ SLACK: dict[str, tuple[float | None, float | None]] = {
     "symbols_per_word": (None, 0.25),
     "dup_line_share": (None, 0.5),
     "mean_word_chars": (2.0, 3.0),
+    "adjacent_share": (None, 0.2),
 }
+#: Ratios whose limits the whole language's bound.
+BOUNDED = ("adjacent_share",)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OUTPUT = ["doc_id", *BASE, "base_failed", "kept"]
 
 
 def features(rows: DataFrame) -> DataFrame:
     """Add to (doc_id, text, lang, source) the base counts and the ratios of SLACK, prefixed ``__q_``."""
-    q = {n: f"__q_{n}" for n in [*BASE, "words", "grams", "sorted", "pairs", "starts", "lines", "n_lines"]}
+    q = {n: f"__q_{n}" for n in [*BASE, "words", "grams", "sorted", "pairs", "starts", "again", "lines", "n_lines"]}
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     df = rows.withColumn(q["words"], words).withColumn(q["n_words"], F.size(q["words"]).cast("long"))
@@ -46,6 +50,9 @@ def features(rows: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("end"))
     step = lambda a, p: F.struct((a["sum"] + (p + WINDOW - F.greatest(a["end"], p))).alias("sum"), (p + WINDOW).alias("end"))
     df = df.withColumn(q["n_repeat_words"], F.coalesce(F.aggregate(F.col(q["starts"]), zero, step, lambda a: a["sum"]), F.lit(0).cast("long")))
+    ws = F.col(q["words"])
+    again = F.zip_with(F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: a == b)
+    df = df.withColumn(q["again"], F.size(F.filter(again, lambda x: x)))
     df = df.withColumn(q["lines"], F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn(q["n_lines"], F.size(q["lines"]))
     df = df.withColumn(q["n_dup_lines"], (F.size(q["lines"]) - F.size(F.array_distinct(q["lines"]))).cast("long"))
@@ -57,21 +64,33 @@ def features(rows: DataFrame) -> DataFrame:
             "__q_symbols_per_word": F.col(q["n_symbols"]) / words_n,
             "__q_dup_line_share": F.col(q["n_dup_lines"]) / F.greatest(F.col(q["n_lines"]), F.lit(1)).cast("double"),
             "__q_mean_word_chars": F.col(q["word_chars"]) / words_n,
+            "__q_adjacent_share": F.col(q["again"]) / words_n,
             "__q_base_failed": (F.col(q["n_words"]) < MIN_WORDS) | (100 * F.col(q["n_repeat_words"]) > 30 * F.col(q["n_words"])),
         }
-    ).drop(*(q[n] for n in ("words", "grams", "sorted", "pairs", "starts", "lines", "n_lines")))
+    ).drop(*(q[n] for n in ("words", "grams", "sorted", "pairs", "starts", "again", "lines", "n_lines")))
 
 
-def thresholds(df: DataFrame) -> DataFrame:
-    """Limits of each (lang, source) group over the rows that pass the base rules."""
-    aggs = [F.percentile_approx(F.col(f"__q_{r}"), [0.25, 0.75], ACCURACY).alias(f"__q_of_{r}") for r in SLACK]
+def _limits(df: DataFrame, by: list[str], ratios: tuple[str, ...]) -> DataFrame:
+    """Least and greatest value of each ratio by group."""
+    aggs = [F.percentile_approx(F.col(f"__q_{r}"), [0.25, 0.75], ACCURACY).alias(f"__q_of_{r}") for r in ratios]
     limits = []
-    for r, (below, above) in SLACK.items():
+    for r in ratios:
+        below, above = SLACK[r]
         low, high = F.col(f"__q_of_{r}")[0], F.col(f"__q_of_{r}")[1]
         limits.append((F.lit(None).cast("double") if below is None else low - F.greatest(F.lit(below), SPREAD * (high - low))).alias(f"__q_min_{r}"))
         limits.append((F.lit(None).cast("double") if above is None else high + F.greatest(F.lit(above), SPREAD * (high - low))).alias(f"__q_max_{r}"))
-    grouped = df.filter(~F.col("__q_base_failed")).groupBy("__q_lang", "__q_source").agg(*aggs)
-    return grouped.select("__q_lang", "__q_source", *limits)
+    return df.groupBy(*by).agg(*aggs).select(*by, *limits)
+
+
+def thresholds(df: DataFrame) -> DataFrame:
+    """Limits of each (lang, source) group over the rows that pass the base rules; those of BOUNDED ratios no wider than their language's."""
+    good = df.filter(~F.col("__q_base_failed"))
+    groups = _limits(good, ["__q_lang", "__q_source"], tuple(SLACK))
+    langs = _limits(good, ["__q_lang"], BOUNDED).select("__q_lang", *(F.col(f"__q_{m}_{r}").alias(f"__q_lang_{m}_{r}") for r in BOUNDED for m in ("min", "max")))
+    out = groups.join(langs, "__q_lang")
+    for r in BOUNDED:  # greatest and least leave out nulls
+        out = out.withColumns({f"__q_min_{r}": F.greatest(f"__q_min_{r}", f"__q_lang_min_{r}"), f"__q_max_{r}": F.least(f"__q_max_{r}", f"__q_lang_max_{r}")})
+    return out.select(*groups.columns)
 
 
 def _judged(held: DataFrame) -> DataFrame:

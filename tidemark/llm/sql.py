@@ -70,12 +70,13 @@ x AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS k, unnest(list_transform(r
 y AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS n FROM x) WHERE n > 1),
 z AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(k, k + 8)) AS pos FROM y) GROUP BY 1),
 f AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {_WORD})) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN z ON w.doc_id = z.doc_id),
-q AS (SELECT * EXCLUDE (ls), CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_symbols / greatest(n_words, 1)::DOUBLE AS a, (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1)::DOUBLE AS b, word_chars / greatest(n_words, 1)::DOUBLE AS c, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-t AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3 FROM q WHERE NOT base_failed GROUP BY 1, 2)
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, {_WORD})) AS ls, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_again, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN z ON w.doc_id = z.doc_id),
+q AS (SELECT * EXCLUDE (ls, n_again), CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_symbols / greatest(n_words, 1)::DOUBLE AS a, (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1)::DOUBLE AS b, word_chars / greatest(n_words, 1)::DOUBLE AS c, n_again / greatest(n_words, 1)::DOUBLE AS d, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+t AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1, quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3, quantile_disc(d, 0.25) AS d1, quantile_disc(d, 0.75) AS d3 FROM q WHERE NOT base_failed GROUP BY 1, 2),
+g AS (SELECT lang, quantile_disc(d, 0.25) AS g1, quantile_disc(d, 0.75) AS g3 FROM q WHERE NOT base_failed GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(a <= a3 + greatest(0.25, 3 * (a3 - a1)), true) AND coalesce(b <= b3 + greatest(0.5, 3 * (b3 - b1)), true) AND coalesce(c BETWEEN c1 - greatest(2, 3 * (c3 - c1)) AND c3 + greatest(3, 3 * (c3 - c1)), true) AS kept
-FROM q LEFT JOIN t ON q.lang IS NOT DISTINCT FROM t.lang AND q.source IS NOT DISTINCT FROM t.source
+  NOT base_failed AND coalesce(a <= a3 + greatest(0.25, 3 * (a3 - a1)), true) AND coalesce(b <= b3 + greatest(0.5, 3 * (b3 - b1)), true) AND coalesce(c BETWEEN c1 - greatest(2, 3 * (c3 - c1)) AND c3 + greatest(3, 3 * (c3 - c1)), true) AND coalesce(d <= least(d3 + greatest(0.2, 3 * (d3 - d1)), g3 + greatest(0.2, 3 * (g3 - g1))), true) AS kept
+FROM q LEFT JOIN t ON q.lang IS NOT DISTINCT FROM t.lang AND q.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON q.lang IS NOT DISTINCT FROM g.lang
 """
 
 #: crc32 of the decimal doc_id, by the table of the reflected polynomial.
