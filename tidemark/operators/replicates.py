@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import bin_left
+
 #: Weights that a task holds at a time, about.
 CELLS = 1 << 19
 #: Value ranges at least, for orders over all rows.
@@ -119,13 +121,11 @@ def bootstrap_auc(df: DataFrame, key: str, y: str, a: str, n: int = 200, seed: i
     rows = df.filter(F.col(y).isNotNull() & F.col(a).isNotNull()).select(hashed(key, seed).alias("h"), (F.col(y) == 1).alias("positive"), F.col(a).cast("double").alias("score"))
     ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
-    times = {c: cuts.count(c) for c in cuts}
-    place = F.lit(0)
-    for c in sorted(times):
-        place = place + F.when(F.col("score") > c, 2).when((F.col("score") == c) & F.lit(times[c] > 1), 1).otherwise(0)
-    share = F.lit(1)
-    for c, m in times.items():
-        share = F.when(F.col("score") == c, m).otherwise(share) if m > 1 else share
+    values = sorted(set(cuts))
+    full = {c: cuts.count(c) for c in values if cuts.count(c) > 1}  # a value that fills ranges, and how many
+    place = 2 * bin_left("score", F.array(*map(F.lit, values)) if values else F.expr("cast(array() as array<double>)"))
+    share = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in full.items() for x in pair)), F.col("score")), F.lit(1)) if full else F.lit(1)
+    place = place + (share > 1).cast("int")
     table = count_table(1.0)
 
     def run(t: pa.Table) -> pa.Table:
