@@ -49,15 +49,30 @@ _read_later: list[DataFrame] = []
 
 
 def leave(table: DataFrame) -> DataFrame:
-    """A scratch table that the operator's lazy result still reads; drop_left deletes it when the result is written."""
+    """A scratch table that an operator's lazy result still reads; whoever has written that result may drop it."""
     _read_later.append(table)
     return table
 
 
-def drop_left() -> None:
-    """Delete the scratch tables of operators whose results have been written or are no longer wanted."""
-    while _read_later:
-        discard(_read_later.pop())
+def left_since(mark: int) -> list[DataFrame]:
+    """Take the tables left after the first mark ones out of the list."""
+    out = _read_later[mark:]
+    del _read_later[mark:]
+    return out
+
+
+def left_marks() -> int:
+    return len(_read_later)
+
+
+def drop_unread(tables: list[DataFrame], docs: DataFrame) -> list[DataFrame]:
+    """Delete those tables that docs doesn't read; the others.  Tables of another application are forgotten."""
+    own = scratch_root(docs.sparkSession)
+    tables = [t for t in tables if t._tm_path.startswith(own)]
+    files = docs.inputFiles() if tables else []
+    read = [t for t in tables if any(t._tm_path.rsplit("/", 1)[-1] in f for f in files)]
+    discard(*(t for t in tables if not any(t is r for r in read)))
+    return read
 
 
 def packed_rows(docs: DataFrame, *more: Column) -> DataFrame:

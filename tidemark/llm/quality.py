@@ -126,8 +126,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_report keeps, with all their columns as they were, whatever their names.
 
     Null and empty texts go, an empty table stays empty, repeated rows share their verdict and all stay or go, and texts count whole.
-    Rows are written once with their counts, texts included, for there is no key to join verdicts by; drop_left
-    deletes that table when the result has been written.
+    Rows are written once with their counts, texts included, for there is no key to join verdicts by; that
+    table is left (common.leave) until the result has been written.
     """
     rows = packed_rows(docs, "text", "lang", "source")
     held = leave(materialize(features(rows.withColumns(_keys())).drop("text", "lang", "source"), "quality"))
