@@ -66,3 +66,20 @@ def test_sets_by_density_against_numpy(spark):
         grid = np.linspace(-8, 8, 40001)
         if k:
             assert x.length == pytest.approx(np.mean([density(g) >= x.level for g in grid[::10]]) * 16, abs=0.05) and x.pieces == 2
+
+
+def test_trees_from_cells_are_those_from_rows(spark):
+    from tidemark.operators import boosting as bo
+
+    df = planted(spark, 1500).withColumn("a", F.floor(F.col("a") * 8) / 8).union(spark.createDataFrame([(2000 + i, None, 1.0, 9.0) for i in range(30)], "id int, a double, b double, y double"))
+    cuts = bo.value_cuts(df, ["a", "b"], 16)
+    few = bo.cells(bo.coded(df, ["a", "b"], cuts), ["a", "b"], "y")
+    assert few.count() <= 9 * 5 and few.agg(F.sum("__n")).first()[0] == 1530
+    m = bo.boost(df, ["a", "b"], "y", rounds=4, depth=2, rate=0.5, bins=16)
+    done = F.lit(float(m["intercept"]))
+    for tree in m["trees"]:
+        rows = bo.fit_tree(df, ["a", "b"], cuts, F.col("y") - done, 2, 20, 1.0)
+        assert rows["split"] == tree["split"] and all(rows["value"][k] == pytest.approx(v) for k, v in tree["value"].items())
+        done = done + 0.5 * bo.tree_column(tree, ["a", "b"])
+    got = {r.id: r["__f"] for r in bo.predicted(df, m | {"cuts": cuts}).collect()}
+    assert len(got) == 1530 and all(got[r.id] == pytest.approx(r.f) for r in df.select("id", predict_column(m).alias("f")).collect())
