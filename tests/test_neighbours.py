@@ -98,3 +98,21 @@ def test_queries_are_packed_not_paired(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, e array<float>")
     plan = rl.nearest(df.filter("vec_id % 50 = 0"), df, "vec_id", "e", 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_cells_grow_in_number_not_in_size():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n in (2000, 20000):
+        x = np.column_stack([r.random(n) * 500, r.integers(0, 17, n), r.integers(0, 3, n)]).astype(float)
+        x[: n // 4] = x[0]  # a spot that no cut divides
+        tree = tuple(np.array(c) for c in zip(*nb._cut_tree(x, 5)))
+        cell = nb._cell_of(x, tree)
+        assert sorted(set(cell)) == list(range((len(tree[0]) + 1) // 2))
+        assert np.bincount(cell[n // 4 :]).max() < 10
+    lo, hi = np.array([[0.0, 0.0], [2.0, 0.0], [9.0, 9.0]]), np.array([[1.0, 1.0], [3.0, 1.0], [9.0, 9.0]])
+    boxes = nb._Boxes(lo, hi, np.array([3, 3, 1]))
+    sizes, cells = boxes.reached(np.array([[0.5, 0.5], [1.0, 0.0]]), np.array([0.5, 1.0]), 0)
+    assert sizes.tolist() == [0, 1] and cells.tolist() == [1]
+    assert boxes.bound(np.array([[0.0, 0.0]]), 3)[0] == pytest.approx(2**0.5) and boxes.bound(np.array([[0.0, 0.0]]), 8)[0] == np.inf

@@ -1,8 +1,8 @@
 """Exact nearest neighbours by cells, and oversampling of a rare class on them.
 
-Cells belong to pivots, candidates drawn by a hash; a row lies in the cell of its nearest pivot.  A query first meets
-the candidates of its own cell, which bounds how far its k-th neighbour is, and then only cells that this radius can reach:
-a cell lies beyond the plane half way between two pivots, and within its own greatest distance from its pivot.
+Cells are the leaves of a tree of cuts, made from candidates drawn by a hash; their number grows with the candidates.  A query first meets
+the candidates of its own cell, which bounds how far its k-th neighbour is, and then only cells whose box of candidates this
+radius reaches: all queries of a cell look for such boxes at once, then each among what was found.
 Of equal candidates only k + 1 can be anybody's neighbours, so a vector that repeats doesn't fill its cell; queries of a
 crowded cell are dealt in blocks.  Neighbours are ordered by distance, then key.
 """
@@ -13,14 +13,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import dice
 from tidemark.operators.series import numbered
 
-#: Pivots at most, candidates of a cell about, and queries of a block.
-PIVOTS, CELL, BLOCK = 1024, 2000, 4000
+#: Cells at most, candidates of a cell about, queries of a block, and candidates drawn for a cell.
+CELLS, CELL, BLOCK, DRAWN = 1 << 14, 1000, 4000, 8
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -37,40 +37,111 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _celled(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """rows (id, x) with cell and reach, the distance from the cell's pivot."""
+def _cut_tree(drawn: np.ndarray, leaf: int) -> list[tuple]:
+    """Nodes (dimension, cut, left, right), leaves (-1, 0, cell, 0), root first: boxes of about leaf drawn rows, halved where they are widest."""
+    nodes: list[tuple] = [(-1, 0.0, 0, 0)]
+    cells, open_ = 0, [(0, np.arange(len(drawn)))]
+    while open_:
+        at, rows = open_.pop()
+        x = drawn[rows]
+        wide = x.max(0) - x.min(0) if len(x) else np.zeros(1)
+        dim = int(wide.argmax())
+        if len(rows) < 2 * leaf or not wide[dim] > 0:
+            nodes[at], cells = (-1, 0.0, cells, 0), cells + 1
+            continue
+        v = np.sort(x[:, dim])
+        cut = v[(len(v) - 1) // 2]
+        cut = cut if cut < v[-1] else v[np.searchsorted(v, v[-1]) - 1]
+        nodes[at] = (dim, float(cut), len(nodes), len(nodes) + 1)
+        left = x[:, dim] <= cut
+        open_ += [(len(nodes), rows[left]), (len(nodes) + 1, rows[~left])]
+        nodes += [(-1, 0.0, 0, 0)] * 2
+    return nodes
+
+
+def _cell_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    dim, cut, left, right = tree
+    at = np.zeros(len(x), np.int64)
+    while (live := np.flatnonzero(dim[at] >= 0)).size:
+        n = at[live]
+        at[live] = np.where(x[live, dim[n]] <= cut[n], left[n], right[n])
+    return left[at]
+
+
+def _celled(rows: DataFrame, tree: tuple[np.ndarray, ...]) -> DataFrame:
+    """rows (id, x) with cell."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                c = b.slice(at, 1024)
-                d = _squared(_matrix(c.column(1)), pivots)
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))], ["id", "x", "cell", "reach"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_cell_of(_matrix(b.column(1)), tree), pa.int32())], ["id", "x", "cell"])
 
-    return rows.mapInArrow(run, "id long, x array<double>, cell int, reach double")
+    return rows.mapInArrow(run, "id long, x array<double>, cell int")
 
 
-def _best(q: pa.Table, c: pa.Table, k: int, itself: bool) -> list[list[tuple[float, int]]]:
-    """The k nearest of c for every row of q."""
-    if not c.num_rows:
-        return [[] for _ in range(q.num_rows)]
+def _best(q: pa.Table, c: pa.Table, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of c for every row of q: how many were found, and one after another their squared distances and ids."""
+    if not c.num_rows or not q.num_rows:
+        return np.zeros(q.num_rows, np.int64), np.empty(0), np.empty(0, np.int64)
     x, y = _matrix(q["x"]), _matrix(c["x"])
     own, ids = q["id"].to_numpy(), c["id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     y, ids = y[order], ids[order]
-    out = []
-    for at in range(0, len(x), max(1, (1 << 20) // len(y))):
-        d = _squared(x[at : at + max(1, (1 << 20) // len(y))], y)
-        for row, i in zip(d, own[at : at + len(d)], strict=True):
-            if not itself:
-                row[ids == i] = np.inf
-            m = min(k, len(row))
-            limit = np.partition(row, m - 1)[m - 1]
-            near = np.flatnonzero(row <= limit)
-            near = near[np.argsort(row[near], kind="stable")][:m]  # ids are in order, so ties are too
-            out.append([(float(row[j]), int(ids[j])) for j in near if np.isfinite(row[j])])
-    return out
+    found, far, near = [], [], []
+    m, step = min(k, len(y)), max(1, (1 << 20) // len(y))
+    for lo in range(0, len(x), step):
+        d = _squared(x[lo : lo + step], y)
+        if not itself:
+            d[own[lo : lo + step, None] == ids] = np.inf
+        limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+        a, b = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        e = d[a, b]
+        sort = np.lexsort((b, e, a))  # ids are in order, so ties are too
+        a, b, e = a[sort], b[sort], e[sort]
+        kept = np.arange(len(a)) - np.searchsorted(a, a) < m
+        found.append(np.bincount(a[kept], minlength=len(d)))
+        far.append(e[kept])
+        near.append(ids[b[kept]])
+    return np.concatenate(found), np.concatenate(far), np.concatenate(near)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
+
+
+class _Boxes:
+    """The boxes of the cells' candidates: lo, hi (cells x components, empty ones nowhere) and how many candidates each has."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, n: np.ndarray):
+        self.lo, self.hi, self.n = lo, hi, n
+
+    def bound(self, x: np.ndarray, k: int) -> np.ndarray:
+        """A radius that surely holds k candidates, inf where there are no k."""
+        out = np.full(len(x), np.inf)
+        some = np.flatnonzero(self.n)
+        for i, row in enumerate(x):
+            far = (np.maximum(np.abs(row - self.lo[some]), np.abs(row - self.hi[some])) ** 2).sum(1)
+            order = np.argsort(far)
+            at = np.searchsorted(np.cumsum(self.n[some][order]), k)
+            out[i] = np.sqrt(far[order[at]]) if at < len(order) else np.inf
+        return out
+
+    def reached(self, x: np.ndarray, reach: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many other cells each row's reach meets, and one after another their numbers."""
+        reach = reach * (1 + 1e-9) + 1e-12
+        gap = np.maximum(0.0, np.maximum(self.lo - x.max(0), x.min(0) - self.hi))
+        near = np.flatnonzero((self.n > 0) & (np.sqrt((gap * gap).sum(1)) <= reach.max()))
+        near = near[near != own]
+        sizes, cells = [], []
+        for at in range(0, len(x), step := max(1, (1 << 20) // max(1, len(near)))):
+            part = x[at : at + step]
+            d = np.zeros((len(part), len(near)))
+            for i in range(x.shape[1]):
+                g = np.maximum(0.0, np.maximum(self.lo[near, i] - part[:, i, None], part[:, i, None] - self.hi[near, i]))
+                d += g * g
+            a, b = np.nonzero(np.sqrt(d) <= reach[at : at + step, None])
+            sizes.append(np.bincount(a, minlength=len(part)))
+            cells.append(near[b])
+        return np.concatenate(sizes), np.concatenate(cells)
 
 
 FOUND = "id long, x array<double>, d array<double>, n array<long>, cells array<int>"
@@ -80,8 +151,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str, features: Seque
     """One row per query row: key, x (its features), d (distances, ascending) and n (the candidates' keys), k of them or as many as there are.
 
     A candidate with the query's own key is left out unless ``itself``.  Keys are whole numbers; rows without one or with a null or
-    NaN feature are left out on both sides.  Repeated keys among queries must have the same features.  A table of
-    at most PIVOTS pivots is on the driver and in every task.
+    NaN feature are left out on both sides.  Repeated keys among queries must have the same features.  The cuts and boxes of
+    at most CELLS cells, and DRAWN candidates for each, are on the driver, cuts and boxes in every task.
     """
     from tidemark.operators.boosting import checkpointed
 
@@ -92,45 +163,38 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str, features: Seque
     n = every.count()
     if not n:
         return clean(queries).select(F.col("id").alias(key), "x", F.expr("cast(array() as array<double>)").alias("d"), F.expr("cast(array() as array<long>)").alias("n"))
-    drawn = every.orderBy(dice(F.col("id"), 7), "id").limit(int(min(PIVOTS, -(-n // CELL)))).collect()
-    pivots = np.array(sorted({tuple(r.x) for r in drawn}))
+    drawn = every.filter(dice(F.col("id"), 7) < min(CELLS, -(-n // CELL)) * DRAWN / n).select("x").collect()
+    nodes = _cut_tree(np.array(sorted(tuple(r.x) for r in drawn)).reshape(-1, len(features)), DRAWN // 2 + 1)
+    tree = tuple(np.array(c) for c in zip(*nodes, strict=True))
     once = every.withColumn("__n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).filter(F.col("__n") <= k + 1).select("id", "x")  # cut before the shuffle, too
-    held = checkpointed(_celled(once, pivots))
-    asked = checkpointed(_celled(clean(queries).dropDuplicates(["id"]), pivots))
-    far = np.full(len(pivots), -1.0)
-    for r in held.groupBy("cell").agg(F.max("reach").alias("r")).collect():  # a row per pivot
-        far[r.cell] = r.r
-    apart = np.sqrt(_squared(pivots, pivots))
-
-    def blocks(df: DataFrame) -> tuple[DataFrame, Column]:
-        """df with its block, and how many blocks each cell has."""
-        many = {r.cell: -(-r.n // BLOCK) for r in df.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        table = F.array(*(F.lit(many.get(c, 1)) for c in range(len(pivots))))
-        size = F.element_at(table, F.col("cell") + 1)
-        return df.withColumn("block", F.pmod(F.xxhash64("id"), size).cast("int")), size
+    held = checkpointed(_celled(once, tree))
+    asked = checkpointed(_celled(clean(queries).dropDuplicates(["id"]), tree))
+    cells, f = (len(nodes) + 1) // 2, range(len(features))
+    boxes = _Boxes(np.full((cells, len(f)), np.inf), np.full((cells, len(f)), -np.inf), np.zeros(cells, np.int64))
+    for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.array(*(F.min(F.get("x", F.lit(i))) for i in f)).alias("lo"), F.array(*(F.max(F.get("x", F.lit(i))) for i in f)).alias("hi")).collect():  # a row per cell
+        boxes.n[r.cell], boxes.lo[r.cell], boxes.hi[r.cell] = r.n, r.lo, r.hi
 
     def meet(df: DataFrame, run, schema: str) -> DataFrame:
-        mine, size = blocks(df)
-        copies = held.withColumn("block", F.explode(F.sequence(F.lit(0), size - 1)))
+        """Each cell's queries, in blocks, with its candidates."""
+        many = F.broadcast(checkpointed(df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))  # a row per cell
+        mine = df.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        copies = held.join(many, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         return mine.groupBy("cell", "block").cogroup(copies.groupBy("cell", "block")).applyInArrow(run, schema)
 
     def home(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64())), "d": pa.array([], pa.list_(pa.float64())), "n": pa.array([], pa.list_(pa.int64())), "cells": pa.array([], pa.list_(pa.int32()))})
-        best = _best(q, c, k, itself)
-        own = q["cell"][0].as_py()
-        to = np.sqrt(_squared(_matrix(q["x"]), pivots))
-        reach = np.array([np.sqrt(b[-1][0]) if len(b) == k else np.inf for b in best])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(apart[own] > 0, (to**2 - to[:, own, None] ** 2) / (2 * apart[own]), 0.0)
-        least = np.maximum(plane, to - far)
-        open_ = (least <= reach[:, None] * (1 + 1e-9) + 1e-12) & (far >= 0)
-        open_[:, own] = False
-        return pa.table({"id": q["id"], "x": q["x"], "d": pa.array([[d for d, _ in b] for b in best], pa.list_(pa.float64())), "n": pa.array([[i for _, i in b] for b in best], pa.list_(pa.int64())), "cells": pa.array([np.flatnonzero(o).tolist() for o in open_], pa.list_(pa.int32()))})
+        found, d, near = _best(q, c, k, itself)
+        x = _matrix(q["x"])
+        reach, full = np.empty(len(x)), found == k
+        reach[full] = np.sqrt(d[np.cumsum(found)[full] - 1])
+        reach[~full] = boxes.bound(x[~full], k + 1)
+        sizes, cells_ = boxes.reached(x, reach, q["cell"][0].as_py())
+        return pa.table({"id": q["id"], "x": q["x"], "d": _lists(found, d, pa.float64()), "n": _lists(found, near, pa.int64()), "cells": _lists(sizes, cells_, pa.int32())})
 
     def away(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _best(q, c, k, itself) if q.num_rows else []
-        return pa.table({"id": q["id"], "d": pa.array([[d for d, _ in b] for b in best], pa.list_(pa.float64())), "n": pa.array([[i for _, i in b] for b in best], pa.list_(pa.int64()))})
+        found, d, near = _best(q, c, k, itself)
+        return pa.table({"id": q["id"], "d": _lists(found, d, pa.float64()), "n": _lists(found, near, pa.int64())})
 
     first = checkpointed(meet(asked, home, FOUND))
     calls = first.select("id", "x", F.explode("cells").alias("cell"))
