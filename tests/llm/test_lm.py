@@ -117,3 +117,26 @@ def test_packing_and_codes():
     assert lm.code_bytes(0) == 4 and lm.code_bytes(1 << 31) == 5 and lm.code_bytes(1 << 60) == 8
     assert (lm.shard_of(np.array([0, (1 << 64) - 1], np.uint64), 7) == [0, 6]).all()
     assert re.fullmatch(r"\d+", str(int(lm.BEGIN)))
+
+
+def test_words_never_share_a_code(spark, monkeypatch):
+    """With codes of one byte nearly all of 150 words would share one, and the scores are those of whole hashes."""
+    r = random.Random(9)
+    docs = [(i, " ".join(f"w{r.randrange(150)}" for _ in range(40))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(lm, "code_bytes", lambda n: 8)
+    want = {x.doc_id: x for x in lm.score_corpus(df).collect()}
+    monkeypatch.setattr(lm, "code_bytes", lambda n: 1)
+    got = {x.doc_id: x for x in lm.score_corpus(df).collect()}
+    assert all(got[i].score == pytest.approx(x.score, rel=1e-12) and got[i].base_score == x.base_score for i, x in want.items())
+
+
+def test_codes_of_a_shard_stay_there():
+    import numpy as np
+
+    top = np.array([7, 7, 7, 8, (1 << 31) - 1, (1 << 31) - 1, 1 << 31], np.uint64) << np.uint64(32)
+    h = top + np.arange(7, dtype=np.uint64)
+    mine = h[lm.shard_of(h, 2) == 0]
+    hashes, codes = lm.shared_codes(mine, 0, 2, 4)
+    assert hashes.tolist() == [int(x) for x in h[[1, 2, 5]]] and codes.tolist() == [9, 10, (1 << 31) - 2]
+    assert len(set(lm.coding(mine, 4, (hashes, codes)).tolist())) == len(mine)

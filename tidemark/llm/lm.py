@@ -1,6 +1,7 @@
 """Scoring by an interpolated modified Kneser-Ney bigram model that Spark counts over the corpus itself.
 
-Texts are dealt to batches once.  A batch sends its distinct word pairs, as sorted and packed word codes with their
+Texts are dealt to batches once.  A batch first sends its distinct words' hashes, with their training counts, to the shards of words, which
+find the words that would share a code and give them codes of their own.  Then it sends its distinct word pairs, as sorted and packed word codes with their
 training counts, to the shards of the model in one shuffle; a shard's pairs follow from a hash of both words, so a very common word
 is spread over all shards.  A shard merges its pieces to one sorted array of pair hashes with counts, written to the
 shared folder and memory-mapped, and looks the pieces' pairs up in it by binary search.  From its
@@ -47,6 +48,43 @@ def code_bytes(text_bytes: int) -> int:
     return min(8, max(4, -(-(max(1, text_bytes >> 4).bit_length() + 12) // 8)))
 
 
+#: Hashes, sorted, of words that would share a code with another, and the codes they have instead.
+Shared = tuple[np.ndarray, np.ndarray]
+
+
+def coding(h: np.ndarray, width: int, shared: Shared) -> np.ndarray:
+    """Codes of words: the first bytes of their hashes, or what shared says."""
+    codes = h >> np.uint64(64 - 8 * width)
+    if len(shared[0]) and len(h):
+        at = np.minimum(np.searchsorted(shared[0], h), len(shared[0]) - 1)
+        codes = np.where(shared[0][at] == h, shared[1][at], codes)
+    return codes
+
+
+def shared_codes(h: np.ndarray, number: int, shards: int, width: int) -> Shared:
+    """For one shard's distinct words, hashes sorted: those whose code an earlier word has, each with a code of the shard that no word has."""
+    codes = h >> np.uint64(64 - 8 * width)
+    again = np.flatnonzero(codes[1:] == codes[:-1]) + 1 if len(h) else np.empty(0, np.int64)
+    given: dict[int, int] = {}
+
+    def free(c: int) -> bool:
+        at = int(np.searchsorted(codes, np.uint64(c)))
+        return c not in given and not (at < len(codes) and int(codes[at]) == c)
+
+    inside = lambda c: 0 <= c < 1 << 8 * width and (c << 64 - 8 * width >> 32) * shards >> 32 == number
+    for i in again:
+        for step in (1, -1):
+            c = int(codes[i]) + step
+            while inside(c) and not free(c):
+                c += step
+            if inside(c):
+                break
+        else:
+            raise ValueError("a shard of words has no free code")
+        given[c] = int(h[i])
+    return h[again], np.array(list(given), np.uint64)
+
+
 def packed(a: np.ndarray, width: int = 8) -> bytes:
     """Whole numbers as planes of bytes, lowest first: high planes of small numbers compress to nothing."""
     return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -128,9 +166,9 @@ class Shards:
 
 
 class Batch:
-    """Tokens of texts: lower-cased words, then one end for each text."""
+    """Tokens of texts: lower-cased words, then one end for each text; without ``paired`` their words alone."""
 
-    def __init__(self, texts: list[bytes], trains: np.ndarray):
+    def __init__(self, texts: list[bytes], trains: np.ndarray, paired: bool = True):
         parts = []
         for t in texts:
             parts += [hash_words(t.lower().split()), ENDED]  # bytes: only ASCII letters and blanks count
@@ -153,6 +191,8 @@ class Batch:
         local += local >= at_begin
         self.words = np.insert(words, at_begin, BEGIN) if n else words
         self.local = local
+        if not paired:
+            return
         self.pair = np.empty(n, np.int64)
         self.pair[1:] = local[:-1]
         self.pair[starts] = at_begin
@@ -161,9 +201,9 @@ class Batch:
         pairs = np.sort(self.pair)
         self.pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if n else pairs
 
-    def coded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def coded(self, width: int, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the distinct pairs' words."""
-        codes = self.words >> np.uint64(64 - 8 * width)
+        codes = coding(self.words, width, shared)
         return codes[self.pairs // max(1, len(self.words))], codes[self.pairs % max(1, len(self.words))]
 
     def at(self) -> np.ndarray:
@@ -177,38 +217,59 @@ def _dealt_order(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-PIECE = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("batch", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("count", pa.binary())])
-PIECE_DDL = "kind string, shard long, batch long, first binary, second binary, count binary"
+PIECE = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("count", pa.binary())])
+PIECE_DDL = "shard long, batch long, first binary, second binary, count binary"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _batch(table: pa.Table, paired: bool = True) -> Batch:
+    return Batch(raw(table["text"].combine_chunks()), ~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool), paired)
+
+
+def word_pieces(table: pa.Table, shards: int) -> pa.Table:
+    """Of one batch: its distinct words with their training counts, a row for each shard they go to."""
+    b = _batch(table, False)
+    number = table["batch"][0].as_py()
+    counts = np.bincount(b.local[b.trains], minlength=len(b.words)).astype(np.uint64)
+    cut = np.searchsorted(shard_of(b.words, shards), np.arange(shards + 1))
+    rows = []
+    for s in np.flatnonzero(np.diff(cut)):
+        x = slice(cut[s], cut[s + 1])
+        rows.append(("word", int(s), number, packed(deltas(b.words[x])), packed(counts[x])))
+    return _table(rows, ANSWER)
+
+
+def word_group(table: pa.Table, shards: int, width: int) -> pa.Table:
+    """A shard's pieces of words, handed on, and its words that would share a code."""
+    h = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in table["key"].to_pylist()]))
+    number = table["shard"][0].as_py()
+    hashes, codes = shared_codes(h, number, shards, width)
+    out = pa.Table.from_arrays([table[c].combine_chunks() for c in ANSWER.names], schema=ANSWER)
+    return pa.concat_tables([out, _table([("shared", number, -1, packed(hashes), packed(codes))], ANSWER)]) if len(hashes) else out
 
 
-def pieces(table: pa.Table, shards: int, width: int) -> pa.Table:
-    """Of one batch: its distinct pairs and its distinct words with their training counts, a row for each shard they go to."""
-    b = Batch(raw(table["text"].combine_chunks()), ~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool))
+def pieces(table: pa.Table, shards: int, width: int, shared: Shared) -> pa.Table:
+    """Of one batch: its distinct pairs with their training counts, a row for each shard they go to."""
+    b = _batch(table)
     number = table["batch"][0].as_py()
     rows = []
-    v, w = b.coded(width)
+    v, w = b.coded(width, shared)
     counts = np.bincount(b.at()[b.trains], minlength=len(b.pairs)).astype(np.uint64)
     order, cut = _dealt_order(shard_of(pair_hash(v, w), shards), shards)
     v, w, counts = v[order], w[order], counts[order]
     for s in np.flatnonzero(np.diff(cut)):
         x = slice(cut[s], cut[s + 1])
-        rows.append(("pair", int(s), number, packed(deltas(v[x]), width), packed(w[x], width), packed(counts[x])))
-    counts = np.bincount(b.local[b.trains], minlength=len(b.words)).astype(np.uint64)
-    cut = np.searchsorted(shard_of(b.words, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cut)):
-        x = slice(cut[s], cut[s + 1])
-        rows.append(("word", int(s), number, packed(deltas(b.words[x])), b"", packed(counts[x])))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, PIECE, strict=True)], schema=PIECE)
+        rows.append((int(s), number, packed(deltas(v[x]), width), packed(w[x], width), packed(counts[x])))
+    return _table(rows, PIECE)
 
 
 ANSWER = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("batch", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
 ANSWER_DDL = "kind string, shard long, batch long, key binary, value binary"
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, ANSWER, strict=True)], schema=ANSWER)
-
-
 def _kinds(counts: np.ndarray) -> np.ndarray:
     """How many counts are 1, 2, 3, 4, how many are 3 or more, how many there are, and their sum."""
     return np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts), counts.sum()], np.int64)
@@ -219,17 +280,10 @@ def small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts
 
 
-def shard_group(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Table:
-    """A shard's pairs answered, or its pieces of words handed on."""
-    if table["kind"][0].as_py() == "pair":
-        return pair_shard(table, shards, width, store)
-    return pa.Table.from_arrays([table[c].combine_chunks() for c in ("kind", "shard", "batch", "first", "count")], schema=ANSWER)
-
-
 def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Table:
     """One shard of pairs: its sorted array, the batches' counts by it, and what it tells of its words."""
-    shift = np.uint64(64 - 8 * width)
-    parts = [(n, np.cumsum(unpacked(a, width)), unpacked(b, width), unpacked(c)) for n, a, b, c in zip(*(table[c].to_pylist() for c in ("batch", "first", "second", "count")), strict=True)]
+    shift, low = np.uint64(64 - 8 * width), np.uint64((1 << 8 * width) - 1)  # a word with a code of its own can be out of order
+    parts = [(n, np.cumsum(unpacked(a, width)) & low, unpacked(b, width), unpacked(c)) for n, a, b, c in zip(*(table[c].to_pylist() for c in ("batch", "first", "second", "count")), strict=True)]
     number = table["shard"][0].as_py()
     v, w, c = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
     parts = [(n, pair_hash(a, b)) for n, a, b, _ in parts]
@@ -250,15 +304,14 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
         for s in np.flatnonzero(np.diff(cut)):
             x = slice(cut[s], cut[s + 1])
             rows.append((kind, int(s), -1, packed(deltas(codes[x]), width), b"".join(packed(a[x]) for a in values)))
-    return _answers(rows)
+    return _table(rows, ANSWER)
 
 
-def word_shard(words: pa.Table, told: pa.Table, width: int, store: Shards) -> pa.Table:
+def word_shard(words: pa.Table, told: pa.Table, width: int, shared: Shared, store: Shards) -> pa.Table:
     """One shard of words: sorted arrays of counts and of what pairs tell, and the batches' answers by them."""
-    shift = np.uint64(64 - 8 * width)
     parts = [(n, np.cumsum(unpacked(a)), unpacked(c)) for n, a, c in zip(*(words[c].to_pylist() for c in ("batch", "key", "value")), strict=True)]
     if not parts:
-        return _answers([])
+        return _table([], ANSWER)
     number = words["shard"][0].as_py()
     h, c = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     keys, counts = store.mapped(*summed(h[c > 0], c[c > 0].astype(np.int64)))
@@ -272,10 +325,10 @@ def word_shard(words: pa.Table, told: pa.Table, width: int, store: Shards) -> pa
     skeys, left = store.mapped(*seconds)
     rows = []
     for n, h, _ in parts:
-        code = h >> shift
+        code = coding(h, width, shared)
         rows.append(("word", number, n, b"", b"".join(packed(x) for x in (found(keys, counts, h), *(found(fkeys, v, code) for v in fvalues), found(skeys, left, code)))))
     rows.append(("words", number, -1, b"", np.concatenate((_kinds(np.asarray(counts)), _kinds(np.asarray(left)))).astype("<i8").tobytes()))
-    return _answers(rows)
+    return _table(rows, ANSWER)
 
 
 def _cut(value: bytes, n: int) -> list[bytes]:
@@ -306,14 +359,13 @@ def probabilities(pair: np.ndarray, first: dict[str, np.ndarray], left: np.ndarr
     return np.where(first["den"] > 0, (pair - d2[np.minimum(pair, 3)]) / den + spare * low, low)
 
 
-def score_batch(table: pa.Table, told: pa.Table, shards: int, width: int, totals: dict[str, np.ndarray]) -> pa.Table:
+def score_batch(table: pa.Table, told: pa.Table, shards: int, width: int, shared: Shared, totals: dict[str, np.ndarray]) -> pa.Table:
     """A row per text of a batch, from the answers to its pairs and words."""
-    held = np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-    b = Batch(raw(table["text"].combine_chunks()), ~held)
+    b = _batch(table)
     values: dict[str, list] = {"pair": [], "word": []}
     for kind, _, value in sorted(zip(*(told[c].to_pylist() for c in ("kind", "shard", "value")), strict=True), key=lambda x: x[:2]):
         values[kind].append(value)
-    v, w = b.coded(width)
+    v, w = b.coded(width, shared)
     order, _ = _dealt_order(shard_of(pair_hash(v, w), shards), shards)
     pair = np.empty(len(order), np.int64)
     pair[order] = np.concatenate([unpacked(x) for x in values["pair"]]).astype(np.int64)
@@ -353,11 +405,19 @@ def score_corpus(docs: DataFrame, batch_bytes: int = BATCH_BYTES, shard_bytes: i
     texts = dealt(docs.withColumns({"held_out": held_out("doc_id"), "batch": batch.cast("int")}), parts, "batch")
     store = Shards(model_dir or f"{scratch_root(spark)}/lm-{uuid.uuid4().hex}", model_dir is not None)
     wide = lambda t: t.set_column(t.schema.get_field_index("batch"), "batch", t["batch"].cast(pa.int64()))
-    sent = texts.groupBy("batch").applyInArrow(trimmed_group(lambda t: pieces(wide(t), shards, width)), PIECE_DDL)
-    pairs = materialize(sent.groupBy("kind", "shard").applyInArrow(trimmed_group(lambda t: shard_group(t, shards, width, store)), ANSWER_DDL), "pairs")
+    sent = texts.groupBy("batch").applyInArrow(trimmed_group(lambda t: word_pieces(wide(t), shards)), ANSWER_DDL)
+    spelled = materialize(sent.groupBy("shard").applyInArrow(trimmed_group(lambda t: word_group(t, shards, width)), ANSWER_DDL), "spelled")
+    release(spark)
+    twice = [(unpacked(bytes(r.key)), unpacked(bytes(r.value))) for r in spelled.filter("kind = 'shared'").select("key", "value").collect()]  # few words, see code_bytes
+    twice = [np.concatenate(c) for c in zip(*twice, strict=True)] or [np.empty(0, np.uint64)] * 2
+    order = np.argsort(twice[0])
+    shared = (twice[0][order], twice[1][order])
+    sent = texts.groupBy("batch").applyInArrow(trimmed_group(lambda t: pieces(wide(t), shards, width, shared)), PIECE_DDL)
+    pairs = materialize(sent.groupBy("shard").applyInArrow(trimmed_group(lambda t: pair_shard(t, shards, width, store)), ANSWER_DDL), "pairs")
     release(spark)
     told = pairs.filter("kind in ('first', 'second')")
-    words = materialize(pairs.filter("kind = 'word'").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(trimmed_pair(lambda a, b: word_shard(a, b, width, store)), ANSWER_DDL), "words")
+    words = materialize(spelled.filter("kind = 'word'").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(trimmed_pair(lambda a, b: word_shard(a, b, width, shared, store)), ANSWER_DDL), "words")
+    discard(spelled)
     release(spark)
     sums: dict[str, np.ndarray] = {"pairs": np.zeros(7, object), "words": np.zeros(7, object), "left": np.zeros(7, object)}
     for r in pairs.filter("kind = 'pairs'").union(words.filter("kind = 'words'")).select("kind", "value").toLocalIterator():  # some numbers per shard
@@ -367,6 +427,6 @@ def score_corpus(docs: DataFrame, batch_bytes: int = BATCH_BYTES, shard_bytes: i
             sums["left"] = sums["left"] + x[7:]
     answers = pairs.filter("kind = 'pair'").union(words.filter("kind = 'word'")).withColumn("batch", F.col("batch").cast("int"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = materialize(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(trimmed_pair(lambda a, b: score_batch(a, b, shards, width, sums)), schema), "scores")
+    out = materialize(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(trimmed_pair(lambda a, b: score_batch(a, b, shards, width, shared, sums)), schema), "scores")
     discard(texts, pairs, words)
     return out
