@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -160,3 +161,28 @@ def test_components(spark, hub, monkeypatch):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
+@pytest.mark.parametrize("kind", ["stars", "chain"])
+def test_components_end_when_edges_are_stars(spark, kind, monkeypatch):
+    """Stars need no round, and a chain that one task holds becomes one there; such edges took rounds of ten jobs."""
+    r, writes = random.Random(2), []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (writes.append(name), keep(df, name))[1])
+    if kind == "stars":
+        edges = [(k, k // 100 * 100) for k in range(3000) if k % 100]
+    else:
+        edges = [(k, k + 1) for k in range(3000) if k % 100 != 99]
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = graph.components(df if kind == "stars" else df.coalesce(1)).collect()
+    assert len(got) == 3000 and all(x.root == x.node // 100 * 100 for x in got) and len(writes) == 2
+
+
+def test_forests_of_a_task_connect_the_same(monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 50)
+    r = np.random.default_rng(4)
+    e = r.integers(-400, 400, (300, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"]) for x in np.split(e, 30)]
+    got = np.concatenate([np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in graph._forests(iter(batches))])
+    assert (got[:, 0] > got[:, 1]).all() and sorted(map(tuple, graph.spanning(got))) == sorted(map(tuple, graph.spanning(e)))

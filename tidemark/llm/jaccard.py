@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, even_keys, gram_hashes, hash_words, leave, materialize, mix, raw, release, shuffle_parts, slices, trimmed, trimmed_group
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, spanning
 
 N = 5
 #: Similarity of at least NUM / DEN.
@@ -337,28 +337,6 @@ def _possible(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], shared[keep].astype(np.int64)
 
 
-def spanning(edges: np.ndarray) -> np.ndarray:
-    """A forest (larger, least node) with the components of the edges, by least labels and pointer jumps."""
-    nodes, ends = np.unique(edges, return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    label = np.arange(len(nodes))
-    while len(ends):
-        low = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
-        new = label.copy()
-        np.minimum.at(new, label[ends[:, 0]], low)
-        np.minimum.at(new, label[ends[:, 1]], low)
-        while True:
-            jump = new[new]
-            if np.array_equal(jump, new):
-                break
-            new = jump
-        if np.array_equal(new, label):
-            break
-        label = new
-    up = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[up], nodes[label[up]]], 1)
-
-
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow a link."""
     for b in batches:
