@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.brute import AZ, WORD
@@ -140,3 +141,24 @@ def test_codes_of_a_shard_stay_there():
     hashes, codes = lm.shared_codes(mine, 0, 2, 4)
     assert hashes.tolist() == [int(x) for x in h[[1, 2, 5]]] and codes.tolist() == [9, 10, (1 << 31) - 2]
     assert len(set(lm.coding(mine, 4, (hashes, codes)).tolist())) == len(mine)
+
+
+def test_a_batch_hashes_each_distinct_word_once(monkeypatch):
+    """The words of a batch by Arrow are those of the contract, and only distinct ones reach the hash; each token did before."""
+    texts = ["", None, " \t", "a", " A a\x0bb\x0c\r\nb ", "x\x1cy \x85z É é İ", "b  ", "the " * 50]
+    hashed, keep = [], lm.hash_words
+    monkeypatch.setattr(lm, "hash_words", lambda ws: (hashed.extend(ws), keep(ws))[1])
+    trains = np.array([True, False] * 4)
+    b = lm.Batch(pa.array(texts, pa.string()), trains)
+    want = [tokens(t) for t in texts]
+    assert sorted(hashed) == sorted({w.encode() for t in want for w in t[:-1]})
+    assert b.sizes.tolist() == list(map(len, want))
+    spelled = {int(keep([w.encode()])[0]): w for t in want for w in t[:-1]} | {int(lm.END): None}
+    flat = [w for t in want for w in t]
+    assert [spelled[int(h)] for h in b.words[b.local]] == flat
+    before = [a for t in want for a in ["<", *t[:-1]]]
+    spelled[int(lm.BEGIN)] = "<"
+    named = [(spelled[int(b.words[p // len(b.words)])], spelled[int(b.words[p % len(b.words)])]) for p in b.pairs]
+    assert [named[k] for k in b.at()] == list(zip(before, flat))
+    learned = Counter(p for p, o in zip(zip(before, flat), b.owner) if trains[o])
+    assert dict(zip(named, b.counts.tolist())) == {p: learned[p] for p in named}

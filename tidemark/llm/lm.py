@@ -23,17 +23,17 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import data_parts, dealt, discard, even_keys, hash_words, materialize, mix, raw, release, trimmed_group, trimmed_pair
+from tidemark.llm.common import data_parts, dealt, discard, even_keys, hash_words, materialize, mix, release, trimmed_group, trimmed_pair
 from tidemark.session import scratch_root
 
 #: Reserved words hold a blank, so that no word of a text equals them.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" <s>", b" </s>"))
-ENDED = np.array([END])
 #: Bytes of text in a batch, and of text per shard of the model, about.
 BATCH_BYTES, SHARD_BYTES = 11 << 20, 14 << 20
 #: Base probability: added to every count.
@@ -114,7 +114,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and the sums of values over each."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
@@ -124,8 +124,12 @@ def found(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray
     """Values of keys by binary search in the sorted table, 0 where a key isn't in it."""
     if not len(table):
         return np.zeros(len(keys), np.int64)
+    order = np.argsort(keys)  # searches in order stay near the last one's place
+    keys = keys[order]
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, values[at], 0)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.where(table[at] == keys, values[at], 0)
+    return out
 
 
 class Shards:
@@ -165,30 +169,43 @@ class Shards:
         return out
 
 
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Every word's place among the distinct ones, how many words each text has, and the distinct words, lower-cased; Arrow's ASCII functions take A-Z and white space alone."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word there
+    before = np.concatenate(([0], np.cumsum(real)))
+    ends = np.cumsum(np.asarray(pc.list_value_length(split)), dtype=np.int64)
+    sizes = np.diff(before[ends], prepend=0)
+    del split
+    if not real.all():
+        words = words.filter(pa.array(real))
+    words = words.dictionary_encode()
+    return np.asarray(words.indices), sizes, words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+
+
 class Batch:
     """Tokens of texts: lower-cased words, then one end for each text; without ``paired`` their words alone."""
 
-    def __init__(self, texts: list[bytes], trains: np.ndarray, paired: bool = True):
-        parts = []
-        for t in texts:
-            parts += [hash_words(t.lower().split()), ENDED]  # bytes: only ASCII letters and blanks count
-        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.sizes = np.fromiter((len(w) + 1 for w in parts[::2]), np.int64, len(texts))
-        del parts
-        n, starts = len(h), np.cumsum(self.sizes) - self.sizes
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+    def __init__(self, texts: pa.Array, trains: np.ndarray, paired: bool = True):
+        places, sizes, spelled = tokenized(texts)
+        self.sizes = sizes + 1
+        n, ends = len(places) + len(sizes), np.cumsum(self.sizes) - 1
+        starts = ends + 1 - self.sizes
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         self.trains = np.repeat(trains, self.sizes)
-        # local numbers follow the order of hashes, so pairs of numbers are ordered as pairs of hashes are
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        new = np.concatenate(([True], h[1:] != h[:-1])) if n else np.empty(0, bool)
-        words = h[new]
-        del h
+        # local numbers follow the order of hashes, so pairs of numbers are ordered as pairs of hashes are; each distinct word is hashed once
+        words, rank = np.unique(np.append(hash_words(spelled), END) if n else np.empty(0, np.uint64), return_inverse=True)
+        del spelled
         at_begin = int(np.searchsorted(words, BEGIN))
+        rank = rank.astype(np.int32)
+        rank += rank >= at_begin
         local = np.empty(n, np.int32)
-        local[order] = np.cumsum(new, dtype=np.int32) - 1
-        del order, new
-        local += local >= at_begin
+        within = np.ones(n, bool)
+        within[ends] = False
+        local[within] = rank[places]
+        local[ends] = rank[-1:]
+        del places, within
         self.words = np.insert(words, at_begin, BEGIN) if n else words
         self.local = local
         if not paired:
@@ -198,8 +215,12 @@ class Batch:
         self.pair[starts] = at_begin
         self.pair *= len(self.words)
         self.pair += local
-        pairs = np.sort(self.pair)
-        self.pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] if n else pairs
+        pairs = np.sort(self.pair << 1 | self.trains)  # whether a token is learned from is its last bit
+        learned, pairs = pairs & 1, pairs >> 1
+        at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if n else np.empty(0, np.int64)
+        self.pairs = pairs[at]
+        #: Training counts of the distinct pairs.
+        self.counts = np.add.reduceat(learned, at) if n else pairs
 
     def coded(self, width: int, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the distinct pairs' words."""
@@ -208,7 +229,11 @@ class Batch:
 
     def at(self) -> np.ndarray:
         """Each token's place among the distinct pairs."""
-        return np.searchsorted(self.pairs, self.pair)
+        order = np.argsort(self.pair)
+        pairs = self.pair[order]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(np.concatenate(([False], pairs[1:] != pairs[:-1]))) if len(order) else order
+        return out
 
 
 def _dealt_order(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +251,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _batch(table: pa.Table, paired: bool = True) -> Batch:
-    return Batch(raw(table["text"].combine_chunks()), ~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool), paired)
+    return Batch(table["text"].combine_chunks(), ~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool), paired)
 
 
 def word_pieces(table: pa.Table, shards: int) -> pa.Table:
@@ -257,9 +282,8 @@ def pieces(table: pa.Table, shards: int, width: int, shared: Shared) -> pa.Table
     number = table["batch"][0].as_py()
     rows = []
     v, w = b.coded(width, shared)
-    counts = np.bincount(b.at()[b.trains], minlength=len(b.pairs)).astype(np.uint64)
     order, cut = _dealt_order(shard_of(pair_hash(v, w), shards), shards)
-    v, w, counts = v[order], w[order], counts[order]
+    v, w, counts = v[order], w[order], b.counts[order]
     for s in np.flatnonzero(np.diff(cut)):
         x = slice(cut[s], cut[s + 1])
         rows.append((int(s), number, packed(deltas(v[x]), width), packed(w[x], width), packed(counts[x])))
@@ -290,7 +314,7 @@ def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Ta
     keep = c > 0
     v, w, c = v[keep], w[keep], c[keep]
     g = pair_hash(v, w)
-    order = np.argsort(g, kind="stable")
+    order = np.argsort(g)
     at = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.empty(0, np.int64)
     once = order[at]
     keys, counts = store.mapped(g[once], small(np.add.reduceat(c[order], at)) if len(at) else np.empty(0, np.uint8))
