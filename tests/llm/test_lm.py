@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,3 +163,41 @@ def test_a_batch_hashes_each_distinct_word_once(monkeypatch):
     assert [named[k] for k in b.at()] == list(zip(before, flat))
     learned = Counter(p for p, o in zip(zip(before, flat), b.owner) if trains[o])
     assert dict(zip(named, b.counts.tolist())) == {p: learned[p] for p in named}
+
+
+def test_scoring_a_batch_holds_few_numbers_a_token(tmp_path, monkeypatch):
+    """Numbers that a step makes for pairs and tokens stand for a slice of them only; 153 bytes a token stood at once before, with some for each."""
+    monkeypatch.setattr(lm, "STEP", 1 << 12, raising=False)
+    r = np.random.default_rng(4)
+    voc = np.array([f"w{i}" for i in range(2000)])
+    texts = [" ".join(voc[r.integers(0, len(voc), 1000)]) for _ in range(200)]
+    table = pa.table({"doc_id": np.arange(200), "text": texts, "held_out": np.arange(200) % 10 == 0, "batch": np.zeros(200, np.int64)})
+    none = (np.empty(0, np.uint64),) * 2
+    pairs = lm.pair_shard(lm.pieces(table, 1, 8, none), 1, 8, lm.Shards(f"{tmp_path}/m"))
+    kinds = np.asarray(pairs["kind"].combine_chunks().to_numpy(zero_copy_only=False))
+    words = lm.word_shard(lm.word_pieces(table, 1), pairs.filter(pa.array(np.isin(kinds, ["first", "second"]))), 8, none, lm.Shards(f"{tmp_path}/m"))
+    told = pa.concat_tables([pairs.filter(pa.array(kinds == "pair")), words.filter(pa.array(np.asarray(words["kind"].combine_chunks().to_numpy(zero_copy_only=False)) == "word"))])
+    sums = {k: np.zeros(7, object) for k in ("pairs", "words", "left")}
+    for kind, value in zip(*(pa.concat_tables([pairs, words])[c].to_pylist() for c in ("kind", "value")), strict=True):
+        if kind in ("pairs", "words"):
+            x = np.frombuffer(value, "<i8").astype(object)
+            sums[kind] = x[:7]
+            sums["left"] = x[7:] if kind == "words" else sums["left"]
+    tracemalloc.start()
+    try:
+        out = lm.score_batch(table, told, 1, 8, none, sums)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    tokens_ = sum(out["n_tokens"].to_pylist())
+    assert tokens_ == 200 * 1001 and all(x < 0 for x in out["score"].to_pylist())
+    assert most / tokens_ < 75
+
+
+def test_counts_take_the_bytes_they_need():
+    a = [np.array(x, np.int64) for x in ([0, 1, 255], [256, 0, 7], [1 << 40, 3, 0])]
+    b = lm.leanly(*a)
+    assert len(b) == 3 + 3 * (1 + 2 + 6)
+    for given in (b, pa.py_buffer(b)):
+        assert [x.tolist() for x in lm.columned(given, 3)] == [x.tolist() for x in a]
+    assert [len(x) for x in lm.columned(lm.leanly(a[0][:0], a[1][:0]), 2)] == [0, 0]

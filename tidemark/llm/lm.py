@@ -36,6 +36,8 @@ from tidemark.session import scratch_root
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" <s>", b" </s>"))
 #: Bytes of text in a batch, and of text per shard of the model, about.
 BATCH_BYTES, SHARD_BYTES = 11 << 20, 14 << 20
+#: Pairs or tokens worked on at once where a batch or a shard needs some numbers for each, so that those never stand for all.
+STEP = 1 << 18
 #: Base probability: added to every count.
 ADDED = 0.1
 #: Discounts where the counts of counts give none.
@@ -97,6 +99,21 @@ def unpacked(b: bytes, width: int = 8) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def leanly(*columns: np.ndarray) -> bytes:
+    """Whole numbers, as many in each column, each column packed in the bytes that its largest takes, and these widths before all."""
+    widths = [max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1 for a in columns]
+    return b"".join([bytes(widths), *(packed(a, w) for a, w in zip(columns, widths, strict=True))])
+
+
+def columned(b: bytes | pa.Buffer, number: int) -> list[np.ndarray]:
+    """What leanly packed."""
+    b = memoryview(b)
+    widths = list(b[:number])
+    n = (len(b) - number) // sum(widths)
+    starts = number + n * np.cumsum([0, *widths[:-1]])
+    return [unpacked(b[k : k + n * w], w) for k, w in zip(starts.tolist(), widths, strict=True)]
+
+
 def deltas(sorted_: np.ndarray) -> np.ndarray:
     return np.diff(sorted_, prepend=np.uint64(0))
 
@@ -110,6 +127,16 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) + w)
 
 
+def steps(n: int) -> Iterator[slice]:
+    """0 to n in slices of STEP."""
+    return (slice(k, min(k + STEP, n)) for k in range(0, n, STEP))
+
+
+def buffers(column: pa.ChunkedArray) -> list[pa.Buffer]:
+    """The column's binary values where they lie; to_pylist would copy them."""
+    return [x.as_buffer() for x in column]
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and the sums of values over each."""
     if not len(keys):
@@ -169,19 +196,25 @@ class Shards:
         return out
 
 
-def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Every word's place among the distinct ones, how many words each text has, and the distinct words, lower-cased; Arrow's ASCII functions take A-Z and white space alone."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     words = split.flatten()
-    real = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word there
-    before = np.concatenate(([0], np.cumsum(real)))
-    ends = np.cumsum(np.asarray(pc.list_value_length(split)), dtype=np.int64)
-    sizes = np.diff(before[ends], prepend=0)
+    real = pc.greater(pc.binary_length(words), 0)  # blanks at an end leave an empty word there
+    blanks = np.flatnonzero(~np.asarray(real))
+    sizes = np.asarray(pc.list_value_length(split)).astype(np.int64)
     del split
-    if not real.all():
-        words = words.filter(pa.array(real))
+    if len(blanks):
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), blanks, side="right"), minlength=len(sizes))
+        words = words.filter(real)
+    del real
     words = words.dictionary_encode()
-    return np.asarray(words.indices), sizes, words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+    return np.asarray(words.indices), sizes, words.dictionary
+
+
+def spelled_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of the words, of which a step's are Python's at a time; to_pylist takes ten times as long."""
+    return np.concatenate([np.empty(0, np.uint64), *(hash_words(words[x].cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()) for x in steps(len(words)))])
 
 
 class Batch:
@@ -192,10 +225,9 @@ class Batch:
         self.sizes = sizes + 1
         n, ends = len(places) + len(sizes), np.cumsum(self.sizes) - 1
         starts = ends + 1 - self.sizes
-        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         self.trains = np.repeat(trains, self.sizes)
         # local numbers follow the order of hashes, so pairs of numbers are ordered as pairs of hashes are; each distinct word is hashed once
-        words, rank = np.unique(np.append(hash_words(spelled), END) if n else np.empty(0, np.uint64), return_inverse=True)
+        words, rank = np.unique(np.append(spelled_hashes(spelled), END) if n else np.empty(0, np.uint64), return_inverse=True)
         del spelled
         at_begin = int(np.searchsorted(words, BEGIN))
         rank = rank.astype(np.int32)
@@ -215,33 +247,45 @@ class Batch:
         self.pair[starts] = at_begin
         self.pair *= len(self.words)
         self.pair += local
-        pairs = np.sort(self.pair << 1 | self.trains)  # whether a token is learned from is its last bit
-        learned, pairs = pairs & 1, pairs >> 1
-        at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if n else np.empty(0, np.int64)
+        pairs = self.pair << 1  # whether a token is learned from is its last bit
+        pairs |= self.trains
+        pairs.sort()
+        new = np.ones(n, bool)
+        new[1:] = pairs[1:] ^ pairs[:-1] > 1
+        at = np.flatnonzero(new)
         self.pairs = pairs[at]
+        self.pairs >>= 1
+        pairs &= 1
         #: Training counts of the distinct pairs.
-        self.counts = np.add.reduceat(learned, at) if n else pairs
-
-    def coded(self, width: int, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the distinct pairs' words."""
-        codes = coding(self.words, width, shared)
-        return codes[self.pairs // max(1, len(self.words))], codes[self.pairs % max(1, len(self.words))]
-
-    def at(self) -> np.ndarray:
-        """Each token's place among the distinct pairs."""
-        order = np.argsort(self.pair)
-        pairs = self.pair[order]
+        self.counts = np.add.reduceat(pairs, at) if n else pairs
+
+    @property
+    def owner(self) -> np.ndarray:
+        """Each token's text."""
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+
+    def coded(self, codes: np.ndarray, which: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words of some distinct pairs, by the codes of the batch's words."""
+        pairs = self.pairs[which]
+        return codes[pairs // len(codes)], codes[pairs % len(codes)]
+
+    def dealt(self, codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs' stable order by shard, and where each shard begins."""
+        shard = np.empty(len(self.pairs), np.uint16 if shards < 1 << 16 else np.int64)
+        for x in steps(len(shard)):
+            shard[x] = shard_of(pair_hash(*self.coded(codes, x)), shards)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def at(self, tokens: slice = slice(None)) -> np.ndarray:
+        """Tokens' places among the distinct pairs."""
+        pair = self.pair[tokens]
+        order = np.argsort(pair)  # searches in order stay near the last one's place
         out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(np.concatenate(([False], pairs[1:] != pairs[:-1]))) if len(order) else order
+        out[order] = np.searchsorted(self.pairs, pair[order])
         return out
 
 
-def _dealt_order(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by shard, and where each shard begins."""
-    order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
 PIECE = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("count", pa.binary())])
 PIECE_DDL = "shard long, batch long, first binary, second binary, count binary"
 
@@ -263,7 +307,7 @@ def word_pieces(table: pa.Table, shards: int) -> pa.Table:
     rows = []
     for s in np.flatnonzero(np.diff(cut)):
         x = slice(cut[s], cut[s + 1])
-        rows.append(("word", int(s), number, packed(deltas(b.words[x])), packed(counts[x])))
+        rows.append(("word", int(s), number, packed(deltas(b.words[x])), leanly(counts[x])))
     return _table(rows, ANSWER)
 
 
@@ -279,14 +323,15 @@ def word_group(table: pa.Table, shards: int, width: int) -> pa.Table:
 def pieces(table: pa.Table, shards: int, width: int, shared: Shared) -> pa.Table:
     """Of one batch: its distinct pairs with their training counts, a row for each shard they go to."""
     b = _batch(table)
+    del b.local, b.pair, b.trains
     number = table["batch"][0].as_py()
     rows = []
-    v, w = b.coded(width, shared)
-    order, cut = _dealt_order(shard_of(pair_hash(v, w), shards), shards)
-    v, w, counts = v[order], w[order], b.counts[order]
+    codes = coding(b.words, width, shared)
+    order, cut = b.dealt(codes, shards)
     for s in np.flatnonzero(np.diff(cut)):
-        x = slice(cut[s], cut[s + 1])
-        rows.append((int(s), number, packed(deltas(v[x]), width), packed(w[x], width), packed(counts[x])))
+        x = order[cut[s] : cut[s + 1]]
+        v, w = b.coded(codes, x)
+        rows.append((int(s), number, packed(deltas(v), width), packed(w, width), leanly(b.counts[x])))
     return _table(rows, PIECE)
 
 
@@ -307,42 +352,53 @@ def small(counts: np.ndarray) -> np.ndarray:
 def pair_shard(table: pa.Table, shards: int, width: int, store: Shards) -> pa.Table:
     """One shard of pairs: its sorted array, the batches' counts by it, and what it tells of its words."""
     shift, low = np.uint64(64 - 8 * width), np.uint64((1 << 8 * width) - 1)  # a word with a code of its own can be out of order
-    parts = [(n, np.cumsum(unpacked(a, width)) & low, unpacked(b, width), unpacked(c)) for n, a, b, c in zip(*(table[c].to_pylist() for c in ("batch", "first", "second", "count")), strict=True)]
+    numbers, first, second = table["batch"].to_pylist(), buffers(table["first"]), buffers(table["second"])
+    c = np.concatenate([small(columned(x, 1)[0]) for x in buffers(table["count"])])
     number = table["shard"][0].as_py()
-    v, w, c = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-    parts = [(n, pair_hash(a, b)) for n, a, b, _ in parts]
-    keep = c > 0
-    v, w, c = v[keep], w[keep], c[keep]
-    g = pair_hash(v, w)
+    v, w, h = (np.empty(len(c), np.uint64) for _ in range(3))
+    cut = np.concatenate(([0], np.cumsum([x.size // width for x in first])))
+    parts = [slice(i, j) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    for x, a, b in zip(parts, first, second, strict=True):
+        v[x] = np.cumsum(unpacked(a, width)) & low
+        w[x] = unpacked(b, width)
+    for x in steps(len(h)):
+        h[x] = pair_hash(v[x], w[x])
+    kept = np.flatnonzero(c)
+    g = h[kept]
     order = np.argsort(g)
-    at = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.empty(0, np.int64)
-    once = order[at]
-    keys, counts = store.mapped(g[once], small(np.add.reduceat(c[order], at)) if len(at) else np.empty(0, np.uint8))
-    rows = [("pair", number, n, b"", packed(found(keys, counts, x))) for n, x in parts]
-    del parts, g, order
+    kept, g = kept[order], g[order]
+    del order
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    at = np.flatnonzero(new)
+    once, g, c = kept[at], g[at], c[kept]
+    keys, counts = store.mapped(g, small(np.add.reduceat(c, at, dtype=np.int64)) if len(at) else np.empty(0, np.uint8))
+    v, w = v[once], w[once]
+    del g, c, kept, new, at, once
+    rows = [("pair", number, n, b"", leanly(found(keys, counts, h[x]))) for n, x in zip(numbers, parts, strict=True)]
+    del h
     rows.append(("pairs", number, -1, b"", _kinds(np.asarray(counts).astype(np.int64)).astype("<i8").tobytes()))
-    v, w, c = v[once], w[once], np.asarray(counts).astype(np.int64)
+    c = np.asarray(counts).astype(np.int64)
     firsts = summed(v, c, *((c == k).astype(np.int64) for k in (1, 2)), (c >= 3).astype(np.int64))
     for kind, (codes, *values) in (("first", firsts), ("second", summed(w, np.ones(len(w), np.int64)))):
         cut = np.searchsorted(shard_of(codes << shift, shards), np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
             x = slice(cut[s], cut[s + 1])
-            rows.append((kind, int(s), -1, packed(deltas(codes[x]), width), b"".join(packed(a[x]) for a in values)))
+            rows.append((kind, int(s), -1, packed(deltas(codes[x]), width), leanly(*(a[x] for a in values))))
     return _table(rows, ANSWER)
 
 
 def word_shard(words: pa.Table, told: pa.Table, width: int, shared: Shared, store: Shards) -> pa.Table:
     """One shard of words: sorted arrays of counts and of what pairs tell, and the batches' answers by them."""
-    parts = [(n, np.cumsum(unpacked(a)), unpacked(c)) for n, a, c in zip(*(words[c].to_pylist() for c in ("batch", "key", "value")), strict=True)]
+    parts = [(n, np.cumsum(unpacked(a)), columned(c, 1)[0]) for n, a, c in zip(words["batch"].to_pylist(), buffers(words["key"]), buffers(words["value"]), strict=True)]
     if not parts:
         return _table([], ANSWER)
     number = words["shard"][0].as_py()
     h, c = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     keys, counts = store.mapped(*summed(h[c > 0], c[c > 0].astype(np.int64)))
     sides: dict[str, list] = {"first": [], "second": []}
-    for kind, key, value in zip(*(told[c].to_pylist() for c in ("kind", "key", "value")), strict=True):
-        codes = np.cumsum(unpacked(key, width))
-        sides[kind].append((codes, *(unpacked(p).astype(np.int64) for p in _cut(value, len(codes)))))
+    for kind, key, value in zip(told["kind"].to_pylist(), buffers(told["key"]), buffers(told["value"]), strict=True):
+        sides[kind].append((np.cumsum(unpacked(key, width)), *(x.view(np.int64) for x in columned(value, 4 if kind == "first" else 1))))
     firsts = summed(*(np.concatenate(x) for x in zip(*sides["first"], strict=True))) if sides["first"] else [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4]
     seconds = summed(*(np.concatenate(x) for x in zip(*sides["second"], strict=True))) if sides["second"] else [np.empty(0, np.uint64), np.empty(0, np.int64)]
     fkeys, *fvalues = store.mapped(*firsts)
@@ -350,16 +406,11 @@ def word_shard(words: pa.Table, told: pa.Table, width: int, shared: Shared, stor
     rows = []
     for n, h, _ in parts:
         code = coding(h, width, shared)
-        rows.append(("word", number, n, b"", b"".join(packed(x) for x in (found(keys, counts, h), *(found(fkeys, v, code) for v in fvalues), found(skeys, left, code)))))
+        rows.append(("word", number, n, b"", leanly(found(keys, counts, h), *(found(fkeys, v, code) for v in fvalues), found(skeys, left, code))))
     rows.append(("words", number, -1, b"", np.concatenate((_kinds(np.asarray(counts)), _kinds(np.asarray(left)))).astype("<i8").tobytes()))
     return _table(rows, ANSWER)
 
 
-def _cut(value: bytes, n: int) -> list[bytes]:
-    """The packed columns of n numbers each."""
-    return [value[k : k + 8 * n] for k in range(0, len(value), 8 * n)] if n else [b""]
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3, 4 (modified Kneser-Ney); FALLBACK where one is missing."""
     n1, n2, n3, n4 = (int(x) for x in n[:4])
@@ -386,23 +437,32 @@ def probabilities(pair: np.ndarray, first: dict[str, np.ndarray], left: np.ndarr
 def score_batch(table: pa.Table, told: pa.Table, shards: int, width: int, shared: Shared, totals: dict[str, np.ndarray]) -> pa.Table:
     """A row per text of a batch, from the answers to its pairs and words."""
     b = _batch(table)
-    values: dict[str, list] = {"pair": [], "word": []}
-    for kind, _, value in sorted(zip(*(told[c].to_pylist() for c in ("kind", "shard", "value")), strict=True), key=lambda x: x[:2]):
-        values[kind].append(value)
-    v, w = b.coded(width, shared)
-    order, _ = _dealt_order(shard_of(pair_hash(v, w), shards), shards)
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.concatenate([unpacked(x) for x in values["pair"]]).astype(np.int64)
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*([unpacked(p) for p in _cut(x, len(x) // 48)] for x in values["word"]), strict=True)]
-    word = dict(zip(("count", *STATS), columns, strict=True))
+    del b.counts, b.trains
+    order, cut = b.dealt(coding(b.words, width, shared), shards)
+    pair = np.zeros(len(order), np.int64)
+    columns: list[tuple] = []
+    for kind, s, value in sorted(zip(told["kind"].to_pylist(), told["shard"].to_pylist(), buffers(told["value"]), strict=True), key=lambda x: x[:2]):
+        if kind == "pair":
+            pair[order[cut[s] : cut[s + 1]]] = columned(value, 1)[0]
+        else:
+            columns.append(columned(value, 1 + len(STATS)))
+    del order
+    word = {k: np.concatenate(x).astype(np.int64) for k, x in zip(("count", *STATS), zip(*columns, strict=True), strict=True)}
+    del columns
     n = max(1, len(b.words))
-    first = {k: word[k][b.pairs // n] for k in STATS[:4]}
-    logs = np.log10(probabilities(pair, first, word["left"][b.pairs % n], totals))
+    logs = np.empty(len(pair))
+    for x in steps(len(logs)):
+        v, w = b.pairs[x] // n, b.pairs[x] % n
+        logs[x] = np.log10(probabilities(pair[x], {k: word[k][v] for k in STATS[:4]}, word["left"][w], totals))
+    del pair
     tokens, kinds = int(totals["words"][6]), int(totals["words"][5])
     base = np.log10((word["count"] + ADDED) / (tokens + ADDED * (kinds + 1)))
-    sums = lambda x: np.bincount(b.owner, x, table.num_rows)
-    known = sums((word["count"] > 0)[b.local]).astype(np.int64)
-    return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": b.sizes, "n_known": known, "train_tokens": np.full(table.num_rows, tokens), "base_score": sums(base[b.local]), "score": sums(logs[b.at()])})
+    owner, seen = b.owner, (word["count"] > 0).astype(np.int64)
+    known, base_score, score = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows), np.zeros(table.num_rows)
+    for x in steps(len(owner)):  # at() adds in the order of tokens, so that slices don't show in the sums
+        for sums, values in ((known, seen[b.local[x]]), (base_score, base[b.local[x]]), (score, logs[b.at(x)])):
+            np.add.at(sums, owner[x], values)
+    return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": b.sizes, "n_known": known, "train_tokens": np.full(table.num_rows, tokens), "base_score": base_score, "score": score})
 
 
 def held_out(id_col: str):
